@@ -1,0 +1,95 @@
+"""Posts derived from the driver tables (FIXTURES.md §3).
+
+The driver tables hold no social posts, so the tests and the registered
+queries derive them: one post per ``documents`` row, its time, author and
+score from the ``events`` row ``event_id = doc_id * 5``, and the page URL of
+``pages`` appended to the title.  The title carries the *whole* document
+text (never a prefix), so topic and sentiment work grows with the texts.
+
+The same view is written as SQL in ``POSTS_SQL`` for the DuckDB oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+          "events", "documents", "embeddings", "pages", "benchmark", "labels",
+          "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``posts`` (stored form, FIXTURES §1) over the driver tables.
+
+    Plan: documents ⋈ events on a computed key (equi-join, sort-merge or
+    broadcast as AQE decides from runtime sizes), left join pages by id.
+    Only the needed columns are read (``html`` is pruned).
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    j = (d.join(e, e.event_id == d.doc_id * 5, "inner")
+          .join(p, p.page_id == d.doc_id, "left"))
+    title = F.concat(F.lit("#"), F.col("source"), F.lit(" "), F.col("text"),
+                     F.coalesce(F.concat(F.lit(" "), F.col("url")), F.lit("")))
+    return j.select(
+        F.col("source"),
+        F.col("doc_id").cast("string").alias("external_id"),
+        title.alias("title"),
+        F.col("text"),
+        F.col("url"),
+        F.col("user_id").cast("string").alias("author"),
+        F.floor(F.col("value")).cast("int").alias("score"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+POSTS_SQL = """
+posts AS (
+  SELECT d.source, CAST(d.doc_id AS VARCHAR) AS external_id,
+         '#' || d.source || ' ' || d.text || coalesce(' ' || p.url, '') AS title,
+         d.text, p.url, CAST(e.user_id AS VARCHAR) AS author,
+         CAST(floor(e.value) AS INTEGER) AS score, e.ts AS created_at
+  FROM documents d
+  JOIN events e ON e.event_id = d.doc_id * 5
+  LEFT JOIN pages p ON p.page_id = d.doc_id
+),
+as_of AS (SELECT max(created_at) AS t FROM posts)
+"""
+
+
+def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` read as a post delivery log (FIXTURES §3, upsert).
+
+    Key (source = event_type, external_id = user_id), score = floor(value),
+    arrival order = event_id, created_at = ts.  Several deliveries per key,
+    in order, so first-wins / last-wins rules are exercised on whole tables.
+    """
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_type").alias("source"),
+        F.col("user_id").cast("string").alias("external_id"),
+        F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("title"),
+        F.col("props").alias("text"),
+        F.lit(None).cast("string").alias("url"),
+        F.col("user_id").cast("string").alias("author"),
+        F.floor(F.col("value")).cast("int").alias("score"),
+        F.col("ts").alias("created_at"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+DELIVERY_SQL = """
+deliveries AS (
+  SELECT event_type AS source, CAST(user_id AS VARCHAR) AS external_id,
+         event_type || ' ' || props AS title, props AS text, CAST(NULL AS VARCHAR) AS url,
+         CAST(user_id AS VARCHAR) AS author, CAST(floor(value) AS INTEGER) AS score,
+         ts AS created_at, event_id AS seq
+  FROM events
+)
+"""

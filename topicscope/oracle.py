@@ -1,0 +1,104 @@
+"""DuckDB oracle SQL for the registered queries.
+
+Each statement is an independent formulation of the same semantics in
+DuckDB's dialect over the raw driver tables (registered as views).  The
+regex constants are shared with the Spark code because they are the fixed
+values both engines must apply; the query logic is written separately.
+"""
+
+from __future__ import annotations
+
+from .fixtures import DELIVERY_SQL, POSTS_SQL
+from .functions.stopwords import sql_list
+from .functions.text import HASHTAG_PATTERN, KEYWORD_PATTERN, TERM_SPLIT_PATTERN, URL_PATTERN
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def with_posts(body: str, extra_ctes: str = "") -> str:
+    ctes = POSTS_SQL.strip()
+    if extra_ctes:
+        ctes += ",\n" + extra_ctes.strip()
+    return f"WITH {ctes}\n{body}"
+
+
+def topics_cte(src: str, profile: str = "api", name: str = "tp", key_cols: str = "") -> str:
+    """CTE ``name`` with one row per source row and ``topics`` = distinct topic list."""
+    kc = (key_cols + ", ") if key_cols else ""
+    return f"""
+{name}_w AS (
+  SELECT {kc}
+    list_transform(regexp_extract_all(coalesce(title, ''), {_q(HASHTAG_PATTERN)}, 1),
+                   lambda h: '#' || lower(h)) AS tags,
+    list_filter(regexp_extract_all(
+                  regexp_replace(lower(coalesce(title, '')), {_q(URL_PATTERN)}, ' ', 'g'),
+                  {_q(KEYWORD_PATTERN)}, 0),
+                lambda w: length(w) >= 4 AND w NOT IN ({sql_list(profile)})) AS words
+  FROM {src}
+),
+{name} AS (
+  SELECT {kc}
+    list_distinct(tags
+                  || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])
+                  || words) AS topics
+  FROM {name}_w
+)"""
+
+
+def weight_sql(term: str = "term") -> str:
+    return f"CASE WHEN contains({term}, ' ') OR starts_with({term}, '#') THEN 3 ELSE 1 END"
+
+
+def trending_sql(hours: int | None = 24, limit: int | None = 20, profile: str = "api") -> str:
+    where = "" if hours is None else f"WHERE created_at >= (SELECT t FROM as_of) - INTERVAL {int(hours)} HOURS"
+    ctes = f"win AS (SELECT title FROM posts {where}),\n" + topics_cte("win", profile).strip() + """,
+counts AS (
+  SELECT term, count(*) AS count
+  FROM (SELECT unnest(topics) AS term FROM tp)
+  GROUP BY term
+),
+weighted AS (SELECT term, count, count * """ + weight_sql() + """ AS weight FROM counts)"""
+    if limit is None:
+        body = "SELECT term, count, CAST(weight AS BIGINT) AS weight FROM weighted"
+    else:
+        body = f"""SELECT term, count, CAST(weight AS BIGINT) AS weight, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, count DESC, term ASC) AS rank FROM weighted)
+WHERE rank <= {int(limit)}"""
+    return with_posts(body, ctes)
+
+
+def keyword_v1_sql(hours: int | None = 24, limit: int | None = 20) -> str:
+    where = "" if hours is None else f"WHERE created_at >= (SELECT t FROM as_of) - INTERVAL {int(hours)} HOURS"
+    pattern = r"[A-Za-z][A-Za-z0-9+#.\-]{2,}"
+    ctes = f"""words AS (
+  SELECT unnest(regexp_extract_all(lower(coalesce(title, '')), {_q(pattern)}, 0)) AS term
+  FROM posts {where}
+),
+counts AS (
+  SELECT term, count(*) AS count FROM words
+  WHERE term NOT IN ({sql_list('keyword_v1')}) GROUP BY term
+)"""
+    if limit is None:
+        body = "SELECT term, count FROM counts"
+    else:
+        body = f"""SELECT term, count, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY count DESC, term ASC) AS rank FROM counts)
+WHERE rank <= {int(limit)}"""
+    return with_posts(body, ctes)
+
+
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str) -> None:
+    ORACLE[name] = sql
+
+
+register("trending_24h", trending_sql(24, 20))
+register("trending_all_topics", trending_sql(None, None))
+register("keyword_counts_v1", keyword_v1_sql(24, 20))
+
+__all__ = ["ORACLE", "register", "with_posts", "topics_cte", "weight_sql",
+           "TERM_SPLIT_PATTERN", "DELIVERY_SQL"]
