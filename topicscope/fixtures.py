@@ -93,3 +93,29 @@ deliveries AS (
   FROM events
 )
 """
+
+
+# --- fixed values: test lexicon ---------------------------------------------
+# Valences for tokens that occur in the driver corpus (invented words and
+# function words of the four languages, chosen among the most frequent ones
+# with mixed signs) plus common English sentiment words.  Without such a
+# lexicon every score on the driver data would be 0 (FIXTURES §3).
+TEST_LEXICON = [
+    ("rewh", 1.5), ("orre", -1.2), ("thatin", 0.8), ("ononst", -2.0), ("inoran", 2.3),
+    ("orantion", -0.7), ("hehely", 1.1), ("tion", 0.6), ("ble", -1.4), ("ther", 0.9),
+    ("thth", -0.5), ("thon", 1.8), ("ing", 0.4), ("nt", -0.3), ("ly", 0.2),
+    ("sh", -0.9), ("wh", 0.7), ("ch", -0.6), ("ea", 1.3), ("ti", -1.1),
+    ("good", 1.9), ("great", 3.1), ("love", 3.2), ("happy", 2.7), ("excellent", 2.7),
+    ("bad", -2.5), ("hate", -2.7), ("sad", -2.1), ("terrible", -2.1), ("wrong", -2.1),
+]
+# --- end of fixed values ------------------------------------------------------
+
+
+def test_lexicon(spark: SparkSession) -> DataFrame:
+    from .operators.sentiment import lexicon_from_rows
+    return lexicon_from_rows(spark, TEST_LEXICON)
+
+
+def lexicon_values_sql() -> str:
+    rows = ", ".join(f"('{t}', CAST({v} AS DECIMAL(6,3)))" for t, v in TEST_LEXICON)
+    return f"lexicon(token, valence) AS (VALUES {rows})"

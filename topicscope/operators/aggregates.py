@@ -20,6 +20,18 @@ def posts_by_source(df: DataFrame) -> DataFrame:
               .orderBy(F.col("count").desc(), F.col("source").asc()))
 
 
+def explode_terms(df: DataFrame, array_col: str, out: str = "term", keep: tuple = ()) -> DataFrame:
+    """One row per array element.
+
+    Written as ``explode_outer`` + not-null filter on purpose: for a plain
+    ``explode`` Catalyst infers a ``size(array) > 0`` filter and pushes it
+    below the projection that builds the array, which evaluates the whole
+    tokenisation (regexes, higher-order functions) a second time per row.
+    """
+    cols = [F.col(c) for c in keep] + [F.explode_outer(F.col(array_col)).alias(out)]
+    return df.select(*cols).filter(F.col(out).isNotNull())
+
+
 def topic_counts(df: DataFrame, topics_col: str = "topics") -> DataFrame:
     """O-30 / O-31: document frequency and weight per topic.
 
@@ -27,7 +39,7 @@ def topic_counts(df: DataFrame, topics_col: str = "topics") -> DataFrame:
     the per-topic class factor times the count: the class is a function of
     the term, so no second aggregate is needed.
     """
-    exploded = df.select(F.explode(F.col(topics_col)).alias("term"))
+    exploded = explode_terms(df, topics_col)
     counts = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
     return counts.withColumn("weight", F.col("count") * topic_weight("term").cast("bigint"))
 

@@ -102,3 +102,76 @@ register("keyword_counts_v1", keyword_v1_sql(24, 20))
 
 __all__ = ["ORACLE", "register", "with_posts", "topics_cte", "weight_sql",
            "TERM_SPLIT_PATTERN", "DELIVERY_SQL"]
+
+
+# --- sentiment ---------------------------------------------------------------
+def _sql_words(words) -> str:
+    return ", ".join(_q(w) for w in words)
+
+
+def sentiment_ctes(src: str = "posts", text_col: str = "title", keys: str = "source, external_id",
+                   carry: str = "title", name: str = "scored") -> str:
+    """CTEs ending in ``name``: every row of ``src`` with ``sentiment``."""
+    from .fixtures import lexicon_values_sql
+    from .operators import sentiment as S
+    neg = (f"coalesce(({{x}}) IN ({_sql_words(S.NEGATIONS)}) OR "
+           + " OR ".join(f"suffix({{x}}, {_q(s)})" for s in S.NEGATION_SUFFIXES) + ", false)")
+    boost = (f"CASE WHEN ({{x}}) IN ({_sql_words(S.BOOSTERS_UP)}) THEN 1 "
+             f"WHEN ({{x}}) IN ({_sql_words(S.BOOSTERS_DOWN)}) THEN -1 ELSE 0 END")
+    prev = {j: f"CASE WHEN i > {j} THEN low[i - {j}] END" for j in (1, 2, 3)}
+    kc = ", ".join(k.strip() for k in keys.split(","))
+    carry_sel = f"{carry}, " if carry else ""
+    caps = "(t = upper(t) AND t <> lower(t))"
+    return f"""
+{lexicon_values_sql()},
+{name}_t AS (
+  SELECT {kc}, {carry_sel}
+         regexp_extract_all(coalesce({text_col}, ''), {_q(S.TOKEN_PATTERN)}, 0) AS toks,
+         least(length(coalesce({text_col}, '')) - length(replace(coalesce({text_col}, ''), '!', '')), {S.BANG_MAX}) AS bang
+  FROM {src}
+),
+{name}_t2 AS (
+  SELECT *, list_transform(toks, lambda t: lower(t)) AS low,
+         coalesce(list_position(list_transform(toks, lambda t: lower(t)), {_q(S.CONTRAST_WORD)}), 0) AS butpos,
+         (len(list_filter(toks, lambda t: {caps})) > 0 AND len(list_filter(toks, lambda t: NOT {caps})) > 0) AS mixed
+  FROM {name}_t
+),
+{name}_x AS (
+  SELECT {kc}, bang, mixed, butpos, low, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS i
+  FROM {name}_t2
+),
+{name}_f AS (
+  SELECT {kc}, tok, i, butpos, lower(tok) AS lt,
+         ({neg.format(x=prev[1])} OR {neg.format(x=prev[2])} OR {neg.format(x=prev[3])}) AS neg,
+         CAST(1.00 * coalesce({boost.format(x=prev[1])}, 0) + 0.95 * coalesce({boost.format(x=prev[2])}, 0)
+              + 0.90 * coalesce({boost.format(x=prev[3])}, 0) AS DECIMAL(6,2)) AS boost,
+         (tok = upper(tok) AND tok <> lower(tok) AND mixed) AS caps,
+         CASE WHEN butpos = 0 THEN 1.0 WHEN i < butpos THEN {S.BUT_BEFORE} WHEN i > butpos THEN {S.BUT_AFTER} ELSE 1.0 END AS butm
+  FROM {name}_x
+),
+{name}_c AS (
+  SELECT {kc}, sum(CAST(
+      (CASE WHEN neg THEN v1 * ({S.NEGATION_FACTOR}) ELSE v1 END) * butm AS DECIMAL(18,8))) AS total
+  FROM (
+    SELECT f.*, l.valence + CASE WHEN caps THEN CAST(sign(l.valence) AS DECIMAL(1,0)) * {S.CAPS_STEP} ELSE 0 END
+                + CAST(sign(l.valence) AS DECIMAL(1,0)) * {S.BOOSTER_STEP} * boost AS v1
+    FROM {name}_f f JOIN lexicon l ON l.token = f.lt
+  )
+  GROUP BY {kc}
+),
+{name}_s AS (
+  SELECT t.*, CAST(CASE WHEN coalesce(c.total, 0) > 0 THEN c.total + t.bang * {S.BANG_STEP}
+                        WHEN coalesce(c.total, 0) < 0 THEN c.total - t.bang * {S.BANG_STEP}
+                        ELSE 0 END AS DOUBLE) AS s
+  FROM {name}_t t LEFT JOIN {name}_c c USING ({kc})
+),
+{name} AS (
+  SELECT {kc}, {carry_sel}
+         round(greatest(-1.0, least(1.0, s / sqrt(s * s + {float(S.ALPHA)}))), 4) AS sentiment
+  FROM {name}_s
+)"""
+
+
+register("post_sentiment", with_posts(
+    "SELECT source, external_id, title, sentiment FROM scored WHERE title IS NOT NULL",
+    sentiment_ctes("posts")))

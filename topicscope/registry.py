@@ -33,3 +33,16 @@ def q_trending_all_topics(spark, sf_dir):
 @query("keyword_counts_v1")
 def q_keyword_counts_v1(spark, sf_dir):
     return tr.keyword_counts(posts_view(spark, sf_dir), hours=24, limit=20)
+
+
+def _scored_posts(spark, sf_dir):
+    from .fixtures import test_lexicon
+    from .operators.filters import has_title
+    from .operators.sentiment import score_sentiment
+    posts = has_title(posts_view(spark, sf_dir)).select("source", "external_id", "title")
+    return score_sentiment(posts, test_lexicon(spark))
+
+
+@query("post_sentiment")
+def q_post_sentiment(spark, sf_dir):
+    return _scored_posts(spark, sf_dir)
