@@ -12,8 +12,14 @@ POST_LIST_COLUMNS = ("id", "source", "title", "url", "author", "score", "created
 
 
 def post_id(source="source", external_id="external_id") -> Column:
-    """Stable surrogate id for a post key (the reference's auto id is not portable)."""
-    return F.xxhash64(F.col(source), F.col(external_id))
+    """Stable surrogate BIGINT id of a post key.
+
+    The reference's auto-increment id depends on insert order; this one is a
+    pure function of the key (first 60 bits of md5(source NUL external_id)),
+    so any engine can recompute it.
+    """
+    digest = F.md5(F.concat(F.col(source), F.lit("\x00"), F.col(external_id)))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def project_posts(df: DataFrame) -> DataFrame:

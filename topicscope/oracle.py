@@ -175,3 +175,128 @@ def sentiment_ctes(src: str = "posts", text_col: str = "title", keys: str = "sou
 register("post_sentiment", with_posts(
     "SELECT source, external_id, title, sentiment FROM scored WHERE title IS NOT NULL",
     sentiment_ctes("posts")))
+
+
+def avg_units_sql(u: str, n: str) -> str:
+    """Exact half-up 3-decimal average from integer 1e-4 units."""
+    return f"CAST(sign({u}) * ((abs({u}) * 2 + {n} * 10) // ({n} * 20)) AS DOUBLE) / 1000.0"
+
+
+def units_sql(col: str = "sentiment") -> str:
+    return f"CAST(round({col} * 10000) AS BIGINT)"
+
+
+def term_agg_ctes(src: str = "scored", stop_profile: str = "spark", min_len: int = 3) -> str:
+    return f"""terms AS (
+  SELECT unnest(list_filter(regexp_split_to_array(lower(title), {_q(TERM_SPLIT_PATTERN)}),
+                            lambda w: length(w) >= {min_len} AND w NOT IN ({sql_list(stop_profile)}))) AS term,
+         sentiment
+  FROM {src}
+),
+term_agg AS (
+  SELECT term, count(*) AS count, {avg_units_sql('sum(' + units_sql() + ')', 'count(*)')} AS avg_sentiment
+  FROM terms GROUP BY term
+),
+term_top AS (
+  SELECT term, count, avg_sentiment FROM (
+    SELECT *, row_number() OVER (ORDER BY count DESC, term ASC) AS rk FROM term_agg) WHERE rk <= 40
+)"""
+
+
+def topic_sentiment_ctes(days: int = 7, min_count: int = 2, limit: int = 40) -> str:
+    return (f"""win AS (
+  SELECT source, external_id, title FROM posts
+  WHERE created_at > (SELECT t FROM as_of) - INTERVAL {int(days)} DAYS
+),""" + sentiment_ctes("win", name="wscored").strip() + ",\n"
+            + topics_cte("wscored", "direct", key_cols="sentiment").strip() + f""",
+topic_agg AS (
+  SELECT term, count(*) AS count,
+         {avg_units_sql('sum(' + units_sql() + ')', 'count(*)')} AS avg_sentiment,
+         count(*) * {weight_sql()} AS weight
+  FROM (SELECT unnest(topics) AS term, sentiment FROM tp) GROUP BY term
+),
+topic_sent AS (
+  SELECT term, count, avg_sentiment FROM (
+    SELECT *, row_number() OVER (ORDER BY weight DESC, count DESC, term ASC) AS rk
+    FROM topic_agg WHERE count >= {int(min_count)}) WHERE rk <= {int(limit)}
+)""")
+
+
+def sentiment_list_cte(src: str = "topic_sent", limit: int = 15, name: str = "slist") -> str:
+    return f"""{name} AS (
+  SELECT term, count, avg_sentiment, CAST(rk AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (ORDER BY count DESC, term ASC) AS rk FROM {src}) WHERE rk <= {int(limit)}
+)"""
+
+
+_SCORED = sentiment_ctes("posts")
+
+register("term_split_counts", with_posts(
+    f"""SELECT term, count(*) AS count FROM (
+  SELECT unnest(list_filter(regexp_split_to_array(lower(title), {_q(TERM_SPLIT_PATTERN)}),
+                            lambda w: length(w) >= 3 AND w NOT IN ({sql_list('spark')}))) AS term
+  FROM posts WHERE title IS NOT NULL) GROUP BY term"""))
+
+register("term_sentiment_top40", with_posts(
+    "SELECT term, count, avg_sentiment FROM term_top",
+    _SCORED + ",\n" + term_agg_ctes()))
+
+register("run_summary", with_posts(
+    f"""SELECT (SELECT count(*) FROM scored) AS posts_scored,
+       (SELECT count(*) FROM term_top) AS term_rows,
+       (SELECT {avg_units_sql('sum(' + units_sql() + ')', 'count(*)')} FROM scored) AS overall_avg_sentiment""",
+    _SCORED + ",\n" + term_agg_ctes()))
+
+register("topic_sentiment_7d", with_posts(
+    "SELECT term, count, avg_sentiment FROM topic_sent", topic_sentiment_ctes()))
+
+register("sentiment_trends", with_posts(
+    """SELECT term, count, avg_sentiment, rank,
+       CASE WHEN avg_sentiment > 0.05 THEN 'positive' WHEN avg_sentiment < -0.05 THEN 'negative'
+            ELSE 'neutral' END AS label,
+       round(count * 100.0 / greatest(1, max(count) OVER ()), 2) AS scale
+FROM slist""", topic_sentiment_ctes() + ",\n" + sentiment_list_cte("topic_sent", 15)))
+
+register("sentiment_extremes", with_posts(
+    """SELECT arg_max(term, avg_sentiment * 1000000 - rank) AS positive_term, max(avg_sentiment) AS positive_avg,
+       arg_min(term, avg_sentiment * 1000000 + rank) AS negative_term, min(avg_sentiment) AS negative_avg
+FROM slist""", topic_sentiment_ctes() + ",\n" + sentiment_list_cte("topic_sent", 12)))
+
+_LATEST = "ORDER BY created_at DESC, source ASC, external_id ASC"
+_ID = "CAST(('0x' || substr(md5(source || chr(0) || external_id), 1, 15)) AS BIGINT)"
+
+register("latest_posts_page2", with_posts(
+    f"""SELECT {_ID} AS id, source, title, url, author, score, created_at
+FROM posts {_LATEST} LIMIT 50 OFFSET 50"""))
+
+register("latest_posts_by_source", with_posts(
+    f"""SELECT {_ID} AS id, source, title, url, author, score, created_at
+FROM posts WHERE source = 'src3' {_LATEST} LIMIT 50"""))
+
+register("posts_total", with_posts("SELECT count(*) AS total FROM posts WHERE source = 'src3'"))
+
+register("posts_by_source", with_posts(
+    "SELECT source, count(*) AS count FROM posts GROUP BY source"))
+
+register("search_posts", with_posts(
+    f"""SELECT source, title, url FROM posts
+WHERE contains(upper(title), upper('OrAnTiOn')) {_LATEST} LIMIT 8"""))
+
+register("topics_per_post", with_posts(
+    "SELECT source, external_id, unnest(topics) AS term FROM tp",
+    topics_cte("posts", "api", key_cols="source, external_id")))
+
+register("hashtag_counts", with_posts(
+    f"""SELECT term, count(*) AS count FROM (
+  SELECT unnest(list_transform(regexp_extract_all(title, {_q(HASHTAG_PATTERN)}, 1), lambda h: '#' || lower(h))) AS term
+  FROM posts) GROUP BY term"""))
+
+register("bigram_counts", with_posts(
+    """SELECT term, count(*) AS count FROM (
+  SELECT unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS term
+  FROM tp_w) GROUP BY term""",
+    topics_cte("posts", "api")))
+
+register("url_strip", with_posts(
+    f"""SELECT source, external_id, regexp_replace(lower(title), {_q(URL_PATTERN)}, ' ', 'g') AS stripped
+FROM posts"""))

@@ -46,3 +46,124 @@ def _scored_posts(spark, sf_dir):
 @query("post_sentiment")
 def q_post_sentiment(spark, sf_dir):
     return _scored_posts(spark, sf_dir)
+
+
+def _topic_sentiment(spark, sf_dir):
+    from .fixtures import test_lexicon
+    from .plans.sentiment_trends import topic_sentiment
+    return topic_sentiment(posts_view(spark, sf_dir), test_lexicon(spark), days=7, min_count=2,
+                           limit=40)
+
+
+@query("term_split_counts")
+def q_term_split_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .functions.stopwords import stopwords
+    from .functions.text import keep_tokens, split_terms
+    from .operators.aggregates import explode_terms
+    from .operators.filters import has_title
+    p = has_title(posts_view(spark, sf_dir))
+    t = p.select(keep_tokens(split_terms("title"), stopwords("spark"), 3).alias("terms"))
+    return explode_terms(t, "terms").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("term_sentiment_top40")
+def q_term_sentiment_top40(spark, sf_dir):
+    from .plans.sentiment_trends import term_sentiment
+    return term_sentiment(_scored_posts(spark, sf_dir), limit=40)
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    from .plans.sentiment_trends import run_summary, term_sentiment
+    scored = _scored_posts(spark, sf_dir)
+    return run_summary(scored, term_sentiment(scored, limit=40))
+
+
+@query("topic_sentiment_7d")
+def q_topic_sentiment_7d(spark, sf_dir):
+    return _topic_sentiment(spark, sf_dir)
+
+
+@query("sentiment_trends")
+def q_sentiment_trends(spark, sf_dir):
+    from .plans.sentiment_trends import sentiment_trends
+    return sentiment_trends(_topic_sentiment(spark, sf_dir), limit=15)
+
+
+@query("sentiment_extremes")
+def q_sentiment_extremes(spark, sf_dir):
+    from .plans.sentiment_trends import sentiment_extremes
+    return sentiment_extremes(_topic_sentiment(spark, sf_dir), k=12)
+
+
+@query("latest_posts_page2")
+def q_latest_posts_page2(spark, sf_dir):
+    from .plans.explore import latest_posts
+    rows, _ = latest_posts(posts_view(spark, sf_dir), page_no=2)
+    return rows
+
+
+@query("latest_posts_by_source")
+def q_latest_posts_by_source(spark, sf_dir):
+    from .plans.explore import latest_posts
+    rows, _ = latest_posts(posts_view(spark, sf_dir), source="src3", page_no=1)
+    return rows
+
+
+@query("posts_total")
+def q_posts_total(spark, sf_dir):
+    from .plans.explore import latest_posts
+    _, total = latest_posts(posts_view(spark, sf_dir), source="src3")
+    return total
+
+
+@query("posts_by_source")
+def q_posts_by_source(spark, sf_dir):
+    from .plans.explore import sources
+    return sources(posts_view(spark, sf_dir))
+
+
+@query("search_posts")
+def q_search_posts(spark, sf_dir):
+    from .plans.explore import search_posts
+    return search_posts(posts_view(spark, sf_dir), "OrAnTiOn", limit=8)
+
+
+@query("topics_per_post")
+def q_topics_per_post(spark, sf_dir):
+    from .functions.text import with_topics
+    from .operators.aggregates import explode_terms
+    t = with_topics(posts_view(spark, sf_dir).select("source", "external_id", "title"))
+    return explode_terms(t, "topics", keep=("source", "external_id"))
+
+
+@query("hashtag_counts")
+def q_hashtag_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .functions.text import hashtags
+    from .operators.aggregates import explode_terms
+    t = posts_view(spark, sf_dir).select(hashtags("title").alias("tags"))
+    return explode_terms(t, "tags").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("bigram_counts")
+def q_bigram_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .functions.text import bigrams, keywords
+    from .operators.aggregates import explode_terms
+    w = posts_view(spark, sf_dir).select(keywords(F.coalesce("title", F.lit("")), "api").alias("w"))
+    t = w.select(bigrams("w").alias("b"))
+    return explode_terms(t, "b").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("url_strip")
+def q_url_strip(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .functions.text import strip_urls
+    p = posts_view(spark, sf_dir)
+    return p.select("source", "external_id", strip_urls(F.lower("title")).alias("stripped"))
