@@ -204,16 +204,16 @@ term_top AS (
 
 
 def topic_sentiment_ctes(days: int = 7, min_count: int = 2, limit: int = 40) -> str:
-    return (f"""win AS (
+    return (f"""win7 AS (
   SELECT source, external_id, title FROM posts
   WHERE created_at > (SELECT t FROM as_of) - INTERVAL {int(days)} DAYS
-),""" + sentiment_ctes("win", name="wscored").strip() + ",\n"
-            + topics_cte("wscored", "direct", key_cols="sentiment").strip() + f""",
+),""" + sentiment_ctes("win7", name="wscored").strip() + ",\n"
+            + topics_cte("wscored", "direct", name="tp7", key_cols="sentiment").strip() + f""",
 topic_agg AS (
   SELECT term, count(*) AS count,
          {avg_units_sql('sum(' + units_sql() + ')', 'count(*)')} AS avg_sentiment,
          count(*) * {weight_sql()} AS weight
-  FROM (SELECT unnest(topics) AS term, sentiment FROM tp) GROUP BY term
+  FROM (SELECT unnest(topics) AS term, sentiment FROM tp7) GROUP BY term
 ),
 topic_sent AS (
   SELECT term, count, avg_sentiment FROM (
@@ -300,3 +300,41 @@ register("bigram_counts", with_posts(
 register("url_strip", with_posts(
     f"""SELECT source, external_id, regexp_replace(lower(title), {_q(URL_PATTERN)}, ' ', 'g') AS stripped
 FROM posts"""))
+
+
+def _signed_sql(x: str) -> str:
+    d = f"round(CAST({x} AS DECIMAL(12,3)), 2)"
+    return f"(CASE WHEN {d} >= 0 THEN '+' ELSE '-' END || CAST(abs({d}) AS VARCHAR))"
+
+
+def digest_sql() -> str:
+    from .plans.explore import DIGEST_EMPTY, DIGEST_NEGATIVE, DIGEST_POSITIVE, DIGEST_TOPICS
+    tr = trending_sql(24, 12)
+    # reuse the trending statement as a CTE body: strip its WITH and wrap it
+    tr_body = tr[len("WITH "):]
+    ctes, final = tr_body.rsplit("\nSELECT term, count, CAST(weight", 1)
+    trend_cte = "trend12 AS (SELECT term, count, CAST(weight" + final + ")"
+    body = f"""
+, d AS (
+  SELECT
+    (SELECT list(term ORDER BY rank) FROM trend12 WHERE rank <= 6) AS topics,
+    (SELECT arg_max(term, avg_sentiment * 1000000 - rank) FROM slist) AS pos_term,
+    (SELECT max(avg_sentiment) FROM slist) AS pos_avg,
+    (SELECT arg_min(term, avg_sentiment * 1000000 + rank) FROM slist) AS neg_term,
+    (SELECT min(avg_sentiment) FROM slist) AS neg_avg
+),
+m AS (
+  SELECT *, concat_ws(' ',
+      CASE WHEN len(coalesce(topics, [])) > 0 THEN {_q(DIGEST_TOPICS)} || array_to_string(topics, ', ') || '.' END,
+      CASE WHEN pos_term IS NOT NULL THEN {_q(DIGEST_POSITIVE + '"')} || pos_term || '" (' || {_signed_sql('pos_avg')}
+           || '); ' || {_q(DIGEST_NEGATIVE + '"')} || neg_term || '" (' || {_signed_sql('neg_avg')} || ').' END) AS msg
+  FROM d
+)
+SELECT coalesce(topics, []) AS topics, pos_term, pos_avg, neg_term, neg_avg,
+       CASE WHEN msg = '' THEN {_q(DIGEST_EMPTY)} ELSE msg END AS message
+FROM m"""
+    return ("WITH " + ctes + ",\n" + trend_cte + ",\n" + topic_sentiment_ctes() + ",\n"
+            + sentiment_list_cte("topic_sent", 12) + body)
+
+
+register("digest", digest_sql())

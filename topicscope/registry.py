@@ -167,3 +167,9 @@ def q_url_strip(spark, sf_dir):
     from .functions.text import strip_urls
     p = posts_view(spark, sf_dir)
     return p.select("source", "external_id", strip_urls(F.lower("title")).alias("stripped"))
+
+
+@query("digest")
+def q_digest(spark, sf_dir):
+    from .plans.explore import digest
+    return digest(posts_view(spark, sf_dir), _topic_sentiment(spark, sf_dir))
