@@ -173,3 +173,72 @@ def q_url_strip(spark, sf_dir):
 def q_digest(spark, sf_dir):
     from .plans.explore import digest
     return digest(posts_view(spark, sf_dir), _topic_sentiment(spark, sf_dir))
+
+
+# --- sources, decode, upsert ----------------------------------------------------
+def _feeds(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from . import fixtures as fx
+    from .sources.feeds import normalize_bluesky, normalize_hackernews, normalize_reddit
+    now = F.lit(fx.FEED_NOW).cast("timestamp_ntz")
+    return {
+        "hackernews": normalize_hackernews(fx.raw_hackernews(spark, sf_dir)),
+        "reddit": normalize_reddit(fx.raw_reddit(spark, sf_dir), limit_per_listing=25),
+        "bluesky": normalize_bluesky(fx.raw_bluesky(spark, sf_dir), now=now),
+    }
+
+
+@query("normalize_hackernews")
+def q_normalize_hackernews(spark, sf_dir):
+    return _feeds(spark, sf_dir)["hackernews"]
+
+
+@query("normalize_reddit")
+def q_normalize_reddit(spark, sf_dir):
+    return _feeds(spark, sf_dir)["reddit"]
+
+
+@query("normalize_bluesky")
+def q_normalize_bluesky(spark, sf_dir):
+    return _feeds(spark, sf_dir)["bluesky"]
+
+
+@query("union_sources_report")
+def q_union_sources_report(spark, sf_dir):
+    from .sources.union import ingest_report, union_sources
+    return ingest_report(union_sources(_feeds(spark, sf_dir)))
+
+
+@query("decode_posts")
+def q_decode_posts(spark, sf_dir):
+    from .fixtures import wire_posts
+    from .sources.decode import decode_posts
+    good, _ = decode_posts(wire_posts(spark, sf_dir))
+    return good
+
+
+@query("rejected_posts")
+def q_rejected_posts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .fixtures import wire_posts
+    from .sources.decode import decode_posts
+    _, rejected = decode_posts(wire_posts(spark, sf_dir))
+    return rejected.select(F.regexp_extract("value", '"external_id":"([^"]*)"', 1)
+                           .alias("external_id"), "reason")
+
+
+@query("upsert_latest_score")
+def q_upsert_latest_score(spark, sf_dir):
+    from .fixtures import delivery_log
+    from .operators.upsert import upsert_posts
+    out = upsert_posts(None, delivery_log(spark, sf_dir), seq_col="seq")
+    return out.drop("ingested_at")
+
+
+@query("dedup_keys")
+def q_dedup_keys(spark, sf_dir):
+    from .fixtures import delivery_log
+    from .operators.upsert import dedup_posts
+    return dedup_posts(delivery_log(spark, sf_dir)).select("source", "external_id")
