@@ -20,46 +20,64 @@ from pyspark.sql import functions as F
 
 from ..schemas import POST_KEY
 
-FIRST_WINS = ("title", "text", "url", "author", "created_at", "ingested_at")
+FIRST_WINS = ("title", "text", "url", "author", "created_at")
+SEQ_FIRST, SEQ_LAST = "_first_seq", "_last_seq"
+STORED_COLUMNS = ("source", "external_id", "title", "text", "url", "author", "score",
+                  "created_at", "ingested_at")
+MIN_SEQ = -(2 ** 63)
 
 
 def upsert_posts(current: DataFrame | None, batch: DataFrame, seq_col: str = "seq",
                  now: Column | None = None, with_flags: bool = False) -> DataFrame:
     """O-11: the table after applying ``batch`` (ordered by ``seq_col``) to ``current``.
 
+    The table keeps two bookkeeping columns, ``_first_seq`` (delivery that
+    set the first-wins columns) and ``_last_seq`` (delivery that set the
+    score).  Merging by these sequence numbers instead of by arrival makes
+    the upsert idempotent and order-independent: replaying a batch, or
+    applying batches out of order, gives the same table -- a redelivered old
+    message can no longer put an older score back.  A ``current`` table
+    without the columns is treated as older than every batch row.
+
     ``current`` may be None (empty table).  ``now`` is the ingest time given
-    to new keys (default: the current instant, UTC).  With ``with_flags`` the
-    result also has ``inserted`` (key was new) and ``deliveries`` (batch rows
-    for the key), from which ``upsert_report`` derives the counts.
+    to new keys (default: the current instant, UTC); ``ingested_at`` keeps
+    the earliest value.  With ``with_flags`` the result also has
+    ``inserted`` (key was new) and ``deliveries`` (batch rows for the key).
     """
     if now is None:
         from ..sources.feeds import utc_now
         now = utc_now()
     key = list(POST_KEY)
-    b = batch.select(*key, *[c for c in FIRST_WINS if c != "ingested_at"], "score",
-                     now.alias("ingested_at"), F.lit(1).alias("__origin"),
-                     F.col(seq_col).cast("bigint").alias("__seq"))
+    seq = F.col(seq_col).cast("bigint")
+    b = batch.select(*key, *FIRST_WINS, "score", now.alias("ingested_at"),
+                     seq.alias(SEQ_FIRST), seq.alias(SEQ_LAST), F.lit(1).alias("__origin"))
     if current is not None:
-        c = current.select(*key, *FIRST_WINS, "score", F.lit(0).alias("__origin"),
-                           F.lit(None).cast("bigint").alias("__seq"))
+        has_seq = SEQ_FIRST in current.columns
+        first = F.col(SEQ_FIRST) if has_seq else F.lit(MIN_SEQ).cast("bigint")
+        last = F.col(SEQ_LAST) if has_seq else F.lit(MIN_SEQ).cast("bigint")
+        c = current.select(*key, *FIRST_WINS, "score", "ingested_at", first.alias(SEQ_FIRST),
+                           last.alias(SEQ_LAST), F.lit(0).alias("__origin"))
         u = c.unionByName(b)
     else:
         u = b
-    order = F.struct(F.col("__origin"), F.col("__seq"))
-    first = F.struct(*[F.col(c) for c in FIRST_WINS])
     agg = u.groupBy(*key).agg(
-        F.min_by(first, order).alias("__first"),
-        F.max_by(F.col("score"), order).alias("score"),
+        F.min_by(F.struct(*[F.col(c) for c in FIRST_WINS]), F.col(SEQ_FIRST)).alias("__first"),
+        F.max_by(F.col("score"), F.col(SEQ_LAST)).alias("score"),
+        F.min("ingested_at").alias("ingested_at"),
+        F.min(SEQ_FIRST).alias(SEQ_FIRST),
+        F.max(SEQ_LAST).alias(SEQ_LAST),
         F.min(F.col("__origin")).alias("__min_origin"),
         F.count_if(F.col("__origin") == 1).alias("deliveries"))
-    cols = [*key, *[F.col("__first")[c].alias(c) for c in FIRST_WINS if c != "ingested_at"],
-            "score", F.col("__first")["ingested_at"].alias("ingested_at")]
+    cols = [F.col(c) if c not in FIRST_WINS else F.col("__first")[c].alias(c)
+            for c in STORED_COLUMNS] + [F.col(SEQ_FIRST), F.col(SEQ_LAST)]
     if with_flags:
-        cols += [(F.col("__min_origin") == 1).alias("inserted"), "deliveries"]
-    out = agg.select(*cols)
-    order_cols = ["source", "external_id", "title", "text", "url", "author", "score", "created_at",
-                  "ingested_at"]
-    return out.select(*order_cols, *(["inserted", "deliveries"] if with_flags else []))
+        cols += [(F.col("__min_origin") == 1).alias("inserted"), F.col("deliveries")]
+    return agg.select(*cols)
+
+
+def stored_view(table: DataFrame) -> DataFrame:
+    """The posts table without bookkeeping columns."""
+    return table.select(*STORED_COLUMNS)
 
 
 def upsert_report(flagged: DataFrame) -> DataFrame:
@@ -80,5 +98,13 @@ def dedup_posts_stream(df: DataFrame, event_time: str = "created_at",
                        delay: str = "1 hour") -> DataFrame:
     """O-42 (stream): drop redeliveries of a key within the watermark delay;
     state per key is evicted once the watermark passes, so it stays bounded."""
+    if dict(df.dtypes).get(event_time) == "timestamp_ntz":
+        # watermarks need an instant type; the UTC wall time maps to it
+        # through epoch arithmetic (independent of the session zone)
+        from ..functions.scalar import EPOCH_NTZ
+        micros = F.timestamp_diff("MICROSECOND", EPOCH_NTZ, F.col(event_time))
+        wm = df.withColumn("__wm_ts", F.timestamp_micros(micros))
+        return (wm.withWatermark("__wm_ts", delay)
+                  .dropDuplicatesWithinWatermark(list(POST_KEY)).drop("__wm_ts"))
     return (df.withWatermark(event_time, delay)
               .dropDuplicatesWithinWatermark(list(POST_KEY)))

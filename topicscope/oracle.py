@@ -411,3 +411,31 @@ SELECT source, external_id, arg_min(title, seq) AS title, arg_min(text, seq) AS
 FROM deliveries GROUP BY source, external_id""")
 register("dedup_keys", "WITH " + DELIVERY_SQL.strip() + """
 SELECT DISTINCT source, external_id FROM deliveries""")
+
+
+# --- streaming twins -------------------------------------------------------------------
+register("stream_upsert", ORACLE["upsert_latest_score"])
+register("batch_events_total", "WITH " + DELIVERY_SQL.strip() + """
+SELECT 'new_posts' AS event, count(*) AS count, list_sort(list_distinct(list(source))) AS sources
+FROM deliveries""")
+
+
+def stream_trends_sql(hours: int = 24, limit: int = 20, bucket_minutes: int = 30) -> str:
+    ctes = f"""bwin AS (
+  SELECT source, external_id, title FROM posts
+  WHERE created_at >= time_bucket(INTERVAL {int(bucket_minutes)} MINUTES,
+                                  (SELECT t FROM as_of) - INTERVAL {int(hours)} HOURS)
+),""" + sentiment_ctes("bwin", name="bscored").strip() + ",\n" + \
+        topics_cte("bscored", "api", name="btp", key_cols="sentiment").strip() + f""",
+bagg AS (
+  SELECT term, count(*) AS count, count(*) * {weight_sql()} AS weight,
+         {avg_units_sql('sum(' + units_sql() + ')', 'count(*)')} AS avg_sentiment
+  FROM (SELECT unnest(topics) AS term, sentiment FROM btp) GROUP BY term
+)"""
+    body = f"""SELECT term, count, CAST(weight AS BIGINT) AS weight, avg_sentiment, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, count DESC, term ASC) AS rank FROM bagg)
+WHERE rank <= {int(limit)}"""
+    return with_posts(body, ctes)
+
+
+register("stream_trends", stream_trends_sql())

@@ -234,7 +234,7 @@ def q_upsert_latest_score(spark, sf_dir):
     from .fixtures import delivery_log
     from .operators.upsert import upsert_posts
     out = upsert_posts(None, delivery_log(spark, sf_dir), seq_col="seq")
-    return out.drop("ingested_at")
+    return out.drop("ingested_at", "_first_seq", "_last_seq")
 
 
 @query("dedup_keys")
@@ -242,3 +242,72 @@ def q_dedup_keys(spark, sf_dir):
     from .fixtures import delivery_log
     from .operators.upsert import dedup_posts
     return dedup_posts(delivery_log(spark, sf_dir)).select("source", "external_id")
+
+
+# --- streaming (availableNow over files that Spark derives from the tables) ---------
+_STREAM_RUNS: dict = {}
+
+
+def _stream_upsert_run(spark, sf_dir):
+    """Land the delivery log as envelope files, drain them through the
+    streaming upsert and return the output locations (memoised per session)."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from .fixtures import FEED_NOW, delivery_log
+    from .session import scratch_path
+    from .sources.decode import encode_posts
+    from .streaming.ingest import read_envelopes, stream_upsert
+    memo = (id(spark), sf_dir, "upsert")
+    if memo in _STREAM_RUNS:
+        return _STREAM_RUNS[memo]
+    base = scratch_path(spark, f"q_stream_upsert-{uuid.uuid4().hex[:8]}")
+    d = delivery_log(spark, sf_dir)
+    env = d.select(F.col("seq"), encode_posts(d).alias("value"))
+    env.repartitionByRange(8, "seq").write.parquet(f"{base}/in")
+    q = stream_upsert(read_envelopes(spark, f"{base}/in", files_per_trigger=2),
+                      f"{base}/posts", f"{base}/dead", f"{base}/events",
+                      checkpoint=f"{base}/ckpt", trigger={"availableNow": True},
+                      now=F.lit(FEED_NOW).cast("timestamp_ntz"))
+    q.awaitTermination()
+    _STREAM_RUNS[memo] = base
+    return base
+
+
+@query("stream_upsert")
+def q_stream_upsert(spark, sf_dir):
+    from .operators.upsert import FIRST_WINS
+    from .sources.connectors import read_table
+    base = _stream_upsert_run(spark, sf_dir)
+    t = read_table(spark, f"{base}/posts")
+    return t.select("source", "external_id", *FIRST_WINS, "score")
+
+
+@query("batch_events_total")
+def q_batch_events_total(spark, sf_dir):
+    from pyspark.sql import functions as F
+    base = _stream_upsert_run(spark, sf_dir)
+    ev = spark.read.parquet(f"{base}/events")
+    return ev.agg(F.first("event").alias("event"), F.sum("count").alias("count"),
+                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
+@query("stream_trends")
+def q_stream_trends(spark, sf_dir):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from .fixtures import test_lexicon
+    from .session import scratch_path
+    from .streaming.trends import bucket_trending, read_buckets, stream_trends
+    base = scratch_path(spark, f"q_stream_trends-{uuid.uuid4().hex[:8]}")
+    posts = posts_view(spark, sf_dir)
+    posts.repartitionByRange(8, "created_at").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    q = stream_trends(stream, f"{base}/store", checkpoint=f"{base}/ckpt", delay="36500 days",
+                      lexicon=test_lexicon(spark), trigger={"availableNow": True})
+    q.awaitTermination()
+    as_of = posts.select(F.max("created_at")).scalar()
+    return bucket_trending(read_buckets(spark, f"{base}/store"), as_of=as_of, hours=24, limit=20)
