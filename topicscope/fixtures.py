@@ -132,7 +132,7 @@ FEED_NOW = "2024-02-01 00:00:00"
 
 
 def post_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions.scalar import EPOCH_NTZ
+    from .functions.scalar import epoch_ntz
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "event_type")
     p = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -144,7 +144,7 @@ def post_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     title.alias("title"),
                     F.col("user_id").cast("string").alias("author"),
                     F.floor(F.col("value")).cast("int").alias("score"),
-                    F.timestamp_diff("MICROSECOND", EPOCH_NTZ, F.col("ts")).alias("micros"))
+                    F.timestamp_diff("MICROSECOND", epoch_ntz(), F.col("ts")).alias("micros"))
 
 
 def raw_hackernews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ REDDIT_HOST = "https://www.reddit.com"
 BLUESKY_POST_URL = "https://bsky.app/profile/{did}/post/{rkey}"
 # --- end of fixed values ------------------------------------------------------
 
-EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _c(c) -> Column:
@@ -38,7 +39,7 @@ def strip_unicode(c) -> Column:
 def epoch_to_ts(c) -> Column:
     """O-58: epoch seconds (integer or fractional) -> UTC ``TIMESTAMP_NTZ``."""
     secs = _c(c).cast("decimal(18,6)")
-    return EPOCH_NTZ + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+    return epoch_ntz() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
 def micros_to_ts(c) -> Column:

@@ -101,8 +101,8 @@ def dedup_posts_stream(df: DataFrame, event_time: str = "created_at",
     if dict(df.dtypes).get(event_time) == "timestamp_ntz":
         # watermarks need an instant type; the UTC wall time maps to it
         # through epoch arithmetic (independent of the session zone)
-        from ..functions.scalar import EPOCH_NTZ
-        micros = F.timestamp_diff("MICROSECOND", EPOCH_NTZ, F.col(event_time))
+        from ..functions.scalar import epoch_ntz
+        micros = F.timestamp_diff("MICROSECOND", epoch_ntz(), F.col(event_time))
         wm = df.withColumn("__wm_ts", F.timestamp_micros(micros))
         return (wm.withWatermark("__wm_ts", delay)
                   .dropDuplicatesWithinWatermark(list(POST_KEY)).drop("__wm_ts"))

@@ -12,7 +12,11 @@ from ..operators.topk import page, top_k
 from .sentiment_trends import sentiment_list
 from .trending import trending
 
-LATEST_ORDER = [F.col("created_at").desc(), F.col("source").asc(), F.col("external_id").asc()]
+
+def latest_order() -> list[Column]:
+    """Newest first; ties by key (deterministic paging)."""
+    return [F.col("created_at").desc(), F.col("source").asc(), F.col("external_id").asc()]
+
 
 # --- fixed values: digest texts ---------------------------------------------
 DIGEST_EMPTY = "No data yet — run an ingest to populate trends, then ask again."
@@ -27,7 +31,7 @@ def latest_posts(posts: DataFrame, source: str | None = None, page_no: int = 1,
     """C-5: page ``page_no`` of posts newest first (ties: key asc), projected
     to the list columns (O-19), plus the one-row total (O-37)."""
     p = by_source(posts, source)
-    rows = page(p, LATEST_ORDER, page_no, page_size)
+    rows = page(p, latest_order(), page_no, page_size)
     return project_posts(rows), p.agg(F.count(F.lit(1)).alias("total"))
 
 
@@ -42,7 +46,7 @@ def search_posts(posts: DataFrame, query: str, limit: int = 8) -> DataFrame:
     check_limit(limit)
     hits = posts.filter(title_contains(query)).select("source", "external_id", "title", "url",
                                                       "created_at")
-    return hits.orderBy(*LATEST_ORDER).limit(limit).select("source", "title", "url")
+    return hits.orderBy(*latest_order()).limit(limit).select("source", "title", "url")
 
 
 def signed(c) -> Column:

@@ -50,7 +50,8 @@ def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, st
     if landed:
         batch = None
         for path in landed:
-            part = spark.read.parquet(path).filter(F.col("ok")).select(*POST_COLUMNS)
+            part = (spark.read.parquet(path).filter(F.col("ok").cast("string") == "true")
+                        .select(*POST_COLUMNS))
             batch = part if batch is None else batch.unionByName(part)
         batch = with_run_seq(batch)
         current = read_table(spark, table_base)
