@@ -4,20 +4,22 @@ The reference calls an external per-row analyser (lexicon + rules, after
 Hutto & Gilbert 2014) inside a row-at-a-time Python UDF.  Here the same kind
 of scoring is a plan of builtin operators:
 
-1. per post, in one narrow projection: tokens (regex), lower-case forms and
-   per-token rule flags computed from the three preceding tokens with array
-   look-ups (negation, boosters), all-caps emphasis, "but" contrast,
-   exclamation emphasis;
-2. ``explode_outer`` the tokens and look their valence up with a hash join
-   against the lexicon table, broadcast only after its row count is checked;
-3. sum the adjusted valences per post (exact DECIMAL arithmetic, so the sum
-   does not depend on row order) and squash with ``s / sqrt(s^2 + alpha)``.
-
-Step 3 groups by the post key and carries the other post columns with
-``any_value``: partial aggregation folds every post to one row inside the
-task before the shuffle, and when the posts are already hash-partitioned by
-the key (e.g. the output of the upsert) Spark adds no shuffle at all.  No
-join back to the posts is needed; posts without any lexicon token score 0.
+1. per post, in one narrow projection: tokens (regex), the mixed-case flag,
+   the position of the first "but" and the number of exclamation marks;
+2. ``posexplode`` the tokens and probe the lexicon table with a hash join
+   (broadcast only after its row count is checked); only matched tokens
+   survive, and only for them the rule flags are read from the three
+   preceding tokens by array index (negation, boosters), plus all-caps
+   emphasis and the "but" contrast;
+3. sum the adjusted valences per post key (exact DECIMAL arithmetic, so the
+   sum does not depend on row order); partial aggregation folds each post to
+   one ``(key, sum)`` row inside the task, so only those cross the shuffle;
+4. left-join the sums back to the posts on the key (posts without any
+   lexicon token score 0) and squash with ``s / sqrt(s^2 + alpha)``.
+
+The join back is the only exchange of the post rows; when the posts are
+already hash-partitioned by the key (for instance the upsert's output) it
+needs none.  No Python runs per row.
 
 Scores follow the published method but are not numerically those of the
 reference's analyser unless the same lexicon and full rule set are supplied
@@ -104,45 +106,53 @@ def _boost_of(x: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
-def token_features(df: DataFrame, text_col: str) -> DataFrame:
-    """Add ``__feat`` (array of per-token rule flags) and ``__bang``."""
+def _post_flags(df: DataFrame, text_col: str) -> DataFrame:
+    """Per-post inputs of the rules: tokens, mixed case, first "but", bangs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     staged = df.withColumn("__toks", F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0))
-    staged = staged.withColumn("__low", F.transform("__toks", lambda t: F.lower(t)))
     is_caps = (lambda t: (t == F.upper(t)) & (t != F.lower(t)))
     staged = staged.withColumn(
         "__mixed", F.exists("__toks", is_caps) & F.exists("__toks", lambda t: ~is_caps(t)))
-    staged = staged.withColumn("__but", F.array_position("__low", CONTRAST_WORD))
-    bangs = F.length(text) - F.length(F.regexp_replace(text, "!", ""))
-    staged = staged.withColumn("__bang", F.least(bangs, F.lit(BANG_MAX)))
-
-    def feat(t, i):
-        low = F.col("__low")
-        prev = [F.get(low, i - j) for j in (1, 2, 3)]
-        neg = _is_negation(prev[0]) | _is_negation(prev[1]) | _is_negation(prev[2])
-        boost = F.lit(Decimal("0.00"))
-        for p, damp in zip(prev, DAMPING):
-            boost = boost + F.coalesce(_boost_of(p), F.lit(0)).cast("decimal(1,0)") * _dec(damp)
-        butpos = F.col("__but")
-        butm = (F.when(butpos == 0, _dec(Decimal("1.0")))
-                .when(i + 1 < butpos, _dec(BUT_BEFORE))
-                .when(i + 1 > butpos, _dec(BUT_AFTER))
-                .otherwise(_dec(Decimal("1.0"))))
-        caps = is_caps(t) & F.col("__mixed")
-        return F.struct(F.lower(t).alias("low"), neg.alias("neg"), boost.alias("boost"),
-                        caps.alias("caps"), butm.alias("butm"))
-
-    staged = staged.withColumn("__feat", F.transform("__toks", feat))
-    return staged.drop("__toks", "__low", "__mixed", "__but")
-
-
-def _contribution(v: Column) -> Column:
+    staged = staged.withColumn(
+        "__but", F.array_position(F.transform("__toks", lambda t: F.lower(t)), CONTRAST_WORD))
+    return staged
+
+
+def _bangs(text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.least(F.length(text) - F.length(F.regexp_replace(text, "!", "")), F.lit(BANG_MAX))
+
+
+def _matched_contributions(flags: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
+    """One row per token found in the lexicon with its rule-adjusted valence.
+
+    Tokens are exploded with their position and probed against the lexicon
+    (hash join); the neighbour look-ups for negation and boosters run only
+    for the matched tokens, which are a small fraction of all tokens.
+    """
+    ex = flags.select(*key, "__toks", "__mixed", "__but",
+                      F.posexplode("__toks").alias("pos", "tok"))
+    j = ex.join(lex, F.lower(F.col("tok")) == lex["token"], "inner")
+    toks = F.col("__toks")
+    pos = F.col("pos")                                  # 0-based
+    prev = [F.lower(F.get(toks, pos - j)) for j in (1, 2, 3)]
+    neg = _is_negation(prev[0]) | _is_negation(prev[1]) | _is_negation(prev[2])
+    boost = F.lit(Decimal("0.00"))
+    for p, damp in zip(prev, DAMPING):
+        boost = boost + F.coalesce(_boost_of(p), F.lit(0)).cast("decimal(1,0)") * _dec(damp)
+    butpos = F.col("__but")
+    butm = (F.when(butpos == 0, _dec(Decimal("1.0")))
+            .when(pos + 1 < butpos, _dec(BUT_BEFORE))
+            .when(pos + 1 > butpos, _dec(BUT_AFTER))
+            .otherwise(_dec(Decimal("1.0"))))
+    t = F.col("tok")
+    caps = (t == F.upper(t)) & (t != F.lower(t)) & F.col("__mixed")
+    v = F.col("valence")
     sv = F.signum(v).cast("decimal(1,0)")
-    v1 = (v + F.when(F.col("f.caps"), sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
-          + sv * _dec(BOOSTER_STEP) * F.col("f.boost"))
-    v2 = F.when(F.col("f.neg"), v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
-    v3 = v2 * F.col("f.butm")
-    return F.when(v.isNull(), _dec(Decimal("0"))).otherwise(v3).cast(SENT_DECIMAL)
+    v1 = (v + F.when(caps, sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
+          + sv * _dec(BOOSTER_STEP) * boost)
+    v2 = F.when(neg, v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
+    return j.select(*key, (v2 * butm).cast(SENT_DECIMAL).alias("__c"))
 
 
 def compound(total: Column, bang: Column, alpha: float = ALPHA) -> Column:
@@ -159,27 +169,26 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_
                     alpha: float = ALPHA, lexicon_checked: DataFrame | None = None) -> DataFrame:
     """O-45: add ``out`` (double in [-1, 1]) to every row of ``df``.
 
-    ``key`` must identify rows (the post key); pass ``key=None`` for data
-    without one and a row id is generated.  All columns of ``df`` are kept.
+    Plan: tokens -> posexplode -> hash join with the lexicon (broadcast after
+    a size check) -> adjusted valences of the matched tokens -> partial +
+    final sum per post key (only ``(key, sum)`` rows cross the shuffle) ->
+    left join back to the posts on the key.  When ``df`` is already
+    hash-partitioned by the key (e.g. straight out of the upsert) the join
+    back needs no exchange.  ``key`` must identify rows; with ``key=None`` a
+    row id is generated.
     """
     cols = df.columns
     if key is None:
         df = df.withColumn("__rid", F.monotonically_increasing_id())
         key = ("__rid",)
     key = list(key)
-    carried = [c for c in cols if c not in key]
     lex = lexicon_checked if lexicon_checked is not None else lexicon_join_side(lexicon)
-    feats = token_features(df, text_col)
-    exploded = feats.select(*[F.col(c) for c in key + carried], F.col("__bang"),
-                            F.explode_outer("__feat").alias("f"))
-    joined = exploded.join(lex, F.col("f.low") == lex["token"], "left")
-    contrib = _contribution(F.col("valence"))
-    agg = joined.groupBy(*key).agg(
-        *[F.any_value(c).alias(c) for c in carried],
-        F.any_value("__bang").alias("__bang"),
-        F.sum(contrib).alias("__s"))
-    scored = agg.withColumn(out, compound(F.col("__s"), F.col("__bang"), alpha))
-    return scored.select(*cols, out)
+    flags = _post_flags(df.select(*key, text_col), text_col)
+    sums = (_matched_contributions(flags, key, lex)
+            .groupBy(*key).agg(F.sum("__c").alias("__s")))
+    joined = df.join(sums, key, "left")
+    total = F.coalesce(F.col("__s"), F.lit(Decimal("0")).cast(SENT_DECIMAL))
+    return joined.select(*cols, compound(total, _bangs(text_col), alpha).alias(out))
 
 
 def sentiment_label(c, cut: float = 0.05) -> Column:
