@@ -23,6 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when the scan yields fewer splits than
+    the cluster has cores (one large row group of long texts would otherwise
+    tokenise in a single task).  Large inputs already have enough splits and
+    pass through without a shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
 def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``posts`` (stored form, FIXTURES §1) over the driver tables.
 
@@ -30,7 +45,7 @@ def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcast as AQE decides from runtime sizes), left join pages by id.
     Only the needed columns are read (``html`` is pruned).
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = documents(spark, sf_dir)
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     j = (d.join(e, e.event_id == d.doc_id * 5, "inner")
@@ -133,7 +148,7 @@ FEED_NOW = "2024-02-01 00:00:00"
 
 def post_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.scalar import epoch_ntz
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = documents(spark, sf_dir)
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "event_type")
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     j = (d.join(e, e.event_id == d.doc_id * 5, "inner")

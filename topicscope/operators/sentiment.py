@@ -11,15 +11,15 @@ of scoring is a plan of builtin operators:
    survive, and only for them the rule flags are read from the three
    preceding tokens by array index (negation, boosters), plus all-caps
    emphasis and the "but" contrast;
-3. sum the adjusted valences per post key (exact DECIMAL arithmetic, so the
-   sum does not depend on row order); partial aggregation folds each post to
-   one ``(key, sum)`` row inside the task, so only those cross the shuffle;
-4. left-join the sums back to the posts on the key (posts without any
-   lexicon token score 0) and squash with ``s / sqrt(s^2 + alpha)``.
+3. sum the adjusted valences per post key; the posts were hash-partitioned
+   by the key once, so this aggregate needs no further shuffle;
+4. left-join the sums back to the posts on the key with a shuffled hash join
+   that reads the same (reused) exchange -- posts without any lexicon token
+   score 0 -- and squash with ``s / sqrt(s^2 + alpha)``.
 
-The join back is the only exchange of the post rows; when the posts are
-already hash-partitioned by the key (for instance the upsert's output) it
-needs none.  No Python runs per row.
+Net cost: one scan and one exchange of the posts, no sort, no Python per row.
+When the posts are already partitioned by the key (for instance the upsert's
+output) even that exchange is skipped (``prepartitioned=True``).
 
 Scores follow the published method but are not numerically those of the
 reference's analyser unless the same lexicon and full rule set are supplied
@@ -30,6 +30,7 @@ The contract kept: range [-1, 1], null/empty text -> 0.0, 4 decimals.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,8 +131,12 @@ def _matched_contributions(flags: DataFrame, key: list[str], lex: DataFrame) ->
     (hash join); the neighbour look-ups for negation and boosters run only
     for the matched tokens, which are a small fraction of all tokens.
     """
-    ex = flags.select(*key, "__toks", "__mixed", "__but",
-                      F.posexplode("__toks").alias("pos", "tok"))
+    # posexplode_outer + not-null filter: a plain posexplode makes Catalyst
+    # infer size(tokens) > 0 below the exchange (regex evaluated twice, and
+    # the exchange could no longer be shared with the join-back branch)
+    ex = (flags.select(*key, "__toks", "__mixed", "__but",
+                       F.posexplode_outer("__toks").alias("pos", "tok"))
+               .filter(F.col("tok").isNotNull()))
     j = ex.join(lex, F.lower(F.col("tok")) == lex["token"], "inner")
     toks = F.col("__toks")
     pos = F.col("pos")                                  # 0-based
@@ -166,16 +171,25 @@ def compound(total: Column, bang: Column, alpha: float = ALPHA) -> Column:
 
 def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_id"),
                     text_col: str = "title", out: str = "sentiment",
-                    alpha: float = ALPHA, lexicon_checked: DataFrame | None = None) -> DataFrame:
+                    alpha: float = ALPHA, lexicon_checked: DataFrame | None = None,
+                    prepartitioned: bool = False) -> DataFrame:
     """O-45: add ``out`` (double in [-1, 1]) to every row of ``df``.
 
-    Plan: tokens -> posexplode -> hash join with the lexicon (broadcast after
-    a size check) -> adjusted valences of the matched tokens -> partial +
-    final sum per post key (only ``(key, sum)`` rows cross the shuffle) ->
-    left join back to the posts on the key.  When ``df`` is already
-    hash-partitioned by the key (e.g. straight out of the upsert) the join
-    back needs no exchange.  ``key`` must identify rows; with ``key=None`` a
-    row id is generated.
+    Plan: hash-partition the posts by the key once (skipped with
+    ``prepartitioned=True`` when ``df`` already is, e.g. the upsert output);
+    both branches below read that one exchange (Spark reuses it):
+
+    * tokens -> posexplode -> hash join with the lexicon (broadcast after a
+      size check) -> adjusted valences of matched tokens -> sum per key,
+      without a further shuffle because the rows are already partitioned;
+    * the posts themselves, joined to the sums on the key with a shuffled
+      hash join (the small ``(key, sum)`` side is the build side, so the post
+      rows are not sorted).
+
+    Keys are unique posts, so no key is hot.  ``key=None`` generates a row id.
+    Key columns must be non-null (the post contract, O-10, sends such rows to
+    the dead letter); rows with a null key are not scored.  Filtering them
+    up front also keeps both branches identical, so the exchange is shared.
     """
     cols = df.columns
     if key is None:
@@ -183,10 +197,13 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_
         key = ("__rid",)
     key = list(key)
     lex = lexicon_checked if lexicon_checked is not None else lexicon_join_side(lexicon)
+    df = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+    if not prepartitioned:
+        df = df.repartition(*key)
     flags = _post_flags(df.select(*key, text_col), text_col)
     sums = (_matched_contributions(flags, key, lex)
             .groupBy(*key).agg(F.sum("__c").alias("__s")))
-    joined = df.join(sums, key, "left")
+    joined = df.join(sums.hint("shuffle_hash"), key, "left")
     total = F.coalesce(F.col("__s"), F.lit(Decimal("0")).cast(SENT_DECIMAL))
     return joined.select(*cols, compound(total, _bangs(text_col), alpha).alias(out))
 

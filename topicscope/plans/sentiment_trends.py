@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import stopwords
-from ..functions.text import TERM_MIN_LEN, keep_tokens, split_terms, topic_weight, with_topics
+from ..functions.text import TERM_MIN_LEN, split_terms, topic_weight, with_topics
 from ..operators.aggregates import (avg_from_units, avg_sentiment_agg, explode_terms, finish_avg,
                                     sentiment_sum_units)
 from ..operators.filters import check_limit, has_title, lookback, min_support
@@ -23,14 +23,20 @@ def post_sentiment(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
 def term_sentiment_all(scored: DataFrame, min_len: int = TERM_MIN_LEN, stop="spark") -> DataFrame:
     """O-32: occurrences and average post sentiment per term, no limit.
 
-    A post contributes once per *occurrence* of a term (no distinct).
+    A post contributes once per *occurrence* of a term (no distinct).  The
+    token predicates (O-25) run after the explode as plain codegen filters.
     """
+    return finish_avg(term_rows(scored, min_len, stop, keep=("sentiment",))
+                      .groupBy("term").agg(*avg_sentiment_agg()))
+
+
+def term_rows(df: DataFrame, min_len: int = TERM_MIN_LEN, stop="spark",
+              keep: tuple = ()) -> DataFrame:
+    """O-49 + O-25: one row per kept term occurrence of ``title``."""
     if isinstance(stop, str):
         stop = stopwords(stop)
-    terms = scored.select(keep_tokens(split_terms("title"), stop, min_len).alias("terms"),
-                          "sentiment")
-    exploded = explode_terms(terms, "terms", keep=("sentiment",))
-    return finish_avg(exploded.groupBy("term").agg(*avg_sentiment_agg()))
+    ex = explode_terms(df.select(*keep, split_terms("title").alias("terms")), "terms", keep=keep)
+    return ex.filter((F.length("term") >= min_len) & ~F.col("term").isin(stop))
 
 
 def term_sentiment(scored: DataFrame, limit: int = 40, min_len: int = TERM_MIN_LEN,

@@ -59,13 +59,10 @@ def _topic_sentiment(spark, sf_dir):
 def q_term_split_counts(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    from .functions.stopwords import stopwords
-    from .functions.text import keep_tokens, split_terms
-    from .operators.aggregates import explode_terms
     from .operators.filters import has_title
+    from .plans.sentiment_trends import term_rows
     p = has_title(posts_view(spark, sf_dir))
-    t = p.select(keep_tokens(split_terms("title"), stopwords("spark"), 3).alias("terms"))
-    return explode_terms(t, "terms").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    return term_rows(p).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("term_sentiment_top40")
