@@ -5,7 +5,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from topicscope.sources.connectors import read_table
 from topicscope.streaming.ingest import read_envelopes, stream_upsert
 from topicscope.streaming.trends import bucket_trending, read_buckets, stream_trends
 from topicscope.plans.trending import trending
@@ -28,7 +27,7 @@ def test_stream_upsert_dead_letter_and_events(spark, scratch):
                       f"{scratch}/posts", f"{scratch}/dead", f"{scratch}/events",
                       checkpoint=f"{scratch}/ckpt", now=now)
     q.awaitTermination()
-    t = {r.external_id: (r.title, r.score) for r in read_table(spark, f"{scratch}/posts").collect()}
+    t = {r.external_id: (r.title, r.score) for r in spark.read.parquet(f"{scratch}/posts").collect()}
     assert t == {"1": ("first", 9), "2": ("other", 4)}
     dead = spark.read.parquet(f"{scratch}/dead")
     assert dead.count() == 2
@@ -40,7 +39,7 @@ def test_stream_upsert_dead_letter_and_events(spark, scratch):
                       f"{scratch}/dead", f"{scratch}/events", checkpoint=f"{scratch}/ckpt",
                       now=now)
     q.awaitTermination()
-    t2 = {r.external_id: (r.title, r.score) for r in read_table(spark, f"{scratch}/posts").collect()}
+    t2 = {r.external_id: (r.title, r.score) for r in spark.read.parquet(f"{scratch}/posts").collect()}
     assert t2 == t
 
 

@@ -78,3 +78,23 @@ def test_split_and_order_invariance(spark, rows, cut, reverse):
 def test_dedup_keys(spark):
     b = batch(spark, [("a", "1", "x", 1, 1), ("a", "1", "y", 2, 2), ("b", "1", "z", 3, 3)])
     assert dedup_posts(b).count() == 2
+
+
+def test_merge_into_table_rewrites_only_touched_buckets(spark, scratch):
+    import os
+    from topicscope.operators.upsert import merge_into_table
+    path = f"{scratch}/posts"
+    first = batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(40)])
+    rep = merge_into_table(spark, path, first, buckets=8, now=now()).first()
+    assert (rep.inserted, rep.updated, rep.statements) == (40, 0, 40)
+    before = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("bucket=")}
+    upd = batch(spark, [("a", "3", "changed", 99, 100)])
+    rep = merge_into_table(spark, path, upd, buckets=8, now=now()).first()
+    assert (rep.inserted, rep.updated) == (0, 1)
+    after = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("bucket=")}
+    changed = [d for d in before if before[d] != after[d]]
+    assert len(changed) == 1
+    t = as_dict(spark.read.parquet(path))
+    assert len(t) == 40 and t[("a", "3")] == ("t3", 99)
+    merge_into_table(spark, path, upd, buckets=8, now=now())          # replay: no change
+    assert as_dict(spark.read.parquet(path)) == t

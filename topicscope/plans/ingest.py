@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.upsert import STORED_COLUMNS, upsert_posts
-from ..sources.connectors import read_table, replace_table
+from ..operators.upsert import DEFAULT_BUCKETS, STORED_COLUMNS, merge_into_table
 from ..sources.decode import validate_posts
 from ..sources.feeds import POST_COLUMNS, normalize
 
@@ -36,9 +35,10 @@ def land_source(name: str, raw: DataFrame, staging: str, **kw) -> tuple[str, dic
 
 
 def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, staging: str,
-           options: dict[str, dict] | None = None, now=None) -> DataFrame:
-    """C-9: land every feed, upsert the landed rows into the posts table at
-    ``table_base`` (atomic replace), return the per-source report."""
+           options: dict[str, dict] | None = None, now=None,
+           buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """C-9: land every feed, merge the landed rows into the bucketed posts
+    table at ``table_base``, return the per-source report."""
     report, landed = [], []
     for name, raw in sorted(feeds.items()):
         try:
@@ -54,9 +54,7 @@ def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, st
                         .select(*POST_COLUMNS))
             batch = part if batch is None else batch.unionByName(part)
         batch = with_run_seq(batch)
-        current = read_table(spark, table_base)
-        table = upsert_posts(current, batch, "seq", now=now)
-        replace_table(table, table_base, partition_by=["source"])
+        merge_into_table(spark, table_base, batch, "seq", buckets=buckets, now=now)
     return spark.createDataFrame(report, REPORT_SCHEMA)
 
 
@@ -72,6 +70,5 @@ def with_run_seq(batch: DataFrame, run_micros=None) -> DataFrame:
                  .drop("__mono"))
 
 
-def read_posts(spark: SparkSession, table_base: str) -> DataFrame | None:
-    t = read_table(spark, table_base)
-    return None if t is None else t.select(*STORED_COLUMNS)
+def read_posts(spark: SparkSession, table_base: str) -> DataFrame:
+    return spark.read.parquet(table_base).select(*STORED_COLUMNS)

@@ -266,7 +266,7 @@ def _stream_upsert_run(spark, sf_dir):
     q = stream_upsert(read_envelopes(spark, f"{base}/in", files_per_trigger=2),
                       f"{base}/posts", f"{base}/dead", f"{base}/events",
                       checkpoint=f"{base}/ckpt", trigger={"availableNow": True},
-                      now=F.lit(FEED_NOW).cast("timestamp_ntz"))
+                      now=F.lit(FEED_NOW).cast("timestamp_ntz"), buckets=16)
     q.awaitTermination()
     _STREAM_RUNS[memo] = base
     return base
@@ -275,9 +275,8 @@ def _stream_upsert_run(spark, sf_dir):
 @query("stream_upsert")
 def q_stream_upsert(spark, sf_dir):
     from .operators.upsert import FIRST_WINS
-    from .sources.connectors import read_table
     base = _stream_upsert_run(spark, sf_dir)
-    t = read_table(spark, f"{base}/posts")
+    t = spark.read.parquet(f"{base}/posts")
     return t.select("source", "external_id", *FIRST_WINS, "score")
 
 

@@ -46,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if current:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
         return current
     master = spark.sparkContext.master or ""
     if not master.startswith("local"):

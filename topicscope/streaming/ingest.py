@@ -7,15 +7,15 @@ Each micro-batch is handled in ``foreachBatch`` as a static DataFrame:
 2. rejected records are written to the dead-letter table, partition
    ``batch_id`` (overwritten on replay, so a retried batch adds nothing twice),
 3. good records are merged into the posts table with the sequence-number
-   upsert (idempotent and order-independent) and the new version replaces
-   the table atomically,
+   upsert (idempotent and order-independent); only the hash buckets of the
+   keys in the batch are rewritten (``merge_into_table``),
 4. the batch event row ``(batch_id, 'new_posts', count, sources)`` is
    written to partition ``batch_id`` of the events table.
 
 Offsets live in the query checkpoint (in the shared ``spark.checkpoint.dir``
 unless a location is given), so a restarted query resumes where it stopped;
 together with the idempotent steps above a replayed batch converges to the
-same tables.  Per-batch cost is a rewrite of the posts table; on table
+same tables.  Per-batch cost is the rewrite of the touched buckets; on table
 formats with ``MERGE INTO`` step 3 becomes a merge of the changed keys.
 """
 
@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import upsert_posts
+from ..operators.upsert import DEFAULT_BUCKETS, merge_into_table
 from ..session import scratch_path
-from ..sources.connectors import read_table, replace_table
 from ..sources.decode import tag_contract, tag_wire
 from ..schemas import POST_WIRE_KEYS
 
@@ -57,7 +56,8 @@ def batch_event(good: DataFrame, batch_id: int) -> DataFrame:
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table_base: str,
-                  dead_letter: str, events_path: str, now=None) -> None:
+                  dead_letter: str, events_path: str, now=None,
+                  buckets: int = DEFAULT_BUCKETS) -> None:
     tagged = tag_contract(tag_wire(batch, "value")).persist()
     try:
         good = tagged.filter(F.col("reason").isNull()).select(
@@ -66,9 +66,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table_ba
         rejected = tagged.filter(F.col("reason").isNotNull()).select("seq", "value", "reason")
         (rejected.write.mode("overwrite")
          .parquet(f"{dead_letter.rstrip('/')}/batch_id={int(batch_id)}"))
-        current = read_table(spark, table_base)
-        table = upsert_posts(current, good, "seq", now=now)
-        replace_table(table, table_base)
+        merge_into_table(spark, table_base, good, "seq", buckets=buckets, now=now)
         (batch_event(good, batch_id).write.mode("overwrite")
          .parquet(f"{events_path.rstrip('/')}/batch_id={int(batch_id)}"))
     finally:
@@ -77,14 +75,15 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table_ba
 
 def stream_upsert(stream: DataFrame, table_base: str, dead_letter: str, events_path: str,
                   checkpoint: str | None = None, trigger: dict | None = None,
-                  now=None) -> StreamingQuery:
+                  now=None, buckets: int = DEFAULT_BUCKETS) -> StreamingQuery:
     """O-41: start the streaming upsert of an envelope stream ``(seq, value)``
     (a broker stream maps ``offset`` to ``seq``)."""
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, f"stream_upsert-{uuid.uuid4().hex[:8]}")
 
     def fn(batch_df, batch_id):
-        process_batch(spark, batch_df, batch_id, table_base, dead_letter, events_path, now)
+        process_batch(spark, batch_df, batch_id, table_base, dead_letter, events_path, now,
+                      buckets)
 
     w = (stream.select("seq", "value").writeStream.foreachBatch(fn)
          .option("checkpointLocation", checkpoint))
