@@ -439,3 +439,18 @@ WHERE rank <= {int(limit)}"""
 
 
 register("stream_trends", stream_trends_sql())
+
+
+# --- typed tools and display label -----------------------------------------------------
+def _get_trending_sql() -> str:
+    tr = trending_sql(24, 12)
+    head, final = tr.rsplit("\nSELECT term, count, CAST(weight", 1)
+    return head + "\nSELECT term, count FROM (SELECT term, count, CAST(weight" + final + ")"
+
+
+register("get_trending", _get_trending_sql())
+register("get_sentiment", with_posts(
+    "SELECT term, count, avg_sentiment FROM slist",
+    topic_sentiment_ctes() + ",\n" + sentiment_list_cte("topic_sent", 12)))
+register("post_labels", with_posts(
+    "SELECT source, external_id, '[' || source || '] ' || substring(title, 1, 60) AS label FROM posts"))

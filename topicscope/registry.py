@@ -307,3 +307,23 @@ def q_stream_trends(spark, sf_dir):
     q.awaitTermination()
     as_of = posts.select(F.max("created_at")).scalar()
     return bucket_trending(read_buckets(spark, f"{base}/store"), as_of=as_of, hours=24, limit=20)
+
+
+# --- typed query tools (O-73) and display label (O-66) ----------------------------
+@query("get_trending")
+def q_get_trending(spark, sf_dir):
+    from .plans.explore import get_trending
+    return get_trending(posts_view(spark, sf_dir), limit=12)
+
+
+@query("get_sentiment")
+def q_get_sentiment(spark, sf_dir):
+    from .plans.explore import get_sentiment
+    return get_sentiment(_topic_sentiment(spark, sf_dir), limit=12)
+
+
+@query("post_labels")
+def q_post_labels(spark, sf_dir):
+    from .plans.explore import post_label
+    p = posts_view(spark, sf_dir)
+    return p.select("source", "external_id", post_label(p).alias("label"))
