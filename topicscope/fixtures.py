@@ -28,8 +28,11 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     the cluster has cores (one large row group of long texts would otherwise
     tokenise in a single task).  Large inputs already have enough splits and
     pass through without a shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a remote session): keep the scan
         return df
     return df.repartition(target, key)
 
