@@ -98,3 +98,10 @@ def test_merge_into_table_rewrites_only_touched_buckets(spark, scratch):
     assert len(t) == 40 and t[("a", "3")] == ("t3", 99)
     merge_into_table(spark, path, upd, buckets=8, now=now())          # replay: no change
     assert as_dict(spark.read.parquet(path)) == t
+
+
+def test_equal_sequence_numbers_keep_arrival_order(spark):
+    # one ingest run: every row has the run's sequence number
+    rows = [("a", "1", "first", 1, 7), ("a", "1", "second", 2, 7), ("a", "1", "third", 3, 7)]
+    t = upsert_posts(None, batch(spark, rows).coalesce(1), now=now())
+    assert as_dict(t) == {("a", "1"): ("first", 3)}

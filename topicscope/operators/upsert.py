@@ -49,20 +49,24 @@ def upsert_posts(current: DataFrame | None, batch: DataFrame, seq_col: str = "se
         now = utc_now()
     key = list(POST_KEY)
     seq = F.col(seq_col).cast("bigint")
+    # rows sharing a sequence number (one ingest run) keep their arrival order
     b = batch.select(*key, *FIRST_WINS, "score", now.alias("ingested_at"),
-                     seq.alias(SEQ_FIRST), seq.alias(SEQ_LAST), F.lit(1).alias("__origin"))
+                     seq.alias(SEQ_FIRST), seq.alias(SEQ_LAST), F.lit(1).alias("__origin"),
+                     F.monotonically_increasing_id().alias("__tb"))
     if current is not None:
         has_seq = SEQ_FIRST in current.columns
         first = F.col(SEQ_FIRST) if has_seq else F.lit(MIN_SEQ).cast("bigint")
         last = F.col(SEQ_LAST) if has_seq else F.lit(MIN_SEQ).cast("bigint")
         c = current.select(*key, *FIRST_WINS, "score", "ingested_at", first.alias(SEQ_FIRST),
-                           last.alias(SEQ_LAST), F.lit(0).alias("__origin"))
+                           last.alias(SEQ_LAST), F.lit(0).alias("__origin"),
+                           F.lit(None).cast("bigint").alias("__tb"))
         u = c.unionByName(b)
     else:
         u = b
     agg = u.groupBy(*key).agg(
-        F.min_by(F.struct(*[F.col(c) for c in FIRST_WINS]), F.col(SEQ_FIRST)).alias("__first"),
-        F.max_by(F.col("score"), F.col(SEQ_LAST)).alias("score"),
+        F.min_by(F.struct(*[F.col(c) for c in FIRST_WINS]),
+                 F.struct(F.col(SEQ_FIRST), F.col("__tb"))).alias("__first"),
+        F.max_by(F.col("score"), F.struct(F.col(SEQ_LAST), F.col("__tb"))).alias("score"),
         F.min("ingested_at").alias("ingested_at"),
         F.min(SEQ_FIRST).alias(SEQ_FIRST),
         F.max(SEQ_LAST).alias(SEQ_LAST),

@@ -59,15 +59,13 @@ def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, st
 
 
 def with_run_seq(batch: DataFrame, run_micros=None) -> DataFrame:
-    """Sequence numbers for one ingest run: the run's start instant (epoch
-    micros) plus the arrival rank of the row among deliveries of the same key,
-    so later runs always win the score and earlier deliveries win the rest."""
-    from pyspark.sql import Window
+    """Sequence number of one ingest run: its start instant in epoch micros,
+    so a later run always wins the score and an earlier one the other
+    columns.  Deliveries of one key inside a run are ordered by arrival (the
+    upsert breaks ties by row order), so no per-key window -- which would pull
+    a hot key's deliveries into one task -- is needed."""
     run = F.unix_micros(F.current_timestamp()) if run_micros is None else F.lit(run_micros)
-    w = Window.partitionBy("source", "external_id").orderBy("__mono")
-    return (batch.withColumn("__mono", F.monotonically_increasing_id())
-                 .withColumn("seq", run + F.row_number().over(w) - 1)
-                 .drop("__mono"))
+    return batch.withColumn("seq", run)
 
 
 def read_posts(spark: SparkSession, table_base: str) -> DataFrame:
