@@ -63,3 +63,62 @@ def test_exact_average(spark):
     df = spark.createDataFrame([(625, 1), (-625, 1), (1, 3), (2, 3)], "u long, n long")
     got = [r.a for r in df.select(avg_from_units(F.col("u"), F.col("n")).alias("a")).collect()]
     assert got == [0.063, -0.063, 0.0, 0.0]
+
+
+# --- brute force: the scoring rules restated in plain Python -------------------------
+import math  # noqa: E402
+import re  # noqa: E402
+from decimal import ROUND_HALF_UP  # noqa: E402
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+from topicscope.operators import sentiment as S  # noqa: E402
+
+BF_LEX = {"good": Decimal("1.9"), "bad": Decimal("-2.5"), "love": Decimal("3.2"),
+          "meh": Decimal("-0.3")}
+
+
+def py_score(text):
+    if not text:
+        return 0.0
+    toks = re.findall(r"[A-Za-z0-9_]+(?:['’][A-Za-z0-9_]+)*", text)
+    low = [t.lower() for t in toks]
+    caps = [t == t.upper() and t != t.lower() for t in toks]
+    mixed = any(caps) and not all(caps)
+    but = low.index("but") + 1 if "but" in low else 0
+    total = Decimal(0)
+    for i, t in enumerate(toks):
+        v = BF_LEX.get(low[i])
+        if v is None:
+            continue
+        sv = Decimal(1) if v > 0 else Decimal(-1) if v < 0 else Decimal(0)
+        prev = [low[i - j] if i - j >= 0 else None for j in (1, 2, 3)]
+        neg = any(p is not None and (p in S.NEGATIONS or any(p.endswith(x) for x in S.NEGATION_SUFFIXES))
+                  for p in prev)
+        boost = sum((d * (1 if p in S.BOOSTERS_UP else -1 if p in S.BOOSTERS_DOWN else 0)
+                     for p, d in zip(prev, S.DAMPING) if p is not None), Decimal(0))
+        v1 = v + (sv * S.CAPS_STEP if caps[i] and mixed else 0) + sv * S.BOOSTER_STEP * boost
+        v2 = v1 * S.NEGATION_FACTOR if neg else v1
+        butm = Decimal(1) if but == 0 else (S.BUT_BEFORE if i + 1 < but else
+                                            S.BUT_AFTER if i + 1 > but else Decimal(1))
+        total += v2 * butm
+    ep = min(text.count("!"), S.BANG_MAX) * S.BANG_STEP
+    s = float(total + ep if total > 0 else total - ep if total < 0 else total)
+    c = max(-1.0, min(1.0, s / math.sqrt(s * s + S.ALPHA)))
+    return float(Decimal(c).quantize(Decimal("0.0001"), rounding=ROUND_HALF_UP))
+
+
+WORDS = st.sampled_from(["good", "GOOD", "bad", "Bad", "love", "meh", "not", "no", "don't",
+                         "isn’t", "very", "slightly", "but", "BUT", "so", "the", "x", "!", "!!",
+                         ",", "never", "really", "ok"])
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(WORDS, max_size=14).map(" ".join), min_size=10, max_size=30))
+def test_scores_match_brute_force(spark, texts):
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, title string")
+    lex = lexicon_from_rows(spark, [(k, float(v)) for k, v in BF_LEX.items()])
+    got = {r.id: r.sentiment for r in score_sentiment(df, lex, key=("id",)).collect()}
+    for i, t in enumerate(texts):
+        assert got[str(i)] == py_score(t), t
