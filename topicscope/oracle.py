@@ -454,3 +454,12 @@ register("get_sentiment", with_posts(
     topic_sentiment_ctes() + ",\n" + sentiment_list_cte("topic_sent", 12)))
 register("post_labels", with_posts(
     "SELECT source, external_id, '[' || source || '] ' || substring(title, 1, 60) AS label FROM posts"))
+
+
+register("event_buckets_30m", with_posts(
+    f"""SELECT bucket, term, count(*) AS count, CAST(sum({units_sql()}) AS BIGINT) AS units
+FROM (SELECT time_bucket(INTERVAL 30 MINUTES, created_at) AS bucket, unnest(topics) AS term, sentiment
+      FROM etp)
+GROUP BY bucket, term""",
+    sentiment_ctes("posts", name="escored", carry="title, created_at").strip() + ",\n"
+    + topics_cte("escored", "api", name="etp", key_cols="created_at, sentiment").strip()))

@@ -332,3 +332,11 @@ def q_post_labels(spark, sf_dir):
     from .plans.explore import post_label
     p = posts_view(spark, sf_dir)
     return p.select("source", "external_id", post_label(p).alias("label"))
+
+
+@query("event_buckets_30m")
+def q_event_buckets_30m(spark, sf_dir):
+    """O-69 batch twin: the 30-minute bucket partials the stream maintains."""
+    from .fixtures import test_lexicon
+    from .streaming.trends import bucket_partials
+    return bucket_partials(posts_view(spark, sf_dir), "30 minutes", test_lexicon(spark))
