@@ -107,3 +107,17 @@ def test_limit_first_requires_order(spark):
     import pytest
     with pytest.raises(ValueError):
         limit_first(raw(spark, ["x"]), 1, None)
+
+
+def test_limits_cut_items_first_for_news_and_posts_for_firehose(spark):
+    items = [json.dumps({"id": i, "type": "comment" if i % 2 else "story", "title": "t"})
+             for i in range(10)]
+    hn = normalize_hackernews(raw(spark, items), limit=4, order_col="seq").collect()
+    assert sorted(r.external_id for r in hn) == ["0", "2"]          # 4 items -> 2 stories
+    evs = [json.dumps({"kind": "commit", "did": "d", "commit": {
+        "operation": "create" if i % 2 == 0 else "delete", "collection": "app.bsky.feed.post",
+        "cid": f"c{i}", "rkey": "k", "record": {"text": "hi", "createdAt": "2024-01-01T00:00:00Z"}}})
+        for i in range(10)]
+    bs = normalize_bluesky(raw(spark, evs), limit=3, order_col="seq")
+    assert bs.columns[0] == "source"
+    assert sorted(r.external_id for r in bs.collect()) == ["c0", "c2", "c4"]

@@ -47,14 +47,18 @@ def limit_first(df: DataFrame, n: int | None, order_col: str | None) -> DataFram
 def normalize_hackernews(raw: DataFrame, limit: int | None = None, order_col: str | None = None,
                          value_col: str = "value", keep: tuple = ()) -> DataFrame:
     """O-01: stories only; absent (or null) title/text/author -> '', url -> item page,
-    score -> 0, time -> 0 (1970-01-01)."""
+    score -> 0, time -> 0 (1970-01-01).
+
+    ``limit`` takes the first N *items* in ``order_col`` order before non-stories
+    are dropped (the feed's top-N id list is cut first), so fewer than N posts
+    may come out.
+    """
+    cols = list(keep) + ([order_col] if order_col and order_col not in keep else [])
+    raw = limit_first(raw.select(*cols, value_col), limit, order_col)
     i = F.from_json(_value(raw, value_col), HN_ITEM)
     staged = raw.select(*[F.col(c) for c in keep], i.alias("i"))
-    if order_col and order_col not in keep:
-        staged = raw.select(*[F.col(c) for c in keep], F.col(order_col), i.alias("i"))
     staged = staged.filter(F.col("i").isNotNull() & (F.col("i.type") == "story")
                            & F.col("i.id").isNotNull())
-    staged = limit_first(staged, limit, order_col)
     ident = F.col("i.id").cast("string")
     return staged.select(
         *[F.col(c) for c in keep],
@@ -93,14 +97,18 @@ def normalize_reddit(raw: DataFrame, limit_per_listing: int | None = 25,
 
 
 def normalize_bluesky(raw: DataFrame, now: Column | None = None, value_col: str = "value",
-                      keep: tuple = ()) -> DataFrame:
+                      keep: tuple = (), limit: int | None = None,
+                      order_col: str | None = None) -> DataFrame:
     """O-03: created posts of the feed collection with non-blank text.
 
     id = cid, else ``did/rkey``; title = first 300 code points of the stripped
-    text; created_at = record time, else ``now`` (UTC).
+    text; created_at = record time, else ``now`` (UTC).  ``limit`` keeps the
+    first N *accepted* posts in ``order_col`` order (the firehose is read until
+    N posts passed the filters).
     """
+    carry = tuple(keep) + ((order_col,) if order_col and order_col not in keep else ())
     ev = F.from_json(_value(raw, value_col), BLUESKY_EVENT)
-    staged = raw.select(*[F.col(c) for c in keep], ev.alias("e"))
+    staged = raw.select(*[F.col(c) for c in carry], ev.alias("e"))
     staged = staged.filter((F.col("e.kind") == "commit")
                            & (F.col("e.commit.operation") == "create")
                            & (F.col("e.commit.collection") == "app.bsky.feed.post"))
@@ -112,6 +120,7 @@ def normalize_bluesky(raw: DataFrame, now: Column | None = None, value_col: str
     prefix, rest = BLUESKY_POST_URL.split("{did}")
     middle, suffix = rest.split("{rkey}")
     now = utc_now() if now is None else now
+    staged = limit_first(staged, limit, order_col)
     return staged.select(
         *[F.col(c) for c in keep],
         F.lit("bluesky").alias("source"),
