@@ -28,7 +28,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.driver.memory", os.environ.get("TOPICSCOPE_DRIVER_MEMORY", "16g"))
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # remove reliable-checkpoint files once their DataFrame is unreferenced
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
