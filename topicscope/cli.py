@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--out", required=True)
     t.add_argument("--as-of", default="now")
     r = sub.add_parser("stream-ingest")
-    r.add_argument("--envelopes", required=True)
+    r.add_argument("--envelopes", help="landed (seq, value) parquet files; omit to read the broker")
     r.add_argument("--table", required=True)
     r.add_argument("--dead", required=True)
     r.add_argument("--events", required=True)
@@ -84,10 +84,15 @@ def main(argv: list[str] | None = None) -> None:
         print(topic_sentiment_job(spark, posts, read_lexicon(spark, args.lexicon), args.out,
                                   as_of=args.as_of))
     elif args.cmd == "stream-ingest":
-        from .streaming.ingest import read_envelopes, stream_upsert, trigger_options
-        q = stream_upsert(read_envelopes(spark, args.envelopes), args.table, args.dead,
-                          args.events, checkpoint=args.checkpoint,
-                          trigger=trigger_options(args.mode))
+        from .streaming.ingest import (read_envelopes, stream_ingest_kafka, stream_upsert,
+                                       trigger_options)
+        if args.envelopes:
+            q = stream_upsert(read_envelopes(spark, args.envelopes), args.table, args.dead,
+                              args.events, checkpoint=args.checkpoint,
+                              trigger=trigger_options(args.mode))
+        else:
+            q = stream_ingest_kafka(spark, args.table, args.dead, args.events,
+                                    checkpoint=args.checkpoint, mode=args.mode)
         q.awaitTermination()
     elif args.cmd == "trending":
         from .plans.trending import trending

@@ -106,3 +106,19 @@ def read_envelopes(spark: SparkSession, path: str, files_per_trigger: int | None
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.parquet(path)
+
+
+def stream_ingest_kafka(spark: SparkSession, table_base: str, dead_letter: str, events_path: str,
+                        checkpoint: str | None = None, mode: str = "micro",
+                        env: dict | None = None, max_offsets_per_trigger: int | None = 50,
+                        buckets: int = DEFAULT_BUCKETS) -> StreamingQuery:
+    """C-10: broker topic -> decode -> dead letter / keyed merge -> batch events.
+
+    ``max_offsets_per_trigger`` bounds a micro-batch (the reference flushes
+    every 50 records); offsets are tracked in the query checkpoint.
+    """
+    from ..sources.connectors import read_kafka
+    stream = kafka_envelope(read_kafka(spark, "stream", env=env,
+                                       max_offsets_per_trigger=max_offsets_per_trigger))
+    return stream_upsert(stream, table_base, dead_letter, events_path, checkpoint,
+                         trigger_options(mode), buckets=buckets)
