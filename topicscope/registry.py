@@ -73,9 +73,15 @@ def q_term_sentiment_top40(spark, sf_dir):
 
 @query("run_summary")
 def q_run_summary(spark, sf_dir):
-    from .plans.sentiment_trends import run_summary, term_sentiment
-    scored = _scored_posts(spark, sf_dir)
-    return run_summary(scored, term_sentiment(scored, limit=40))
+    """O-34 as the batch job runs it: score once, write post_sentiment and
+    term_sentiment (atomic replace), summarise from the written tables."""
+    import uuid
+
+    from .fixtures import test_lexicon
+    from .plans.jobs import sentiment_job
+    from .session import scratch_path
+    out = scratch_path(spark, f"q_run_summary-{uuid.uuid4().hex[:8]}")
+    return sentiment_job(spark, posts_view(spark, sf_dir), test_lexicon(spark), out, limit=40)
 
 
 @query("topic_sentiment_7d")
