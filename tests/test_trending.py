@@ -75,3 +75,17 @@ def test_keyword_counts_v1(spark):
     out = {r.term: r["count"] for r in keyword_counts(df, as_of=NOW, limit=None).collect()}
     assert out["spark"] == 2 and "and" not in out and out["spark-sql"] == 1
     assert out["k8s.io"] == 1
+
+
+def test_now_is_utc_whatever_the_session_zone(spark):
+    import datetime as _dt
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+        utc = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        df = posts(spark, [("fresh topic here", utc - _dt.timedelta(hours=1)),
+                           ("stale topic here", utc - _dt.timedelta(hours=30))])
+        terms = {r.term for r in trending(df, as_of="now").collect()}
+        assert "fresh" in terms and "stale" not in terms
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -41,7 +41,7 @@ def resolve_as_of(df: DataFrame, as_of=None, col: str = "created_at") -> Column:
 
     * ``None``: ``max(col)`` of ``df`` as a scalar subquery (reproducible;
       used by tests and the registered queries),
-    * ``"now"``: the session clock, in the column's time type,
+    * ``"now"``: the clock (UTC wall time for ``TIMESTAMP_NTZ`` columns),
     * a ``datetime``/ISO string: a literal, cast to the column's type so the
       comparison stays a foldable literal and reaches the parquet scan,
     * a Column: used as is.
@@ -52,8 +52,11 @@ def resolve_as_of(df: DataFrame, as_of=None, col: str = "created_at") -> Column:
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str) and as_of.lower() == "now":
-        now = F.localtimestamp() if dtype == "timestamp_ntz" else F.current_timestamp()
-        return now
+        if dtype == "timestamp_ntz":
+            # stored times are UTC wall times: the clock in UTC, whatever the session zone
+            from ..sources.feeds import utc_now
+            return utc_now()
+        return F.current_timestamp()
     if isinstance(as_of, (_dt.datetime, _dt.date, str)):
         return F.lit(as_of).cast(dtype)
     raise TypeError(f"unsupported as_of {as_of!r}")
