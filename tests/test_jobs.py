@@ -15,11 +15,14 @@ def test_ingest_isolates_failing_feed(spark, scratch):
                                              "time": 100 + i}),) for i in range(3)], "value string")
     broken = spark.createDataFrame([("x",)], "value string").select(
         F.raise_error(F.lit("feed down")).cast("string").alias("value"))
-    rep = ingest(spark, {"hackernews": hn, "reddit": broken}, f"{scratch}/posts", f"{scratch}/stage")
+    rep = ingest(spark, {"hackernews": hn, "reddit": broken}, f"{scratch}/posts", f"{scratch}/stage",
+                 events_path=f"{scratch}/events", run_id=1)
     r = {x.source: x for x in rep.collect()}
     assert r["hackernews"].status == "ok" and r["hackernews"].fetched == 3
     assert r["reddit"].status == "failed" and "feed down" in r["reddit"].error
     assert read_posts(spark, f"{scratch}/posts").count() == 3
+    ev = spark.read.parquet(f"{scratch}/events").first()
+    assert (ev.batch_id, ev.event, ev["count"], ev.sources) == (1, "new_posts", 3, ["hackernews"])
     # a second run with an updated score keeps the title and updates the score
     hn2 = spark.createDataFrame([(json.dumps({"id": 0, "type": "story", "title": "changed",
                                               "score": 42, "time": 100}),)], "value string")

@@ -36,9 +36,14 @@ def land_source(name: str, raw: DataFrame, staging: str, **kw) -> tuple[str, dic
 
 def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, staging: str,
            options: dict[str, dict] | None = None, now=None,
-           buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+           buckets: int = DEFAULT_BUCKETS, events_path: str | None = None,
+           run_id: int | None = None) -> DataFrame:
     """C-9: land every feed, merge the landed rows into the bucketed posts
-    table at ``table_base``, return the per-source report."""
+    table at ``table_base``, return the per-source report.
+
+    With ``events_path`` the run also writes its ``new_posts`` event (O-18)
+    to partition ``batch_id = run_id`` (default: the run's epoch seconds).
+    """
     report, landed = [], []
     for name, raw in sorted(feeds.items()):
         try:
@@ -55,6 +60,13 @@ def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, st
             batch = part if batch is None else batch.unionByName(part)
         batch = with_run_seq(batch)
         merge_into_table(spark, table_base, batch, "seq", buckets=buckets, now=now)
+        if events_path:
+            import time
+
+            from ..streaming.ingest import batch_event
+            rid = int(time.time()) if run_id is None else int(run_id)
+            (batch_event(batch, rid).write.mode("overwrite")
+             .parquet(f"{events_path.rstrip('/')}/batch_id={rid}"))
     return spark.createDataFrame(report, REPORT_SCHEMA)
 
 
