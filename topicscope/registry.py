@@ -91,8 +91,20 @@ def q_topic_sentiment_7d(spark, sf_dir):
 
 @query("sentiment_trends")
 def q_sentiment_trends(spark, sf_dir):
+    """C-4 as served: the scheduled job replaces the stored topic-sentiment
+    table (O-17); the list reads it back, empty if missing (O-09)."""
+    import uuid
+
+    from .fixtures import test_lexicon
+    from .plans.jobs import topic_sentiment_job
     from .plans.sentiment_trends import sentiment_trends
-    return sentiment_trends(_topic_sentiment(spark, sf_dir), limit=15)
+    from .schemas import SENTIMENT_TABLE
+    from .session import scratch_path
+    from .sources.connectors import read_or_empty
+    out = scratch_path(spark, f"q_sentiment_trends-{uuid.uuid4().hex[:8]}")
+    topic_sentiment_job(spark, posts_view(spark, sf_dir), test_lexicon(spark), out)
+    table = read_or_empty(spark, f"{out}/topic_sentiment", SENTIMENT_TABLE)
+    return sentiment_trends(table, limit=15)
 
 
 @query("sentiment_extremes")
