@@ -86,36 +86,54 @@ def write_kafka(posts: DataFrame, topic: str | None = None, env: dict | None = N
 
 
 # --- O-08 / O-16 -------------------------------------------------------------------------
+def jdbc_read_options(url: str, table: str, partition: dict | None = None,
+                      properties: dict | None = None) -> dict[str, str]:
+    """Options of a JDBC scan; ``partition`` = ``{'column', 'lowerBound',
+    'upperBound', 'numPartitions'}`` splits the scan into range queries (the
+    reference reads the whole table in one task)."""
+    opts = {"url": url, "dbtable": table, **{k: str(v) for k, v in (properties or {}).items()}}
+    if partition:
+        missing = {"column", "lowerBound", "upperBound", "numPartitions"} - set(partition)
+        if missing:
+            raise ValueError(f"partition spec lacks {sorted(missing)}")
+        opts.update(partitionColumn=partition["column"], lowerBound=str(partition["lowerBound"]),
+                    upperBound=str(partition["upperBound"]),
+                    numPartitions=str(partition["numPartitions"]))
+    return opts
+
+
+def jdbc_write_options(url: str, table: str, mode: str = "overwrite",
+                       properties: dict | None = None) -> dict[str, str]:
+    """Options of a JDBC write; an overwrite truncates (keeps the table
+    definition) instead of drop + create."""
+    opts = {"url": url, "dbtable": table, **{k: str(v) for k, v in (properties or {}).items()}}
+    if mode == "overwrite":
+        opts["truncate"] = "true"
+    return opts
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, columns: list[str] | None = None,
               partition: dict | None = None, properties: dict | None = None) -> DataFrame:
-    """JDBC scan with optional range partitioning
-    (``partition={'column':..., 'lowerBound':..., 'upperBound':..., 'numPartitions':...}``);
-    the selected columns and later filters are pushed into the SELECT."""
-    r = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for k, v in (properties or {}).items():
-        r = r.option(k, v)
-    if partition:
-        r = (r.option("partitionColumn", partition["column"])
-              .option("lowerBound", str(partition["lowerBound"]))
-              .option("upperBound", str(partition["upperBound"]))
-              .option("numPartitions", str(partition["numPartitions"])))
-    df = r.load()
+    """JDBC scan; the selected columns and later filters are pushed into the SELECT."""
+    df = spark.read.format("jdbc").options(**jdbc_read_options(url, table, partition,
+                                                               properties)).load()
     return df.select(*columns) if columns else df
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite",
                properties: dict | None = None) -> None:
-    """Overwrite keeps the table definition (``truncate``) instead of drop + create."""
-    w = df.write.format("jdbc").option("url", url).option("dbtable", table).mode(mode)
-    if mode == "overwrite":
-        w = w.option("truncate", "true")
-    for k, v in (properties or {}).items():
-        w = w.option(k, v)
-    w.save()
+    df.write.format("jdbc").options(**jdbc_write_options(url, table, mode, properties)) \
+        .mode(mode).save()
 
 
 # --- O-09 / O-17: result tables on a path ---------------------------------------------------
-CURRENT_POINTER = "_CURRENT"
+# A result table is a folder of immutable versions plus pointer files
+# ``_CURRENT.<sequence>`` naming the live version.  A new pointer is created
+# under a fresh name by rename (never overwritten), and readers take the
+# pointer with the largest sequence, so a switch is atomic on any Hadoop file
+# system and readers never see a missing or half-written pointer.
+POINTER_PREFIX = "_CURRENT."
+KEEP_POINTERS = 2
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
@@ -124,6 +142,14 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, base: str) -> list[str]:
+    fs, p = _hadoop_fs(spark, base)
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(n for n in names if n.startswith(POINTER_PREFIX) and ".tmp-" not in n)
+
+
 def _read_text_file(spark: SparkSession, path: str) -> str | None:
     fs, p = _hadoop_fs(spark, path)
     if not fs.exists(p):
@@ -136,35 +162,45 @@ def _read_text_file(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write_text_file(spark: SparkSession, path: str, text: str) -> None:
-    """Write via a temp file + rename, so readers never see a half pointer."""
-    fs, p = _hadoop_fs(spark, path)
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp-" + uuid.uuid4().hex)
-    out = fs.create(tmp, True)
+def _publish_pointer(spark: SparkSession, base: str, version: str) -> None:
+    """Create the next pointer file (temp file + rename to a new name)."""
+    base = base.rstrip("/")
+    existing = _pointers(spark, base)
+    seq = int(existing[-1][len(POINTER_PREFIX):]) + 1 if existing else 1
+    target = f"{base}/{POINTER_PREFIX}{seq:012d}"
+    fs, p = _hadoop_fs(spark, target)
+    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{target}.tmp-{uuid.uuid4().hex}")
+    out = fs.create(tmp, False)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(version.encode("utf-8")))
     finally:
         out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    if not fs.rename(tmp, p):
+        fs.delete(tmp, False)
+        raise RuntimeError(f"concurrent replace of {base}: pointer {target} already exists")
+    for old in existing[:-KEEP_POINTERS + 1] if KEEP_POINTERS > 1 else existing:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{old}"), False)
 
 
 def current_version_path(spark: SparkSession, base: str) -> str | None:
-    name = _read_text_file(spark, f"{base.rstrip('/')}/{CURRENT_POINTER}")
+    pointers = _pointers(spark, base)
+    if not pointers:
+        return None
+    name = _read_text_file(spark, f"{base.rstrip('/')}/{pointers[-1]}")
     return f"{base.rstrip('/')}/{name.strip()}" if name else None
 
 
 def replace_table(df: DataFrame, base: str, partition_by: list[str] | None = None) -> str:
     """O-17: atomic replace.  The new contents go to a fresh version folder;
-    only after the write committed is the ``_CURRENT`` pointer switched, so a
-    reader sees either the old or the new table, never a gap."""
+    only after the write committed is a new pointer published, so a reader
+    sees either the old or the new table, never a gap."""
     version = "v-" + uuid.uuid4().hex[:16]
     path = f"{base.rstrip('/')}/{version}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    _write_text_file(df.sparkSession, f"{base.rstrip('/')}/{CURRENT_POINTER}", version)
+    _publish_pointer(df.sparkSession, base, version)
     return path
 
 
