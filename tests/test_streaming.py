@@ -58,3 +58,23 @@ def test_stream_trends_equal_batch_and_drop_redelivery(spark, scratch):
            bucket_trending(read_buckets(spark, f"{scratch}/store"), hours=None, limit=100).collect()}
     want = {r.term: r["count"] for r in trending(df, hours=100000, limit=100).collect()}
     assert got == want
+
+
+def test_stream_trends_lateness_bound(spark, scratch):
+    schema = "source string, external_id string, title string, created_at timestamp_ntz"
+    t = dt.datetime(2024, 1, 2, 12)
+    spark.createDataFrame([("s", "1", "fresh topic", t)], schema).coalesce(1) \
+         .write.parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+    q = stream_trends(stream, f"{scratch}/store", checkpoint=f"{scratch}/ckpt", delay="1 hour")
+    q.awaitTermination()
+    # a post 10 hours older than the watermark arrives in a later batch
+    spark.createDataFrame([("s", "2", "late topic", t - dt.timedelta(hours=10)),
+                           ("s", "3", "ontime topic", t)], schema).coalesce(1) \
+         .write.mode("append").parquet(f"{scratch}/in")
+    q = stream_trends(stream, f"{scratch}/store", checkpoint=f"{scratch}/ckpt", delay="1 hour")
+    q.awaitTermination()
+    terms = {r.term for r in
+             bucket_trending(read_buckets(spark, f"{scratch}/store"), hours=None, limit=50).collect()}
+    assert "fresh" in terms and "ontime" in terms
+    assert "late" not in terms          # beyond the lateness bound: the batch operator has it
