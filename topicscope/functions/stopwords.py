@@ -12,6 +12,7 @@ users who want to join or extend them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 # Topic extraction used by the trending API (hashtags / bigrams / keywords).
@@ -103,3 +104,23 @@ def stopwords_frame(spark: SparkSession) -> DataFrame:
 def sql_list(profile: str = "api") -> str:
     """The profile as a SQL ``IN`` list literal, for oracle SQL."""
     return ", ".join("'" + w.replace("'", "''") + "'" for w in stopwords(profile))
+
+
+MAX_USER_STOPWORDS = 100_000
+
+
+def stopwords_from_frame(df: DataFrame, profile: str | None = None, base: str | None = "api",
+                         max_words: int = MAX_USER_STOPWORDS) -> list[str]:
+    """User stop lists kept as a table ``(profile, word)`` or ``(word)``.
+
+    The words become a literal hash-set filter (``InSet``), so the list is
+    read to the driver -- only after checking it is within ``max_words``.
+    ``base`` names a built-in profile to extend (None: the user list alone).
+    """
+    if profile is not None and "profile" in df.columns:
+        df = df.filter(F.col("profile") == profile)
+    words = df.select(F.lower(F.col("word")).alias("w")).distinct()
+    rows = words.limit(max_words + 1).collect()
+    if len(rows) > max_words:
+        raise ValueError(f"stop list larger than {max_words} words; join it as a table instead")
+    return stopwords(base, [r.w for r in rows]) if base else sorted(r.w for r in rows)
