@@ -105,3 +105,15 @@ def test_equal_sequence_numbers_keep_arrival_order(spark):
     rows = [("a", "1", "first", 1, 7), ("a", "1", "second", 2, 7), ("a", "1", "third", 3, 7)]
     t = upsert_posts(None, batch(spark, rows).coalesce(1), now=now())
     assert as_dict(t) == {("a", "1"): ("first", 3)}
+
+
+def test_merge_writes_one_file_per_bucket(spark, scratch):
+    import os
+    from topicscope.operators.upsert import merge_into_table
+    path = f"{scratch}/posts"
+    rows = [("a", str(i), f"t{i}", i, i) for i in range(200)]
+    merge_into_table(spark, path, batch(spark, rows).repartition(7), buckets=4, now=now())
+    for d in os.listdir(path):
+        if d.startswith("bucket="):
+            files = [f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")]
+            assert len(files) == 1, (d, files)

@@ -156,7 +156,9 @@ def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
         current = (spark.read.parquet(path).filter(F.col(BUCKET_COL).isin(touched))
                    .drop(BUCKET_COL))
     merged = upsert_posts(current, b.drop(BUCKET_COL), seq_col, now=now, with_flags=True)
-    merged = merged.withColumn(BUCKET_COL, key_bucket(buckets)).checkpoint(eager=True)
+    # one writer task per bucket -> one file per touched bucket (not tasks x buckets)
+    merged = (merged.withColumn(BUCKET_COL, key_bucket(buckets))
+                    .repartition(BUCKET_COL).checkpoint(eager=True))
     report = upsert_report(merged).collect()
     (merged.drop("inserted", "deliveries").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET_COL).parquet(path))
