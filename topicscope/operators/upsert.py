@@ -124,13 +124,6 @@ def key_bucket(n: int = DEFAULT_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in POST_KEY]), F.lit(n)).cast("int")
 
 
-def _table_exists(spark, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and len(fs.listStatus(p)) > 0
-
-
 def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
                      buckets: int = DEFAULT_BUCKETS, now: Column | None = None) -> DataFrame:
     """O-11 on a stored table: apply ``batch`` to the posts table at ``path``.
@@ -148,10 +141,11 @@ def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
     Returns the one-row report (inserted, updated, statements).
     """
     from ..session import checkpoint_dir
+    from ..sources.connectors import path_has_files
     checkpoint_dir(spark)
     b = batch.withColumn(BUCKET_COL, key_bucket(buckets))
     current = None
-    if _table_exists(spark, path):
+    if path_has_files(spark, path):
         touched = [r[0] for r in b.select(BUCKET_COL).distinct().collect()]   # <= buckets ints
         current = (spark.read.parquet(path).filter(F.col(BUCKET_COL).isin(touched))
                    .drop(BUCKET_COL))

@@ -320,7 +320,7 @@ def q_stream_trends(spark, sf_dir):
 
     from .fixtures import test_lexicon
     from .session import scratch_path
-    from .streaming.trends import bucket_trending, read_buckets, stream_trends
+    from .streaming.trends import bucket_trending, compact_buckets, read_buckets, stream_trends
     base = scratch_path(spark, f"q_stream_trends-{uuid.uuid4().hex[:8]}")
     posts = posts_view(spark, sf_dir)
     posts.repartitionByRange(8, "created_at").write.parquet(f"{base}/in")
@@ -328,6 +328,7 @@ def q_stream_trends(spark, sf_dir):
     q = stream_trends(stream, f"{base}/store", checkpoint=f"{base}/ckpt", delay="36500 days",
                       lexicon=test_lexicon(spark), trigger={"availableNow": True})
     q.awaitTermination()
+    compact_buckets(spark, f"{base}/store")          # reads must not change across a compaction
     as_of = posts.select(F.max("created_at")).scalar()
     return bucket_trending(read_buckets(spark, f"{base}/store"), as_of=as_of, hours=24, limit=20)
 

@@ -142,6 +142,12 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def path_has_files(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` exists and is not empty (any Hadoop file system)."""
+    fs, p = _hadoop_fs(spark, path)
+    return fs.exists(p) and len(fs.listStatus(p)) > 0
+
+
 def _pointers(spark: SparkSession, base: str) -> list[str]:
     fs, p = _hadoop_fs(spark, base)
     if not fs.exists(p):
@@ -182,6 +188,14 @@ def _publish_pointer(spark: SparkSession, base: str, version: str) -> None:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{old}"), False)
 
 
+def current_version_name(spark: SparkSession, base: str) -> str | None:
+    pointers = _pointers(spark, base)
+    if not pointers:
+        return None
+    name = _read_text_file(spark, f"{base.rstrip('/')}/{pointers[-1]}")
+    return name.strip() if name else None
+
+
 def current_version_path(spark: SparkSession, base: str) -> str | None:
     pointers = _pointers(spark, base)
     if not pointers:
@@ -190,11 +204,13 @@ def current_version_path(spark: SparkSession, base: str) -> str | None:
     return f"{base.rstrip('/')}/{name.strip()}" if name else None
 
 
-def replace_table(df: DataFrame, base: str, partition_by: list[str] | None = None) -> str:
+def replace_table(df: DataFrame, base: str, partition_by: list[str] | None = None,
+                  version_tag: str | None = None) -> str:
     """O-17: atomic replace.  The new contents go to a fresh version folder;
     only after the write committed is a new pointer published, so a reader
-    sees either the old or the new table, never a gap."""
-    version = "v-" + uuid.uuid4().hex[:16]
+    sees either the old or the new table, never a gap.  ``version_tag`` is
+    embedded in the version name (readers get it from ``current_version_name``)."""
+    version = "v-" + (f"{version_tag}-" if version_tag else "") + uuid.uuid4().hex[:16]
     path = f"{base.rstrip('/')}/{version}"
     w = df.write.mode("errorifexists")
     if partition_by:
