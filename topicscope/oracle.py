@@ -463,3 +463,17 @@ FROM (SELECT time_bucket(INTERVAL 30 MINUTES, created_at) AS bucket, unnest(topi
 GROUP BY bucket, term""",
     sentiment_ctes("posts", name="escored", carry="title, created_at").strip() + ",\n"
     + topics_cte("escored", "api", name="etp", key_cols="created_at, sentiment").strip()))
+
+
+register("latest_posts_keyset", with_posts(
+    f"""SELECT id, source, title, url, author, score, created_at FROM listed
+WHERE created_at < (SELECT created_at FROM cursor_row)
+   OR (created_at = (SELECT created_at FROM cursor_row) AND id > (SELECT id FROM cursor_row))
+ORDER BY created_at DESC, id ASC LIMIT 50""",
+    f"""listed AS (
+  SELECT {_ID} AS id, source, title, url, author, score, created_at FROM posts
+),
+cursor_row AS (
+  SELECT created_at, id FROM (
+    SELECT *, row_number() OVER (ORDER BY created_at DESC, id ASC) AS rn FROM listed) WHERE rn = 50
+)"""))

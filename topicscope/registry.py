@@ -359,3 +359,17 @@ def q_event_buckets_30m(spark, sf_dir):
     from .fixtures import test_lexicon
     from .streaming.trends import bucket_partials
     return bucket_partials(posts_view(spark, sf_dir), "30 minutes", test_lexicon(spark))
+
+
+@query("latest_posts_keyset")
+def q_latest_posts_keyset(spark, sf_dir):
+    """O-39 deep paging: the page after the 50th post in (created_at desc, id asc)
+    order, addressed by its cursor instead of an offset."""
+    from pyspark.sql import functions as F
+
+    from .operators.filters import project_posts
+    from .operators.topk import keyset_page
+    posts = project_posts(posts_view(spark, sf_dir))
+    first_page = posts.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(50)
+    cursor = first_page.orderBy(F.col("created_at").asc(), F.col("id").desc()).first()  # 1 row
+    return keyset_page(posts, cursor.created_at, cursor.id, page_size=50)
