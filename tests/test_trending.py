@@ -89,3 +89,40 @@ def test_now_is_utc_whatever_the_session_zone(spark):
         assert "fresh" in terms and "stale" not in terms
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+# --- brute force over random posts -------------------------------------------------
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+from tests.test_text import py_topics  # noqa: E402
+from topicscope.functions.stopwords import stopwords  # noqa: E402
+
+TITLE_WORDS = st.sampled_from(["spark", "Spark", "delta", "lakes", "#data", "#Data", "the", "news",
+                               "https://x.io/p#frag", "streams", "ml", "rust", "tokio"])
+
+
+def py_trending(rows, as_of, hours, limit):
+    stop = set(stopwords("api"))
+    count, weight = {}, {}
+    lower = as_of - dt.timedelta(hours=hours)
+    for title, ts in rows:
+        if ts < lower:
+            continue
+        for t in set(py_topics(title, stop)):
+            count[t] = count.get(t, 0) + 1
+            weight[t] = weight.get(t, 0) + (3 if (" " in t or t.startswith("#")) else 1)
+    ranked = sorted(count, key=lambda t: (-weight[t], -count[t], t))[:limit]
+    return [(t, count[t], weight[t]) for t in ranked]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.lists(TITLE_WORDS, max_size=8).map(" ".join),
+                          st.integers(0, 48 * 60)), min_size=5, max_size=40),
+       st.integers(1, 15))
+def test_trending_matches_brute_force(spark, rows, limit):
+    rows = [(t, NOW - dt.timedelta(minutes=m)) for t, m in rows]
+    df = posts(spark, rows)
+    got = [(r.term, r["count"], r.weight) for r in
+           trending(df, as_of=NOW, hours=24, limit=limit).orderBy("rank").collect()]
+    assert got == py_trending(rows, NOW, 24, limit)
