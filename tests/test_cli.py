@@ -20,3 +20,22 @@ def test_cli_ingest_trending_and_sentiment_job(spark, scratch, tmp_path, capsys)
     cli.main(["sentiment-job", "--posts", table, "--lexicon", str(lex), "--out", f"{scratch}/res"])
     summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert summary["posts_scored"] == 5 and summary["overall_avg_sentiment"] > 0
+
+
+def test_cli_scheduled_run(spark, scratch, tmp_path, capsys):
+    import datetime as dt
+    now = int(dt.datetime.now(dt.timezone.utc).timestamp())
+    feed = tmp_path / "hn.jsonl"
+    feed.write_text("\n".join(json.dumps({"id": i, "type": "story", "title": "Spark streaming rocks",
+                                          "time": now - 60 * i}) for i in range(4)))
+    lex = tmp_path / "lex.tsv"
+    lex.write_text("rocks\t2.0\t0.5\t[1]\n")
+    cli.main(["scheduled-run", "--table", f"{scratch}/posts", "--staging", f"{scratch}/stage",
+              "--feed", f"hackernews={feed}", "--lexicon", str(lex), "--out", f"{scratch}/res",
+              "--events", f"{scratch}/events", "--buckets", "4"])
+    from topicscope.schemas import SENTIMENT_TABLE
+    from topicscope.sources.connectors import read_or_empty
+    t = {r.term: r for r in read_or_empty(spark, f"{scratch}/res/topic_sentiment",
+                                          SENTIMENT_TABLE).collect()}
+    assert t["spark streaming"]["count"] == 4 and t["rocks"].avg_sentiment > 0
+    assert spark.read.parquet(f"{scratch}/events").first()["count"] == 4

@@ -5,6 +5,7 @@
   python -m topicscope.cli topic-sentiment-job --posts PATH --lexicon TSV --out PATH
   python -m topicscope.cli stream-ingest --envelopes PATH --table PATH --dead PATH --events PATH
   python -m topicscope.cli trending --posts PATH [--hours 24 --limit 20 --as-of ISO]
+  python -m topicscope.cli scheduled-run --table PATH --staging PATH --feed ... --lexicon TSV --out PATH --events PATH
 
 Raw feeds are landed JSON (one record per line) read with a ``value`` column;
 posts tables are the parquet tables written by ``ingest`` / ``stream-ingest``.
@@ -56,6 +57,14 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--events", required=True)
     r.add_argument("--checkpoint")
     r.add_argument("--mode", choices=["micro", "scheduled"], default="scheduled")
+    sr = sub.add_parser("scheduled-run", help="ingest + topic sentiment + new_posts event")
+    sr.add_argument("--table", required=True)
+    sr.add_argument("--staging", required=True)
+    sr.add_argument("--feed", action="append", default=[])
+    sr.add_argument("--lexicon", required=True)
+    sr.add_argument("--out", required=True)
+    sr.add_argument("--events", required=True)
+    sr.add_argument("--buckets", type=int, default=256)
     g = sub.add_parser("trending")
     g.add_argument("--posts", required=True)
     g.add_argument("--hours", type=int, default=24)
@@ -94,6 +103,20 @@ def main(argv: list[str] | None = None) -> None:
             q = stream_ingest_kafka(spark, args.table, args.dead, args.events,
                                     checkpoint=args.checkpoint, mode=args.mode)
         q.awaitTermination()
+    elif args.cmd == "scheduled-run":
+        # the scheduled direct job: every feed isolated, then the topic-sentiment
+        # table is replaced atomically from the merged posts
+        from .operators.sentiment import read_lexicon
+        from .plans.ingest import ingest, read_posts
+        from .plans.jobs import topic_sentiment_job
+        feeds = {}
+        for spec in args.feed:
+            name, path = spec.split("=", 1)
+            feeds[name] = _raw(spark, path)
+        ingest(spark, feeds, args.table, args.staging, buckets=args.buckets,
+               events_path=args.events).show(truncate=False)
+        print(topic_sentiment_job(spark, read_posts(spark, args.table),
+                                  read_lexicon(spark, args.lexicon), args.out, as_of="now"))
     elif args.cmd == "trending":
         from .plans.trending import trending
         posts = spark.read.parquet(args.posts)
