@@ -29,6 +29,9 @@ def test_epoch_and_iso(spark):
     assert one(spark, "2024-03-01T12:00:00.250Z", iso_to_ts) == dt.datetime(2024, 3, 1, 12, 0, 0, 250000)
     assert one(spark, "2024-03-01T12:00:00", iso_to_ts) == dt.datetime(2024, 3, 1, 12)
     assert one(spark, "yesterday", iso_to_ts) is None
+    assert one(spark, "2024-03-01", iso_to_ts) == dt.datetime(2024, 3, 1)
+    assert one(spark, "2024-03-01T10:30Z", iso_to_ts) == dt.datetime(2024, 3, 1, 10, 30)
+    assert one(spark, "2024-03-01T00:00:00.123456789Z", iso_to_ts) == dt.datetime(2024, 3, 1, 0, 0, 0, 123456)
     ts = dt.datetime(2024, 3, 1, 12, 0, 0, 42)
     assert one(spark, ts, ts_to_iso, "v timestamp_ntz") == "2024-03-01T12:00:00.000042+00:00"
     assert one(spark, dt.datetime(2024, 3, 1), ts_to_iso, "v timestamp_ntz") == "2024-03-01T00:00:00+00:00"

@@ -52,7 +52,11 @@ def iso_to_ts(c) -> Column:
     The instant is taken from the offset (``Z``, ``+hh:mm``); text without an
     offset is read as UTC.
     """
-    s = _c(c)
+    s = F.trim(_c(c))
+    # complete the forms Python's isoformat parser accepts but Spark's does not:
+    # a bare date, and times without seconds
+    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", "$1:00$2")
     zoned = F.when(s.rlike(r"(Z|[+-]\d\d:?\d\d)$"), s).otherwise(F.concat(s, F.lit("+00:00")))
     return micros_to_ts(F.unix_micros(F.try_to_timestamp(zoned)))
 
