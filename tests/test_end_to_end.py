@@ -33,7 +33,7 @@ def test_pipeline(spark, scratch):
     got = [(r.term, r["count"]) for r in trending(posts, as_of, 24, 20).orderBy("rank").collect()]
     want = [(r.term, r["count"]) for r in trending(batch, as_of, 24, 20).orderBy("rank").collect()]
     assert got == want and len(got) > 0
-    lex = fx.test_lexicon(spark)
+    lex = fx.sample_lexicon(spark)
     summary = sentiment_job(spark, posts, lex, f"{scratch}/results").first()
     assert summary.posts_scored == posts.count() and summary.term_rows == 40
     topic_sentiment_job(spark, posts, lex, f"{scratch}/results", as_of=as_of)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from topicscope.fixtures import posts_view
-from topicscope.fixtures import test_lexicon as sample_lexicon
+from topicscope.fixtures import sample_lexicon
 from topicscope.operators.sentiment import score_sentiment
 from topicscope.operators.upsert import upsert_posts
 from topicscope.plans.trending import trending

@@ -118,7 +118,7 @@ deliveries AS (
 # function words of the four languages, chosen among the most frequent ones
 # with mixed signs) plus common English sentiment words.  Without such a
 # lexicon every score on the driver data would be 0 (FIXTURES §3).
-TEST_LEXICON = [
+SAMPLE_LEXICON = [
     ("rewh", 1.5), ("orre", -1.2), ("thatin", 0.8), ("ononst", -2.0), ("inoran", 2.3),
     ("orantion", -0.7), ("hehely", 1.1), ("tion", 0.6), ("ble", -1.4), ("ther", 0.9),
     ("thth", -0.5), ("thon", 1.8), ("ing", 0.4), ("nt", -0.3), ("ly", 0.2),
@@ -129,13 +129,13 @@ TEST_LEXICON = [
 # --- end of fixed values ------------------------------------------------------
 
 
-def test_lexicon(spark: SparkSession) -> DataFrame:
+def sample_lexicon(spark: SparkSession) -> DataFrame:
     from .operators.sentiment import lexicon_from_rows
-    return lexicon_from_rows(spark, TEST_LEXICON)
+    return lexicon_from_rows(spark, SAMPLE_LEXICON)
 
 
 def lexicon_values_sql() -> str:
-    rows = ", ".join(f"('{t}', CAST({v} AS DECIMAL(6,3)))" for t, v in TEST_LEXICON)
+    rows = ", ".join(f"('{t}', CAST({v} AS DECIMAL(6,3)))" for t, v in SAMPLE_LEXICON)
     return f"lexicon(token, valence) AS (VALUES {rows})"
 
 

@@ -36,11 +36,11 @@ def q_keyword_counts_v1(spark, sf_dir):
 
 
 def _scored_posts(spark, sf_dir):
-    from .fixtures import test_lexicon
+    from .fixtures import sample_lexicon
     from .operators.filters import has_title
     from .operators.sentiment import score_sentiment
     posts = has_title(posts_view(spark, sf_dir)).select("source", "external_id", "title")
-    return score_sentiment(posts, test_lexicon(spark))
+    return score_sentiment(posts, sample_lexicon(spark))
 
 
 @query("post_sentiment")
@@ -49,9 +49,9 @@ def q_post_sentiment(spark, sf_dir):
 
 
 def _topic_sentiment(spark, sf_dir):
-    from .fixtures import test_lexicon
+    from .fixtures import sample_lexicon
     from .plans.sentiment_trends import topic_sentiment
-    return topic_sentiment(posts_view(spark, sf_dir), test_lexicon(spark), days=7, min_count=2,
+    return topic_sentiment(posts_view(spark, sf_dir), sample_lexicon(spark), days=7, min_count=2,
                            limit=40)
 
 
@@ -77,11 +77,11 @@ def q_run_summary(spark, sf_dir):
     term_sentiment (atomic replace), summarise from the written tables."""
     import uuid
 
-    from .fixtures import test_lexicon
+    from .fixtures import sample_lexicon
     from .plans.jobs import sentiment_job
     from .session import scratch_path
     out = scratch_path(spark, f"q_run_summary-{uuid.uuid4().hex[:8]}")
-    return sentiment_job(spark, posts_view(spark, sf_dir), test_lexicon(spark), out, limit=40)
+    return sentiment_job(spark, posts_view(spark, sf_dir), sample_lexicon(spark), out, limit=40)
 
 
 @query("topic_sentiment_7d")
@@ -95,14 +95,14 @@ def q_sentiment_trends(spark, sf_dir):
     table (O-17); the list reads it back, empty if missing (O-09)."""
     import uuid
 
-    from .fixtures import test_lexicon
+    from .fixtures import sample_lexicon
     from .plans.jobs import topic_sentiment_job
     from .plans.sentiment_trends import sentiment_trends
     from .schemas import SENTIMENT_TABLE
     from .session import scratch_path
     from .sources.connectors import read_or_empty
     out = scratch_path(spark, f"q_sentiment_trends-{uuid.uuid4().hex[:8]}")
-    topic_sentiment_job(spark, posts_view(spark, sf_dir), test_lexicon(spark), out)
+    topic_sentiment_job(spark, posts_view(spark, sf_dir), sample_lexicon(spark), out)
     table = read_or_empty(spark, f"{out}/topic_sentiment", SENTIMENT_TABLE)
     return sentiment_trends(table, limit=15)
 
@@ -318,7 +318,7 @@ def q_stream_trends(spark, sf_dir):
 
     from pyspark.sql import functions as F
 
-    from .fixtures import test_lexicon
+    from .fixtures import sample_lexicon
     from .session import scratch_path
     from .streaming.trends import bucket_trending, compact_buckets, read_buckets, stream_trends
     base = scratch_path(spark, f"q_stream_trends-{uuid.uuid4().hex[:8]}")
@@ -326,7 +326,7 @@ def q_stream_trends(spark, sf_dir):
     posts.repartitionByRange(8, "created_at").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     q = stream_trends(stream, f"{base}/store", checkpoint=f"{base}/ckpt", delay="36500 days",
-                      lexicon=test_lexicon(spark), trigger={"availableNow": True})
+                      lexicon=sample_lexicon(spark), trigger={"availableNow": True})
     q.awaitTermination()
     compact_buckets(spark, f"{base}/store")          # reads must not change across a compaction
     as_of = posts.select(F.max("created_at")).scalar()
@@ -356,9 +356,9 @@ def q_post_labels(spark, sf_dir):
 @query("event_buckets_30m")
 def q_event_buckets_30m(spark, sf_dir):
     """O-69 batch twin: the 30-minute bucket partials the stream maintains."""
-    from .fixtures import test_lexicon
+    from .fixtures import sample_lexicon
     from .streaming.trends import bucket_partials
-    return bucket_partials(posts_view(spark, sf_dir), "30 minutes", test_lexicon(spark))
+    return bucket_partials(posts_view(spark, sf_dir), "30 minutes", sample_lexicon(spark))
 
 
 @query("latest_posts_keyset")
