@@ -45,3 +45,19 @@ def test_time_functions_ignore_session_zone(spark):
         assert one(spark, 60, epoch_to_ts, "v long") == dt.datetime(1970, 1, 1, 0, 1)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_datetime_literals_ignore_session_and_process_zone(spark):
+    from topicscope.operators.filters import lookback
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 1, 12),), (dt.datetime(2024, 3, 1, 9),)],
+                                   "created_at timestamp_ntz")
+        kept = [r.created_at for r in lookback(df, dt.datetime(2024, 3, 1, 13), hours=2).collect()]
+        assert kept == [dt.datetime(2024, 3, 1, 12)]
+        aware = dt.datetime(2024, 3, 1, 14, tzinfo=dt.timezone(dt.timedelta(hours=1)))  # 13:00 UTC
+        kept = [r.created_at for r in lookback(df, aware, hours=2).collect()]
+        assert kept == [dt.datetime(2024, 3, 1, 12)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -58,10 +58,27 @@ def resolve_as_of(df: DataFrame, as_of=None, col: str = "created_at") -> Column:
             return utc_now()
         return F.current_timestamp()
     if isinstance(as_of, (_dt.datetime, _dt.date, str)):
-        return F.lit(as_of).cast(dtype)
+        return ts_literal(as_of, dtype)
     raise TypeError(f"unsupported as_of {as_of!r}")
 
 
+def ts_literal(value, dtype: str = "timestamp_ntz") -> Column:
+    """A time literal of the column's type, independent of time zones.
+
+    Python datetimes are passed as ISO text: ``F.lit(datetime)`` would be read
+    in the Python process' local zone and then shifted by the session zone
+    when compared with a ``TIMESTAMP_NTZ`` column.  Aware datetimes are first
+    converted to UTC wall time (the meaning of stored times).
+    """
+    if isinstance(value, _dt.datetime):
+        if value.tzinfo is not None:
+            value = value.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+        value = value.isoformat(sep=" ")
+    elif isinstance(value, _dt.date):
+        value = value.isoformat()
+    return F.lit(value).cast(dtype)
+
+
 def _interval(hours: int | None = None, days: int | None = None) -> Column:
     if days is not None:
         return F.expr(f"INTERVAL {int(days)} DAYS")

@@ -41,7 +41,9 @@ def keyset_page(df: DataFrame, cursor_ts, cursor_key, page_size: int = 50,
                 ts_col: str = "created_at", key_col: str = "id") -> DataFrame:
     """O-39 deep pages: rows strictly after the cursor ``(ts, key)`` in
     ``ts desc, key asc`` order; a filter that prunes by ``ts`` statistics."""
+    from .filters import ts_literal
     check_limit(page_size, "page_size")
-    after = ((F.col(ts_col) < F.lit(cursor_ts)) |
-             ((F.col(ts_col) == F.lit(cursor_ts)) & (F.col(key_col) > F.lit(cursor_key))))
+    ts = ts_literal(cursor_ts, dict(df.dtypes)[ts_col])
+    after = ((F.col(ts_col) < ts) |
+             ((F.col(ts_col) == ts) & (F.col(key_col) > F.lit(cursor_key))))
     return df.filter(after).orderBy(F.col(ts_col).desc(), F.col(key_col).asc()).limit(page_size)
