@@ -117,3 +117,25 @@ def test_merge_writes_one_file_per_bucket(spark, scratch):
         if d.startswith("bucket="):
             files = [f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")]
             assert len(files) == 1, (d, files)
+
+
+def test_merged_buckets_are_time_sorted_and_scans_push_the_window(spark, scratch):
+    import datetime as _dt
+    import glob
+
+    import pyarrow.parquet as pq
+    from topicscope.operators.upsert import merge_into_table
+    path = f"{scratch}/posts"
+    rows = [("a", str(i), f"t{i}", i, i) for i in range(120)]
+    b = batch(spark, rows).withColumn("created_at", F.col("created_at")
+                                      + F.expr("INTERVAL 1 MINUTE") * (F.col("seq") * 7 % 120))
+    merge_into_table(spark, path, b.repartition(5), buckets=3, now=now())
+    for f in glob.glob(f"{path}/bucket=*/*.parquet"):
+        ts = pq.read_table(f, columns=["created_at"]).column(0).to_pylist()
+        assert ts == sorted(ts)
+    t = spark.read.parquet(path).filter(F.col("created_at") >= F.lit("2024-01-01 01:00:00")
+                                        .cast("timestamp_ntz"))
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in plan
+    every = [r.created_at for r in spark.read.parquet(path).collect()]
+    assert t.count() == sum(1 for c in every if c >= _dt.datetime(2024, 1, 1, 1)) > 0

@@ -150,9 +150,13 @@ def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
         current = (spark.read.parquet(path).filter(F.col(BUCKET_COL).isin(touched))
                    .drop(BUCKET_COL))
     merged = upsert_posts(current, b.drop(BUCKET_COL), seq_col, now=now, with_flags=True)
-    # one writer task per bucket -> one file per touched bucket (not tasks x buckets)
+    # one writer task per bucket -> one file per touched bucket (not tasks x
+    # buckets); rows sorted by time inside it, so parquet min/max statistics
+    # let look-back filters on created_at skip row groups of every bucket
     merged = (merged.withColumn(BUCKET_COL, key_bucket(buckets))
-                    .repartition(BUCKET_COL).checkpoint(eager=True))
+                    .repartition(BUCKET_COL)
+                    .sortWithinPartitions(BUCKET_COL, "created_at")
+                    .checkpoint(eager=True))
     report = upsert_report(merged).collect()
     (merged.drop("inserted", "deliveries").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET_COL).parquet(path))
