@@ -132,17 +132,21 @@ def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
     the batch touches are read (static partition pruning on a list bounded by
     ``buckets``), merged with the sequence-number upsert and rewritten with
     dynamic partition overwrite; all other buckets are left alone, so a
-    small batch costs a small rewrite however large the table is.  The merged
-    rows are checkpointed into the shared ``spark.checkpoint.dir`` first, so
-    the overwrite never reads the files it replaces and a lost executor
-    recomputes from the checkpoint.  The upsert is idempotent, so a batch
-    retried after a partial failure converges to the same table.
+    small batch costs a small rewrite however large the table is.
+
+    The merged rows are first written once to a staging table in the shared
+    ``spark.checkpoint.dir`` (which also cuts the lineage: the overwrite never
+    reads the files it replaces, and a lost executor recomputes from the
+    staging files), then copied into the touched buckets and the staging
+    folder is removed.  The upsert is idempotent, so a batch retried after a
+    partial failure converges to the same table.
 
     Returns the one-row report (inserted, updated, statements).
     """
-    from ..session import checkpoint_dir
-    from ..sources.connectors import path_has_files
-    checkpoint_dir(spark)
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.connectors import path_has_files, remove_path
     b = batch.withColumn(BUCKET_COL, key_bucket(buckets))
     current = None
     if path_has_files(spark, path):
@@ -153,11 +157,14 @@ def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
     # one writer task per bucket -> one file per touched bucket (not tasks x
     # buckets); rows sorted by time inside it, so parquet min/max statistics
     # let look-back filters on created_at skip row groups of every bucket
-    merged = (merged.withColumn(BUCKET_COL, key_bucket(buckets))
-                    .repartition(BUCKET_COL)
-                    .sortWithinPartitions(BUCKET_COL, "created_at")
-                    .checkpoint(eager=True))
-    report = upsert_report(merged).collect()
-    (merged.drop("inserted", "deliveries").write.mode("overwrite")
+    staging = scratch_path(spark, f"merge-staging-{uuid.uuid4().hex}")
+    (merged.withColumn(BUCKET_COL, key_bucket(buckets))
+           .repartition(BUCKET_COL)
+           .sortWithinPartitions(BUCKET_COL, "created_at")
+           .write.parquet(staging))
+    staged = spark.read.parquet(staging)
+    report = upsert_report(staged).collect()
+    (staged.drop("inserted", "deliveries").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET_COL).parquet(path))
+    remove_path(spark, staging)
     return spark.createDataFrame(report, "inserted BIGINT, updated BIGINT, statements BIGINT")

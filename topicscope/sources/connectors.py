@@ -148,6 +148,13 @@ def path_has_files(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and len(fs.listStatus(p)) > 0
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this package created (staging data) on any Hadoop FS."""
+    fs, p = _hadoop_fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
 def _pointers(spark: SparkSession, base: str) -> list[str]:
     fs, p = _hadoop_fs(spark, base)
     if not fs.exists(p):
