@@ -139,3 +139,17 @@ def test_merged_buckets_are_time_sorted_and_scans_push_the_window(spark, scratch
     assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in plan
     every = [r.created_at for r in spark.read.parquet(path).collect()]
     assert t.count() == sum(1 for c in every if c >= _dt.datetime(2024, 1, 1, 1)) > 0
+
+
+def test_merge_with_an_empty_batch_changes_nothing(spark, scratch):
+    from topicscope.operators.upsert import merge_into_table
+    path = f"{scratch}/posts"
+    merge_into_table(spark, path, batch(spark, [("a", "1", "t", 1, 1)]), buckets=4, now=now())
+    empty = batch(spark, [("a", "1", "t", 1, 1)]).limit(0)
+    rep = merge_into_table(spark, path, empty, buckets=4, now=now()).first()
+    assert (rep.inserted, rep.updated, rep.statements) == (0, 0, 0)
+    assert as_dict(spark.read.parquet(path)) == {("a", "1"): ("t", 1)}
+    fresh = f"{scratch}/fresh"
+    merge_into_table(spark, fresh, empty, buckets=4, now=now())     # first batch empty
+    merge_into_table(spark, fresh, batch(spark, [("b", "2", "u", 5, 9)]), buckets=4, now=now())
+    assert as_dict(spark.read.parquet(fresh)) == {("b", "2"): ("u", 5)}
