@@ -76,8 +76,10 @@ def with_run_seq(batch: DataFrame, run_micros=None) -> DataFrame:
     columns.  Deliveries of one key inside a run are ordered by arrival (the
     upsert breaks ties by row order), so no per-key window -- which would pull
     a hot key's deliveries into one task -- is needed."""
-    run = F.unix_micros(F.current_timestamp()) if run_micros is None else F.lit(run_micros)
-    return batch.withColumn("seq", run)
+    if run_micros is None:
+        import time
+        run_micros = time.time_ns() // 1000          # fixed once per run, also across retries
+    return batch.withColumn("seq", F.lit(int(run_micros)).cast("bigint"))
 
 
 def read_posts(spark: SparkSession, table_base: str) -> DataFrame:
