@@ -71,7 +71,7 @@ WHERE rank <= {int(limit)}"""
 
 def keyword_v1_sql(hours: int | None = 24, limit: int | None = 20) -> str:
     where = "" if hours is None else f"WHERE created_at >= (SELECT t FROM as_of) - INTERVAL {int(hours)} HOURS"
-    pattern = r"[A-Za-z][A-Za-z0-9+#.\-]{2,}"
+    from .plans.trending import KEYWORD_V1_PATTERN as pattern
     ctes = f"""words AS (
   SELECT unnest(regexp_extract_all(lower(coalesce(title, '')), {_q(pattern)}, 0)) AS term
   FROM posts {where}

@@ -11,8 +11,9 @@ from ..operators.aggregates import topic_counts
 from ..operators.filters import check_limit, lookback
 from ..operators.topk import top_k
 
-# O-36 keyword pattern of the first counter: letter + >= 2 of [A-Za-z0-9+#.-]
+# --- fixed value: keyword pattern of the first counter (O-36) ----------------
 KEYWORD_V1_PATTERN = r"[A-Za-z][A-Za-z0-9+#.\-]{2,}"
+# --- end of fixed value ---------------------------------------------------------
 
 
 def all_topics(posts: DataFrame, as_of=None, hours: int | None = 24, stop="api",
