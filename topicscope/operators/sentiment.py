@@ -67,7 +67,7 @@ BOOSTERS_DOWN = [
 # --- end of fixed values -----------------------------------------------------
 
 SENT_DECIMAL = "decimal(18,8)"
-MAX_BROADCAST_LEXICON_ROWS = 5_000_000
+MAX_BROADCAST_LEXICON_ROWS = 500_000      # ~20 MB of (token, decimal) rows
 
 
 def _dec(d: Decimal) -> Column:
