@@ -41,3 +41,18 @@ def test_sentiment_job_writes_tables_and_summary(spark, scratch):
     terms = {r.term: r for r in read_table(spark, f"{scratch}/term_sentiment").collect()}
     assert terms["spark"]["count"] == 4 and s.term_rows == len(terms)
     assert read_table(spark, f"{scratch}/post_sentiment").count() == 3
+
+
+def test_posts_from_broker_records(spark):
+    from topicscope.plans.ingest import posts_from_broker_records
+    def wire(title, score):
+        return json.dumps({"source": "s", "external_id": "1", "title": title, "text": "", "url": None,
+                           "author": "a", "score": score, "created_at": "2024-01-01T00:00:00Z"})
+    recs = spark.createDataFrame(
+        [(0, 1, bytearray(wire("first", 1).encode())), (0, 2, bytearray(b"not json")),
+         (0, 3, bytearray(wire("second", 9).encode()))],
+        "partition int, offset long, value binary")
+    posts, rejected = posts_from_broker_records(recs)
+    rows = posts.collect()
+    assert [(r.title, r.score) for r in rows] == [("first", 9)]
+    assert rejected.first().reason == "malformed_json"

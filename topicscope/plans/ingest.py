@@ -84,3 +84,27 @@ def with_run_seq(batch: DataFrame, run_micros=None) -> DataFrame:
 
 def read_posts(spark: SparkSession, table_base: str) -> DataFrame:
     return spark.read.parquet(table_base).select(*STORED_COLUMNS)
+
+
+def posts_from_broker_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Broker records ``(partition, offset, value)`` -> ``(posts, rejected)``.
+
+    The batch path of the earlier Spark job that read the topic directly:
+    decode strictly (rejects kept, not printed), then collapse deliveries per
+    key with the upsert rule in ``(partition, offset)`` order -- the first
+    delivery's fields, the last delivery's score -- a deterministic
+    replacement for the arbitrary survivor of ``dropDuplicates``.
+    """
+    from ..operators.upsert import stored_view, upsert_posts
+    from ..streaming.ingest import kafka_envelope
+    from ..sources.decode import decode_posts
+    env = kafka_envelope(records)
+    good, rejected = decode_posts(env, "value", keep=("seq",))
+    table = upsert_posts(None, good, "seq", now=F.lit(None).cast("timestamp_ntz"))
+    return stored_view(table).drop("ingested_at"), rejected
+
+
+def read_broker_batch(spark: SparkSession, env: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """O-05: one batch over the whole topic (earliest -> latest offsets)."""
+    from ..sources.connectors import read_kafka
+    return posts_from_broker_records(read_kafka(spark, "batch", env=env))
