@@ -56,3 +56,14 @@ def test_posts_from_broker_records(spark):
     rows = posts.collect()
     assert [(r.title, r.score) for r in rows] == [("first", 9)]
     assert rejected.first().reason == "malformed_json"
+
+
+def test_event_failure_never_blocks_the_ingest(spark, scratch, tmp_path):
+    blocker = tmp_path / "events"
+    blocker.write_text("a file where the events folder should be")
+    hn = spark.createDataFrame([(json.dumps({"id": 1, "type": "story", "title": "t", "time": 1}),)],
+                               "value string")
+    rep = ingest(spark, {"hackernews": hn}, f"{scratch}/posts", f"{scratch}/stage",
+                 events_path=str(blocker), run_id=5)
+    assert rep.first().status == "ok"
+    assert read_posts(spark, f"{scratch}/posts").count() == 1

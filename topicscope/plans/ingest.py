@@ -63,10 +63,9 @@ def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, st
         if events_path:
             import time
 
-            from ..streaming.ingest import batch_event
+            from ..streaming.ingest import write_batch_event
             rid = int(time.time()) if run_id is None else int(run_id)
-            (batch_event(batch, rid).write.mode("overwrite")
-             .parquet(f"{events_path.rstrip('/')}/batch_id={rid}"))
+            write_batch_event(batch, rid, events_path)
     return spark.createDataFrame(report, REPORT_SCHEMA)
 
 

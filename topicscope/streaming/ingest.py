@@ -67,12 +67,23 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table_ba
         (rejected.write.mode("overwrite")
          .parquet(f"{dead_letter.rstrip('/')}/batch_id={int(batch_id)}"))
         merge_into_table(spark, table_base, good, "seq", buckets=buckets, now=now)
-        (batch_event(good, batch_id).write.mode("overwrite")
-         .parquet(f"{events_path.rstrip('/')}/batch_id={int(batch_id)}"))
+        write_batch_event(good, batch_id, events_path)
     finally:
         tagged.unpersist()
 
 
+def write_batch_event(good: DataFrame, batch_id: int, events_path: str) -> bool:
+    """O-18: write the batch event; a failure here never blocks the pipeline
+    (the posts are already merged) -- it is reported and skipped."""
+    try:
+        (batch_event(good, batch_id).write.mode("overwrite")
+         .parquet(f"{events_path.rstrip('/')}/batch_id={int(batch_id)}"))
+        return True
+    except Exception as ex:  # noqa: BLE001 -- notification is best effort
+        print(f"[topicscope] batch event {batch_id} not written: {type(ex).__name__}: {ex}"[:300])
+        return False
+
+
 def stream_upsert(stream: DataFrame, table_base: str, dead_letter: str, events_path: str,
                   checkpoint: str | None = None, trigger: dict | None = None,
                   now=None, buckets: int = DEFAULT_BUCKETS) -> StreamingQuery:
