@@ -59,3 +59,19 @@ def test_digest_message_and_empty(spark):
     empty = spark.createDataFrame([], df.schema)
     none = spark.createDataFrame([], "term string, count long, avg_sentiment double")
     assert digest(empty, none, as_of=T0).first().message.startswith("No data yet")
+
+
+def test_tools_and_sql_views(spark):
+    from topicscope.functions.stopwords import PROFILES, stopwords_frame
+    from topicscope.plans.explore import get_sentiment, get_sources, get_trending, register_views
+    df = posts(spark, 30).withColumn("title", F.lit("Spark streaming rocks"))
+    table = spark.createDataFrame([("spark", 5, 0.5), ("rocks", 3, -0.25)],
+                                  "term string, count long, avg_sentiment double")
+    register_views(spark, df, table)
+    assert spark.sql("SELECT count(*) AS n FROM posts").first().n == 30
+    assert spark.sql("SELECT term FROM topic_sentiment ORDER BY count DESC").first().term == "spark"
+    assert get_trending(df, as_of=T0 + dt.timedelta(hours=1), limit=2).columns == ["term", "count"]
+    assert [r.term for r in get_sentiment(table, limit=1).collect()] == ["spark"]
+    assert get_sources(df, limit=1).count() == 1
+    sw = stopwords_frame(spark)
+    assert {r.profile for r in sw.select("profile").distinct().collect()} == set(PROFILES)
