@@ -46,7 +46,7 @@ TREES, DEPTH = 24, 6
 PREFIXES = (6, 5, 4, 3)
 TARGET_RECALL = 0.9999
 #: Classes of a trie node that are compared as one block.
-BLOCK = 256
+BLOCK = 1024
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
