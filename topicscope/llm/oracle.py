@@ -88,4 +88,81 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM compared
 """
 
-ORACLE = {"op1_jaccard_forest": JACCARD, "op9_quality_rules": QUALITY}
+# Items of fewer than five words take shingles of all their words.
+DECONTAMINATION = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM b),
+ds AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s, length(array_to_string(w[i:i + k - 1], '')) AS c
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes)),
+bs AS (
+  SELECT item_id, n, k, s, count(*) AS copies, any_value(length(replace(s, ' ', ''))) AS c
+  FROM (SELECT item_id, n, k, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT item_id, w, n, k, unnest(range(1, n - k + 2)) AS j FROM b)) GROUP BY 1, 2, 3, 4),
+item AS (SELECT item_id, sum(copies * c) AS weight FROM bs GROUP BY 1),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, n, k, a FROM (
+    SELECT ds.doc_id, item_id, n, ds.k, unnest(range(i - (n - ds.k), i + 1)) AS a FROM ds JOIN bs ON ds.s = bs.s AND ds.k = bs.k) t
+  JOIN (SELECT doc_id, len(w) AS words FROM d) USING (doc_id) WHERE a >= 1 AND a + n - 1 <= words),
+win AS (
+  SELECT t.doc_id, t.item_id, t.n, t.k, t.a, ds.s, ds.c, count(*) AS copies FROM starts t
+  JOIN ds ON ds.doc_id = t.doc_id AND ds.k = t.k AND ds.i BETWEEN t.a AND t.a + t.n - t.k GROUP BY 1, 2, 3, 4, 5, 6, 7),
+sims AS (
+  SELECT win.doc_id, win.item_id, win.n, win.a, sum(win.copies * win.c) AS weight, sum(CASE WHEN bs.copies IS NULL THEN 0 ELSE least(win.copies, bs.copies) * win.c END) AS shared
+  FROM win LEFT JOIN bs ON bs.item_id = win.item_id AND bs.s = win.s GROUP BY 1, 2, 3, 4),
+scored AS (SELECT doc_id, item_id, n, a, shared::DOUBLE / (s.weight + i.weight - shared) AS v FROM sims s JOIN item i USING (item_id))
+SELECT doc_id, item_id, round(v, 6) AS similarity, (a - 1)::BIGINT AS first_word, n::BIGINT AS n_words FROM scored
+WHERE v >= 0.8 - 1e-12 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY v DESC, a) = 1
+"""
+
+ARCHIVE = """
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN other THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN other THEN first END AS refers_to
+FROM (
+  SELECT *, strlen(coalesce(html, '')) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS other
+  FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+"""
+
+
+def _rendered(turns: str) -> str:
+    turn = "'<|im_start|>' || replace(t.role, '<|im_', '<| im_') || chr(10) || replace(t.text, '<|im_', '<| im_') || '<|im_end|>' || chr(10)"
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: {turn}), ''), '')"
+
+
+def _masked(turns: str) -> str:
+    head = "length('<|im_start|>' || replace(t.role, '<|im_', '<| im_') || chr(10))"
+    body = "length(replace(t.text, '<|im_', '<| im_') || '<|im_end|>')"
+    runs = f"{head} || ':0,' || {body} || CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END || ',1:0'"
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: {runs}), ','), '')"
+
+
+PREFERENCE = f"""
+WITH convs AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations GROUP BY 1),
+replies AS (
+  SELECT conv_id, coalesce(text, '') AS reply FROM conversations WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) = 1),
+lasts AS (
+  SELECT conv_id, t, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].role = 'assistant' THEN i END)) AS place FROM convs),
+pairs AS (
+  SELECT l.conv_id AS pair_id, t AS chosen,
+    CASE WHEN place IS NULL THEN t ELSE list_append(t[1:place - 1], {{'role': 'assistant', 'text': coalesce(reply, '')}}) END AS rejected
+  FROM lasts l LEFT JOIN replies r ON r.conv_id = l.conv_id + 1),
+counted AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(chosen), len(rejected)) + 1), lambda i: chosen[i] IS DISTINCT FROM rejected[i])) - 1, len(chosen)) AS n
+  FROM pairs),
+parts AS (SELECT pair_id, n, chosen[1:n] AS p, chosen[n + 1:] AS c, rejected[n + 1:] AS r FROM counted)
+SELECT pair_id, n::BIGINT AS n_prompt_turns, {_rendered("p")} AS prompt, {_rendered("c")} AS chosen, {_masked("c")} AS chosen_mask,
+  {_rendered("r")} AS rejected, {_masked("r")} AS rejected_mask
+FROM parts
+"""
+
+ORACLE = {
+    "op1_jaccard_forest": JACCARD,
+    "op6_preference_format": PREFERENCE,
+    "op7_decontamination": DECONTAMINATION,
+    "op8_warc": ARCHIVE,
+    "op9_quality_rules": QUALITY,
+}

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from topicscope.llm import oracle
+from topicscope.llm.byte_bpe import round_trip_report
+from topicscope.llm.decontamination import benchmark_matches
 from topicscope.llm.jaccard_forest import jaccard_classes
-from topicscope.llm.oracle import ORACLE
+from topicscope.llm.language_fusion import fused_languages
+from topicscope.llm.preference import preference_format, reply_pairs
 from topicscope.llm.quality_rules import quality_rules
+from topicscope.llm.secret_scan import secret_report
+from topicscope.llm.token_files import token_file_report
+from topicscope.llm.warc import archive_report
+from topicscope.llm.word_transducer import token_counts
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +29,53 @@ def op1_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_report(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_report(_table(spark, sf_dir, "documents"), BYTE_RANKS)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format(reply_pairs(_table(spark, sf_dir, "conversations")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_forest, op9_quality_rules)}
-ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES or k == "pipeline"}
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_jaccard_forest, op2_token_counts, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_preference_format,
+        op7_decontamination, op8_warc, op9_quality_rules, op10_language_fusion, pipeline,
+    )
+}
+ORACLE = dict(oracle.ORACLE)
