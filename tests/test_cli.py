@@ -13,7 +13,8 @@ def test_cli_ingest_trending_and_sentiment_job(spark, scratch, tmp_path, capsys)
     lex.write_text("streaming\t1.5\t0.5\t[1]\nspark\t-0.4\t0.2\t[1]\n")
     table = f"{scratch}/posts"
     cli.main(["ingest", "--table", table, "--staging", f"{scratch}/stage",
-              "--feed", f"hackernews={feed}", "--buckets", "4"])
+              "--feed", f"hackernews={feed}"])
+    cli.main(["compact", "--table", table])
     cli.main(["trending", "--posts", table, "--as-of", "2024-01-01T12:00:00", "--limit", "3"])
     out = capsys.readouterr().out
     assert '"term": "spark streaming", "count": 5' in out
@@ -32,7 +33,7 @@ def test_cli_scheduled_run(spark, scratch, tmp_path, capsys):
     lex.write_text("rocks\t2.0\t0.5\t[1]\n")
     cli.main(["scheduled-run", "--table", f"{scratch}/posts", "--staging", f"{scratch}/stage",
               "--feed", f"hackernews={feed}", "--lexicon", str(lex), "--out", f"{scratch}/res",
-              "--events", f"{scratch}/events", "--buckets", "4"])
+              "--events", f"{scratch}/events"])
     from topicscope.schemas import SENTIMENT_TABLE
     from topicscope.sources.connectors import read_or_empty
     t = {r.term: r for r in read_or_empty(spark, f"{scratch}/res/topic_sentiment",

@@ -30,11 +30,13 @@ def test_kafka_codecs_without_broker(spark):
         "source string, external_id string, title string, text string, url string, "
         "author string, score int, created_at timestamp_ntz")
     rec = kafka_records(df).first()
-    assert rec.key == "hackernews" and json.loads(rec.value)["external_id"] == "1"
+    assert rec.key == "hackernews:1" and json.loads(rec.value)["external_id"] == "1"
     k = spark.createDataFrame([(0, 5, bytearray(rec.value.encode()))],
                               "partition int, offset long, value binary")
     env = kafka_envelope(k).first()
-    assert env.seq == 5 and env.value == rec.value
+    assert (env.seq, env.pos, env.value) == (0, [0, 5], rec.value)
+    timed = k.withColumn("timestamp", F.timestamp_micros(F.lit(123)))
+    assert kafka_envelope(timed).first().seq == 123
 
 
 def test_kafka_reader_reports_missing_connector(spark):

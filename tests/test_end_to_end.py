@@ -21,7 +21,7 @@ def test_pipeline(spark, scratch):
     raws = {"hackernews": fx.raw_hackernews(spark, SF).select("value"),
             "reddit": fx.raw_reddit(spark, SF), "bluesky": fx.raw_bluesky(spark, SF)}
     rep = ingest(spark, raws, f"{scratch}/posts", f"{scratch}/stage",
-                 options={"bluesky": {"now": now}}, buckets=8)
+                 options={"bluesky": {"now": now}})
     assert {r.source: r.status for r in rep.collect()} == {
         "hackernews": "ok", "reddit": "ok", "bluesky": "ok"}
     posts = read_posts(spark, f"{scratch}/posts")

@@ -27,11 +27,14 @@ def test_paging_total_and_keyset(spark):
     assert len(r1) == 50 and len(r2) == 50
     assert r1[0].created_at == max(r.created_at for r in r1 + r2)
     assert not {r.id for r in r1} & {r.id for r in r2}
-    # keyset page after the last row of page 1 equals page 2 as a set
-    proj = project_posts(df)
-    last = min(r1, key=lambda r: (r.created_at, -r.id))
-    ks = keyset_page(proj, last.created_at, last.id, 50).collect()
-    assert len(ks) == 50
+    # the keyset page after the last row of page 1 is page 2
+    last = max(r1, key=lambda r: (-r.created_at.timestamp(), r.source))
+    ext = {r.id: r.external_id for r in project_posts(df).join(df.select("source", "external_id", "title"),
+                                                              ["source", "title"]).collect()}
+    r1_last = sorted(((r.created_at, r.source, ext[r.id]) for r in r1), key=lambda x: (-x[0].timestamp(), x[1], x[2]))[-1]
+    assert r1_last[:2] == (last.created_at, last.source)
+    ks = project_posts(keyset_page(df, r1_last[0], r1_last[1:], 50)).collect()
+    assert [r.id for r in ks] == [r.id for r in r2]
     src_only, tot = latest_posts(df, source="hn")
     assert tot.first().total == 60 and all(r.source == "hn" for r in src_only.collect())
 
@@ -53,7 +56,7 @@ def test_digest_message_and_empty(spark):
     df = posts(spark).withColumn("title", F.lit("Spark streaming rocks"))
     table = spark.createDataFrame([("spark", 5, 0.5), ("rocks", 3, -0.25), ("meh", 1, 0.0)],
                                   "term string, count long, avg_sentiment double")
-    d = digest(df, table).first()
+    d = digest(df, table, as_of="latest").first()
     assert d.message.startswith("Top trending topics right now: spark streaming")
     assert 'Most positive: "spark" (+0.50); most negative: "rocks" (-0.25).' in d.message
     empty = spark.createDataFrame([], df.schema)

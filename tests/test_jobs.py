@@ -31,6 +31,46 @@ def test_ingest_isolates_failing_feed(spark, scratch):
     assert (row.title, row.score) == ("good 0", 42)
 
 
+def test_ingest_accounts_for_every_record(spark, scratch):
+    from topicscope.plans.ingest import read_rejects
+    def rows(*values):
+        return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "seq long, value string")
+    story = {"type": "story", "title": "t", "time": 1}
+    hn = rows(json.dumps({"id": 1, **story}), json.dumps({"id": 1, **story, "title": "later", "score": 5}), "null",
+              json.dumps({"id": 2, "type": "comment"}), "{broken", None, json.dumps({"id": 3, **story, "score": "abc"}),
+              json.dumps({"id": 4, **story, "time": "x"}), json.dumps({"id": 5, **story, "by": "a" * 300}),
+              json.dumps({**story}), json.dumps({"id": 6, **story, "score": None, "time": None}))
+    empty = rows(json.dumps({"kind": "identity"}))
+    bad_time = json.dumps({"kind": "commit", "did": "d", "commit": {
+        "operation": "create", "collection": "app.bsky.feed.post", "cid": "c", "rkey": "k",
+        "record": {"text": "hi", "createdAt": "not a time"}}})
+    child = {"data": {"id": "r1", "title": "t", "created_utc": 5}}
+    listing = json.dumps({"data": {"children": [child] * 40 + [{"data": {"id": "r2", "created_utc": "z"}}]}})
+    for feed, raw, want, reasons in (
+            ("hackernews", hn, ("ok", 3, 3, 6), {"malformed_json": 2, "bad_type:score": 1, "bad_time:time": 1,
+                                                 "too_long:author": 1, "null:id": 1}),
+            ("bluesky", empty, ("ok", 0, 0, 0), {}),
+            ("bluesky", rows(bad_time), ("ok", 0, 0, 1), {"bad_time:createdAt": 1}),
+            ("reddit", rows(listing), ("ok", 40, 40, 1), {"bad_time:created_utc": 1})):
+        place = f"{scratch}/{feed}-{len(reasons)}"
+        rep = ingest(spark, {feed: raw}, f"{place}/posts", f"{place}/stage").first()
+        assert (rep.status, rep.fetched, rep.written, rep.rejected) == want, feed
+        found = read_rejects(spark, f"{place}/stage").groupBy("reason").count().collect()
+        assert {r.reason: r["count"] for r in found} == reasons
+    posts = {r.external_id: (r.title, r.score) for r in read_posts(spark, f"{scratch}/hackernews-5/posts").collect()}
+    assert posts == {"1": ("t", 5), "6": ("t", 0)}
+    assert "z" in read_rejects(spark, f"{scratch}/reddit-1/stage").first().record
+
+
+def test_an_empty_feed_does_not_stop_the_others(spark, scratch):
+    good = spark.createDataFrame([(json.dumps({"id": 1, "type": "story", "title": "t"}),)], "value string")
+    none = spark.createDataFrame([(json.dumps({"kind": "identity"}),)], "value string")
+    rep = {r.source: (r.status, r.written) for r in
+           ingest(spark, {"bluesky": none, "hackernews": good}, f"{scratch}/posts", f"{scratch}/stage").collect()}
+    assert rep == {"bluesky": ("ok", 0), "hackernews": ("ok", 1)}
+    assert read_posts(spark, f"{scratch}/posts").count() == 1
+
+
 def test_sentiment_job_writes_tables_and_summary(spark, scratch):
     posts = spark.createDataFrame([("s", str(i), t) for i, t in enumerate(
         ["good news about spark", "bad spark day", "spark spark good", None])],

@@ -6,12 +6,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from topicscope.fixtures import posts_view
 from topicscope.fixtures import sample_lexicon
 from topicscope.operators.sentiment import score_sentiment
 from topicscope.operators.upsert import upsert_posts
 from topicscope.plans.trending import trending
+from topicscope.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,13 +31,28 @@ def test_trending_one_shuffle_with_map_side_combine(spark):
     assert final.count("regexp_extract_all(regexp_replace(lower(") == 1
 
 
+def test_large_limits_take_before_they_rank(spark):
+    p = final_plan(trending(posts_view(spark, SF), as_of=dt.datetime(2024, 1, 20), hours=24, limit=5000))
+    final = p.split("== Initial Plan ==")[0]
+    assert "TakeOrderedAndProject(limit=5000" in final
+    for exchange in [k.start() for k in re.finditer("Exchange SinglePartition", final)]:
+        assert "TakeOrderedAndProject" in final[exchange:exchange + 400]     # its input is the k rows
+
+
+def test_keyset_filter_reaches_the_scan(spark, scratch):
+    from topicscope.operators.topk import keyset_page
+    posts_view(spark, SF).write.parquet(scratch)
+    df = keyset_page(spark.read.parquet(scratch), dt.datetime(2024, 1, 20), ("src1", "5"))
+    assert "LessThanOrEqual(created_at" in final_plan(df)
+
+
 def test_sentiment_shares_one_exchange_and_never_sorts_posts(spark):
     posts = posts_view(spark, SF).select("source", "external_id", "title")
     p = final_plan(score_sentiment(posts, sample_lexicon(spark)))
     final = p.split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
     own = [ln for ln in final.splitlines()
-           if "REPARTITION_BY_COL" in ln and "ReusedExchange" not in ln]
+           if "hashpartitioning(source" in ln and "REPARTITION_BY_COL" in ln and "ReusedExchange" not in ln]
     assert len(own) == 1                           # one exchange of the post rows, read twice
     assert "ShuffledHashJoin" in final and "SortMergeJoin" not in final
     assert "BroadcastHashJoin" in final            # lexicon probe
@@ -58,9 +73,9 @@ def test_upsert_combines_map_side_before_its_shuffle(spark):
     assert {r.external_id: r.score for r in df.collect()} == {"hot": 299, "cold": 1}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries()
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES
                                         if not n.startswith(("stream_", "batch_events"))))
 def test_no_python_and_no_cartesian(spark, name):
-    p = final_plan(entry.queries()[name](spark, SF))
+    p = final_plan(QUERIES[name](spark, SF))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in p, (name, bad)

@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from topicscope.fixtures import TABLES
+from topicscope.oracle import ORACLE
+from topicscope.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,13 +38,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF)
-    res = con.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())

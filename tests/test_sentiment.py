@@ -124,17 +124,21 @@ def test_scores_match_brute_force(spark, texts):
         assert got[str(i)] == py_score(t), t
 
 
-def test_lexicon_beyond_the_bound_is_not_broadcast(spark):
-    from topicscope.operators.sentiment import lexicon_join_side
+def test_explode_is_narrow_and_both_joins_agree(spark):
     lex = lexicon_from_rows(spark, [(f"w{i}", 1.0) for i in range(20)])
-    small = lexicon_join_side(lex, max_rows=50)
-    big = lexicon_join_side(lex, max_rows=5)
-    df = spark.createDataFrame([("1", "w1 w2")], "id string, title string")
-    plan_small = score_sentiment(df, None, key=("id",), lexicon_checked=small)._jdf \
-        .queryExecution().executedPlan().toString()
-    out_big = score_sentiment(df, None, key=("id",), lexicon_checked=big)
-    assert "BroadcastHashJoin" in plan_small
-    # beyond the bound no hint is given (AQE may still broadcast from runtime sizes);
-    # the scores are the same either way
-    assert out_big.first().sentiment == score_sentiment(df, None, key=("id",),
-                                                        lexicon_checked=small).first().sentiment
+    df = spark.createDataFrame([("1", "w1 w2 not w3 BUT W4 x"), ("2", "none")], "id string, title string")
+    want = {r.id: r.sentiment for r in score_sentiment(df, lex, key=("id",)).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = score_sentiment(df, lex, key=("id",))
+        got = {r.id: r.sentiment for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == want and want["2"] == 0.0
+    # no exchange carries a token array: what is exploded is one narrow struct per token
+    for line in plan.splitlines():
+        if "Exchange" in line:
+            assert "__toks" not in line
+    assert "Generate explode(x" in plan or "explode" in plan

@@ -36,6 +36,7 @@ def test_reddit_fractional_time_and_limit(spark):
     children = [{"data": {"id": f"r{i}", "title": "t", "permalink": f"/r/x/{i}",
                           "created_utc": 1.5}} for i in range(30)]
     v = json.dumps({"data": {"children": children}})
+    assert normalize_reddit(raw(spark, [v])).count() == 30          # no default limit
     rows = normalize_reddit(raw(spark, [v]), limit_per_listing=25).collect()
     assert len(rows) == 25
     assert rows[0].created_at == dt.datetime(1970, 1, 1, 0, 0, 1, 500000)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicscope.streaming.ingest import read_envelopes, stream_upsert
 from topicscope.streaming.trends import bucket_trending, read_buckets, stream_trends
+from topicscope.plans.ingest import read_posts
 from topicscope.plans.trending import trending
 
 
@@ -27,7 +28,7 @@ def test_stream_upsert_dead_letter_and_events(spark, scratch):
                       f"{scratch}/posts", f"{scratch}/dead", f"{scratch}/events",
                       checkpoint=f"{scratch}/ckpt", now=now)
     q.awaitTermination()
-    t = {r.external_id: (r.title, r.score) for r in spark.read.parquet(f"{scratch}/posts").collect()}
+    t = {r.external_id: (r.title, r.score) for r in read_posts(spark, f"{scratch}/posts").collect()}
     assert t == {"1": ("first", 9), "2": ("other", 4)}
     dead = spark.read.parquet(f"{scratch}/dead")
     assert dead.count() == 2
@@ -39,7 +40,7 @@ def test_stream_upsert_dead_letter_and_events(spark, scratch):
                       f"{scratch}/dead", f"{scratch}/events", checkpoint=f"{scratch}/ckpt",
                       now=now)
     q.awaitTermination()
-    t2 = {r.external_id: (r.title, r.score) for r in spark.read.parquet(f"{scratch}/posts").collect()}
+    t2 = {r.external_id: (r.title, r.score) for r in read_posts(spark, f"{scratch}/posts").collect()}
     assert t2 == t
 
 
@@ -56,7 +57,7 @@ def test_stream_trends_equal_batch_and_drop_redelivery(spark, scratch):
     q.awaitTermination()
     got = {r.term: r["count"] for r in
            bucket_trending(read_buckets(spark, f"{scratch}/store"), hours=None, limit=100).collect()}
-    want = {r.term: r["count"] for r in trending(df, hours=100000, limit=100).collect()}
+    want = {r.term: r["count"] for r in trending(df, as_of="latest", hours=100000, limit=100).collect()}
     assert got == want
 
 
@@ -100,6 +101,30 @@ def test_compaction_keeps_trends_exact(spark, scratch):
     assert compact_buckets(spark, f"{scratch}/store") == upto      # nothing new: no-op
 
 
+def test_restart_compaction_and_new_posts(spark, scratch):
+    """The default checkpoint belongs to the store: batch ids go on, nothing is dropped or counted twice."""
+    import os
+    from topicscope.streaming.trends import compact_buckets
+    schema = "source string, external_id string, title string, created_at timestamp_ntz"
+    base = dt.datetime(2024, 1, 1)
+    for k, title in enumerate(("alpha story", "beta story", "gamma story")):
+        spark.createDataFrame([("s", str(k), title, base + dt.timedelta(days=k))], schema).coalesce(1) \
+             .write.mode("append").parquet(f"{scratch}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{scratch}/in")
+        stream_trends(stream, f"{scratch}/store").awaitTermination()
+        if k < 2:
+            compact_buckets(spark, f"{scratch}/store")
+            assert not [n for n in os.listdir(f"{scratch}/store/batches") if n.startswith("batch_id=")]
+        got = {r.term: r["count"] for r in bucket_trending(read_buckets(spark, f"{scratch}/store"), hours=None, limit=50).collect()}
+        assert got["story"] == k + 1 and got[title.split()[0]] == 1
+    compact_buckets(spark, f"{scratch}/store")
+    compact_buckets(spark, f"{scratch}/store")
+    versions = [n for n in os.listdir(f"{scratch}/store/compacted") if n.startswith("v-")]
+    assert len(versions) <= 2
+    recent = read_buckets(spark, f"{scratch}/store", since=base + dt.timedelta(days=2))
+    assert {r.term for r in recent.collect()} == {"gamma", "story", "gamma story"}
+
+
 def test_native_windowed_stream_matches_batch_for_closed_buckets(spark, scratch):
     from topicscope.streaming.trends import bucket_partials, stream_topic_windows
     schema = "source string, external_id string, title string, created_at timestamp_ntz"

@@ -80,76 +80,107 @@ def test_dedup_keys(spark):
     assert dedup_posts(b).count() == 2
 
 
-def test_merge_into_table_rewrites_only_touched_buckets(spark, scratch):
+def stored(spark, path):
+    from topicscope.plans.ingest import read_posts
+    return as_dict(read_posts(spark, path))
+
+
+def test_merge_appends_and_compaction_publishes(spark, scratch):
     import os
-    from topicscope.operators.upsert import merge_into_table
+    from topicscope.operators.upsert import compact_posts, merge_into_table
+    from topicscope.sources.connectors import current_version_path
     path = f"{scratch}/posts"
-    first = batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(40)])
-    rep = merge_into_table(spark, path, first, buckets=8, now=now()).first()
-    assert (rep.inserted, rep.updated, rep.statements) == (40, 0, 40)
-    before = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("bucket=")}
-    upd = batch(spark, [("a", "3", "changed", 99, 100)])
-    rep = merge_into_table(spark, path, upd, buckets=8, now=now()).first()
-    assert (rep.inserted, rep.updated) == (0, 1)
-    after = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("bucket=")}
-    changed = [d for d in before if before[d] != after[d]]
-    assert len(changed) == 1
-    t = as_dict(spark.read.parquet(path))
-    assert len(t) == 40 and t[("a", "3")] == ("t3", 99)
-    merge_into_table(spark, path, upd, buckets=8, now=now())          # replay: no change
-    assert as_dict(spark.read.parquet(path)) == t
-
-
-def test_equal_sequence_numbers_keep_arrival_order(spark):
-    # one ingest run: every row has the run's sequence number
-    rows = [("a", "1", "first", 1, 7), ("a", "1", "second", 2, 7), ("a", "1", "third", 3, 7)]
-    t = upsert_posts(None, batch(spark, rows).coalesce(1), now=now())
-    assert as_dict(t) == {("a", "1"): ("first", 3)}
-
-
-def test_merge_writes_one_file_per_bucket(spark, scratch):
-    import os
-    from topicscope.operators.upsert import merge_into_table
+    first = batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(40)] + [("b", "1", "x", 1, 1)])
+    rep = {r.source: (r.statements, r["keys"]) for r in merge_into_table(spark, path, first, now=now()).collect()}
+    assert rep == {"a": (40, 40), "b": (1, 1)}
+    upd = batch(spark, [("a", "3", "changed", 99, 100), ("a", "3", "again", 98, 99)])
+    rep = merge_into_table(spark, path, upd, now=now()).first()
+    assert (rep.statements, rep["keys"]) == (2, 1)
+    t = stored(spark, path)
+    assert len(t) == 41 and t[("a", "3")] == ("t3", 99)
+    merge_into_table(spark, path, upd, now=now())                     # replay: no change
+    assert stored(spark, path) == t
+    for _ in range(3):
+        compact_posts(spark, path)
+        assert stored(spark, path) == t
+        merge_into_table(spark, path, upd, now=now())
+        assert stored(spark, path) == t
+    versions = [n for n in os.listdir(path) if n.startswith("v-")]
+    assert len(versions) == 2 and current_version_path(spark, path).endswith(tuple(versions))
+
+
+def test_a_crash_between_writing_and_publishing_loses_nothing(spark, scratch, monkeypatch):
+    import pytest
+    from topicscope.operators import upsert
+    from topicscope.sources import connectors
     path = f"{scratch}/posts"
-    rows = [("a", str(i), f"t{i}", i, i) for i in range(200)]
-    merge_into_table(spark, path, batch(spark, rows).repartition(7), buckets=4, now=now())
-    for d in os.listdir(path):
-        if d.startswith("bucket="):
-            files = [f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")]
-            assert len(files) == 1, (d, files)
+    upsert.merge_into_table(spark, path, batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(10)]), now=now())
+    upsert.compact_posts(spark, path)
+    upsert.merge_into_table(spark, path, batch(spark, [("a", "1", "new", 50, 60), ("a", "77", "t77", 7, 61)]), now=now())
+    t = stored(spark, path)
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(connectors, "_publish_pointer", lost)
+        with pytest.raises(RuntimeError):
+            upsert.compact_posts(spark, path)
+    assert stored(spark, path) == t
+    with monkeypatch.context() as m:
+        m.setattr(connectors, "remove_path", lost)                     # after the switch, before the clean-up
+        with pytest.raises(RuntimeError):
+            upsert.compact_posts(spark, path)
+            upsert.compact_posts(spark, path)
+            upsert.compact_posts(spark, path)
+    assert stored(spark, path) == t
+    upsert.compact_posts(spark, path)
+    assert stored(spark, path) == t
+
+
+def test_positions_decide_inside_one_run(spark, scratch):
+    """A small file that was delivered first and a large one: files are packed by size, order is not."""
+    from topicscope.operators.upsert import merge_into_table
+    first = batch(spark, [("a", "1", "FIRST", 1, 7)]).withColumn("pos", F.array(F.lit(1)))
+    second = batch(spark, [("a", "1", "SECOND", 2, 7)] + [("a", str(i), "x" * 50, i, 7) for i in range(2, 900)])
+    second = second.withColumn("pos", F.array(F.lit(2)))
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(f"{scratch}/landed")
+    merge_into_table(spark, f"{scratch}/posts", spark.read.parquet(f"{scratch}/landed"), now=now())
+    assert stored(spark, f"{scratch}/posts")[("a", "1")] == ("FIRST", 2)
 
 
-def test_merged_buckets_are_time_sorted_and_scans_push_the_window(spark, scratch):
-    import datetime as _dt
-    import glob
+def test_equal_orders_do_not_depend_on_the_cut(spark):
+    rows = [("a", "1", t, s, 7) for t, s in (("p", 1), ("q", 2), ("r", 3))]
+    results = {tuple(as_dict(upsert_posts(None, batch(spark, r).repartition(n), now=now())).items())
+               for r in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(results) == 1
 
-    import pyarrow.parquet as pq
-    from topicscope.operators.upsert import merge_into_table
+
+def test_compacted_days_and_pushed_window(spark, scratch):
+    import datetime as _dt
+    from topicscope.operators.upsert import compact_posts, merge_into_table
+    from topicscope.plans.ingest import read_posts
     path = f"{scratch}/posts"
-    rows = [("a", str(i), f"t{i}", i, i) for i in range(120)]
-    b = batch(spark, rows).withColumn("created_at", F.col("created_at")
-                                      + F.expr("INTERVAL 1 MINUTE") * (F.col("seq") * 7 % 120))
-    merge_into_table(spark, path, b.repartition(5), buckets=3, now=now())
-    for f in glob.glob(f"{path}/bucket=*/*.parquet"):
-        ts = pq.read_table(f, columns=["created_at"]).column(0).to_pylist()
-        assert ts == sorted(ts)
-    t = spark.read.parquet(path).filter(F.col("created_at") >= F.lit("2024-01-01 01:00:00")
-                                        .cast("timestamp_ntz"))
+    b = batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(120)])
+    b = b.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR") * (F.col("seq") * 7 % 120))
+    merge_into_table(spark, path, b.repartition(5), now=now())
+    compact_posts(spark, path)
+    t = read_posts(spark, path).filter(F.col("created_at") >= F.lit("2024-01-03 01:00:00").cast("timestamp_ntz"))
     plan = t._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in plan
-    every = [r.created_at for r in spark.read.parquet(path).collect()]
-    assert t.count() == sum(1 for c in every if c >= _dt.datetime(2024, 1, 1, 1)) > 0
+    assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in plan and "Aggregate" not in plan
+    every = [r.created_at for r in read_posts(spark, path).collect()]
+    assert t.count() == sum(1 for c in every if c >= _dt.datetime(2024, 1, 3, 1)) > 0
 
 
 def test_merge_with_an_empty_batch_changes_nothing(spark, scratch):
-    from topicscope.operators.upsert import merge_into_table
+    from topicscope.operators.upsert import compact_posts, merge_into_table
     path = f"{scratch}/posts"
-    merge_into_table(spark, path, batch(spark, [("a", "1", "t", 1, 1)]), buckets=4, now=now())
+    assert stored(spark, path) == {}
     empty = batch(spark, [("a", "1", "t", 1, 1)]).limit(0)
-    rep = merge_into_table(spark, path, empty, buckets=4, now=now()).first()
-    assert (rep.inserted, rep.updated, rep.statements) == (0, 0, 0)
-    assert as_dict(spark.read.parquet(path)) == {("a", "1"): ("t", 1)}
-    fresh = f"{scratch}/fresh"
-    merge_into_table(spark, fresh, empty, buckets=4, now=now())     # first batch empty
-    merge_into_table(spark, fresh, batch(spark, [("b", "2", "u", 5, 9)]), buckets=4, now=now())
-    assert as_dict(spark.read.parquet(fresh)) == {("b", "2"): ("u", 5)}
+    assert merge_into_table(spark, path, empty, now=now()).count() == 0
+    compact_posts(spark, path)
+    assert stored(spark, path) == {}
+    merge_into_table(spark, path, batch(spark, [("a", "1", "t", 1, 1)]), now=now())
+    merge_into_table(spark, path, empty, now=now())
+    assert stored(spark, path) == {("a", "1"): ("t", 1)}

@@ -4,11 +4,12 @@
   python -m topicscope.cli sentiment-job --posts PATH --lexicon TSV --out PATH
   python -m topicscope.cli topic-sentiment-job --posts PATH --lexicon TSV --out PATH
   python -m topicscope.cli stream-ingest --envelopes PATH --table PATH --dead PATH --events PATH
+  python -m topicscope.cli compact --table PATH
   python -m topicscope.cli trending --posts PATH [--hours 24 --limit 20 --as-of ISO]
   python -m topicscope.cli scheduled-run --table PATH --staging PATH --feed ... --lexicon TSV --out PATH --events PATH
 
 Raw feeds are landed JSON (one record per line) read with a ``value`` column;
-posts tables are the parquet tables written by ``ingest`` / ``stream-ingest``.
+posts tables are those written by ``ingest`` / ``stream-ingest``.
 The session comes from ``spark-submit`` (or a local one when run directly).
 """
 
@@ -18,6 +19,7 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _session() -> SparkSession:
@@ -29,8 +31,21 @@ def _session() -> SparkSession:
 
 
 def _raw(spark: SparkSession, path: str):
-    """Landed JSON lines as a ``value`` column (one record per line)."""
-    return spark.read.text(path)
+    """Landed JSON lines as ``value`` (one record per line) with their arrival order ``seq``:
+    files by modification time, lines by place."""
+    m = F.col("_metadata")
+    order = F.array(F.unix_micros(m["file_modification_time"]), F.xxhash64(m["file_path"]),
+                    m["file_block_start"], F.monotonically_increasing_id())   # line order inside a split
+    return spark.read.text(path).select(order.alias("seq"), "value")
+
+
+def _posts(spark: SparkSession, path: str):
+    """A posts table written by ``ingest`` / ``stream-ingest``, or a plain parquet folder of posts."""
+    from .plans.ingest import read_posts
+    from .sources.connectors import current_version_path, path_has_files
+    if current_version_path(spark, path) or path_has_files(spark, f"{path}/log"):
+        return read_posts(spark, path)
+    return spark.read.parquet(path)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -40,7 +55,6 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--table", required=True)
     a.add_argument("--staging", required=True)
     a.add_argument("--feed", action="append", default=[], help="name=path of landed JSON lines")
-    a.add_argument("--buckets", type=int, default=256)
     s = sub.add_parser("sentiment-job")
     s.add_argument("--posts", required=True)
     s.add_argument("--lexicon", required=True)
@@ -64,7 +78,8 @@ def main(argv: list[str] | None = None) -> None:
     sr.add_argument("--lexicon", required=True)
     sr.add_argument("--out", required=True)
     sr.add_argument("--events", required=True)
-    sr.add_argument("--buckets", type=int, default=256)
+    c = sub.add_parser("compact", help="fold the posts table's log into a new version")
+    c.add_argument("--table", required=True)
     g = sub.add_parser("trending")
     g.add_argument("--posts", required=True)
     g.add_argument("--hours", type=int, default=24)
@@ -79,17 +94,17 @@ def main(argv: list[str] | None = None) -> None:
         for spec in args.feed:
             name, path = spec.split("=", 1)
             feeds[name] = _raw(spark, path)
-        ingest(spark, feeds, args.table, args.staging, buckets=args.buckets).show(truncate=False)
+        ingest(spark, feeds, args.table, args.staging).show(truncate=False)
     elif args.cmd == "sentiment-job":
         from .operators.sentiment import read_lexicon
         from .plans.jobs import sentiment_job
-        posts = spark.read.parquet(args.posts)
+        posts = _posts(spark, args.posts)
         summary = sentiment_job(spark, posts, read_lexicon(spark, args.lexicon), args.out).first()
         print(json.dumps(summary.asDict()))
     elif args.cmd == "topic-sentiment-job":
         from .operators.sentiment import read_lexicon
         from .plans.jobs import topic_sentiment_job
-        posts = spark.read.parquet(args.posts)
+        posts = _posts(spark, args.posts)
         print(topic_sentiment_job(spark, posts, read_lexicon(spark, args.lexicon), args.out,
                                   as_of=args.as_of))
     elif args.cmd == "stream-ingest":
@@ -113,13 +128,16 @@ def main(argv: list[str] | None = None) -> None:
         for spec in args.feed:
             name, path = spec.split("=", 1)
             feeds[name] = _raw(spark, path)
-        ingest(spark, feeds, args.table, args.staging, buckets=args.buckets,
+        ingest(spark, feeds, args.table, args.staging,
                events_path=args.events).show(truncate=False)
         print(topic_sentiment_job(spark, read_posts(spark, args.table),
                                   read_lexicon(spark, args.lexicon), args.out, as_of="now"))
+    elif args.cmd == "compact":
+        from .operators.upsert import compact_posts
+        print(compact_posts(spark, args.table))
     elif args.cmd == "trending":
         from .plans.trending import trending
-        posts = spark.read.parquet(args.posts)
+        posts = _posts(spark, args.posts)
         out = trending(posts, as_of=args.as_of, hours=args.hours, limit=args.limit)
         for row in out.orderBy("rank").collect():          # at most --limit rows
             print(json.dumps({"term": row.term, "count": row["count"]}))

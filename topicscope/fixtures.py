@@ -23,22 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when the scan yields fewer splits than
-    the cluster has cores (one large row group of long texts would otherwise
-    tokenise in a single task).  Large inputs already have enough splits and
-    pass through without a shuffle."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a remote session): keep the scan
-        return df
-    return df.repartition(target, key)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    """Texts dealt out by id: the driver's table is a single file of long texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition("doc_id")
 
 
 def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +167,7 @@ def raw_hackernews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings of at most 25 children: one per (source, block of 25 doc ids)."""
+    """Listings of up to 100 children: one per (source, block of 2,000 doc ids)."""
     pe = post_events(spark, sf_dir)
     et = F.col("event_type")
     child = F.struct(F.struct(
@@ -190,11 +177,56 @@ def raw_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("author"),
         F.when(et != "purchase", F.col("score")).alias("score"),
         (F.round(F.col("micros") / 1000) / 1000.0).alias("created_utc")).alias("data"))
-    listings = (pe.groupBy("source", F.floor(F.col("doc_id") / 25).alias("block"))
+    listings = (pe.groupBy("source", F.floor(F.col("doc_id") / 2000).alias("block"))
                   .agg(F.collect_list(child).alias("children")))
     return listings.select(F.to_json(F.struct(F.struct("children").alias("data"))).alias("value"))
 
 
+def raw_hackernews_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of which some cannot be used: error -> cut JSON, click -> a score that is no
+    number, signup -> a time that is none, purchase -> no id, view with an even id -> an author
+    that is too long."""
+    pe = post_events(spark, sf_dir)
+    et = F.col("event_type")
+    too_long = (et == "view") & (F.col("doc_id") % 2 == 0)
+    item = F.struct(
+        F.when(et != "purchase", F.col("doc_id").cast("string")).alias("id"),
+        F.lit("story").alias("type"), F.col("title"),
+        F.when(too_long, F.rpad(F.col("author"), 256, "x")).otherwise(F.col("author")).alias("by"),
+        F.when(et == "click", F.lit("many")).otherwise(F.col("score").cast("string")).alias("score"),
+        F.when(et == "signup", F.lit("yesterday"))
+         .otherwise(F.floor(F.col("micros") / 1000000).cast("string")).alias("time"))
+    whole = F.to_json(item)
+    cut = F.expr("substring(__whole, 1, length(__whole) - 1)")
+    return (pe.withColumn("__whole", whole)
+              .select(F.col("doc_id").alias("seq"),
+                      F.when(et == "error", cut).otherwise(F.col("__whole")).alias("value")))
+
+
+def raw_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of which every record is skipped: stories posted as another collection."""
+    pe = post_events(spark, sf_dir)
+    ev = F.struct(F.lit("commit").alias("kind"), F.col("author").alias("did"),
+                  F.struct(F.lit("create").alias("operation"), F.lit("other").alias("collection")).alias("commit"))
+    return pe.select(F.col("doc_id").alias("seq"), F.to_json(ev).alias("value"))
+
+
+def user_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's stop list as a table: all words of the benchmark texts."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), 0)).alias("word")
+    return table(spark, sf_dir, "benchmark").select(words)
+
+
+def broker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivery log as broker records: values without key, dealt over three partitions."""
+    from .sources.decode import encode_posts
+    d = delivery_log(spark, sf_dir)
+    return d.select((F.col("seq") % 3).cast("int").alias("partition"),
+                    F.floor(F.col("seq") / 3).alias("offset"),
+                    F.timestamp_micros(F.col("seq")).alias("timestamp"),
+                    encode_posts(d).cast("binary").alias("value"))
+
+
 def raw_bluesky(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.scalar import ts_to_iso
     pe = post_events(spark, sf_dir)
@@ -215,6 +247,19 @@ def raw_bluesky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pe.select(F.to_json(ev).alias("value"))
 
 
+def reject_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire JSON of every delivery, ``seq`` with it; by event type: signup -> null title,
+    purchase -> key too long, error -> unreadable time; the others are good."""
+    from .sources.decode import encode_posts
+    d = delivery_log(spark, sf_dir).withColumn("kind", F.col("source"))
+    d = (d.withColumn("title", F.when(F.col("kind") != "signup", F.col("title")))
+          .withColumn("external_id", F.when(F.col("kind") == "purchase", F.rpad("external_id", 129, "x"))
+                      .otherwise(F.col("external_id")))
+          .withColumn("created_at", F.when(F.col("kind") == "error", F.lit("soon"))
+                      .otherwise(F.col("created_at").cast("string"))))
+    return d.select("seq", encode_posts(d).alias("value"))
+
+
 def wire_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire JSON of every post; error -> truncated, signup -> extra key,
     purchase -> missing ``url`` key."""

@@ -74,8 +74,14 @@ using can not no yes if then than so but about into over more most
 """
 # --- end of fixed values ----------------------------------------------------
 
+# The first trending counter had the API list without its line of number words.
+_API_V1 = _API.strip().split("\n", 1)[1]
+# The API list ends with one line for each further language.
+_LANGUAGES = dict(zip(("de", "es", "fr"), (line.split() for line in _API.strip().split("\n")[-3:])))
+
 _PROFILES = {
     "api": _API,
+    "api_v1": _API_V1,
     "direct": _DIRECT,
     "spark": _SPARK,
     "spark_v1": _SPARK_V1,
@@ -95,10 +101,15 @@ def stopwords(profile: str = "api", extra: list[str] | None = None) -> list[str]
     return sorted(words)
 
 
+def word_language(word: str) -> str:
+    """The language under which a word is listed (the first that lists it; else 'en')."""
+    return next((lang for lang, words in _LANGUAGES.items() if word in words), "en")
+
+
 def stopwords_frame(spark: SparkSession) -> DataFrame:
-    """All profiles as a small ``(profile STRING, word STRING)`` table."""
-    rows = [(p, w) for p in PROFILES for w in stopwords(p)]
-    return spark.createDataFrame(rows, "profile STRING, word STRING")
+    """All profiles as a small ``(profile STRING, lang STRING, word STRING)`` table."""
+    rows = [(p, word_language(w), w) for p in PROFILES for w in stopwords(p)]
+    return spark.createDataFrame(rows, "profile STRING, lang STRING, word STRING")
 
 
 def sql_list(profile: str = "api") -> str:
@@ -106,21 +117,9 @@ def sql_list(profile: str = "api") -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in stopwords(profile))
 
 
-MAX_USER_STOPWORDS = 100_000
-
-
-def stopwords_from_frame(df: DataFrame, profile: str | None = None, base: str | None = "api",
-                         max_words: int = MAX_USER_STOPWORDS) -> list[str]:
-    """User stop lists kept as a table ``(profile, word)`` or ``(word)``.
-
-    The words become a literal hash-set filter (``InSet``), so the list is
-    read to the driver -- only after checking it is within ``max_words``.
-    ``base`` names a built-in profile to extend (None: the user list alone).
-    """
+def stop_table(df: DataFrame, profile: str | None = None) -> DataFrame:
+    """A user's stop list kept as a table ``(profile, word)`` or ``(word)``, of any
+    size, as distinct lower-case words for ``functions.text.with_topics_without``."""
     if profile is not None and "profile" in df.columns:
         df = df.filter(F.col("profile") == profile)
-    words = df.select(F.lower(F.col("word")).alias("w")).distinct()
-    rows = words.limit(max_words + 1).collect()
-    if len(rows) > max_words:
-        raise ValueError(f"stop list larger than {max_words} words; join it as a table instead")
-    return stopwords(base, [r.w for r in rows]) if base else sorted(r.w for r in rows)
+    return df.select(F.lower(F.col("word")).alias("word")).filter(F.col("word").isNotNull()).distinct()

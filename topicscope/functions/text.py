@@ -30,6 +30,8 @@ URL_PATTERN = (r"https?://" + NON_SPACE + r"+|www\." + NON_SPACE + r"+|"
 HASHTAG_PATTERN = r"#(" + WORD_CHAR + r"{2,30})"
 # keyword: ASCII letter followed by at least two of letters ' + -
 KEYWORD_PATTERN = r"[A-Za-z][A-Za-z'+\-]{2,}"
+# the same with letters of every script (not in the reference, Q8)
+UNICODE_KEYWORD_PATTERN = r"\p{L}[\p{L}\p{M}'+\-]{2,}"
 # term split of the batch job: runs of anything but a-z 0-9 # +
 TERM_SPLIT_PATTERN = r"[^a-z0-9#+]+"
 TERM_PATTERN = r"[a-z0-9#+]+"          # the pieces between those runs
@@ -50,18 +52,23 @@ def strip_urls(c) -> Column:
     return F.regexp_replace(_c(c), URL_PATTERN, " ")
 
 
-def hashtags(title) -> Column:
-    """O-47: ``#`` + lower-cased body of every hashtag of the raw title."""
-    return F.transform(F.regexp_extract_all(_c(title), F.lit(HASHTAG_PATTERN), 1),
+def hashtags(title, strip_first: bool = False) -> Column:
+    """O-47: ``#`` + lower-cased body of every hashtag of the title; with
+    ``strip_first`` URLs go first, so their fragments are no hashtags (Q6)."""
+    title = strip_urls(title) if strip_first else _c(title)
+    return F.transform(F.regexp_extract_all(title, F.lit(HASHTAG_PATTERN), 1),
                        lambda h: F.concat(F.lit("#"), F.lower(h)))
 
 
-def keyword_candidates(title, strip_first: bool = True) -> Column:
+KEYWORD_PROFILES = {"ascii": KEYWORD_PATTERN, "unicode": UNICODE_KEYWORD_PATTERN}
+
+
+def keyword_candidates(title, strip_first: bool = True, letters: str = "ascii") -> Column:
     """O-48 before the stop list: keyword regex over lower(title) without URLs."""
     low = F.lower(_c(title))
     if strip_first:
         low = strip_urls(low)
-    return F.regexp_extract_all(low, F.lit(KEYWORD_PATTERN), 0)
+    return F.regexp_extract_all(low, F.lit(KEYWORD_PROFILES[letters]), 0)
 
 
 def keep_tokens(arr, stop: list[str], min_len: int) -> Column:
@@ -77,11 +84,14 @@ def keep_tokens(arr, stop: list[str], min_len: int) -> Column:
     return F.filter(_c(arr), keep)
 
 
-def keywords(title, stop: list[str] | str = "api", min_len: int = KEYWORD_MIN_LEN) -> Column:
-    """O-48: filtered keyword list of a title, in order, with repeats."""
+def keywords(title, stop: list[str] | str = "api", min_len: int = KEYWORD_MIN_LEN,
+             letters: str = "ascii") -> Column:
+    """O-48: filtered keyword list of a title, in order, with repeats.
+
+    ``letters``: ``ascii`` (the reference's rule) or ``unicode`` (Q8)."""
     if isinstance(stop, str):
         stop = stopwords(stop)
-    return keep_tokens(keyword_candidates(title), stop, min_len)
+    return keep_tokens(keyword_candidates(title, letters=letters), stop, min_len)
 
 
 def bigrams(words) -> Column:
@@ -132,6 +142,31 @@ def with_topics(df: DataFrame, title_col: str = "title", stop: list[str] | str =
     return staged.withColumn(out, topics).drop("__tags", "__words")
 
 
+def with_topics_without(df: DataFrame, stop_words: DataFrame, key: tuple = ("source", "external_id"),
+                        title_col: str = "title", stop: list[str] | str = "api",
+                        out: str = "topics") -> DataFrame:
+    """O-72 with a user's stop list kept as a table ``(word)`` of any size (O-28).
+
+    The words of a title are exploded with their positions, the listed ones
+    dropped by an anti-join (Spark broadcasts a short list and shuffles a long
+    one), and each post's words put together again by its unique, non-null
+    ``key``; nothing is read to the driver.  Pairs are built from what is left.
+    """
+    if isinstance(stop, str):
+        stop = stopwords(stop)
+    key = list(key)
+    title = F.coalesce(F.col(title_col), F.lit(""))
+    words = df.select(*key, keywords(title, stop).alias("__w"))
+    words = words.select(*key, F.posexplode_outer("__w").alias("__i", "__t")).filter(F.col("__t").isNotNull())
+    words = words.join(stop_words, F.col("__t") == F.col("word"), "left_anti")
+    left = words.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__i", "__t"))).alias("__w"))
+    joined = df.withColumn("__tags", hashtags(title)).join(left, key, "left")
+    kept = F.coalesce(F.transform("__w", lambda x: x["__t"]), F.array().cast("array<string>"))
+    joined = joined.withColumn("__words", kept)
+    return (joined.withColumn(out, F.array_distinct(topic_list(F.col("__tags"), F.col("__words"))))
+                  .drop("__tags", "__words", "__w"))
+
+
 def topics(title, stop: list[str] | str = "api") -> Column:
     """O-72 as a single column expression (for ad-hoc ``select``)."""
     t = F.coalesce(_c(title), F.lit(""))

@@ -39,19 +39,20 @@ def by_source(df: DataFrame, source: str | None = None) -> DataFrame:
 def resolve_as_of(df: DataFrame, as_of=None, col: str = "created_at") -> Column:
     """O-60: the explicit "now" of an operator, as a Column.
 
-    * ``None``: ``max(col)`` of ``df`` as a scalar subquery (reproducible;
-      used by tests and the registered queries),
-    * ``"now"``: the clock (UTC wall time for ``TIMESTAMP_NTZ`` columns),
+    * ``None`` or ``"now"``: the clock (UTC wall time for ``TIMESTAMP_NTZ`` columns),
+    * ``"latest"``: ``max(col)`` of ``df`` as a scalar subquery (reproducible on
+      stored data: fixtures and registered queries; costs a second scan, and one
+      future-dated row moves it),
     * a ``datetime``/ISO string: a literal, cast to the column's type so the
       comparison stays a foldable literal and reaches the parquet scan,
     * a Column: used as is.
     """
     dtype = df.schema[col].dataType.simpleString() if col in df.columns else "timestamp"
-    if as_of is None:
-        return df.select(F.max(col)).scalar()
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, str) and as_of.lower() == "now":
+    if isinstance(as_of, str) and as_of.lower() == "latest":
+        return df.select(F.max(col)).scalar()
+    if as_of is None or (isinstance(as_of, str) and as_of.lower() == "now"):
         if dtype == "timestamp_ntz":
             # stored times are UTC wall times: the clock in UTC, whatever the session zone
             from ..sources.feeds import utc_now

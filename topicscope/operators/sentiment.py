@@ -6,11 +6,12 @@ of scoring is a plan of builtin operators:
 
 1. per post, in one narrow projection: tokens (regex), the mixed-case flag,
    the position of the first "but" and the number of exclamation marks;
-2. ``posexplode`` the tokens and probe the lexicon table with a hash join
-   (broadcast only after its row count is checked); only matched tokens
-   survive, and only for them the rule flags are read from the three
-   preceding tokens by array index (negation, boosters), plus all-caps
-   emphasis and the "but" contrast;
+2. per token, still inside the row: a narrow struct of the lower-cased token
+   and its two rule factors, worked out from the three preceding tokens
+   (negation, boosters), all-caps emphasis and the "but" contrast.  Only these
+   structs are exploded and probe the lexicon table, so the bytes that move
+   grow with the number of tokens whichever join Spark picks (broadcast by its
+   size limit, else a shuffle join with AQE's skew handling);
 3. sum the adjusted valences per post key; the posts were hash-partitioned
    by the key once, so this aggregate needs no further shuffle;
 4. left-join the sums back to the posts on the key with a shuffled hash join
@@ -67,7 +68,6 @@ BOOSTERS_DOWN = [
 # --- end of fixed values -----------------------------------------------------
 
 SENT_DECIMAL = "decimal(18,8)"
-MAX_BROADCAST_LEXICON_ROWS = 500_000      # ~20 MB of (token, decimal) rows
 
 
 def _dec(d: Decimal) -> Column:
@@ -82,18 +82,6 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
                    .groupBy("token").agg(F.max("valence").alias("valence")))
 
 
-def lexicon_join_side(lexicon: DataFrame, max_rows: int = MAX_BROADCAST_LEXICON_ROWS) -> DataFrame:
-    """Broadcast the lexicon only when its row count is within ``max_rows``.
-
-    The check reads at most ``max_rows + 1`` rows of the (small, dimension)
-    lexicon.  Beyond the bound the join stays a shuffle join and AQE's skew
-    handling splits the hot-token partitions of the token stream.
-    """
-    lex = prepare_lexicon(lexicon)
-    n = lex.limit(max_rows + 1).count()
-    return F.broadcast(lex) if n <= max_rows else lex
-
-
 def _is_negation(x: Column) -> Column:
     cond = x.isin(NEGATIONS)
     for suf in NEGATION_SUFFIXES:
@@ -124,40 +112,39 @@ def _bangs(text_col: str) -> Column:
     return F.least(F.length(text) - F.length(F.regexp_replace(text, "!", "")), F.lit(BANG_MAX))
 
 
-def _matched_contributions(flags: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
-    """One row per token found in the lexicon with its rule-adjusted valence.
+def _token_factors(toks: Column, mixed: Column, but: Column) -> Column:
+    """Array of ``(tok, step, factor)``: a matched valence v contributes
+    ``(v + sign(v) * step) * factor``."""
+    zero, one = _dec(Decimal("0")), _dec(Decimal("1.0"))
 
-    Tokens are exploded with their position and probed against the lexicon
-    (hash join); the neighbour look-ups for negation and boosters run only
-    for the matched tokens, which are a small fraction of all tokens.
-    """
-    # posexplode_outer + not-null filter: a plain posexplode makes Catalyst
-    # infer size(tokens) > 0 below the exchange (regex evaluated twice, and
-    # the exchange could no longer be shared with the join-back branch)
-    ex = (flags.select(*key, "__toks", "__mixed", "__but",
-                       F.posexplode_outer("__toks").alias("pos", "tok"))
-               .filter(F.col("tok").isNotNull()))
-    j = ex.join(lex, F.lower(F.col("tok")) == lex["token"], "inner")
-    toks = F.col("__toks")
-    pos = F.col("pos")                                  # 0-based
-    prev = [F.lower(F.get(toks, pos - j)) for j in (1, 2, 3)]
-    neg = _is_negation(prev[0]) | _is_negation(prev[1]) | _is_negation(prev[2])
-    boost = F.lit(Decimal("0.00"))
-    for p, damp in zip(prev, DAMPING):
-        boost = boost + F.coalesce(_boost_of(p), F.lit(0)).cast("decimal(1,0)") * _dec(damp)
-    butpos = F.col("__but")
-    butm = (F.when(butpos == 0, _dec(Decimal("1.0")))
-            .when(pos + 1 < butpos, _dec(BUT_BEFORE))
-            .when(pos + 1 > butpos, _dec(BUT_AFTER))
-            .otherwise(_dec(Decimal("1.0"))))
-    t = F.col("tok")
-    caps = (t == F.upper(t)) & (t != F.lower(t)) & F.col("__mixed")
+    def factors(t: Column, i: Column) -> Column:
+        prev = [F.lower(F.get(toks, i - j)) for j in (1, 2, 3)]
+        neg = _is_negation(prev[0]) | _is_negation(prev[1]) | _is_negation(prev[2])
+        boost = F.lit(Decimal("0.00"))
+        for p, damp in zip(prev, DAMPING):
+            boost = boost + F.coalesce(_boost_of(p), F.lit(0)).cast("decimal(1,0)") * _dec(damp)
+        caps = (t == F.upper(t)) & (t != F.lower(t)) & mixed
+        step = (F.when(caps, _dec(CAPS_STEP)).otherwise(zero) + _dec(BOOSTER_STEP) * boost).cast("decimal(9,5)")
+        contrast = (F.when(but == 0, one).when(i + 1 < but, _dec(BUT_BEFORE))
+                    .when(i + 1 > but, _dec(BUT_AFTER)).otherwise(one))
+        factor = (F.when(neg, _dec(NEGATION_FACTOR)).otherwise(one) * contrast).cast("decimal(6,4)")
+        return F.struct(F.lower(t).alias("tok"), step.alias("step"), factor.alias("factor"))
+
+    return F.transform(toks, factors)
+
+
+def _matched_contributions(flags: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
+    """One row per token found in the lexicon with its rule-adjusted valence."""
+    # explode_outer + not-null filter: a plain explode makes Catalyst infer
+    # size(tokens) > 0 below the exchange (regex evaluated twice, and the
+    # exchange could no longer be shared with the join-back branch)
+    narrow = _token_factors(F.col("__toks"), F.col("__mixed"), F.col("__but"))
+    ex = (flags.select(*key, F.explode_outer(narrow).alias("x"))
+               .select(*key, "x.tok", "x.step", "x.factor").filter(F.col("tok").isNotNull()))
+    j = ex.join(lex, F.col("tok") == lex["token"], "inner")
     v = F.col("valence")
-    sv = F.signum(v).cast("decimal(1,0)")
-    v1 = (v + F.when(caps, sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
-          + sv * _dec(BOOSTER_STEP) * boost)
-    v2 = F.when(neg, v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
-    return j.select(*key, (v2 * butm).cast(SENT_DECIMAL).alias("__c"))
+    adjusted = v + F.signum(v).cast("decimal(1,0)") * F.col("step")
+    return j.select(*key, (adjusted * F.col("factor")).cast(SENT_DECIMAL).alias("__c"))
 
 
 def compound(total: Column, bang: Column, alpha: float = ALPHA) -> Column:
@@ -171,17 +158,16 @@ def compound(total: Column, bang: Column, alpha: float = ALPHA) -> Column:
 
 def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_id"),
                     text_col: str = "title", out: str = "sentiment",
-                    alpha: float = ALPHA, lexicon_checked: DataFrame | None = None,
-                    prepartitioned: bool = False) -> DataFrame:
+                    alpha: float = ALPHA, prepartitioned: bool = False) -> DataFrame:
     """O-45: add ``out`` (double in [-1, 1]) to every row of ``df``.
 
     Plan: hash-partition the posts by the key once (skipped with
     ``prepartitioned=True`` when ``df`` already is, e.g. the upsert output);
     both branches below read that one exchange (Spark reuses it):
 
-    * tokens -> posexplode -> hash join with the lexicon (broadcast after a
-      size check) -> adjusted valences of matched tokens -> sum per key,
-      without a further shuffle because the rows are already partitioned;
+    * tokens with their factors -> explode -> join with the lexicon -> adjusted
+      valences of matched tokens -> sum per key, without a further shuffle if
+      the lexicon was broadcast, because the rows are already partitioned;
     * the posts themselves, joined to the sums on the key with a shuffled
       hash join (the small ``(key, sum)`` side is the build side, so the post
       rows are not sorted).
@@ -196,7 +182,7 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_
         df = df.withColumn("__rid", F.monotonically_increasing_id())
         key = ("__rid",)
     key = list(key)
-    lex = lexicon_checked if lexicon_checked is not None else lexicon_join_side(lexicon)
+    lex = prepare_lexicon(lexicon)
     df = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
     if not prepartitioned:
         df = df.repartition(*key)

@@ -12,16 +12,15 @@ def top_k(df: DataFrame, k: int, order: list[Column], rank_col: str | None = "ra
     """First ``k`` rows by ``order`` plus a 1-based ``rank``.
 
     ``order`` must end with a unique key so ties are deterministic (Q4).
-    Planned as a window rank + filter: Catalyst inserts a per-partition
-    ``WindowGroupLimit`` before the single-partition exchange, so each task
-    ships at most ``k`` rows and the final sort sees ``k × tasks`` rows.
+    The limit is taken first, so each task ships at most ``k`` rows
+    (``TakeOrderedAndProject``) for every ``k``; the rank window then runs
+    over those ``k`` rows alone.
     """
     check_limit(k, "k")
+    top = df.orderBy(*order).limit(k)
     if rank_col is None:
-        return df.orderBy(*order).limit(k)
-    w = Window.orderBy(*order)
-    return (df.withColumn(rank_col, F.row_number().over(w))
-              .filter(F.col(rank_col) <= k))
+        return top
+    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
 
 
 def page(df: DataFrame, order: list[Column], page_no: int = 1, page_size: int = 50) -> DataFrame:
@@ -37,13 +36,20 @@ def page(df: DataFrame, order: list[Column], page_no: int = 1, page_size: int =
     return df.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
 
 
-def keyset_page(df: DataFrame, cursor_ts, cursor_key, page_size: int = 50,
-                ts_col: str = "created_at", key_col: str = "id") -> DataFrame:
-    """O-39 deep pages: rows strictly after the cursor ``(ts, key)`` in
-    ``ts desc, key asc`` order; a filter that prunes by ``ts`` statistics."""
+def keyset_page(df: DataFrame, cursor_ts, cursor_key: tuple, page_size: int = 50,
+                ts_col: str = "created_at", key_cols: tuple = ("source", "external_id")) -> DataFrame:
+    """O-39 deep pages: the rows after the cursor in the listing's own order
+    (``ts`` desc, key columns asc), so offset and keyset pages can be mixed.
+
+    ``ts <= cursor`` is a conjunct of its own: it reaches the scan, and
+    statistics prune by it.
+    """
     from .filters import ts_literal
     check_limit(page_size, "page_size")
     ts = ts_literal(cursor_ts, dict(df.dtypes)[ts_col])
-    after = ((F.col(ts_col) < ts) |
-             ((F.col(ts_col) == ts) & (F.col(key_col) > F.lit(cursor_key))))
-    return df.filter(after).orderBy(F.col(ts_col).desc(), F.col(key_col).asc()).limit(page_size)
+    later = F.lit(False)
+    for col, value in reversed(list(zip(key_cols, cursor_key))):
+        later = (F.col(col) > F.lit(value)) | ((F.col(col) == F.lit(value)) & later)
+    after = (F.col(ts_col) < ts) | later
+    order = [F.col(ts_col).desc(), *[F.col(c).asc() for c in key_cols]]
+    return df.filter(F.col(ts_col) <= ts).filter(after).orderBy(*order).limit(page_size)

@@ -7,7 +7,7 @@ which takes the value of the *last* delivery.  ``ingested_at`` is set once,
 when a key is first inserted.
 
 Spark form: one aggregate over ``current ∪ batch`` grouped by the key with
-``min_by`` / ``max_by`` on an explicit order ``(origin, seq)``.  Both are
+``min_by`` / ``max_by`` on an explicit delivery order.  Both are
 declarative aggregates with partial (map-side) evaluation, so a hot key --
 even one holding a third of all deliveries -- is folded inside each task
 before the shuffle and never collected whole.
@@ -21,23 +21,52 @@ from pyspark.sql import functions as F
 from ..schemas import POST_KEY
 
 FIRST_WINS = ("title", "text", "url", "author", "created_at")
-SEQ_FIRST, SEQ_LAST = "_first_seq", "_last_seq"
+FIRST_ORDER, LAST_ORDER = "_first_order", "_last_order"
+ORDER_TYPE = "struct<seq:bigint,pos:array<bigint>,tie:bigint>"
 STORED_COLUMNS = ("source", "external_id", "title", "text", "url", "author", "score",
                   "created_at", "ingested_at")
 MIN_SEQ = -(2 ** 63)
 
 
-def upsert_posts(current: DataFrame | None, batch: DataFrame, seq_col: str = "seq",
-                 now: Column | None = None, with_flags: bool = False) -> DataFrame:
-    """O-11: the table after applying ``batch`` (ordered by ``seq_col``) to ``current``.
+def delivery_order(batch: DataFrame, seq_col: str = "seq", pos_col: str = "pos") -> Column:
+    """When a row was delivered, as a comparable struct.
+
+    ``seq`` orders runs or records, ``pos`` (array of numbers, optional) the
+    rows of one run: feed order and position inside the record, or partition
+    and offset.  Rows that agree in both are ordered by their contents, so the
+    result never depends on how files or tasks happen to be cut.
+    """
+    pos = F.col(pos_col).cast("array<bigint>") if pos_col in batch.columns else F.lit(None).cast("array<bigint>")
+    tie = F.xxhash64(*[F.col(c) for c in FIRST_WINS], F.col("score"))
+    return F.struct(F.col(seq_col).cast("bigint").alias("seq"), pos.alias("pos"), tie.alias("tie"))
+
+
+def _fold(rows: DataFrame, extra: list[Column]) -> DataFrame:
+    """One row per key: first-wins columns of the earliest, score of the latest delivery."""
+    return rows.groupBy(*POST_KEY).agg(
+        F.min_by(F.struct(*[F.col(c) for c in FIRST_WINS]), FIRST_ORDER).alias("__first"),
+        F.max_by(F.col("score"), F.col(LAST_ORDER)).alias("score"),
+        F.min("ingested_at").alias("ingested_at"),
+        F.min(FIRST_ORDER).alias(FIRST_ORDER), F.max(LAST_ORDER).alias(LAST_ORDER), *extra)
+
+
+def _unfolded() -> list[Column]:
+    return [F.col(c) if c not in FIRST_WINS else F.col("__first")[c].alias(c)
+            for c in STORED_COLUMNS] + [F.col(FIRST_ORDER), F.col(LAST_ORDER)]
 
-    The table keeps two bookkeeping columns, ``_first_seq`` (delivery that
-    set the first-wins columns) and ``_last_seq`` (delivery that set the
-    score).  Merging by these sequence numbers instead of by arrival makes
-    the upsert idempotent and order-independent: replaying a batch, or
-    applying batches out of order, gives the same table -- a redelivered old
-    message can no longer put an older score back.  A ``current`` table
-    without the columns is treated as older than every batch row.
+
+def upsert_posts(current: DataFrame | None, batch: DataFrame, seq_col: str = "seq",
+                 now: Column | None = None, with_flags: bool = False,
+                 pos_col: str = "pos") -> DataFrame:
+    """O-11: the table after applying ``batch`` (in ``delivery_order``) to ``current``.
+
+    The table keeps two bookkeeping columns, ``_first_order`` (delivery that
+    set the first-wins columns) and ``_last_order`` (delivery that set the
+    score).  Merging by these orders instead of by arrival makes the upsert
+    idempotent and order-independent: replaying a batch, or applying batches
+    out of order, gives the same table -- a redelivered old message can no
+    longer put an older score back.  A ``current`` table without the columns
+    is treated as older than every batch row.
 
     ``current`` may be None (empty table).  ``now`` is the ingest time given
     to new keys (default: the current instant, UTC); ``ingested_at`` keeps
@@ -48,32 +77,22 @@ def upsert_posts(current: DataFrame | None, batch: DataFrame, seq_col: str = "se
         from ..sources.feeds import utc_now
         now = utc_now()
     key = list(POST_KEY)
-    seq = F.col(seq_col).cast("bigint")
-    # rows sharing a sequence number (one ingest run) keep their arrival order
-    b = batch.select(*key, *FIRST_WINS, "score", now.alias("ingested_at"),
-                     seq.alias(SEQ_FIRST), seq.alias(SEQ_LAST), F.lit(1).alias("__origin"),
-                     F.monotonically_increasing_id().alias("__tb"))
+    order = delivery_order(batch, seq_col, pos_col)
+    u = batch.select(*key, *FIRST_WINS, "score", now.alias("ingested_at"),
+                     order.alias(FIRST_ORDER), order.alias(LAST_ORDER),
+                     F.lit(1).alias("__origin"))
     if current is not None:
-        has_seq = SEQ_FIRST in current.columns
-        first = F.col(SEQ_FIRST) if has_seq else F.lit(MIN_SEQ).cast("bigint")
-        last = F.col(SEQ_LAST) if has_seq else F.lit(MIN_SEQ).cast("bigint")
-        c = current.select(*key, *FIRST_WINS, "score", "ingested_at", first.alias(SEQ_FIRST),
-                           last.alias(SEQ_LAST), F.lit(0).alias("__origin"),
-                           F.lit(None).cast("bigint").alias("__tb"))
-        u = c.unionByName(b)
-    else:
-        u = b
-    agg = u.groupBy(*key).agg(
-        F.min_by(F.struct(*[F.col(c) for c in FIRST_WINS]),
-                 F.struct(F.col(SEQ_FIRST), F.col("__tb"))).alias("__first"),
-        F.max_by(F.col("score"), F.struct(F.col(SEQ_LAST), F.col("__tb"))).alias("score"),
-        F.min("ingested_at").alias("ingested_at"),
-        F.min(SEQ_FIRST).alias(SEQ_FIRST),
-        F.max(SEQ_LAST).alias(SEQ_LAST),
-        F.min(F.col("__origin")).alias("__min_origin"),
-        F.count_if(F.col("__origin") == 1).alias("deliveries"))
-    cols = [F.col(c) if c not in FIRST_WINS else F.col("__first")[c].alias(c)
-            for c in STORED_COLUMNS] + [F.col(SEQ_FIRST), F.col(SEQ_LAST)]
+        oldest = F.struct(F.lit(MIN_SEQ).cast("bigint").alias("seq"),
+                          F.lit(None).cast("array<bigint>").alias("pos"),
+                          F.lit(0).cast("bigint").alias("tie"))
+        known = FIRST_ORDER in current.columns
+        first, last = (F.col(FIRST_ORDER), F.col(LAST_ORDER)) if known else (oldest, oldest)
+        c = current.select(*key, *FIRST_WINS, "score", "ingested_at", first.alias(FIRST_ORDER),
+                           last.alias(LAST_ORDER), F.lit(0).alias("__origin"))
+        u = c.unionByName(u)
+    agg = _fold(u, [F.min(F.col("__origin")).alias("__min_origin"),
+                    F.count_if(F.col("__origin") == 1).alias("deliveries")])
+    cols = _unfolded()
     if with_flags:
         cols += [(F.col("__min_origin") == 1).alias("inserted"), F.col("deliveries")]
     return agg.select(*cols)
@@ -114,57 +133,80 @@ def dedup_posts_stream(df: DataFrame, event_time: str = "created_at",
               .dropDuplicatesWithinWatermark(list(POST_KEY)))
 
 
-# --- bucketed table merge -----------------------------------------------------------
-BUCKET_COL = "bucket"
-DEFAULT_BUCKETS = 256
+# --- stored posts table -------------------------------------------------------------
+# <path>/v-*            folded posts, partitioned by day, one version is current (O-17 pointer)
+# <path>/log/<version>/ batches appended since that version, each collapsed per key
+#
+# Nothing is ever replaced in place: a merge only adds files, and a
+# compaction publishes a whole new version in one step.  Reading folds the
+# current version and its log by key, so a batch that is merged twice, or
+# again after a crash, changes nothing.
+STORED = ("source STRING, external_id STRING, title STRING, text STRING, url STRING, author STRING, "
+          "score INT, created_at TIMESTAMP_NTZ, ingested_at TIMESTAMP_NTZ, "
+          f"{FIRST_ORDER} {ORDER_TYPE.upper()}, {LAST_ORDER} {ORDER_TYPE.upper()}")
+NO_VERSION = "start"
 
 
-def key_bucket(n: int = DEFAULT_BUCKETS) -> Column:
-    """Hash bucket of the post key (the table's partition column)."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in POST_KEY]), F.lit(n)).cast("int")
+def _log_folder(spark, path: str) -> str:
+    from ..sources.connectors import current_version_name
+    return f"{path.rstrip('/')}/log/{current_version_name(spark, path) or NO_VERSION}"
 
 
 def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
-                     buckets: int = DEFAULT_BUCKETS, now: Column | None = None) -> DataFrame:
-    """O-11 on a stored table: apply ``batch`` to the posts table at ``path``.
-
-    The table is partitioned by a hash bucket of the key.  Only buckets that
-    the batch touches are read (static partition pruning on a list bounded by
-    ``buckets``), merged with the sequence-number upsert and rewritten with
-    dynamic partition overwrite; all other buckets are left alone, so a
-    small batch costs a small rewrite however large the table is.
-
-    The merged rows are first written once to a staging table in the shared
-    ``spark.checkpoint.dir`` (which also cuts the lineage: the overwrite never
-    reads the files it replaces, and a lost executor recomputes from the
-    staging files), then copied into the touched buckets and the staging
-    folder is removed.  The upsert is idempotent, so a batch retried after a
-    partial failure converges to the same table.
-
-    Returns the one-row report (inserted, updated, statements).
+                     now: Column | None = None) -> DataFrame:
+    """O-11 on a stored table: add ``batch`` to the posts table at ``path``.
+
+    The batch is collapsed per key (map-side partials, one shuffle of the
+    batch) and appended to the table's log; the cost depends on the batch
+    alone, however large the table is.  ``compact_posts`` folds the log into
+    the table.  On table formats with ``MERGE INTO`` both become one merge.
+    One writer at a time.
+
+    Returns ``(source, statements, keys)``: batch rows and distinct keys.
     """
     import uuid
-
-    from ..session import scratch_path
-    from ..sources.connectors import path_has_files, remove_path
-    b = batch.withColumn(BUCKET_COL, key_bucket(buckets))
-    current = None
-    if path_has_files(spark, path):
-        touched = [r[0] for r in b.select(BUCKET_COL).distinct().collect()]   # <= buckets ints
-        current = (spark.read.parquet(path).filter(F.col(BUCKET_COL).isin(touched))
-                   .drop(BUCKET_COL))
-    merged = upsert_posts(current, b.drop(BUCKET_COL), seq_col, now=now, with_flags=True)
-    # one writer task per bucket -> one file per touched bucket (not tasks x
-    # buckets); rows sorted by time inside it, so parquet min/max statistics
-    # let look-back filters on created_at skip row groups of every bucket
-    staging = scratch_path(spark, f"merge-staging-{uuid.uuid4().hex}")
-    (merged.withColumn(BUCKET_COL, key_bucket(buckets))
-           .repartition(BUCKET_COL)
-           .sortWithinPartitions(BUCKET_COL, "created_at")
-           .write.parquet(staging))
-    staged = spark.read.parquet(staging)
-    report = upsert_report(staged).collect()
-    (staged.drop("inserted", "deliveries").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET_COL).parquet(path))
-    remove_path(spark, staging)
-    return spark.createDataFrame(report, "inserted BIGINT, updated BIGINT, statements BIGINT")
+    delta = upsert_posts(None, batch, seq_col, now=now, with_flags=True).drop("inserted")
+    folder = f"{_log_folder(spark, path)}/batch-{uuid.uuid4().hex}"
+    delta.write.parquet(folder)
+    written = spark.read.schema(STORED + ", deliveries BIGINT").parquet(folder)
+    rows = (written.groupBy("source").agg(F.sum("deliveries").alias("statements"),
+                                          F.count(F.lit(1)).alias("keys"))
+                   .collect())                                        # one row per source
+    return spark.createDataFrame(rows, "source STRING, statements BIGINT, keys BIGINT")
+
+
+def read_posts_table(spark, path: str) -> DataFrame:
+    """The posts table with its bookkeeping columns: the current version and the
+    batches after it, folded by key.  Right after a compaction the log is empty
+    and the version is read as it is, so look-back filters reach its scan."""
+    from ..sources.connectors import current_version_path, path_has_files
+    version, log = current_version_path(spark, path), _log_folder(spark, path)
+    base = None if version is None else spark.read.schema(STORED + ", day DATE").parquet(version).drop("day")
+    if not path_has_files(spark, log):
+        return spark.createDataFrame([], STORED) if base is None else base
+    later = spark.read.schema(STORED).option("recursiveFileLookup", "true").parquet(log)
+    rows = later if base is None else base.unionByName(later)
+    return _fold(rows, []).select(*_unfolded())
+
+
+def compact_posts(spark, path: str) -> str:
+    """Fold the log into a new version of the table, publish it in one step and
+    remove what the version before it no longer needs.  Returns the version's path.
+
+    The version is partitioned by day and sorted by time inside, so look-back
+    scans read the days they need.
+    """
+    from ..sources.connectors import (current_version_name, list_names, remove_path, replace_table)
+    base = path.rstrip("/")
+    before = current_version_name(spark, base) or NO_VERSION
+    folded = read_posts_table(spark, base).withColumn("day", F.to_date("created_at"))
+    folded = folded.repartitionByRange("created_at").sortWithinPartitions("day", "created_at")
+    out = replace_table(folded, base, partition_by=["day"])
+    keep = {before, out.rsplit("/", 1)[1]}          # readers may still use the version before
+    for name in list_names(spark, base):
+        if name.startswith("v-") and name not in keep:
+            remove_path(spark, f"{base}/{name}")
+    for name in list_names(spark, f"{base}/log"):
+        if name not in keep:
+            remove_path(spark, f"{base}/log/{name}")
+    return out

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from .fixtures import DELIVERY_SQL, POSTS_SQL
 from .functions.stopwords import sql_list
-from .functions.text import HASHTAG_PATTERN, KEYWORD_PATTERN, TERM_SPLIT_PATTERN, URL_PATTERN
+from .functions.text import (HASHTAG_PATTERN, KEYWORD_PATTERN, TERM_SPLIT_PATTERN,
+                             UNICODE_KEYWORD_PATTERN, URL_PATTERN)
 
 
 def _q(s: str) -> str:
@@ -465,15 +466,62 @@ GROUP BY bucket, term""",
     + topics_cte("escored", "api", name="etp", key_cols="created_at, sentiment").strip()))
 
 
-register("latest_posts_keyset", with_posts(
-    f"""SELECT id, source, title, url, author, score, created_at FROM listed
-WHERE created_at < (SELECT created_at FROM cursor_row)
-   OR (created_at = (SELECT created_at FROM cursor_row) AND id > (SELECT id FROM cursor_row))
-ORDER BY created_at DESC, id ASC LIMIT 50""",
-    f"""listed AS (
-  SELECT {_ID} AS id, source, title, url, author, score, created_at FROM posts
-),
-cursor_row AS (
-  SELECT created_at, id FROM (
-    SELECT *, row_number() OVER (ORDER BY created_at DESC, id ASC) AS rn FROM listed) WHERE rn = 50
-)"""))
+register("latest_posts_keyset", ORACLE["latest_posts_page2"])
+
+
+# --- stored table, ingest, options -------------------------------------------------------
+register("merge_two_batches", ORACLE["upsert_latest_score"])
+register("broker_posts", ORACLE["upsert_latest_score"])
+register("stream_rejects", "WITH " + DELIVERY_SQL.strip() + """
+SELECT CASE source WHEN 'signup' THEN 'null:title' WHEN 'purchase' THEN 'too_long:external_id'
+         ELSE 'bad_time:created_at' END AS reason, count(*) AS n
+FROM deliveries WHERE source IN ('signup', 'purchase', 'error') GROUP BY 1
+UNION ALL SELECT 'good:keys', count(DISTINCT source || ' ' || external_id) FROM deliveries
+WHERE source NOT IN ('signup', 'purchase', 'error')""")
+_REASON = """CASE event_type WHEN 'error' THEN 'malformed_json' WHEN 'click' THEN 'bad_type:score'
+    WHEN 'signup' THEN 'bad_time:time' WHEN 'purchase' THEN 'null:id'
+    WHEN 'view' THEN CASE WHEN doc_id % 2 = 0 THEN 'too_long:author' END END"""
+register("ingest_rejects", _pe(
+    f"SELECT 'hackernews' AS feed, {_REASON} AS reason, count(*) AS n FROM pe WHERE {_REASON} IS NOT NULL GROUP BY 2"))
+register("ingest_report", _pe(
+    f"""SELECT 'hackernews' AS source, 'ok' AS status, count(*) FILTER (WHERE {_REASON} IS NULL) AS fetched,
+  count(*) FILTER (WHERE {_REASON} IS NULL) AS written, count(*) FILTER (WHERE {_REASON} IS NOT NULL) AS rejected FROM pe
+UNION ALL SELECT 'reddit', 'ok', count(*), count(*), 0 FROM pe
+UNION ALL SELECT 'bluesky', 'ok', 0, 0, 0"""))
+register("first_items", _pe(_hn_expected().replace("FROM pe", "FROM (SELECT * FROM pe ORDER BY doc_id LIMIT 100)")))
+
+
+def _trending_user_stop() -> str:
+    """Words of the posts in the window, without the listed ones, put together again in order."""
+    return with_posts(f"""SELECT term, count, CAST(weight AS BIGINT) AS weight, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, count DESC, term ASC) AS rank FROM weighted)
+WHERE rank <= 20""", f"""user_stop AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+', 0)) AS w FROM benchmark),
+win AS (
+  SELECT source, external_id, title FROM posts WHERE created_at >= (SELECT t FROM as_of) - INTERVAL 24 HOURS),
+{topics_cte("win", "api", name="tp", key_cols="source, external_id").strip().split("tp AS (")[0].rstrip().rstrip(",")},
+kept AS (
+  SELECT source, external_id, list(x.w ORDER BY x.i) AS words FROM (
+    SELECT source, external_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM tp_w) x
+  WHERE x.w NOT IN (SELECT w FROM user_stop WHERE w IS NOT NULL) GROUP BY 1, 2),
+topics AS (
+  SELECT list_distinct(tags || list_transform(range(1, len(k.words)), lambda i: k.words[i] || ' ' || k.words[i + 1])
+                       || coalesce(k.words, [])) AS topics
+  FROM tp_w t LEFT JOIN kept k USING (source, external_id)),
+counts AS (SELECT term, count(*) AS count FROM (SELECT unnest(topics) AS term FROM topics) GROUP BY 1),
+weighted AS (SELECT term, count, count * {weight_sql()} AS weight FROM counts)""")
+
+
+register("trending_user_stop", _trending_user_stop())
+register("keywords_unicode", with_posts(
+    f"""SELECT term, count(*) AS count FROM (
+  SELECT unnest(list_filter(regexp_extract_all(regexp_replace(lower(title), {_q(URL_PATTERN)}, ' ', 'g'),
+                                               {_q(UNICODE_KEYWORD_PATTERN)}, 0),
+                            lambda w: length(w) >= 4 AND w NOT IN ({sql_list('api_v1')}))) AS term
+  FROM posts) GROUP BY term"""))
+register("hashtags_after_urls", with_posts(
+    f"""SELECT term, count(*) AS count FROM (
+  SELECT unnest(list_transform(regexp_extract_all(
+    regexp_replace(title || ' https://x.example/a#' || source, {_q(URL_PATTERN)}, ' ', 'g'), {_q(HASHTAG_PATTERN)}, 1),
+    lambda h: '#' || lower(h))) AS term
+  FROM posts) GROUP BY term"""))

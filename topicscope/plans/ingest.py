@@ -1,9 +1,10 @@
-"""Batch ingest (C-9) and the scheduled jobs (C-2, C-3 as table writers, O-34).
+"""Batch ingest (C-9): feeds are landed one by one, then merged together.
 
 Failure isolation (O-12): Spark is lazy, so a broken feed only fails at its
 action.  Each source is therefore landed with its own write; the outcome of
 every source is recorded in the report and only what landed is merged.
-Row-level problems never fail a feed: they go to the dead-letter table.
+Row-level problems never fail a feed: each reject is landed with its reason
+(``read_rejects``).
 """
 
 from __future__ import annotations
@@ -11,70 +12,82 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.upsert import DEFAULT_BUCKETS, STORED_COLUMNS, merge_into_table
-from ..sources.decode import validate_posts
-from ..sources.feeds import POST_COLUMNS, normalize
+from ..operators.upsert import merge_into_table, read_posts_table, stored_view
+from ..schemas import LANDED
+from ..sources.decode import tag_posts
+from ..sources.feeds import POST_COLUMNS, tag
 
-REPORT_SCHEMA = "source STRING, status STRING, fetched BIGINT, rejected BIGINT, error STRING"
+REPORT_SCHEMA = ("source STRING, status STRING, fetched BIGINT, written BIGINT, rejected BIGINT, "
+                 "error STRING")
 
 
 def land_source(name: str, raw: DataFrame, staging: str, **kw) -> tuple[str, dict]:
-    """Normalise + validate one feed and write it (good and rejected rows in one
-    pass, partitioned by status).  Returns the landed path and its counts."""
-    posts = normalize(name, raw, **kw)
-    good, bad = validate_posts(posts.select(*POST_COLUMNS))
-    tagged = (good.withColumn("reason", F.lit(None).cast("string"))
-                  .unionByName(bad))
+    """Normalise and check one feed and write its good and rejected rows in one
+    pass, partitioned by status.  Returns the landed path and its counts."""
+    tagged = tag_posts(tag(name, raw, **kw))
     obs = Observation(f"land_{name}")
     tagged = tagged.observe(obs, F.count_if(F.col("reason").isNull()).alias("fetched"),
                             F.count_if(F.col("reason").isNotNull()).alias("rejected"))
-    path = f"{staging.rstrip('/')}/source={name}"
+    path = f"{staging.rstrip('/')}/feed={name}"
     (tagged.withColumn("ok", F.col("reason").isNull())
            .write.mode("overwrite").partitionBy("ok").parquet(path))
     return path, obs.get
 
 
+def _landed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LANDED).parquet(path)          # declared: a feed may land no rows
+
+
+def read_rejects(spark: SparkSession, staging: str) -> DataFrame:
+    """Rejected rows of the feeds landed in ``staging``: feed, external_id, reason, record."""
+    landed = spark.read.schema(LANDED + ", feed STRING").parquet(staging)
+    return landed.filter(~F.col("ok")).select("feed", "external_id", "reason", "record")
+
+
 def ingest(spark: SparkSession, feeds: dict[str, DataFrame], table_base: str, staging: str,
-           options: dict[str, dict] | None = None, now=None,
-           buckets: int = DEFAULT_BUCKETS, events_path: str | None = None,
+           options: dict[str, dict] | None = None, now=None, events_path: str | None = None,
            run_id: int | None = None) -> DataFrame:
-    """C-9: land every feed, merge the landed rows into the bucketed posts
-    table at ``table_base``, return the per-source report.
+    """C-9: land every feed, merge the landed rows into the posts table at
+    ``table_base``, return the per-source report.
 
-    With ``events_path`` the run also writes its ``new_posts`` event (O-18)
-    to partition ``batch_id = run_id`` (default: the run's epoch seconds).
+    ``fetched`` counts the usable rows of a feed, ``rejected`` its other rows,
+    ``written`` the rows merged under the source's name.  With ``events_path``
+    the run also writes its ``new_posts`` event (O-18) to partition
+    ``batch_id = run_id`` (default: the run's epoch seconds).
     """
     report, landed = [], []
     for name, raw in sorted(feeds.items()):
         try:
             path, counts = land_source(name, raw, staging, **(options or {}).get(name, {}))
             landed.append(path)
-            report.append((name, "ok", int(counts["fetched"]), int(counts["rejected"]), None))
+            report.append([name, "ok", int(counts["fetched"]), 0, int(counts["rejected"]), None])
         except Exception as ex:  # noqa: BLE001 -- one feed must not stop the others
-            report.append((name, "failed", 0, 0, f"{type(ex).__name__}: {str(ex)[:500]}"))
+            report.append([name, "failed", 0, 0, 0, f"{type(ex).__name__}: {ex}"])
     if landed:
         batch = None
         for path in landed:
-            part = (spark.read.parquet(path).filter(F.col("ok").cast("string") == "true")
-                        .select(*POST_COLUMNS))
+            part = _landed(spark, path).filter(F.col("ok")).select(*POST_COLUMNS, "pos")
             batch = part if batch is None else batch.unionByName(part)
         batch = with_run_seq(batch)
-        merge_into_table(spark, table_base, batch, "seq", buckets=buckets, now=now)
+        written = {r["source"]: r["statements"] for r in
+                   merge_into_table(spark, table_base, batch, "seq", now=now).collect()}
+        for row in report:
+            row[3] = int(written.get(row[0], 0))
         if events_path:
             import time
 
             from ..streaming.ingest import write_batch_event
             rid = int(time.time()) if run_id is None else int(run_id)
             write_batch_event(batch, rid, events_path)
-    return spark.createDataFrame(report, REPORT_SCHEMA)
+    return spark.createDataFrame([tuple(r) for r in report], REPORT_SCHEMA)
 
 
 def with_run_seq(batch: DataFrame, run_micros=None) -> DataFrame:
     """Sequence number of one ingest run: its start instant in epoch micros,
     so a later run always wins the score and an earlier one the other
-    columns.  Deliveries of one key inside a run are ordered by arrival (the
-    upsert breaks ties by row order), so no per-key window -- which would pull
-    a hot key's deliveries into one task -- is needed."""
+    columns.  Inside a run ``pos``, the arrival order that the normaliser has
+    recorded, decides -- no per-key window, which would pull a hot key's
+    deliveries into one task."""
     if run_micros is None:
         import time
         run_micros = time.time_ns() // 1000          # fixed once per run, also across retries
@@ -82,7 +95,8 @@ def with_run_seq(batch: DataFrame, run_micros=None) -> DataFrame:
 
 
 def read_posts(spark: SparkSession, table_base: str) -> DataFrame:
-    return spark.read.parquet(table_base).select(*STORED_COLUMNS)
+    """The posts table as stored, without bookkeeping columns."""
+    return stored_view(read_posts_table(spark, table_base))
 
 
 def posts_from_broker_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,15 +104,15 @@ def posts_from_broker_records(records: DataFrame) -> tuple[DataFrame, DataFrame]
 
     The batch path of the earlier Spark job that read the topic directly:
     decode strictly (rejects kept, not printed), then collapse deliveries per
-    key with the upsert rule in ``(partition, offset)`` order -- the first
-    delivery's fields, the last delivery's score -- a deterministic
+    key with the upsert rule in record order (see ``kafka_envelope``) -- the
+    first delivery's fields, the last delivery's score -- a deterministic
     replacement for the arbitrary survivor of ``dropDuplicates``.
     """
     from ..operators.upsert import stored_view, upsert_posts
     from ..streaming.ingest import kafka_envelope
     from ..sources.decode import decode_posts
     env = kafka_envelope(records)
-    good, rejected = decode_posts(env, "value", keep=("seq",))
+    good, rejected = decode_posts(env, "value", keep=("seq", "pos"))
     table = upsert_posts(None, good, "seq", now=F.lit(None).cast("timestamp_ntz"))
     return stored_view(table).drop("ingested_at"), rejected
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import with_scale
 from ..functions.stopwords import stopwords
 from ..functions.text import TERM_MIN_LEN, split_terms, topic_weight, with_topics
 from ..operators.aggregates import (avg_from_units, avg_sentiment_agg, explode_terms, finish_avg,
@@ -84,11 +85,8 @@ def sentiment_trends(table: DataFrame, limit: int = 15, cut: float = 0.05) -> Da
     ``scale = count / max(1, max(count)) * 100`` over the listed rows; the
     window spans at most ``limit`` rows, so its single partition is bounded.
     """
-    lst = sentiment_list(table, limit)
-    whole = Window.partitionBy()
-    return (lst.withColumn("label", sentiment_label("avg_sentiment", cut))
-               .withColumn("scale", F.round(F.col("count") * F.lit(100.0)
-                                            / F.greatest(F.lit(1), F.max("count").over(whole)), 2)))
+    lst = sentiment_list(table, limit).withColumn("label", sentiment_label("avg_sentiment", cut))
+    return with_scale(lst).withColumn("scale", F.round("scale", 2))
 
 
 def run_summary(scored: DataFrame, terms: DataFrame) -> DataFrame:

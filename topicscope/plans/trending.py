@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import stopwords
-from ..functions.text import KEYWORD_PATTERN, with_topics
+from ..functions.text import KEYWORD_PATTERN, with_topics, with_topics_without
 from ..operators.aggregates import topic_counts
 from ..operators.filters import check_limit, lookback
 from ..operators.topk import top_k
@@ -60,11 +60,14 @@ def keyword_counts(posts: DataFrame, as_of=None, hours: int | None = 24,
     return top_k(counts, limit, [F.col("count").desc(), F.col("term").asc()])
 
 
-def trending_from_topics(topics_df: DataFrame, limit: int = 20) -> DataFrame:
-    """Rank an already-aggregated ``(term, count, weight)`` table (used by the
-    streaming bucket store)."""
-    return top_k(topics_df, limit,
+def trending_without(posts: DataFrame, stop_words: DataFrame, as_of=None, hours: int = 24,
+                     limit: int = 20, stop="api") -> DataFrame:
+    """C-1 with a user's stop list kept as a table (see ``with_topics_without``)."""
+    check_limit(limit)
+    p = lookback(posts.select("source", "external_id", "title", "created_at"), as_of, hours=hours)
+    counts = topic_counts(with_topics_without(p, stop_words, stop=stop))
+    return top_k(counts, limit,
                  [F.col("weight").desc(), F.col("count").desc(), F.col("term").asc()])
 
 
-__all__ = ["all_topics", "trending", "keyword_counts", "trending_from_topics", "KEYWORD_PATTERN"]
+__all__ = ["all_topics", "trending", "trending_without", "keyword_counts", "KEYWORD_PATTERN"]

@@ -22,7 +22,7 @@ def query(name: str):
 
 @query("trending_24h")
 def q_trending_24h(spark, sf_dir):
-    return tr.trending(posts_view(spark, sf_dir), hours=24, limit=20)
+    return tr.trending(posts_view(spark, sf_dir), as_of="latest", hours=24, limit=20)
 
 
 @query("trending_all_topics")
@@ -32,7 +32,7 @@ def q_trending_all_topics(spark, sf_dir):
 
 @query("keyword_counts_v1")
 def q_keyword_counts_v1(spark, sf_dir):
-    return tr.keyword_counts(posts_view(spark, sf_dir), hours=24, limit=20)
+    return tr.keyword_counts(posts_view(spark, sf_dir), as_of="latest", hours=24, limit=20)
 
 
 def _scored_posts(spark, sf_dir):
@@ -51,8 +51,31 @@ def q_post_sentiment(spark, sf_dir):
 def _topic_sentiment(spark, sf_dir):
     from .fixtures import sample_lexicon
     from .plans.sentiment_trends import topic_sentiment
-    return topic_sentiment(posts_view(spark, sf_dir), sample_lexicon(spark), days=7, min_count=2,
-                           limit=40)
+    return topic_sentiment(posts_view(spark, sf_dir), sample_lexicon(spark), as_of="latest", days=7,
+                           min_count=2, limit=40)
+
+
+def _stored_topic_sentiment(spark, sf_dir):
+    """The topic-sentiment table as the scheduled job leaves it (O-17), read back (O-09)."""
+    import uuid
+
+    from .fixtures import sample_lexicon
+    from .plans.jobs import topic_sentiment_job
+    from .schemas import SENTIMENT_TABLE
+    from .session import scratch_path
+    from .sources.connectors import read_or_empty
+    out = scratch_path(spark, f"q_topic_sentiment-{uuid.uuid4().hex[:8]}")
+    topic_sentiment_job(spark, posts_view(spark, sf_dir), sample_lexicon(spark), out, as_of="latest")
+    return read_or_empty(spark, f"{out}/topic_sentiment", SENTIMENT_TABLE)
+
+
+@query("trending_user_stop")
+def q_trending_user_stop(spark, sf_dir):
+    """C-1 with a stop list kept as a table of any size (O-28)."""
+    from .fixtures import user_stop_words
+    from .functions.stopwords import stop_table
+    return tr.trending_without(posts_view(spark, sf_dir), stop_table(user_stop_words(spark, sf_dir)),
+                               as_of="latest", hours=24, limit=20)
 
 
 @query("term_split_counts")
@@ -91,26 +114,15 @@ def q_topic_sentiment_7d(spark, sf_dir):
 
 @query("sentiment_trends")
 def q_sentiment_trends(spark, sf_dir):
-    """C-4 as served: the scheduled job replaces the stored topic-sentiment
-    table (O-17); the list reads it back, empty if missing (O-09)."""
-    import uuid
-
-    from .fixtures import sample_lexicon
-    from .plans.jobs import topic_sentiment_job
+    """C-4 as served, from the stored table."""
     from .plans.sentiment_trends import sentiment_trends
-    from .schemas import SENTIMENT_TABLE
-    from .session import scratch_path
-    from .sources.connectors import read_or_empty
-    out = scratch_path(spark, f"q_sentiment_trends-{uuid.uuid4().hex[:8]}")
-    topic_sentiment_job(spark, posts_view(spark, sf_dir), sample_lexicon(spark), out)
-    table = read_or_empty(spark, f"{out}/topic_sentiment", SENTIMENT_TABLE)
-    return sentiment_trends(table, limit=15)
+    return sentiment_trends(_stored_topic_sentiment(spark, sf_dir), limit=15)
 
 
 @query("sentiment_extremes")
 def q_sentiment_extremes(spark, sf_dir):
     from .plans.sentiment_trends import sentiment_extremes
-    return sentiment_extremes(_topic_sentiment(spark, sf_dir), k=12)
+    return sentiment_extremes(_stored_topic_sentiment(spark, sf_dir), k=12)
 
 
 @query("latest_posts_page2")
@@ -187,7 +199,7 @@ def q_url_strip(spark, sf_dir):
 @query("digest")
 def q_digest(spark, sf_dir):
     from .plans.explore import digest
-    return digest(posts_view(spark, sf_dir), _topic_sentiment(spark, sf_dir))
+    return digest(posts_view(spark, sf_dir), _stored_topic_sentiment(spark, sf_dir), as_of="latest")
 
 
 # --- sources, decode, upsert ----------------------------------------------------
@@ -199,7 +211,7 @@ def _feeds(spark, sf_dir):
     now = F.lit(fx.FEED_NOW).cast("timestamp_ntz")
     return {
         "hackernews": normalize_hackernews(fx.raw_hackernews(spark, sf_dir)),
-        "reddit": normalize_reddit(fx.raw_reddit(spark, sf_dir), limit_per_listing=25),
+        "reddit": normalize_reddit(fx.raw_reddit(spark, sf_dir)),
         "bluesky": normalize_bluesky(fx.raw_bluesky(spark, sf_dir), now=now),
     }
 
@@ -247,9 +259,9 @@ def q_rejected_posts(spark, sf_dir):
 @query("upsert_latest_score")
 def q_upsert_latest_score(spark, sf_dir):
     from .fixtures import delivery_log
-    from .operators.upsert import upsert_posts
+    from .operators.upsert import FIRST_WINS, upsert_posts
     out = upsert_posts(None, delivery_log(spark, sf_dir), seq_col="seq")
-    return out.drop("ingested_at", "_first_seq", "_last_seq")
+    return out.select("source", "external_id", *FIRST_WINS, "score")
 
 
 @query("dedup_keys")
@@ -260,48 +272,47 @@ def q_dedup_keys(spark, sf_dir):
 
 
 # --- streaming (availableNow over files that Spark derives from the tables) ---------
-_STREAM_RUNS: dict = {}
-
-
-def _stream_upsert_run(spark, sf_dir):
-    """Land the delivery log as envelope files, drain them through the
-    streaming upsert and return the output locations (memoised per session)."""
+def _stream_upsert_run(spark, envelopes, parts=8, per_trigger=2):
+    """Land ``(seq, value)`` envelopes as files, drain them through the streaming upsert and
+    return the output locations."""
     import uuid
 
     from pyspark.sql import functions as F
 
-    from .fixtures import FEED_NOW, delivery_log
+    from .fixtures import FEED_NOW
     from .session import scratch_path
-    from .sources.decode import encode_posts
     from .streaming.ingest import read_envelopes, stream_upsert
-    memo = (id(spark), sf_dir, "upsert")
-    if memo in _STREAM_RUNS:
-        return _STREAM_RUNS[memo]
     base = scratch_path(spark, f"q_stream_upsert-{uuid.uuid4().hex[:8]}")
-    d = delivery_log(spark, sf_dir)
-    env = d.select(F.col("seq"), encode_posts(d).alias("value"))
-    env.repartitionByRange(8, "seq").write.parquet(f"{base}/in")
-    q = stream_upsert(read_envelopes(spark, f"{base}/in", files_per_trigger=2),
+    envelopes.repartitionByRange(parts, "seq").write.parquet(f"{base}/in")
+    q = stream_upsert(read_envelopes(spark, f"{base}/in", files_per_trigger=per_trigger),
                       f"{base}/posts", f"{base}/dead", f"{base}/events",
-                      checkpoint=f"{base}/ckpt", trigger={"availableNow": True},
-                      now=F.lit(FEED_NOW).cast("timestamp_ntz"), buckets=16)
+                      trigger={"availableNow": True}, now=F.lit(FEED_NOW).cast("timestamp_ntz"))
     q.awaitTermination()
-    _STREAM_RUNS[memo] = base
     return base
 
 
+def _delivery_envelopes(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .fixtures import delivery_log
+    from .sources.decode import encode_posts
+    d = delivery_log(spark, sf_dir)
+    return d.select(F.col("seq"), encode_posts(d).alias("value"))
+
+
 @query("stream_upsert")
 def q_stream_upsert(spark, sf_dir):
+    """O-41; keys are delivered again in later micro-batches."""
     from .operators.upsert import FIRST_WINS
-    base = _stream_upsert_run(spark, sf_dir)
-    t = spark.read.parquet(f"{base}/posts")
-    return t.select("source", "external_id", *FIRST_WINS, "score")
+    from .plans.ingest import read_posts
+    base = _stream_upsert_run(spark, _delivery_envelopes(spark, sf_dir))
+    return read_posts(spark, f"{base}/posts").select("source", "external_id", *FIRST_WINS, "score")
 
 
 @query("batch_events_total")
 def q_batch_events_total(spark, sf_dir):
     from pyspark.sql import functions as F
-    base = _stream_upsert_run(spark, sf_dir)
+    base = _stream_upsert_run(spark, _delivery_envelopes(spark, sf_dir))
     ev = spark.read.parquet(f"{base}/events")
     # explode before collecting: the set is bounded by the distinct sources,
     # not by the number of batches; each batch's count is taken once (pos 0)
@@ -312,24 +323,139 @@ def q_batch_events_total(spark, sf_dir):
                  F.sort_array(F.collect_set("source")).alias("sources"))
 
 
+@query("stream_rejects")
+def q_stream_rejects(spark, sf_dir):
+    """O-68, O-10: rejects of the stream by reason, and the posts that got through."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import reject_values
+    base = _stream_upsert_run(spark, reject_values(spark, sf_dir))
+    from .plans.ingest import read_posts
+    dead = spark.read.parquet(f"{base}/dead").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    good = read_posts(spark, f"{base}/posts").agg(F.lit("good:keys").alias("reason"), F.count(F.lit(1)).alias("n"))
+    return dead.unionByName(good)
+
+
+@query("merge_two_batches")
+def q_merge_two_batches(spark, sf_dir):
+    """O-11 on a stored table: two overlapping batches, a small file that was delivered first and a
+    large one, a replayed batch, and a compaction between them."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from .fixtures import delivery_log
+    from .operators.upsert import FIRST_WINS, compact_posts, merge_into_table
+    from .plans.ingest import read_posts
+    from .session import scratch_path
+    base = scratch_path(spark, f"q_merge-{uuid.uuid4().hex[:8]}")
+    d = delivery_log(spark, sf_dir).withColumn("pos", F.array("seq")).withColumn("run", F.lit(1))
+    early = F.col("seq") % 3 == 0          # the second batch repeats part of the first
+    for part in (d.filter(early & (F.col("seq") < 50)), d.filter(early & (F.col("seq") >= 50))):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/first")
+    first = spark.read.parquet(f"{base}/first")
+    merge_into_table(spark, f"{base}/posts", d.filter(~early | (F.col("seq") % 2 == 0)), "run")
+    compact_posts(spark, f"{base}/posts")
+    merge_into_table(spark, f"{base}/posts", first, "run")
+    merge_into_table(spark, f"{base}/posts", first, "run")
+    return read_posts(spark, f"{base}/posts").select("source", "external_id", *FIRST_WINS, "score")
+
+
+@query("broker_posts")
+def q_broker_posts(spark, sf_dir):
+    """O-05: broker records (key-less, three partitions) -> decode -> collapse per key."""
+    from .fixtures import broker_records
+    from .plans.ingest import posts_from_broker_records
+    posts, _ = posts_from_broker_records(broker_records(spark, sf_dir))
+    return posts
+
+
+def _ingest_run(spark, sf_dir):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from . import fixtures as fx
+    from .plans.ingest import ingest
+    from .session import scratch_path
+    base = scratch_path(spark, f"q_ingest-{uuid.uuid4().hex[:8]}")
+    feeds = {"hackernews": fx.raw_hackernews_with_rejects(spark, sf_dir),
+             "reddit": fx.raw_reddit(spark, sf_dir), "bluesky": fx.raw_empty(spark, sf_dir)}
+    report = ingest(spark, feeds, f"{base}/posts", f"{base}/staging",
+                    now=F.lit(fx.FEED_NOW).cast("timestamp_ntz"))
+    return base, report
+
+
+@query("ingest_report")
+def q_ingest_report(spark, sf_dir):
+    """C-9: three feeds, one with unusable records, one without any post."""
+    return _ingest_run(spark, sf_dir)[1].select("source", "status", "fetched", "written", "rejected")
+
+
+@query("ingest_rejects")
+def q_ingest_rejects(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .plans.ingest import read_rejects
+    base, _ = _ingest_run(spark, sf_dir)
+    return (read_rejects(spark, f"{base}/staging").groupBy("feed", "reason")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("first_items")
+def q_first_items(spark, sf_dir):
+    """O-13, O-14: the first 100 items of a feed by name, before non-stories are dropped."""
+    from .fixtures import raw_hackernews
+    from .sources.feeds import normalize
+    return normalize("hackernews", raw_hackernews(spark, sf_dir), limit=100, order_col="seq")
+
+
+@query("keywords_unicode")
+def q_keywords_unicode(spark, sf_dir):
+    """O-48 with letters of every script (Q8), under the first API stop list (O-28)."""
+    from pyspark.sql import functions as F
+
+    from .functions.text import keywords
+    from .operators.aggregates import explode_terms
+    w = posts_view(spark, sf_dir).select(keywords(F.coalesce("title", F.lit("")), "api_v1", letters="unicode").alias("w"))
+    return explode_terms(w, "w").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("hashtags_after_urls")
+def q_hashtags_after_urls(spark, sf_dir):
+    """O-47 with URLs taken out first (Q6)."""
+    from pyspark.sql import functions as F
+
+    from .functions.text import hashtags
+    from .operators.aggregates import explode_terms
+    title = F.concat("title", F.lit(" https://x.example/a#"), "source")
+    t = posts_view(spark, sf_dir).select(hashtags(title, strip_first=True).alias("tags"))
+    return explode_terms(t, "tags").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+
 @query("stream_trends")
 def q_stream_trends(spark, sf_dir):
+    """O-69, O-70 with a restart and a compaction between two drains."""
     import uuid
 
     from pyspark.sql import functions as F
 
     from .fixtures import sample_lexicon
+    from .operators.filters import ts_literal
     from .session import scratch_path
     from .streaming.trends import bucket_trending, compact_buckets, read_buckets, stream_trends
     base = scratch_path(spark, f"q_stream_trends-{uuid.uuid4().hex[:8]}")
-    posts = posts_view(spark, sf_dir)
-    posts.repartitionByRange(8, "created_at").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    q = stream_trends(stream, f"{base}/store", checkpoint=f"{base}/ckpt", delay="36500 days",
-                      lexicon=sample_lexicon(spark), trigger={"availableNow": True})
-    q.awaitTermination()
-    compact_buckets(spark, f"{base}/store")          # reads must not change across a compaction
-    as_of = posts.select(F.max("created_at")).scalar()
+    posts_view(spark, sf_dir).write.parquet(f"{base}/all")
+    posts = spark.read.parquet(f"{base}/all")
+    first, as_of = posts.agg(F.min("created_at"), F.max("created_at")).first()
+    half = first + (as_of - first) / 2
+    middle = ts_literal(half)
+    for part in (F.col("created_at") <= middle, F.col("created_at") > middle):
+        posts.filter(part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(posts.schema).parquet(f"{base}/in")
+        stream_trends(stream, f"{base}/store", delay="1 day", lexicon=sample_lexicon(spark),
+                      trigger={"availableNow": True}).awaitTermination()      # the second is a restart
+        compact_buckets(spark, f"{base}/store")
     return bucket_trending(read_buckets(spark, f"{base}/store"), as_of=as_of, hours=24, limit=20)
 
 
@@ -337,13 +463,13 @@ def q_stream_trends(spark, sf_dir):
 @query("get_trending")
 def q_get_trending(spark, sf_dir):
     from .plans.explore import get_trending
-    return get_trending(posts_view(spark, sf_dir), limit=12)
+    return get_trending(posts_view(spark, sf_dir), as_of="latest", limit=12)
 
 
 @query("get_sentiment")
 def q_get_sentiment(spark, sf_dir):
     from .plans.explore import get_sentiment
-    return get_sentiment(_topic_sentiment(spark, sf_dir), limit=12)
+    return get_sentiment(_stored_topic_sentiment(spark, sf_dir), limit=12)
 
 
 @query("post_labels")
@@ -363,13 +489,11 @@ def q_event_buckets_30m(spark, sf_dir):
 
 @query("latest_posts_keyset")
 def q_latest_posts_keyset(spark, sf_dir):
-    """O-39 deep paging: the page after the 50th post in (created_at desc, id asc)
-    order, addressed by its cursor instead of an offset."""
-    from pyspark.sql import functions as F
-
+    """O-39 deep paging: page 2 of the listing, addressed by the last row of page 1."""
     from .operators.filters import project_posts
     from .operators.topk import keyset_page
-    posts = project_posts(posts_view(spark, sf_dir))
-    first_page = posts.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(50)
-    cursor = first_page.orderBy(F.col("created_at").asc(), F.col("id").desc()).first()  # 1 row
-    return keyset_page(posts, cursor.created_at, cursor.id, page_size=50)
+    from .plans.explore import latest_order
+    posts = posts_view(spark, sf_dir)
+    last = posts.orderBy(*latest_order()).limit(50).collect()[-1]             # 50 rows
+    rows = keyset_page(posts, last.created_at, (last.source, last.external_id), page_size=50)
+    return project_posts(rows)

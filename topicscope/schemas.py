@@ -32,15 +32,17 @@ POST_WIRE = T.StructType([
 ])
 POST_WIRE_KEYS = tuple(f.name for f in POST_WIRE.fields)
 
+# numbers and times are read as text, so that a value of another type is seen
+# and rejected instead of turning into a null
 HN_ITEM = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", T.StringType()),
     T.StructField("type", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("text", T.StringType()),
     T.StructField("url", T.StringType()),
     T.StructField("by", T.StringType()),
-    T.StructField("score", T.IntegerType()),
-    T.StructField("time", T.LongType()),
+    T.StructField("score", T.StringType()),
+    T.StructField("time", T.StringType()),
 ])
 
 REDDIT_CHILD = T.StructType([
@@ -49,8 +51,8 @@ REDDIT_CHILD = T.StructType([
     T.StructField("selftext", T.StringType()),
     T.StructField("permalink", T.StringType()),
     T.StructField("author", T.StringType()),
-    T.StructField("score", T.IntegerType()),
-    T.StructField("created_utc", T.DoubleType()),
+    T.StructField("score", T.StringType()),
+    T.StructField("created_utc", T.StringType()),
 ])
 REDDIT_LISTING = T.StructType([
     T.StructField("data", T.StructType([
@@ -74,6 +76,10 @@ BLUESKY_EVENT = T.StructType([
     ])),
 ])
 
+# a landed feed (good rows and rejects), see ``sources.feeds.tag``
+LANDED = ("source STRING, external_id STRING, title STRING, text STRING, url STRING, author STRING, "
+          "score INT, created_at TIMESTAMP_NTZ, pos ARRAY<BIGINT>, reason STRING, record STRING, "
+          "ok BOOLEAN")
 REJECTED = "value STRING, reason STRING"
 BATCH_EVENTS = "batch_id BIGINT, event STRING, count BIGINT, sources ARRAY<STRING>"
 TRENDS = "term STRING, count BIGINT, weight BIGINT, rank INT"

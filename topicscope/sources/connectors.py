@@ -69,11 +69,12 @@ def read_kafka(spark: SparkSession, mode: str = "stream", topic: str | None = No
 
 # --- O-15 -----------------------------------------------------------------------------
 def kafka_records(posts: DataFrame) -> DataFrame:
-    """``(key, value)`` records: key = source, so one source lands in one
-    partition (the keyed partitioning the reference documents), value = wire JSON."""
+    """``(key, value)`` records: key = source and external id, so the deliveries
+    of one post stay in one partition and a large source is spread over all,
+    value = wire JSON."""
     from .decode import encode_posts
-    return posts.select(F.col("source").cast("string").alias("key"),
-                        encode_posts(posts).alias("value"))
+    key = F.concat_ws(":", F.col("source"), F.col("external_id"))
+    return posts.select(key.alias("key"), encode_posts(posts).alias("value"))
 
 
 def write_kafka(posts: DataFrame, topic: str | None = None, env: dict | None = None) -> None:
@@ -148,6 +149,12 @@ def path_has_files(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and len(fs.listStatus(p)) > 0
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder (none if it does not exist)."""
+    fs, p = _hadoop_fs(spark, path)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder this package created (staging data) on any Hadoop FS."""
     fs, p = _hadoop_fs(spark, path)

@@ -89,15 +89,22 @@ def encode_posts(df: DataFrame) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def validate_posts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """O-10 on stored-form rows (e.g. normaliser output): ``(good, rejected)``;
-    rejected rows keep their columns plus ``reason``."""
+def tag_posts(df: DataFrame) -> DataFrame:
+    """O-10 on stored-form rows: adds ``reason`` or extends an existing one (null: good)."""
     checks = [(F.col(c).isNull(), f"null:{c}") for c in ("source", "external_id", "title",
                                                           "created_at")]
     checks += [(F.length(F.col(c)) > n, f"too_long:{c}") for c, n in LIMITS.items()]
     rule = None
     for cond, label in checks:
         rule = F.when(cond, F.lit(label)) if rule is None else rule.when(cond, F.lit(label))
-    tagged = df.withColumn("reason", rule)
+    if "reason" in df.columns:
+        rule = F.coalesce(F.col("reason"), rule)
+    return df.withColumn("reason", rule)
+
+
+def validate_posts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """O-10 on stored-form rows (e.g. normaliser output): ``(good, rejected)``;
+    rejected rows keep their columns plus ``reason``."""
+    tagged = tag_posts(df)
     return (tagged.filter(F.col("reason").isNull()).drop("reason"),
             tagged.filter(F.col("reason").isNotNull()))

@@ -6,29 +6,25 @@ Each micro-batch is handled in ``foreachBatch`` as a static DataFrame:
 1. decode + contract check tag every record once (persisted for the batch),
 2. rejected records are written to the dead-letter table, partition
    ``batch_id`` (overwritten on replay, so a retried batch adds nothing twice),
-3. good records are merged into the posts table with the sequence-number
-   upsert (idempotent and order-independent); only the hash buckets of the
-   keys in the batch are rewritten (``merge_into_table``),
+3. good records are merged into the posts table (``merge_into_table``: append
+   to its log, idempotent and order-independent); no stored row is rewritten,
 4. the batch event row ``(batch_id, 'new_posts', count, sources)`` is
    written to partition ``batch_id`` of the events table.
 
-Offsets live in the query checkpoint (in the shared ``spark.checkpoint.dir``
-unless a location is given), so a restarted query resumes where it stopped;
-together with the idempotent steps above a replayed batch converges to the
-same tables.  Per-batch cost is the rewrite of the touched buckets; on table
-formats with ``MERGE INTO`` step 3 becomes a merge of the changed keys.
+Offsets live in the query checkpoint.  By default it is part of the table
+(``<table>/_checkpoint``), so a restarted query goes on where it stopped and
+batch ids never start anew; together with the idempotent steps above a
+replayed batch converges to the same tables.  Per-batch cost is that of the
+batch; ``compact_posts`` folds the log into the table from time to time.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import DEFAULT_BUCKETS, merge_into_table
-from ..session import scratch_path
+from ..operators.upsert import merge_into_table
 from ..sources.decode import tag_contract, tag_wire
 from ..schemas import POST_WIRE_KEYS
 
@@ -56,17 +52,17 @@ def batch_event(good: DataFrame, batch_id: int) -> DataFrame:
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table_base: str,
-                  dead_letter: str, events_path: str, now=None,
-                  buckets: int = DEFAULT_BUCKETS) -> None:
+                  dead_letter: str, events_path: str, now=None) -> None:
+    order = [c for c in ("seq", "pos") if c in batch.columns]
     tagged = tag_contract(tag_wire(batch, "value")).persist()
     try:
         good = tagged.filter(F.col("reason").isNull()).select(
-            "seq", *[F.col("w")[c].alias(c) for c in POST_WIRE_KEYS if c != "created_at"],
+            *order, *[F.col("w")[c].alias(c) for c in POST_WIRE_KEYS if c != "created_at"],
             F.col("created_ts").alias("created_at"))
         rejected = tagged.filter(F.col("reason").isNotNull()).select("seq", "value", "reason")
         (rejected.write.mode("overwrite")
          .parquet(f"{dead_letter.rstrip('/')}/batch_id={int(batch_id)}"))
-        merge_into_table(spark, table_base, good, "seq", buckets=buckets, now=now)
+        merge_into_table(spark, table_base, good, "seq", now=now)
         write_batch_event(good, batch_id, events_path)
     finally:
         tagged.unpersist()
@@ -80,34 +76,37 @@ def write_batch_event(good: DataFrame, batch_id: int, events_path: str) -> bool:
          .parquet(f"{events_path.rstrip('/')}/batch_id={int(batch_id)}"))
         return True
     except Exception as ex:  # noqa: BLE001 -- notification is best effort
-        print(f"[topicscope] batch event {batch_id} not written: {type(ex).__name__}: {ex}"[:300])
+        print(f"[topicscope] batch event {batch_id} not written: {type(ex).__name__}: {ex}")
         return False
 
 
 def stream_upsert(stream: DataFrame, table_base: str, dead_letter: str, events_path: str,
                   checkpoint: str | None = None, trigger: dict | None = None,
-                  now=None, buckets: int = DEFAULT_BUCKETS) -> StreamingQuery:
+                  now=None) -> StreamingQuery:
     """O-41: start the streaming upsert of an envelope stream ``(seq, value)``
-    (a broker stream maps ``offset`` to ``seq``)."""
+    or ``(seq, pos, value)``."""
     spark = stream.sparkSession
-    checkpoint = checkpoint or scratch_path(spark, f"stream_upsert-{uuid.uuid4().hex[:8]}")
+    checkpoint = checkpoint or f"{table_base.rstrip('/')}/_checkpoint"
 
     def fn(batch_df, batch_id):
-        process_batch(spark, batch_df, batch_id, table_base, dead_letter, events_path, now,
-                      buckets)
+        process_batch(spark, batch_df, batch_id, table_base, dead_letter, events_path, now)
 
-    w = (stream.select("seq", "value").writeStream.foreachBatch(fn)
+    cols = [c for c in ("seq", "pos", "value") if c in stream.columns]
+    w = (stream.select(*cols).writeStream.foreachBatch(fn)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(**(trigger or trigger_options("scheduled")))
     return w.start()
 
 
 def kafka_envelope(kafka_df: DataFrame) -> DataFrame:
-    """Broker records -> ``(seq, value)``.  ``seq`` orders deliveries: the
-    offset within its partition, prefixed by the partition (records of one
-    key stay in one partition, so per-key order is the offset order)."""
+    """Broker records -> ``(seq, pos, value)``: deliveries are ordered by the
+    record's time, then partition and offset.  (One post's deliveries may sit
+    in several partitions, since producers need not key their records.)"""
+    has_time = "timestamp" in kafka_df.columns
+    seq = F.coalesce(F.unix_micros("timestamp"), F.lit(0)) if has_time else F.lit(0)
     return kafka_df.select(
-        (F.col("partition").cast("bigint") * F.lit(1 << 40) + F.col("offset")).alias("seq"),
+        seq.cast("bigint").alias("seq"),
+        F.array(F.col("partition").cast("bigint"), F.col("offset").cast("bigint")).alias("pos"),
         F.col("value").cast("string").alias("value"))
 
 
@@ -121,15 +120,16 @@ def read_envelopes(spark: SparkSession, path: str, files_per_trigger: int | None
 
 def stream_ingest_kafka(spark: SparkSession, table_base: str, dead_letter: str, events_path: str,
                         checkpoint: str | None = None, mode: str = "micro",
-                        env: dict | None = None, max_offsets_per_trigger: int | None = 50,
-                        buckets: int = DEFAULT_BUCKETS) -> StreamingQuery:
+                        env: dict | None = None,
+                        max_offsets_per_trigger: int | None = None) -> StreamingQuery:
     """C-10: broker topic -> decode -> dead letter / keyed merge -> batch events.
 
-    ``max_offsets_per_trigger`` bounds a micro-batch (the reference flushes
-    every 50 records); offsets are tracked in the query checkpoint.
+    A micro-batch takes all that has arrived; ``max_offsets_per_trigger`` sizes
+    it where a caller wants smaller ones.  Offsets are tracked in the query
+    checkpoint.
     """
     from ..sources.connectors import read_kafka
     stream = kafka_envelope(read_kafka(spark, "stream", env=env,
                                        max_offsets_per_trigger=max_offsets_per_trigger))
     return stream_upsert(stream, table_base, dead_letter, events_path, checkpoint,
-                         trigger_options(mode), buckets=buckets)
+                         trigger_options(mode))
