@@ -62,7 +62,7 @@ def _common_counts() -> str:
 def _js(p: str, q: str) -> str:
     share = f"list_transform(range(1, len({p}) + 1), lambda i: [{p}[i] / list_sum({p})::DOUBLE, {q}[i] / list_sum({q})::DOUBLE])"
     half = lambda k: f"CASE WHEN z[{k}] > 0 THEN z[{k}] * log2(2 * z[{k}] / (z[1] + z[2])) ELSE 0 END"
-    return f"round(sqrt(greatest(list_sum(list_transform({share}, lambda z: ({half(1)} + {half(2)}) / 2)), 0)), 6)"
+    return f"CASE WHEN {p} IS NOT NULL AND {q} IS NOT NULL THEN round(sqrt(greatest(list_sum(list_transform({share}, lambda z: ({half(1)} + {half(2)}) / 2)), 0)), 6) END"
 
 
 QUALITY = f"""
@@ -75,7 +75,7 @@ words AS (SELECT * EXCLUDE v, list_filter(v, lambda x: x <> '') AS v, len(v) AS
 hist AS (SELECT *, {_common_counts()} AS c FROM words),
 rows AS (
   SELECT * EXCLUDE c, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) THEN lang ELSE '' END AS ref,
-    CASE WHEN v IS NOT NULL THEN list_append(c, greatest(len(v) - list_sum(c), 0)) END AS common FROM hist),
+    CASE WHEN len(v) > 0 THEN list_append(c, greatest(len(v) - list_sum(c), 0)) END AS common FROM hist),
 refs AS (
   SELECT ref, [{", ".join(f"sum(classes[{k}])" for k in range(1, 7))}] AS rc, [{", ".join(f"sum(common[{k}])" for k in range(1, 14))}] AS rw FROM rows GROUP BY 1),
 every AS (SELECT [{", ".join(f"sum(classes[{k}])" for k in range(1, 7))}] AS rc FROM rows),

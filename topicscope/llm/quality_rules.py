@@ -10,7 +10,8 @@ reference by Jensen-Shannon distance (square root of the base-2 divergence, betw
 * common words: the listed words of the declared language, and all other words.
 
 A histogram is compared only if the text is long enough for its shape to mean something
-(``MIN_CHARS`` code points, ``MIN_WORDS`` words); otherwise its distance is null and does not count.
+(``MIN_CHARS`` code points, ``MIN_WORDS`` words, some of them with letters); otherwise its distance is
+null and does not count.
 A document whose language has no list is compared by character classes with all documents.
 
 Defined results: a null text counts as empty and fails the base rules; an empty table gives an empty
@@ -95,7 +96,7 @@ def _distance(p: str, q: str) -> Column:
     total = f"aggregate({share}, 0D, (s, x) -> s + x)"
     for name, col in (("sum_p", p), ("sum_q", q)):
         total = total.replace(name, f"aggregate({col}, 0L, (s, x) -> s + x)")
-    return F.expr(f"sqrt(greatest({total}, 0D))")
+    return F.when(F.col(p).isNotNull() & F.col(q).isNotNull(), F.expr(f"sqrt(greatest({total}, 0D))"))
 
 
 def quality_features(docs: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def quality_features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("padded", F.when((F.col("n_words") >= MIN_WORDS) & F.col("lang").isin(*COMMON_WORDS), F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower("t"), "[^\\p{L}]+", "  ")), F.lit(" "))))
     gaps = ((F.octet_length("padded") - F.octet_length(F.replace("padded", F.lit("  "), F.lit("")))) / 2).cast("long")
     rows = rows.withColumn("all_words", F.when(F.col("padded") == "  ", F.lit(0).cast("long")).otherwise(gaps + 1))
-    rows = rows.withColumn("common", F.when(F.col("padded").isNotNull(), _word_counts(F.col("lang"), F.col("padded"))))
+    rows = rows.withColumn("common", F.when(F.col("all_words") > 0, _word_counts(F.col("lang"), F.col("padded"))))
     rows = rows.withColumn("common", F.expr("concat(common, array(greatest(all_words - aggregate(common, 0L, (s, x) -> s + x), 0L)))"))
     return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common")
 
