@@ -209,11 +209,17 @@ def _writer(folder: str):
     return run
 
 
-def page_roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null for responses) of pages(page_id, url, html)."""
+def page_roles(pages: DataFrame, folder: str) -> DataFrame:
+    """page_id, url, html, digest, refers_to (null for responses) of pages(page_id, url, html).
+
+    The first pages of repeated payloads are written to ``folder``, so that the join has nothing but
+    plain shuffles (a hot payload can be split), and builds a hash table of them: pages are not sorted.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html"), 256))
-    first = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first.where("n > 1").select("digest", "first").write.parquet(f"{folder}/repeated")
+    first = pages.sparkSession.read.schema("digest string, first long").parquet(f"{folder}/repeated").hint("shuffle_hash")
     other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -221,7 +227,7 @@ def page_roles(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row of pages(page_id, url, html); returns path, n_records of the files."""
     spark = pages.sparkSession
-    page_roles(pages).mapInArrow(_writer(f"{folder}/data"), _FILES).write.parquet(f"{folder}/files")
+    page_roles(pages, folder).mapInArrow(_writer(f"{folder}/data"), _FILES).write.parquet(f"{folder}/files")
     return spark.read.schema(_FILES).parquet(f"{folder}/files")
 
 
