@@ -16,8 +16,8 @@ page leaving itself out of its host's and domain's and suffix's counts.  Sums ar
 
 Plan: one pass over the documents gives the trigram counts (at most languages x ``BINS`` rows a task),
 one pass over the pages gives narrow rows, written to the shared folder.  All sums are partial
-aggregations; a host with a third of all pages is one row per task.  Its sums are joined back to narrow
-rows, a skewed join that adaptive execution splits.
+aggregations; a host with a third of all pages is one row per task.  The sums are written and joined back
+to narrow rows, a skewed join that adaptive execution splits.
 
 Defined results: a null or empty page has no text evidence; no declaration is evidence of its own; a page
 without a host shares the host ''; documents without a language or text are not counted; without any
@@ -156,10 +156,14 @@ def fused_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     docs(text, lang) trains the text model."""
     spark = pages.sparkSession
     n = len(LANGUAGES)
-    path = f"{scratch_path(spark, f'language-{uuid4().hex}')}/pages"
+    shared = scratch_path(spark, f"language-{uuid4().hex}")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{shared}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{shared}/{name}")
+
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    rows.mapInArrow(_featurer(trigram_model(docs)), _PAGE).write.parquet(path)
-    rows = spark.read.schema(_PAGE).parquet(path)
+    rows = stored(rows.mapInArrow(_featurer(trigram_model(docs)), _PAGE), "pages")
 
     # reliability of declarations: at most len(LANGUAGES) + 2 rows
     said = {r["declared"]: np.array(r["sums"], float) for r in _sums(rows, "declared", "sums").collect()}
@@ -173,7 +177,7 @@ def fused_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     places = rows.groupBy("host").agg(F.first("domain").alias("domain"), F.first("suffix").alias("suffix"))
     domains, suffixes = _sums(rows, "domain", "domain_sums"), _sums(rows, "suffix", "suffix_sums")
     hosts = places.join(hosts, "host").join(domains, "domain").join(suffixes, "suffix").select("host", "host_sums", "domain_sums", "suffix_sums")
-    rows = rows.join(hosts, "host")
+    rows = rows.join(stored(hosts, "hosts"), "host")  # two plain shuffles: a hot host can be split
 
     def others(name: str) -> Column:
         return F.transform(F.arrays_zip(F.col(name).alias("a"), F.col("post").alias("b")), lambda z: z["a"] - z["b"])
