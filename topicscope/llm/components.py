@@ -10,8 +10,9 @@ def component_labels(edges: DataFrame, folder: str, most_rounds: int = 60) -> Da
     """For each node of edges(a, b): a, label (the smallest node of its component).
 
     Every step is a partial aggregation (the smallest neighbour of each node) and a join back to the
-    edges, so a node with very many neighbours is never collected.  Each round's edges are written to
-    ``folder`` (shared storage), which cuts the lineage and survives a lost executor.  The rounds end
+    edges.  Both are written to ``folder`` (shared storage), which cuts the lineage and survives a lost
+    executor; it also leaves the join nothing but plain shuffles, so adaptive execution can split a node
+    with very many neighbours.  The rounds end
     when a round changes no edge; their number grows with the logarithm of the longest path.  Empty
     edges give an empty result.  Self-loops and repeated edges change nothing.
     """
@@ -29,9 +30,10 @@ def component_labels(edges: DataFrame, folder: str, most_rounds: int = 60) -> Da
     state = size(now)
     for step in range(1, most_rounds + 1):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")), f"least-{step}")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.where("a <> b").distinct(), f"large-{step}")
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"down-{step}")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         now = stored(small.where("a <> b").distinct(), f"edges-{step}")
         after = size(now)

@@ -270,7 +270,8 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, target_reca
     counts = links.groupBy("node").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     grouped = every.join(counts, "node", "left").join(roots.select(F.col("a").alias("node"), "label").withColumnRenamed("label", "root"), "node", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "node")).select("node", "copies", "first_id", "text_links", "doc_links", "root")
-    names = grouped.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    grouped = stored(grouped, "grouped")
+    names = stored(grouped.groupBy("root").agg(F.min("first_id").alias("class_id")), "names")
     classed = stored(grouped.join(names, "root").select("node", "copies", "first_id", "text_links", "doc_links", "class_id"), "classed")
     zero = F.lit(0).cast("long")
     linked = F.col("label").isNotNull()
