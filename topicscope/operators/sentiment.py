@@ -6,12 +6,12 @@ of scoring is a plan of builtin operators:
 
 1. per post, in one narrow projection: tokens (regex), the mixed-case flag,
    the position of the first "but" and the number of exclamation marks;
-2. per token, still inside the row: a narrow struct of the lower-cased token
-   and its two rule factors, worked out from the three preceding tokens
-   (negation, boosters), all-caps emphasis and the "but" contrast.  Only these
-   structs are exploded and probe the lexicon table, so the bytes that move
-   grow with the number of tokens whichever join Spark picks (broadcast by its
-   size limit, else a shuffle join with AQE's skew handling);
+2. per token, still inside the row: a narrow struct of the token, the three
+   tokens before it and its side of the "but" contrast.  Only these structs
+   are exploded and probe the lexicon table, so the bytes that move grow with
+   the number of tokens whichever join Spark picks (broadcast by its size
+   limit, else a shuffle join with AQE's skew handling); negation, boosters,
+   capitals and contrast are worked out for the matched tokens;
 3. sum the adjusted valences per post key; the posts were hash-partitioned
    by the key once, so this aggregate needs no further shuffle;
 4. left-join the sums back to the posts on the key with a shuffled hash join
@@ -102,9 +102,8 @@ def _post_flags(df: DataFrame, text_col: str) -> DataFrame:
     is_caps = (lambda t: (t == F.upper(t)) & (t != F.lower(t)))
     staged = staged.withColumn(
         "__mixed", F.exists("__toks", is_caps) & F.exists("__toks", lambda t: ~is_caps(t)))
-    staged = staged.withColumn(
-        "__but", F.array_position(F.transform("__toks", lambda t: F.lower(t)), CONTRAST_WORD))
-    return staged
+    staged = staged.withColumn("__low", F.transform("__toks", lambda t: F.lower(t)))
+    return staged.withColumn("__but", F.array_position("__low", CONTRAST_WORD))
 
 
 def _bangs(text_col: str) -> Column:
@@ -112,39 +111,43 @@ def _bangs(text_col: str) -> Column:
     return F.least(F.length(text) - F.length(F.regexp_replace(text, "!", "")), F.lit(BANG_MAX))
 
 
-def _token_factors(toks: Column, mixed: Column, but: Column) -> Column:
-    """Array of ``(tok, step, factor)``: a matched valence v contributes
-    ``(v + sign(v) * step) * factor``."""
-    zero, one = _dec(Decimal("0")), _dec(Decimal("1.0"))
-
-    def factors(t: Column, i: Column) -> Column:
-        prev = [F.lower(F.get(toks, i - j)) for j in (1, 2, 3)]
-        neg = _is_negation(prev[0]) | _is_negation(prev[1]) | _is_negation(prev[2])
-        boost = F.lit(Decimal("0.00"))
-        for p, damp in zip(prev, DAMPING):
-            boost = boost + F.coalesce(_boost_of(p), F.lit(0)).cast("decimal(1,0)") * _dec(damp)
-        caps = (t == F.upper(t)) & (t != F.lower(t)) & mixed
-        step = (F.when(caps, _dec(CAPS_STEP)).otherwise(zero) + _dec(BOOSTER_STEP) * boost).cast("decimal(9,5)")
-        contrast = (F.when(but == 0, one).when(i + 1 < but, _dec(BUT_BEFORE))
-                    .when(i + 1 > but, _dec(BUT_AFTER)).otherwise(one))
-        factor = (F.when(neg, _dec(NEGATION_FACTOR)).otherwise(one) * contrast).cast("decimal(6,4)")
-        return F.struct(F.lower(t).alias("tok"), step.alias("step"), factor.alias("factor"))
+def _token_context(toks: Column, low: Column, but: Column) -> Column:
+    """Array of ``(raw, p1, p2, p3, side)``: each token with the three lower-cased tokens
+    before it and its side of the contrast word (-1 before, 1 after, 0 neither)."""
+    def context(t: Column, i: Column) -> Column:
+        side = F.when(but > 0, F.signum((i + 1 - but).cast("double"))).otherwise(F.lit(0.0)).cast("tinyint")
+        return F.struct(t.alias("raw"), F.get(low, i - 1).alias("p1"), F.get(low, i - 2).alias("p2"),
+                        F.get(low, i - 3).alias("p3"), side.alias("side"))
 
-    return F.transform(toks, factors)
+    return F.transform(toks, context)
 
 
 def _matched_contributions(flags: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
-    """One row per token found in the lexicon with its rule-adjusted valence."""
+    """One row per token found in the lexicon with its rule-adjusted valence; the
+    rules are evaluated for the matched tokens only."""
     # explode_outer + not-null filter: a plain explode makes Catalyst infer
     # size(tokens) > 0 below the exchange (regex evaluated twice, and the
     # exchange could no longer be shared with the join-back branch)
-    narrow = _token_factors(F.col("__toks"), F.col("__mixed"), F.col("__but"))
-    ex = (flags.select(*key, F.explode_outer(narrow).alias("x"))
-               .select(*key, "x.tok", "x.step", "x.factor").filter(F.col("tok").isNotNull()))
-    j = ex.join(lex, F.col("tok") == lex["token"], "inner")
+    context = _token_context(F.col("__toks"), F.col("__low"), F.col("__but"))
+    ex = (flags.select(*key, "__mixed", F.explode_outer(context).alias("x"))
+               .select(*key, "__mixed", "x.raw", "x.p1", "x.p2", "x.p3", "x.side")
+               .filter(F.col("raw").isNotNull()))
+    j = ex.join(lex, F.lower(F.col("raw")) == lex["token"], "inner")
+    prev = [F.col(p) for p in ("p1", "p2", "p3")]
+    neg = _is_negation(prev[0]) | _is_negation(prev[1]) | _is_negation(prev[2])
+    boost = F.lit(Decimal("0.00"))
+    for p, damp in zip(prev, DAMPING):
+        boost = boost + F.coalesce(_boost_of(p), F.lit(0)).cast("decimal(1,0)") * _dec(damp)
+    butm = (F.when(F.col("side") < 0, _dec(BUT_BEFORE)).when(F.col("side") > 0, _dec(BUT_AFTER))
+            .otherwise(_dec(Decimal("1.0"))))
+    t = F.col("raw")
+    caps = (t == F.upper(t)) & (t != F.lower(t)) & F.col("__mixed")
     v = F.col("valence")
-    adjusted = v + F.signum(v).cast("decimal(1,0)") * F.col("step")
-    return j.select(*key, (adjusted * F.col("factor")).cast(SENT_DECIMAL).alias("__c"))
+    sv = F.signum(v).cast("decimal(1,0)")
+    v1 = (v + F.when(caps, sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
+          + sv * _dec(BOOSTER_STEP) * boost)
+    v2 = F.when(neg, v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
+    return j.select(*key, (v2 * butm).cast(SENT_DECIMAL).alias("__c"))
 
 
 def compound(total: Column, bang: Column, alpha: float = ALPHA) -> Column:
@@ -165,7 +168,7 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_
     ``prepartitioned=True`` when ``df`` already is, e.g. the upsert output);
     both branches below read that one exchange (Spark reuses it):
 
-    * tokens with their factors -> explode -> join with the lexicon -> adjusted
+    * tokens with their context -> explode -> join with the lexicon -> adjusted
       valences of matched tokens -> sum per key, without a further shuffle if
       the lexicon was broadcast, because the rows are already partitioned;
     * the posts themselves, joined to the sums on the key with a shuffled

@@ -70,12 +70,16 @@ def decode_posts(df: DataFrame, value_col: str = "value",
     ``TIMESTAMP_NTZ``) plus any ``keep`` columns (e.g. Kafka offsets).
     """
     tagged = tag_contract(tag_wire(df, value_col))
-    good = tagged.filter(F.col("reason").isNull()).select(
+    # the generator keeps the filter on the reason above the projections: pushed
+    # below, it would parse every record again for each rule
+    tagged = tagged.select(*[F.col(c) for c in keep], F.col(value_col).cast("string").alias("value"),
+                           F.explode(F.array(F.struct("w", "created_ts", "reason"))).alias("x"))
+    good = tagged.filter(F.col("x.reason").isNull()).select(
         *[F.col(c) for c in keep],
-        *[F.col("w")[c].alias(c) for c in POST_WIRE_KEYS if c != "created_at"],
-        F.col("created_ts").alias("created_at"))
-    rejected = tagged.filter(F.col("reason").isNotNull()).select(
-        *[F.col(c) for c in keep], F.col(value_col).cast("string").alias("value"), "reason")
+        *[F.col("x.w")[c].alias(c) for c in POST_WIRE_KEYS if c != "created_at"],
+        F.col("x.created_ts").alias("created_at"))
+    rejected = tagged.filter(F.col("x.reason").isNotNull()).select(
+        *[F.col(c) for c in keep], "value", F.col("x.reason").alias("reason"))
     return good, rejected
 
 

@@ -80,11 +80,10 @@ def _bad(raw: Column, parsed: Column) -> Column:
 def _tagged(df: DataFrame, keep: tuple, fields: dict[str, Column], pos: Column,
             reason: Column) -> DataFrame:
     """Post columns and tag columns; a reject keeps its raw record instead of a post."""
-    good = reason.isNull()
     return df.select(
         *[F.col(c) for c in keep], *[fields[c].alias(c) for c in POST_COLUMNS],
         pos.alias("pos"), reason.alias("reason"),
-        F.when(~good, F.col("__value")).alias("record"))
+        F.when(reason.isNotNull(), F.col("__value")).alias("record"))
 
 
 def _good(tagged: DataFrame, keep: tuple) -> DataFrame:
@@ -144,16 +143,22 @@ def tag_reddit(raw: DataFrame, limit_per_listing: int | None = None,
     children = F.coalesce(F.from_json("__value", REDDIT_LISTING)["data"]["children"], F.array())
     if limit_per_listing is not None:
         children = F.slice(children, 1, limit_per_listing)
-    bad_json = _malformed(F.col("__value"))
-    staged = staged.select(*cols, "__value", F.posexplode_outer(children).alias("__child", "c"))
-    staged = staged.filter(bad_json[0] | F.col("c.data").isNotNull())
+    # a listing is parsed once, and its text goes no further unless it is broken
+    broken, label = _malformed(F.col("__value"))
+    staged = staged.select(*cols, broken.alias("__broken"), children.alias("__children"),
+                           F.when(broken, F.col("__value")).alias("__value"))
+    staged = staged.select(*cols, "__broken", "__value", F.posexplode_outer("__children").alias("__child", "c"))
+    staged = staged.filter(F.col("__broken") | F.col("c.data").isNotNull())
+    bad_json = (F.col("__broken"), label)
     d = F.col("c.data")
     score, time = d["score"].try_cast("int"), d["created_utc"].try_cast("decimal(18,6)")
     reason = _first_reason(bad_json, (d["id"].isNull(), "null:id"),
                            (_bad(d["score"], score), "bad_type:score"),
                            (_bad(d["created_utc"], time), "bad_time:created_utc"))
+    staged = staged.withColumn("__reason", reason)
     # a bad child is kept alone, not with its whole listing
-    staged = staged.withColumn("__value", F.when(d.isNotNull(), F.to_json("c")).otherwise(F.col("__value")))
+    alone = F.when(F.col("__reason").isNotNull() & ~F.col("__broken"), F.to_json("c"))
+    staged = staged.withColumn("__value", F.coalesce(alone, F.col("__value")))
     fields = {
         "source": F.lit("reddit"), "external_id": d["id"],
         "title": F.coalesce(d["title"], F.lit("")),
@@ -163,7 +168,6 @@ def tag_reddit(raw: DataFrame, limit_per_listing: int | None = None,
         "score": F.coalesce(score, F.lit(0)),
         "created_at": epoch_to_ts(F.coalesce(time, F.lit(0).cast("decimal(18,6)"))),
     }
-    staged = staged.withColumn("__reason", reason)
     return _tagged(staged, keep, fields, _position(staged, order_col, F.col("__child")), F.col("__reason"))
 
 
