@@ -73,6 +73,12 @@ def test_crowded_nodes_are_dealt_in_blocks(spark, monkeypatch):
     assert by_id(J.jaccard_classes(docs_table(spark, rows))) == brute(rows)
 
 
+def test_long_texts_make_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_WORDS", 300)
+    rows = list(enumerate(near_copies(1, 25, words=80, edits=2, seed=5)))
+    assert by_id(J.jaccard_classes(docs_table(spark, rows))) == brute(rows)
+
+
 def test_shortening_finds_what_long_prefixes_miss(spark):
     texts = near_copies(60, 2, words=50, edits=1, seed=4)
     rows = list(enumerate(texts))

@@ -11,7 +11,7 @@ How the rows move, in steps whose results are tables in the shared folder:
    word sequences are counted into one class before anything is compared (partial aggregation, so a
    text with a third of all rows is one row per task).
 2. Per prefix length, only trie nodes with two classes or more go on.  A node of many classes is dealt
-   out in blocks of ``BLOCK``; each pair of blocks is a group of its own, so no task gets a whole node.
+   out in blocks of about ``BLOCK`` classes or ``BLOCK_WORDS`` words; each pair of blocks is a group of its own, so no task gets a whole node.
    A first pass over the narrow labels keeps the classes that own a pair there: a pair belongs to the
    first tree in which it meets, and not to the round if a longer prefix had brought it together.
 3. Only those classes fetch their texts.  Every owned pair is compared on its exact shingle sets.
@@ -45,8 +45,8 @@ TREES, DEPTH = 24, 6
 #: Prefix lengths, longest first, and the recall at which shortening ends.
 PREFIXES = (6, 5, 4, 3)
 TARGET_RECALL = 0.9999
-#: Classes of a trie node that are compared as one block.
-BLOCK = 1024
+#: Classes of a trie node that are compared as one block, and their words (long texts make small blocks).
+BLOCK, BLOCK_WORDS = 1024, 1_000_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -86,14 +86,15 @@ def _sequence_keys(words: np.ndarray) -> bytes:
 
 
 def _label_batches(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("label", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("label", pa.binary()), ("n_words", pa.int64())])
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        nodes, labels = [], []
+        nodes, labels, sizes = [], [], []
         for words, shingles in text_shingles(texts):
             nodes.append(_sequence_keys(words))
             labels.append(minhash_label(shingles).tobytes() if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(labels, pa.binary())], schema=schema)
+            sizes.append(len(words))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(labels, pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
 
 
 def _pairs_that_meet(label: np.ndarray, block: np.ndarray, first: int, second: int, tree: int, prefix: int, before: int | None) -> np.ndarray:
@@ -217,10 +218,11 @@ def _meeting_cells(classes: DataFrame, prefix: int) -> DataFrame:
     """Rows (cell, tree, first, second, block, node, label): classes by trie node and pair of blocks."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     path = F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * prefix})")
-    heads = classes.select("node", tree, "label").select("node", "tree", F.xxhash64("tree", path).alias("cell"))
-    crowded = heads.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    heads = classes.select("node", tree, "label", "n_words").select("node", "tree", "n_words", F.xxhash64("tree", path).alias("cell"))
+    crowded = heads.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
     dealt = (
-        heads.join(crowded, "cell")
+        heads.drop("n_words").join(crowded.select("cell", blocks.alias("blocks")), "cell")
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(prefix)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cell", "tree", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node")
@@ -247,8 +249,8 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, target_reca
         return spark.read.schema(df.schema).parquet(f"{shared}/{name}")
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labelled = stored(docs.mapInArrow(_label_batches, "doc_id long, node binary, label binary"), "labels")
-    every = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("label").alias("label"))
+    labelled = stored(docs.mapInArrow(_label_batches, "doc_id long, node binary, label binary, n_words long"), "labels")
+    every = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("label").alias("label"), F.max("n_words").alias("n_words"))
     every = stored(every, "classes")
     classes = every.where("label is not null and first_id is not null")
 
