@@ -191,7 +191,7 @@ def read_posts_table(spark, path: str) -> DataFrame:
 
 def compact_posts(spark, path: str) -> str:
     """Fold the log into a new version of the table, publish it in one step and
-    remove what the version before it no longer needs.  Returns the version's path.
+    remove the logs of older versions.  Returns the version's path.
 
     The version is partitioned by day and sorted by time inside, so look-back
     scans read the days they need.
@@ -203,9 +203,6 @@ def compact_posts(spark, path: str) -> str:
     folded = folded.repartitionByRange("created_at").sortWithinPartitions("day", "created_at")
     out = replace_table(folded, base, partition_by=["day"])
     keep = {before, out.rsplit("/", 1)[1]}          # readers may still use the version before
-    for name in list_names(spark, base):
-        if name.startswith("v-") and name not in keep:
-            remove_path(spark, f"{base}/{name}")
     for name in list_names(spark, f"{base}/log"):
         if name not in keep:
             remove_path(spark, f"{base}/log/{name}")

@@ -488,6 +488,15 @@ register("ingest_report", _pe(
   count(*) FILTER (WHERE {_REASON} IS NULL) AS written, count(*) FILTER (WHERE {_REASON} IS NOT NULL) AS rejected FROM pe
 UNION ALL SELECT 'reddit', 'ok', count(*), count(*), 0 FROM pe
 UNION ALL SELECT 'bluesky', 'ok', 0, 0, 0"""))
+register("ingest_metrics", "WITH " + DELIVERY_SQL.strip() + """,
+lags AS (
+  SELECT source, CAST(score AS BIGINT) AS lag, epoch_us(created_at + to_seconds(score)) // 1000000 AS second,
+    row_number() OVER (PARTITION BY source ORDER BY score) AS rn, count(*) OVER (PARTITION BY source) AS n
+  FROM deliveries)
+SELECT source, count(*) AS posts, round(count(*) / (max(second) - min(second)), 6) AS per_second,
+  max(lag) FILTER (WHERE rn = CAST(ceil(n * 0.5) AS BIGINT)) AS lag_p50,
+  max(lag) FILTER (WHERE rn = CAST(ceil(n * 0.99) AS BIGINT)) AS lag_p99
+FROM lags GROUP BY source""")
 register("first_items", _pe(_hn_expected().replace("FROM pe", "FROM (SELECT * FROM pe ORDER BY doc_id LIMIT 100)")))
 
 

@@ -9,7 +9,7 @@ Row-level problems never fail a feed: each reject is landed with its reason
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.upsert import merge_into_table, read_posts_table, stored_view
@@ -99,6 +99,29 @@ def read_posts(spark: SparkSession, table_base: str) -> DataFrame:
     return stored_view(read_posts_table(spark, table_base))
 
 
+def ingest_metrics(posts: DataFrame) -> DataFrame:
+    """M-1, M-2 per source: posts, posts per second of ingest time (null for one instant), and the
+    lag from creation to ingest in whole seconds at the 50th and 99th percentile (nearest rank).
+
+    Lags are counted by (source, second) first, so the ranking runs over distinct seconds, not posts.
+    """
+    lag = F.timestamp_diff("SECOND", F.col("created_at"), F.col("ingested_at"))
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ingested_at"))
+    by_lag = (posts.select("source", lag.alias("lag"), second.alias("second")).groupBy("source", "lag")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("second").alias("lo"), F.max("second").alias("hi")))
+    own = Window.partitionBy("source")
+    ranked = (by_lag.withColumn("upto", F.sum("n").over(own.orderBy("lag")))
+                    .withColumn("all", F.sum("n").over(own)))
+
+    def at(share: float):
+        return F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * share), F.col("lag")))
+
+    out = ranked.groupBy("source").agg(F.sum("n").alias("posts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                       at(0.5).alias("lag_p50"), at(0.99).alias("lag_p99"))
+    rate = F.when(F.col("hi") > F.col("lo"), F.round(F.col("posts") / (F.col("hi") - F.col("lo")), 6))
+    return out.select("source", "posts", rate.alias("per_second"), "lag_p50", "lag_p99")
+
+
 def posts_from_broker_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Broker records ``(partition, offset, value)`` -> ``(posts, rejected)``.
 

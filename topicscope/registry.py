@@ -402,6 +402,17 @@ def q_ingest_rejects(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("ingest_metrics")
+def q_ingest_metrics(spark, sf_dir):
+    """M-1, M-2 over the delivery log, each row ingested ``score`` seconds after its creation."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import delivery_log
+    from .plans.ingest import ingest_metrics
+    d = delivery_log(spark, sf_dir)
+    return ingest_metrics(d.withColumn("ingested_at", F.col("created_at") + F.make_dt_interval(secs=F.col("score"))))
+
+
 @query("first_items")
 def q_first_items(spark, sf_dir):
     """O-13, O-14: the first 100 items of a feed by name, before non-stories are dropped."""

@@ -222,15 +222,21 @@ def replace_table(df: DataFrame, base: str, partition_by: list[str] | None = Non
                   version_tag: str | None = None) -> str:
     """O-17: atomic replace.  The new contents go to a fresh version folder;
     only after the write committed is a new pointer published, so a reader
-    sees either the old or the new table, never a gap.  ``version_tag`` is
-    embedded in the version name (readers get it from ``current_version_name``)."""
+    sees either the old or the new table, never a gap.  The version before
+    stays for its readers, older ones are removed.  ``version_tag`` is embedded
+    in the version name (readers get it from ``current_version_name``)."""
+    spark = df.sparkSession
+    before = current_version_name(spark, base)
     version = "v-" + (f"{version_tag}-" if version_tag else "") + uuid.uuid4().hex[:16]
     path = f"{base.rstrip('/')}/{version}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    _publish_pointer(df.sparkSession, base, version)
+    _publish_pointer(spark, base, version)
+    for name in list_names(spark, base):
+        if name.startswith("v-") and name not in (before, version):
+            remove_path(spark, f"{base.rstrip('/')}/{name}")
     return path
 
 
