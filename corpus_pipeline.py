@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from topicscope.llm.byte_bpe import round_trip_report
 from topicscope.llm.decontamination import without_benchmark
 from topicscope.llm.jaccard_forest import jaccard_classes
-from topicscope.llm.quality_rules import quality_rules
+from topicscope.llm.quality_rules import quality_filter
 from topicscope.llm.secret_scan import without_secrets
 from topicscope.session import scratch_path
 
@@ -24,13 +24,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    rejected = quality_rules(docs).where("NOT kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*COLUMNS)
+    return quality_filter(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of copies and near copies."""
-    others = jaccard_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__id"))
+    others = jaccard_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__id")).hint("shuffle_hash")
     return docs.join(others, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
 
 

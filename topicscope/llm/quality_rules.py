@@ -51,7 +51,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, t (the text, never null) and the base columns n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (see the module's docstring), base_failed."""
     w = REPEAT_WINDOW
-    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
+    row = ["__row"] if "__row" in docs.columns else []
+    rows = docs.select(*row, "doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.withColumn("words", _words(F.col("t"))).withColumn("n_words", F.size("words").cast("long"))
     windows = F.when(F.col("n_words") >= w, F.expr(f"transform(sequence(1, int(n_words) - {w - 1}), i -> xxhash64(slice(words, i, {w})))")).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("windows", windows)
@@ -63,7 +64,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     lines = F.expr(f"filter(split(t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
     rows = rows.withColumn("lines", lines)
     out = rows.select(
-        "doc_id", "lang", "t", "n_words",
+        *row, "doc_id", "lang", "t", "n_words",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -100,7 +101,9 @@ def _distance(p: str, q: str) -> Column:
 
 
 def quality_features(docs: DataFrame) -> DataFrame:
-    """The base columns, and the histograms classes and common (null where the text is too short)."""
+    """The base columns, and the histograms classes and common (null where the text is too short); a
+    column __row goes with them."""
+    row = ["__row"] if "__row" in docs.columns else []
     rows = base_counts(docs)
     # a set minus: what is left is short, so the other classes cost little
     rows = rows.withColumn("rest", F.regexp_replace("t", "[\\p{L}&&[^\\p{Lu}]]+", ""))
@@ -112,18 +115,18 @@ def quality_features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("all_words", F.when(F.col("padded") == "  ", F.lit(0).cast("long")).otherwise(gaps + 1))
     rows = rows.withColumn("common", F.when(F.col("all_words") > 0, _word_counts(F.col("lang"), F.col("padded"))))
     rows = rows.withColumn("common", F.expr("concat(common, array(greatest(all_words - aggregate(common, 0L, (s, x) -> s + x), 0L)))"))
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common")
+    return rows.select(*row, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common")
 
 
 def _sum_arrays(name: str, n: int) -> list[Column]:
     return [F.coalesce(F.sum(F.get(name, F.lit(k))), F.lit(0)).alias(f"{name}_{k}") for k in range(n)]
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base columns, class_distance, word_distance (6 decimals, null: not compared), kept."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """Features, both distances and kept."""
     spark = docs.sparkSession
     path = f"{scratch_path(spark, f'quality-{uuid4().hex}')}/features"
-    features = quality_features(docs.select("doc_id", "text", "lang"))
+    features = quality_features(docs)
     features.write.parquet(path)
     rows = spark.read.schema(features.schema).parquet(path)
     rows = rows.withColumn("reference", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("")))
@@ -138,4 +141,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     rows = rows.join(references, "reference", "left")
     rows = rows.withColumn("class_distance", F.round(_distance("classes", "ref_classes"), 6)).withColumn("word_distance", F.round(_distance("common", "ref_common"), 6))
     odd = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~odd)
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """doc_id, the base columns, class_distance, word_distance (6 decimals, null: not compared), kept."""
+    rows = _judged(docs.select("doc_id", "text", "lang"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
+def quality_filter(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns.
+
+    The rows go with their features into the written table, so no text is shuffled for a join.
+    """
+    rows = _judged(docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("__row")))
+    return rows.where("kept").select("__row.*")
