@@ -87,6 +87,19 @@ def test_shortening_finds_what_long_prefixes_miss(spark):
     assert J.meeting_chance(np.float64(0.8), J.PREFIXES[0]) < J.meeting_chance(np.float64(0.8), J.PREFIXES[-1])
 
 
+def test_shortening_goes_on_until_the_target(spark, monkeypatch):
+    """With few trees long prefixes miss links; the estimate notices and the rounds go on."""
+    monkeypatch.setattr(J, "TREES", 6)
+    monkeypatch.setattr(J, "_MULT", J._MULT[:, : 6 * J.DEPTH])
+    rows = list(enumerate(near_copies(80, 2, words=60, edits=1, seed=7)))
+    got = by_id(J.jaccard_classes(docs_table(spark, rows)))
+    want = brute(rows)
+    found, true = sum(r[5] for r in got), sum(r[5] for r in want)
+    assert found >= 0.97 * true
+    alone = by_id(J.jaccard_classes(docs_table(spark, rows), target_recall=0.1))     # ends after the first round
+    assert sum(r[5] for r in alone) <= found
+
+
 def test_repeated_and_null_ids(spark):
     text = "a b c d e f g h"
     got = by_id(J.jaccard_classes(docs_table(spark, [(3, text), (3, text), (None, text), (None, "only null ids here")])))
@@ -103,7 +116,7 @@ def test_every_pair_belongs_to_one_cell():
     label = rng.integers(0, 3, (40, J.TREES, J.DEPTH)).astype(np.uint32)
     block = np.zeros(40, int)
     seen = np.zeros((40, 40), int)
-    for before, prefix in ((None, 6), (6, 3), (3, 2)):
+    for before, prefix in ((None, 5), (5, 3), (3, 2)):
         for tree in range(J.TREES):
             keys = [label[k, tree, :prefix].tobytes() for k in range(40)]
             for key in set(keys):

@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from topicscope.llm.spans import HashIndex, code_points, gather_ranges, span_hashes, text_groups
 
 #: Distinct matches that a Python worker remembers.
-MOST_PIECES = 1_500_000
+MOST_PIECES = 1_000_000
+#: Pairs of tokens whose order it remembers.
+MOST_FOLLOWS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -123,7 +125,7 @@ class MergeTrees:
                             break
                 if not known:
                     break
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > MOST_FOLLOWS:
                 self._follows.clear()
             self._follows[key] = known
         return known

@@ -41,9 +41,9 @@ from topicscope.session import scratch_path
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-TREES, DEPTH = 24, 6
+TREES, DEPTH = 24, 5
 #: Prefix lengths, longest first, and the recall at which shortening ends.
-PREFIXES = (6, 5, 4, 3)
+PREFIXES = (5, 4, 3, 2)
 TARGET_RECALL = 0.9999
 #: Classes of a trie node that are compared as one block, and their words (long texts make small blocks).
 BLOCK, BLOCK_WORDS = 1024, 1_000_000
@@ -165,7 +165,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     shared = np.bincount(number)[number] > 1
     who, number = who[shared], number[shared]
     out = np.zeros((n, n), np.float32)
-    lo, width = 0, 8192
+    lo, width = 0, 2048  # bounds the columns held at once
     while lo < len(number):
         hi = np.searchsorted(number, number[lo] + width)
         column = np.zeros((n, width), np.float32)
@@ -191,22 +191,30 @@ def _verified(prefix: int, before: int | None, similarity: float, prefixes: tupl
             for k, (words, shingles) in enumerate(text_shingles(list(text))):
                 sets.append(np.unique(shingles))
                 known.append(_sequence_keys(words) == node[k])  # ids that several rows share
-            both = shared_counts(sets).astype(float)
+            both = shared_counts(sets)
             sizes = np.array([len(s) for s in sets], float)
-            ratio = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
-            keep = np.array(known)
-            linked = own & (ratio >= similarity - 1e-12) & keep[:, None] & keep[None, :]
+            linked = own & np.array(known)[:, None] & np.array(known)[None, :]
+            close = []
+            for lo in range(0, len(node), 256):  # a few rows at a time: the matrices are large
+                part = slice(lo, lo + 256)
+                ratio = both[part] / np.maximum(sizes[part, None] + sizes[None, :] - both[part], 1.0)
+                linked[part] &= ratio >= similarity - 1e-12
+                close.append(ratio[linked[part] & (np.arange(len(node))[None, :] > np.arange(lo, lo + len(ratio))[:, None])])
             if not linked.any():
                 continue
-            root = np.arange(len(node))
+            root = np.arange(len(node), dtype=np.int32)
             while True:
-                least = np.minimum(root, np.where(linked, root[None, :], len(node)).min(axis=1))
+                least = root.copy()
+                for k in range(len(node)):
+                    near = root[linked[k]]
+                    if len(near):
+                        least[k] = min(least[k], near.min())
                 least = least[least]
                 if (least == root).all():
                     break
                 root = least
             at = np.flatnonzero(linked.any(axis=1))
-            close = ratio[np.triu(linked)]
+            close = np.concatenate(close)
             expected = [float((1 / meeting_chance(close, p)).sum()) for p in prefixes]
             count = copies.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in at], pa.binary()), pa.array(linked[at].sum(axis=1), pa.int64()), pa.array(linked[at] @ count, pa.int64()), pa.array([node[root[k]] for k in at], pa.binary()), pa.array([float(len(close))] + [0.0] * (len(at) - 1)), pa.array([expected] + [[0.0] * len(prefixes)] * (len(at) - 1), pa.list_(pa.float64()))], schema=schema)

@@ -34,7 +34,7 @@ from topicscope.llm.spans import code_points, span_hashes, text_groups
 
 #: Characters of a chunk, and transitions that the word transducer keeps.
 CHUNK = 512
-MOST_TRANSITIONS = 3_000_000
+MOST_TRANSITIONS = 800_000
 #: The end of a word, as a symbol after its bytes.
 END = "Ā"
 
