@@ -107,6 +107,39 @@ def test_repeated_and_null_ids(spark):
     assert {r[1] for r in got if r[0] is None} == {3, None}
 
 
+def brute_shared_ids(rows):
+    """``brute`` for ids that are null or shared: classes by row number, then the least id of their rows."""
+    numbered = {r[0]: r for r in brute([(k, t) for k, (_, t) in enumerate(rows)])}
+
+    def least(k, column):
+        if not re.findall(r"[^\W_]+", rows[k][1] or ""):
+            return rows[k][0]
+        return min((rows[x][0] for x, r in numbered.items() if r[column] == numbered[k][column] and rows[x][0] is not None), default=None)
+
+    return sorted(((rows[k][0], least(k, 1), least(k, 2), *r[3:]) for k, r in numbered.items()), key=repr)
+
+
+def test_near_copies_beside_repeated_and_null_ids(spark):
+    a, b, c, d, e, f = (t for g in range(3) for t in near_copies(1, 2, words=60, edits=1, seed=20 + g))
+    assert len({a, b, c, d, e, f}) == 6
+    rows = [(3, a), (3, a), (5, b)]                     # repeated rows beside a near copy
+    rows += [(None, c), (None, c), (None, d)]           # no row of the class has an id
+    rows += [(None, e), (9, f), (9, "other words under the same id")] + [(9, f"hot id {k}") for k in range(20)]
+    rows += [(None, None), (None, ""), (7, " "), (7, " ")]
+    got = by_id(J.jaccard_classes(docs_table(spark, rows).repartition(3)))
+    assert got == brute_shared_ids(rows)
+    assert {r[3:] for r in got if r[0] in (3, 5)} == {(2, 2, 1), (1, 2, 1)}
+
+
+def test_every_class_has_one_first_row(spark):
+    a, b = near_copies(1, 2, words=60, edits=1, seed=20)
+    rows = [(3, a), (3, a), (3, b), (None, a), (None, "alone"), (None, None), (4, "")]
+    keyed = J.with_row_keys(docs_table(spark, rows).repartition(3))
+    got = J.keyed_classes(keyed).collect()
+    assert len({r.row_key for r in got}) == len(rows)
+    assert sorted(str(r.doc_id) for r in got if r.row_key == r.class_key) == ["3", "4", "None", "None"]
+
+
 def test_empty(spark):
     assert J.jaccard_classes(docs_table(spark, [])).count() == 0
 

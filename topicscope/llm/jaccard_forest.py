@@ -7,14 +7,16 @@ the links found so far (a Horvitz-Thompson estimate from their exact similaritie
 
 How the rows move, in steps whose results are tables in the shared folder:
 
-1. One pass over the texts gives each row the hash of its word sequence and the MinHash label.  Equal
-   word sequences are counted into one class before anything is compared (partial aggregation, so a
-   text with a third of all rows is one row per task).
+1. The rows are written once with a key of their own.  One pass over the texts gives each row the hash
+   of its word sequence and the MinHash label.  Equal word sequences are counted into one class before
+   anything is compared (partial aggregation, so a text with a third of all rows is one row per task).
+   The row with the least (id, key) of a class, null ids last, stands for it.
 2. Per prefix length, only trie nodes with two classes or more go on.  A node of many classes is dealt
    out in blocks of about ``BLOCK`` classes or ``BLOCK_WORDS`` words; each pair of blocks is a group of its own, so no task gets a whole node.
    A first pass over the narrow labels keeps the classes that own a pair there: a pair belongs to the
    first tree in which it meets, and not to the round if a longer prefix had brought it together.
-3. Only those classes fetch their texts.  Every owned pair is compared on its exact shingle sets.
+3. Only those classes fetch their texts, one each, by the key of the row that stands for them: ids may be
+   null or shared by any number of rows.  Every owned pair is compared on its exact shingle sets.
    A group returns one row per member with its numbers of links and the smallest member that it is
    connected to: links are counted, never expanded into rows.
 4. Connected components of these (member, smallest member) edges name the groups.
@@ -22,7 +24,8 @@ How the rows move, in steps whose results are tables in the shared folder:
 Defined results: a null text counts as empty; a text without words has no shingles, links to nothing
 and is a class of its own; a text of one to four words has one
 shingle, all its words; repeated rows are copies.  A row without an id belongs to the class of its
-text; ``class_id`` is null where no row of the class has an id.  Other columns are not read.
+text and is linked like any other; ``class_id`` and ``copy_id`` are null where no row has an id.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -86,15 +89,15 @@ def _sequence_keys(words: np.ndarray) -> bytes:
 
 
 def _label_batches(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("label", pa.binary()), ("n_words", pa.int64())])
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.binary()), ("label", pa.binary()), ("n_words", pa.int64())])
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(2).to_pylist()]
         nodes, labels, sizes = [], [], []
         for words, shingles in text_shingles(texts):
             nodes.append(_sequence_keys(words))
             labels.append(minhash_label(shingles).tobytes() if len(shingles) else None)
             sizes.append(len(words))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(labels, pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(labels, pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
 
 
 def _pairs_that_meet(label: np.ndarray, block: np.ndarray, first: int, second: int, tree: int, prefix: int, before: int | None) -> np.ndarray:
@@ -187,13 +190,10 @@ def _verified(prefix: int, before: int | None, similarity: float, prefixes: tupl
         for key, (block, node, label, copies, text) in sorted_groups(batches, 4):
             _, tree, first, second = (int(x) for x in key)
             own = _pairs_that_meet(_labels_of(label), block, first, second, tree, prefix, before)
-            sets, known = [], []
-            for k, (words, shingles) in enumerate(text_shingles(list(text))):
-                sets.append(np.unique(shingles))
-                known.append(_sequence_keys(words) == node[k])  # ids that several rows share
+            sets = [np.unique(shingles) for _, shingles in text_shingles(list(text))]
             both = shared_counts(sets)
             sizes = np.array([len(s) for s in sets], float)
-            linked = own & np.array(known)[:, None] & np.array(known)[None, :]
+            linked = own
             close = []
             for lo in range(0, len(node), 256):  # a few rows at a time: the matrices are large
                 part = slice(lo, lo + 256)
@@ -241,6 +241,15 @@ def _meeting_cells(classes: DataFrame, prefix: int) -> DataFrame:
 CELL = ("cell", "tree", "first", "second")
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """docs and a column row_key (long, different in all rows), written once so that the keys stay."""
+    spark = docs.sparkSession
+    keyed = docs.withColumn("row_key", F.monotonically_increasing_id())
+    path = f"{scratch_path(spark, f'keyed-{uuid4().hex}')}/rows"
+    keyed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(keyed.schema).parquet(path)
+
+
 def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, class_id, copy_id, n_copies, n_links, n_text_links.
 
@@ -249,6 +258,13 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, target_reca
     ``n_copies`` the number of rows with the same words, ``n_links`` the number of other rows linked
     (copies included), ``n_text_links`` the number of different texts linked.
     """
+    docs = with_row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return keyed_classes(docs, similarity, target_recall).drop("row_key", "class_key")
+
+
+def keyed_classes(docs: DataFrame, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """``jaccard_classes`` of the rows of ``with_row_keys``, with row_key and class_key: the key of the row
+    with the least (doc_id, row_key), null ids last, of the class."""
     spark = docs.sparkSession
     shared = scratch_path(spark, f"jaccard-{uuid4().hex}")
 
@@ -256,18 +272,19 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, target_reca
         df.write.parquet(f"{shared}/{name}")
         return spark.read.schema(df.schema).parquet(f"{shared}/{name}")
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labelled = stored(docs.mapInArrow(_label_batches, "doc_id long, node binary, label binary, n_words long"), "labels")
-    every = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("label").alias("label"), F.max("n_words").alias("n_words"))
+    docs = docs.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labelled = stored(docs.mapInArrow(_label_batches, "row_key long, doc_id long, node binary, label binary, n_words long"), "labels")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    every = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max("label").alias("label"), F.max("n_words").alias("n_words"))
     every = stored(every, "classes")
-    classes = every.where("label is not null and first_id is not null")
+    classes = every.where("label is not null")
 
     links, before, prefixes = None, None, PREFIXES
     for prefix in prefixes:
         cells = _meeting_cells(classes, prefix).repartition(*CELL).sortWithinPartitions(*CELL)
         owners = stored(cells.mapInArrow(_owners(prefix, before), cells.schema), f"owners-{prefix}")
-        wanted = owners.select("node").distinct().join(classes.select("node", "copies", "first_id"), "node")
-        texts = docs.join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "copies", F.coalesce("text", F.lit("")).alias("text"))
+        wanted = owners.select("node").distinct().join(classes.select("node", "copies", F.col("first.row_key").alias("row_key")), "node")
+        texts = docs.join(wanted, "row_key").select("node", "copies", F.coalesce("text", F.lit("")).alias("text"))
         groups = owners.join(texts, "node").select(*CELL, "block", "node", "label", "copies", "text").repartition(*CELL).sortWithinPartitions(*CELL)
         found = stored(groups.mapInArrow(_verified(prefix, before, similarity, prefixes), "node binary, text_links long, doc_links long, root binary, found double, expected array<double>"), f"links-{prefix}")
         links = found if links is None else links.unionByName(found)
@@ -279,13 +296,15 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, target_reca
     roots = component_labels(links.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), f"{shared}/components")
     counts = links.groupBy("node").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     grouped = every.join(counts, "node", "left").join(roots.select(F.col("a").alias("node"), "label").withColumnRenamed("label", "root"), "node", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "node")).select("node", "copies", "first_id", "text_links", "doc_links", "root")
+    grouped = grouped.withColumn("root", F.coalesce("root", "node")).select("node", "copies", "first", "text_links", "doc_links", "root")
     grouped = stored(grouped, "grouped")
-    names = stored(grouped.groupBy("root").agg(F.min("first_id").alias("class_id")), "names")
-    classed = stored(grouped.join(names, "root").select("node", "copies", "first_id", "text_links", "doc_links", "class_id"), "classed")
+    names = stored(grouped.groupBy("root").agg(F.min("first").alias("class")), "names")
+    classed = stored(grouped.join(names, "root").select("node", "copies", F.col("first.doc_id").alias("first_id"), "text_links", "doc_links", F.col("class.doc_id").alias("class_id"), F.col("class.row_key").alias("class_key")), "classed")
     zero = F.lit(0).cast("long")
     linked = F.col("label").isNotNull()
-    return labelled.select("doc_id", "node", "label").join(classed, "node").select(
+    return labelled.select("row_key", "doc_id", "node", "label").join(classed, "node").select(
+        "row_key",
+        F.when(linked, F.col("class_key")).otherwise(F.col("row_key")).alias("class_key"),
         "doc_id",
         F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(linked, F.col("first_id")).otherwise(F.col("doc_id")).alias("copy_id"),
