@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from topicscope.llm.byte_bpe import round_trip_report
 from topicscope.llm.decontamination import without_benchmark
-from topicscope.llm.jaccard_forest import jaccard_classes
+from topicscope.llm.jaccard_forest import keyed_classes, with_row_keys
 from topicscope.llm.quality_rules import quality_filter
 from topicscope.llm.secret_scan import without_secrets
 from topicscope.session import scratch_path
@@ -28,9 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of copies and near copies."""
-    others = jaccard_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__id")).hint("shuffle_hash")
-    return docs.join(others, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of copies and near copies: the one with the smallest id, rows without an id
+    last, and one of several with that id.  Rows are told apart by a key of their own, so repeated rows, null ids
+    and ids that different texts share cost no group its row and keep no copy."""
+    keyed = with_row_keys(docs.select(*COLUMNS))
+    others = keyed_classes(keyed).where("class_key <> row_key").select(F.col("row_key").alias("__key")).hint("shuffle_hash")
+    return keyed.join(others, F.col("row_key") == F.col("__key"), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

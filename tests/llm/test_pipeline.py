@@ -72,3 +72,19 @@ def test_pipeline_of_an_empty_table(spark, scratch):
     empty = spark.read.parquet(f"{scratch}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, scratch).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(1)
+    a, b, c, d, e, f = (sentence(rng, 80) for _ in range(6))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, a), (1, a), (2, near(a))]                 # repeated rows
+    rows += [(None, b), (None, b), (None, near(b))]               # copies without an id
+    rows += [(3, c), (4, near(c)), (4, d)]                        # an id shared by a near copy and a clean text
+    rows += [(None, e), (8, near(e)), (None, f), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(3), "").collect()]
+    without_id = [r for r in got if r[1] in (b, near(b))]
+    assert len(without_id) == 1 and without_id[0][0] is None      # any one of them
+    rest = [r for r in got if r not in without_id]
+    assert sorted(rest, key=repr) == sorted([(1, a), (3, c), (4, d), (8, near(e)), (None, f), (None, None), (None, None)], key=repr)
