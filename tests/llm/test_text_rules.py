@@ -170,6 +170,18 @@ def test_matches_are_those_of_all_windows(spark, seed):
     assert sorted(r.doc_id for r in D.without_benchmark(df, bench).collect()) == sorted(d for d, _ in rows if d not in leaks)
 
 
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(5)
+    items = [(k, sentence(rng, 50)) for k in range(6)]
+    cut = lambda k, lo, hi: " ".join(items[k][1].split()[lo:hi])
+    rows = [(0, cut(0, 0, 49)), (1, cut(1, 1, 50)), (2, cut(2, 2, 48)), (3, cut(3, 0, 25)), (4, cut(4, 0, 4)), (5, sentence(rng, 30))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    weight = lambda t: sum(len("".join(t.split()[k : k + 5])) for k in range(len(t.split()) - 4))
+    want = [(d, d, round(weight(rows[d][1]) / weight(items[d][1]), 6), 0, 50) for d in range(3)]  # all shingles of the text are the item's
+    assert min(r[2] for r in want) > 0.8 and by_id(D.benchmark_matches(docs_table(spark, rows), bench)) == want
+    assert sorted(r.doc_id for r in D.without_benchmark(docs_table(spark, rows), bench).collect()) == [3, 4, 5]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEM_BLOCK", 4)
     rng = random.Random(9)

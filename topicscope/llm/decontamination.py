@@ -2,7 +2,8 @@
 
 Words are runs of letters and numbers of the lower-cased text; features are shingles of five words,
 weighted by their number of characters.  For each benchmark item and each document, every window of the
-document with as many words as the item is a candidate place:
+document with as many words as the item is a candidate place; a document with fewer words is one window
+of all its words:
 
 1. A window whose weight lies for less than ``similarity`` in shingles that occur in the benchmark can
    not be similar enough to any item: the weighted similarity is at most that share.  This exact bound
@@ -19,8 +20,9 @@ block, so what a task holds has a fixed bound however large the benchmark is.
 
 Defined results: null texts and ids: a null text is empty, an item without words matches nothing, and
 rows keep their null ids; an item of one to four words is one shingle of all its words and matches
-windows of that many words.  A document shorter than an item has no window of its size.  Repeated rows
-are reported one by one.  Of the windows of a document for one item the most similar is reported, the
+windows of that many words.  A document shorter than an item is reported with first word 0, if it is
+similar enough as a whole; ``n_words`` is the item's number of words in any case.  Repeated rows are
+reported one by one.  Of the windows of a document for one item the most similar is reported, the
 first one on ties.  Other columns are not read.
 """
 
@@ -161,8 +163,9 @@ class Benchmark:
         best: dict[int, tuple] = {}
         for n, (members, tables) in self.by_size.items():
             width = n - size + 1
-            if min(n, SHINGLE_WORDS) != size or width > len(weights):
+            if min(n, SHINGLE_WORDS) != size:
                 continue
+            width = min(width, len(weights))  # a shorter document is one window
             # only starts whose window reaches a hit
             starts = np.unique(np.concatenate([hits - k for k in range(width)])) if len(hits) * width < len(weights) else np.arange(len(weights))
             starts = starts[(starts >= 0) & (starts <= len(weights) - width)]
