@@ -215,3 +215,19 @@ def test_fusion_of_empty_tables(spark):
     assert L.fused_languages(none, docs).count() == 0
     one = spark.createDataFrame([(1, "http://a/", "<p>x")], "page_id long, url string, html string")
     assert by_id(L.fused_languages(one, docs.limit(0)), "page_id")[0][0] == 1
+
+
+def test_a_fifth_language(spark, monkeypatch):
+    rng = random.Random(4)
+    italian = "il fiume e pietra del ponte con campo verde che era sotto acqua allora".split()
+    docs = sample_docs(spark, rng).union(spark.createDataFrame([(" ".join(rng.choices(italian, k=60)), "it") for _ in range(40)], "text string, lang string"))
+    assert L.training_languages(docs) == (*L.LANGUAGES, "it")
+    words = {**WORDS, "it": italian}
+    pages = [(k, f"http://www.{lang}{k % 3}.example.{lang}/", f'<html lang="{lang}">' + " ".join(rng.choices(words[lang], k=12))) for k, lang in enumerate(rng.choices(list(words), k=200))]
+    rows = L.fused_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()
+    truth = {k: url.split(".")[-1].strip("/") for k, url, _ in pages}
+    assert {r.page_id: r.declared for r in rows} == truth
+    assert all(np.mean([r.lang == x for r in rows if truth[r.page_id] == x]) > 0.95 for x in words)
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 4)
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        L.training_languages(docs)

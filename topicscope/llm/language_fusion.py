@@ -19,10 +19,15 @@ one pass over the pages gives narrow rows, written to the shared folder.  All su
 aggregations; a host with a third of all pages is one row per task.  The sums are written and joined back
 to narrow rows, a skewed join that adaptive execution splits.
 
+The languages are the labels of the training documents as written, those of ``LANGUAGES`` first and the
+others in order.  A label beside those needs ``MIN_TRAINING`` characters of training text, below which no
+trigram counts mean anything; more than ``MOST_LANGUAGES`` labels are refused with an error, never cut.  A declaration
+counts for the language whose label is its small-letter code.
+
 Defined results: a null or empty page has no text evidence; no declaration is evidence of its own; a page
-without a host shares the host ''; documents without a language or text are not counted; without any
-training text all languages are equal and ``lang`` is the first of ``LANGUAGES``; ties go to the language
-that is listed first; repeated rows are judged one by one; other columns are not read.
+without a host shares the host ''; documents without a language (null or '') or letters are not counted;
+without any training text all ``LANGUAGES`` are equal and ``lang`` is the first of them; ties go to the
+language that comes first; repeated rows are judged one by one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +45,11 @@ from pyspark.sql import functions as F
 from topicscope.llm.spans import code_points, text_groups, word_chars
 from topicscope.session import scratch_path
 
+#: The languages that come first, and those without any training text.
 LANGUAGES = ("en", "de", "fr", "es")
+#: Bounds the model and the arrays of a row.
+MOST_LANGUAGES = 64
+MIN_TRAINING = 100
 BINS = 1 << 14
 SMOOTH, MOST_EVIDENCE, LEAN, UNIT = 0.5, 40, 10, 1_000_000
 
@@ -55,10 +64,10 @@ def visible_text(page: str) -> str:
     return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
 
 
-def declared_language(page: str) -> str:
-    """The language that the markup declares: one of ``LANGUAGES``, 'other' or 'none'."""
+def declared_language(page: str, languages: tuple[str, ...] = LANGUAGES) -> str:
+    """The language that the markup declares: one of ``languages``, 'other' or 'none'."""
     m = _LANG.search(page) or _META.search(page)
-    return "none" if not m else m[1].lower() if m[1].lower() in LANGUAGES else "other"
+    return "none" if not m else m[1].lower() if m[1].lower() in languages else "other"
 
 
 def address_parts(url: str) -> tuple[str, str, str]:
@@ -85,25 +94,43 @@ def trigram_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bins, np.searchsorted(keep, starts)
 
 
-def _counter(batches):
-    counts = np.zeros((len(LANGUAGES), BINS), np.int64)
-    for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lo, hi in text_groups(texts):
-            bins, at = trigram_bins(texts[lo:hi])
-            which = np.repeat([LANGUAGES.index(x) for x in langs[lo:hi]], np.diff(at))
-            counts += np.bincount(which * BINS + bins, minlength=counts.size).reshape(counts.shape)
-    row, at = np.nonzero(counts)
-    names = ["lang", "bin", "n"]
-    yield pa.RecordBatch.from_arrays([pa.array([LANGUAGES[k] for k in row], pa.string()), pa.array(at, pa.int32()), pa.array(counts[row, at], pa.int64())], names=names)
-
-
-def trigram_model(docs: DataFrame) -> np.ndarray:
-    """Log probabilities, languages x ``BINS``, from docs(text, lang); the size is fixed."""
-    rows = docs.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("text", "lang")
-    counts = np.zeros((len(LANGUAGES), BINS))
-    for r in rows.mapInArrow(_counter, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
-        counts[LANGUAGES.index(r["lang"]), r["bin"]] = r["n"]
+def _training(docs: DataFrame) -> DataFrame:
+    return docs.where((F.col("lang") != "") & F.col("text").rlike(r"\p{L}")).select("text", "lang")
+
+
+def training_languages(docs: DataFrame) -> tuple[str, ...]:
+    """The labels of docs(text, lang) that have training text, ``LANGUAGES`` first; these if there are none."""
+    sizes = _training(docs).groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
+    found = {r["lang"] for r in sizes.where(F.col("lang").isin(*LANGUAGES) | (F.col("n") >= MIN_TRAINING)).take(MOST_LANGUAGES + 1)}
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in the training documents")
+    return tuple([x for x in LANGUAGES if x in found] + sorted(found - set(LANGUAGES))) or LANGUAGES
+
+
+def _counter(languages: tuple[str, ...]):
+    number = {x: k for k, x in enumerate(languages)}
+
+    def run(batches):
+        counts = np.zeros((len(languages), BINS), np.int64)
+        for batch in batches:
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in text_groups(texts):
+                bins, at = trigram_bins(texts[lo:hi])
+                which = np.repeat([number[x] for x in langs[lo:hi]], np.diff(at))
+                counts += np.bincount(which * BINS + bins, minlength=counts.size).reshape(counts.shape)
+        row, at = np.nonzero(counts)
+        names = ["lang", "bin", "n"]
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[row, at], pa.int64())], names=names)
+
+    return run
+
+
+def trigram_model(docs: DataFrame, languages: tuple[str, ...] | None = None) -> np.ndarray:
+    """Log probabilities, languages x ``BINS``, from docs(text, lang); the size is bounded."""
+    languages = languages or training_languages(docs)
+    counts = np.zeros((len(languages), BINS))
+    sums = _training(docs).where(F.col("lang").isin(*languages)).mapInArrow(_counter(languages), "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts[sums["lang"].to_numpy(), sums["bin"].to_numpy()] = sums["n"].to_numpy()
     counts += SMOOTH
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
@@ -112,8 +139,8 @@ def text_evidence(model: np.ndarray, texts: list[str]) -> np.ndarray:
     """Tempered log likelihoods, texts x languages, the largest of each text at 0."""
     bins, at = trigram_bins(texts)
     n = np.diff(at)
-    out = np.zeros((len(texts), len(LANGUAGES)))
-    for k in range(len(LANGUAGES)):
+    out = np.zeros((len(texts), len(model)))
+    for k in range(len(model)):
         total = np.concatenate([[0.0], np.cumsum(model[k][bins])])
         out[:, k] = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1) * np.minimum(n, MOST_EVIDENCE)
     return out - out.max(axis=1, keepdims=True)
@@ -122,26 +149,25 @@ def text_evidence(model: np.ndarray, texts: list[str]) -> np.ndarray:
 _PAGE = "page_id long, host string, domain string, suffix string, declared string, evidence array<double>, post array<long>"
 
 
-def _featurer(model: np.ndarray):
+def _featurer(model: np.ndarray, languages: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             urls, pages = ([x or "" for x in batch.column(k).to_pylist()] for k in (1, 2))
             texts = [visible_text(p) for p in pages]
-            evidence = np.concatenate([np.empty((0, len(LANGUAGES)))] + [text_evidence(model, texts[lo:hi]) for lo, hi in text_groups(texts)])
+            evidence = np.concatenate([np.empty((0, len(languages)))] + [text_evidence(model, texts[lo:hi]) for lo, hi in text_groups(texts)])
             post = np.exp(evidence)
             post = np.rint(post / post.sum(axis=1, keepdims=True) * UNIT).astype(np.int64)
             parts = [address_parts(u) for u in urls]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), *[pa.array([p[k] for p in parts], pa.string()) for k in range(3)],
-                pa.array([declared_language(p) for p in pages], pa.string()),
+                pa.array([declared_language(p, languages) for p in pages], pa.string()),
                 pa.array(evidence.tolist(), pa.list_(pa.float64())), pa.array(post.tolist(), pa.list_(pa.int64())),
             ], names=["page_id", "host", "domain", "suffix", "declared", "evidence", "post"])
 
     return run
 
 
-def _sums(rows: DataFrame, key: str, name: str) -> DataFrame:
-    n = len(LANGUAGES)
+def _sums(rows: DataFrame, key: str, name: str, n: int) -> DataFrame:
     return rows.groupBy(key).agg(*[F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(n)]).select(key, F.array(*[f"s{k}" for k in range(n)]).alias(name))
 
 
@@ -153,9 +179,10 @@ def _lean(counts: Column, rates: Column) -> Column:
 
 def fused_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, lang, confidence (6 decimals), text_lang, declared of pages(page_id, url, html);
-    docs(text, lang) trains the text model."""
+    docs(text, lang) trains the text model and names the languages."""
     spark = pages.sparkSession
-    n = len(LANGUAGES)
+    languages = training_languages(docs)
+    n = len(languages)
     shared = scratch_path(spark, f"language-{uuid4().hex}")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -163,19 +190,19 @@ def fused_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return spark.read.schema(df.schema).parquet(f"{shared}/{name}")
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    rows = stored(rows.mapInArrow(_featurer(trigram_model(docs)), _PAGE), "pages")
+    rows = stored(rows.mapInArrow(_featurer(trigram_model(docs, languages), languages), _PAGE), "pages")
 
-    # reliability of declarations: at most len(LANGUAGES) + 2 rows
-    said = {r["declared"]: np.array(r["sums"], float) for r in _sums(rows, "declared", "sums").collect()}
-    kinds = [*LANGUAGES, "other", "none"]
+    # reliability of declarations: at most MOST_LANGUAGES + 2 rows
+    said = {r["declared"]: np.array(r["sums"], float) for r in _sums(rows, "declared", "sums", n).collect()}
+    kinds = [*languages, "other", "none"]
     table = np.array([said.get(k, np.zeros(n)) for k in kinds]) / UNIT + 1
     share = np.log(table / table.sum(axis=0, keepdims=True))
     world = (table.sum(axis=0) / table.sum()).tolist()
     says = F.create_map(*[x for k, row in zip(kinds, share.tolist()) for x in (F.lit(k), F.array(*map(F.lit, row)))])
 
-    hosts = _sums(rows, "host", "host_sums")
+    hosts = _sums(rows, "host", "host_sums", n)
     places = rows.groupBy("host").agg(F.first("domain").alias("domain"), F.first("suffix").alias("suffix"))
-    domains, suffixes = _sums(rows, "domain", "domain_sums"), _sums(rows, "suffix", "suffix_sums")
+    domains, suffixes = _sums(rows, "domain", "domain_sums", n), _sums(rows, "suffix", "suffix_sums", n)
     hosts = places.join(hosts, "host").join(domains, "domain").join(suffixes, "suffix").select("host", "host_sums", "domain_sums", "suffix_sums")
     rows = rows.join(stored(hosts, "hosts"), "host")  # two plain shuffles: a hot host can be split
 
@@ -189,7 +216,7 @@ def fused_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("prior", _lean(F.col(name), F.col("prior")))
     rows = rows.withColumn("score", F.transform(F.arrays_zip(F.col("evidence").alias("e"), F.col("prior").alias("p"), F.element_at(says, F.col("declared")).alias("d")), lambda z: z["e"] + F.log(z["p"]) + z["d"]))
     rows = rows.withColumn("score", F.expr("transform(score, x -> exp(x - array_max(score)))"))
-    first = lambda values: F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position(values, F.array_max(values)).cast("int"))
+    first = lambda values: F.element_at(F.array(*map(F.lit, languages)), F.array_position(values, F.array_max(values)).cast("int"))
     return rows.select(
         "page_id", "host", first(F.col("score")).alias("lang"),
         F.round(1 / F.expr("aggregate(score, 0D, (s, x) -> s + x)"), 6).alias("confidence"),
