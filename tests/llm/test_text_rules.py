@@ -47,6 +47,23 @@ def test_divergence_rejects_junk_and_keeps_prose(spark):
     assert got[92].word_distance is None and got[0].word_distance is not None
 
 
+def test_an_unlisted_language_is_its_own_reference(spark):
+    rng = random.Random(2)
+    english = lambda: " ".join(rng.choices(["the", "of", "and", "river", "stone", "bridge", "was", "in", "green", "field"], k=120))
+    words = ["की", "के", "में", "है", "नदी", "पत्थर", "पुल", "हरे", "खेतों", "और", "से", "पानी", "नीचे", "था", "उन्होंने"]
+    hindi = lambda: " ".join(rng.choices(words, k=120))
+    numbers = " ".join(f"%%{rng.randrange(10**6)}$$" for _ in range(80))
+    strange = " ".join("".join(rng.choices("अआइईउऊ", k=5)) for _ in range(120))
+    rows = [(k, english(), "en") for k in range(200)] + [(200 + k, hindi(), "hi") for k in range(40)]
+    rows += [(300, numbers, "hi"), (301, strange, "hi"), (302, hindi(), "mr"), (303, hindi(), None), (304, hindi(), "")]
+    got = {r.doc_id: r for r in Q.quality_rules(docs_table(spark, rows)).collect()}
+    assert all(got[k].kept and got[k].class_distance < 0.2 and got[k].word_distance < 0.3 for k in range(200, 240))
+    assert not got[300].kept and got[300].class_distance > Q.MAX_CLASS_DISTANCE
+    assert not got[301].kept and got[301].word_distance > Q.MAX_WORD_DISTANCE
+    assert all(got[k].kept and got[k].class_distance is None and got[k].word_distance is None for k in (302, 303, 304))
+    assert sorted(r.doc_id for r in Q.quality_filter(docs_table(spark, rows)).collect()) == sorted(k for k, r in got.items() if r.kept)
+
+
 def test_quality_plan_has_no_python(spark):
     plan = Q.quality_features(docs_table(spark, [(1, "a")]).select("doc_id", "text", "lang"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

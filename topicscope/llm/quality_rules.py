@@ -1,18 +1,22 @@
 """Quality rules: base counts of repetition, and distribution divergence from language references.
 
 Only DataFrame functions are used.  One pass over the texts computes a narrow row of counts for each
-document, written to the shared folder.  The references are sums of those counts over all documents of a
-language (grouped aggregation, at most one row per language of ``COMMON_WORDS`` and one for all), so
-their broadcast has a fixed bound.  The verdict compares two histograms of each document with its
-reference by Jensen-Shannon distance (square root of the base-2 divergence, between 0 and 1):
+document, written to the shared folder.  The references are sums of those counts over all documents that
+declare the language (grouped aggregation, one row per language, written and joined).  The verdict compares
+two histograms of each document with its reference by Jensen-Shannon distance (square root of the base-2
+divergence, between 0 and 1):
 
 * character classes: small and other letters, capitals, digits, white space, punctuation, the rest;
-* common words: the listed words of the declared language, and all other words.
+* common words: the words of the declared language's list, and all other words.  The lists of
+  ``COMMON_WORDS`` are fixed; any other language's list is its ``N_COMMON`` words that occur in most of its
+  documents (a grouped count, only run where there is such a language).
 
 A histogram is compared only if the text is long enough for its shape to mean something
 (``MIN_CHARS`` code points, ``MIN_WORDS`` words, some of them with letters); otherwise its distance is
 null and does not count.
-A document whose language has no list is compared by character classes with all documents.
+A language beside ``COMMON_WORDS`` is a reference from ``MIN_REFERENCE_CHARS`` code points and
+``MIN_REFERENCE_WORDS`` words of such texts on; below that, and where no language is declared (null or ''),
+the distances are null: texts are never measured by another language.
 
 Defined results: a null text counts as empty and fails the base rules; an empty table gives an empty
 result; repeated rows are judged one by one; columns other than doc_id, text and lang are not read.
@@ -23,7 +27,7 @@ from __future__ import annotations
 from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicscope.session import scratch_path
@@ -37,6 +41,8 @@ COMMON_WORDS = {
 }
 N_COMMON = 12
 MIN_CHARS, MIN_WORDS = 200, 50
+#: What a language without a fixed list needs to be a reference; longer words are not listed.
+MIN_REFERENCE_CHARS, MIN_REFERENCE_WORDS, LONGEST_COMMON = 10_000, 1_000, 32
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.45
 MIN_BASE_WORDS, REPEAT_WINDOW = 20, 8
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -51,7 +57,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, t (the text, never null) and the base columns n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (see the module's docstring), base_failed."""
     w = REPEAT_WINDOW
-    row = ["__row"] if "__row" in docs.columns else []
+    row = [c for c in ("__row", "__list") if c in docs.columns]
     rows = docs.select(*row, "doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.withColumn("words", _words(F.col("t"))).withColumn("n_words", F.size("words").cast("long"))
     windows = F.when(F.col("n_words") >= w, F.expr(f"transform(sequence(1, int(n_words) - {w - 1}), i -> xxhash64(slice(words, i, {w})))")).otherwise(F.array().cast("array<bigint>"))
@@ -102,7 +108,7 @@ def _distance(p: str, q: str) -> Column:
 
 def quality_features(docs: DataFrame) -> DataFrame:
     """The base columns, and the histograms classes and common (null where the text is too short); a
-    column __row goes with them."""
+    column __row goes with them, a column __list has the words of languages beside ``COMMON_WORDS``."""
     row = ["__row"] if "__row" in docs.columns else []
     rows = base_counts(docs)
     # a set minus: what is left is short, so the other classes cost little
@@ -110,10 +116,15 @@ def quality_features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("classes", _class_counts(F.col("t")))
     # the last entry, the text's length, turns into the count of the remaining characters
     rows = rows.withColumn("classes", F.when(F.element_at("classes", -1) >= MIN_CHARS, F.expr("array(classes[0], classes[1], classes[2], classes[3], classes[4], classes[5] - classes[0] - classes[1] - classes[2] - classes[3] - classes[4])")))
-    rows = rows.withColumn("padded", F.when((F.col("n_words") >= MIN_WORDS) & F.col("lang").isin(*COMMON_WORDS), F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower("t"), "[^\\p{L}]+", "  ")), F.lit(" "))))
+    derived = "__list" in docs.columns
+    listed = F.col("lang").isin(*COMMON_WORDS) | F.col("__list").isNotNull() if derived else F.col("lang").isin(*COMMON_WORDS)
+    rows = rows.withColumn("padded", F.when((F.col("n_words") >= MIN_WORDS) & listed, F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower("t"), "[^\\p{L}]+", "  ")), F.lit(" "))))
     gaps = ((F.octet_length("padded") - F.octet_length(F.replace("padded", F.lit("  "), F.lit("")))) / 2).cast("long")
     rows = rows.withColumn("all_words", F.when(F.col("padded") == "  ", F.lit(0).cast("long")).otherwise(gaps + 1))
-    rows = rows.withColumn("common", F.when(F.col("all_words") > 0, _word_counts(F.col("lang"), F.col("padded"))))
+    counts = _word_counts(F.col("lang"), F.col("padded"))
+    if derived:
+        counts = F.coalesce(counts, F.expr("transform(__list, x -> int((octet_length(padded) - octet_length(replace(padded, concat(' ', x, ' '), ''))) / octet_length(concat(' ', x, ' '))) + 0L)"))
+    rows = rows.withColumn("common", F.when(F.col("all_words") > 0, counts))
     rows = rows.withColumn("common", F.expr("concat(common, array(greatest(all_words - aggregate(common, 0L, (s, x) -> s + x), 0L)))"))
     return rows.select(*row, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common")
 
@@ -122,23 +133,40 @@ def _sum_arrays(name: str, n: int) -> list[Column]:
     return [F.coalesce(F.sum(F.get(name, F.lit(k))), F.lit(0)).alias(f"{name}_{k}") for k in range(n)]
 
 
+def _common_lists(docs: DataFrame) -> DataFrame:
+    """lang, words of the languages beside ``COMMON_WORDS``: the words in most documents, ties in order."""
+    split = F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}]+", " "), " ")
+    words = docs.select("lang", F.explode(F.array_distinct(split)).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST_COMMON))
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= N_COMMON)
+    return ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word")))["word"].alias("words"))
+
+
 def _judged(docs: DataFrame) -> DataFrame:
     """Features, both distances and kept."""
     spark = docs.sparkSession
-    path = f"{scratch_path(spark, f'quality-{uuid4().hex}')}/features"
-    features = quality_features(docs)
-    features.write.parquet(path)
-    rows = spark.read.schema(features.schema).parquet(path)
-    rows = rows.withColumn("reference", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("")))
-
-    sums = rows.groupBy("reference").agg(*_sum_arrays("classes", 6), *_sum_arrays("common", N_COMMON + 1))
-    every = sums.agg(*[F.sum(f"classes_{k}").alias(f"classes_{k}") for k in range(6)])
-    pack = lambda name, n: F.array(*[f"{name}_{k}" for k in range(n)])
-    listed = sums.where("reference <> ''").select("reference", pack("classes", 6).alias("ref_classes"), pack("common", N_COMMON + 1).alias("ref_common"))
-    other = every.select(F.lit("").alias("reference"), pack("classes", 6).alias("ref_classes"), F.lit(None).cast("array<bigint>").alias("ref_common"))
-    references = F.broadcast(listed.unionByName(other))  # at most len(COMMON_WORDS) + 1 rows
-
-    rows = rows.join(references, "reference", "left")
+    shared = scratch_path(spark, f"quality-{uuid4().hex}")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{shared}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{shared}/{name}")
+
+    unlisted = docs.where((F.col("lang") != "") & ~F.col("lang").isin(*COMMON_WORDS))
+    if not unlisted.select("lang").isEmpty():
+        lists = stored(_common_lists(unlisted), "lists").select(F.col("lang").alias("__lang"), F.col("words").alias("__list"))
+        docs = docs.join(lists, F.col("lang") == F.col("__lang"), "left").drop("__lang")
+    rows = stored(quality_features(docs).drop("__list"), "features")
+
+    sums = rows.where("lang <> ''").groupBy("lang").agg(*_sum_arrays("classes", 6), *_sum_arrays("common", N_COMMON + 1))
+
+    def reference(name: str, n: int, least: int) -> Column:
+        counts = [F.col(f"{name}_{k}") for k in range(n)]
+        return F.when(F.col("lang").isin(*COMMON_WORDS) | (reduce(Column.__add__, counts) >= least), F.array(*counts)).alias(f"ref_{name}")
+
+    references = sums.select(F.col("lang").alias("__lang"), reference("classes", 6, MIN_REFERENCE_CHARS), reference("common", N_COMMON + 1, MIN_REFERENCE_WORDS))
+    references = stored(references, "references")  # one row per language: read as the small table that it is
+
+    rows = rows.join(references, F.col("lang") == F.col("__lang"), "left")
     rows = rows.withColumn("class_distance", F.round(_distance("classes", "ref_classes"), 6)).withColumn("word_distance", F.round(_distance("common", "ref_common"), 6))
     odd = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return rows.withColumn("kept", ~F.col("base_failed") & ~odd)
