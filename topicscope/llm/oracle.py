@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from topicscope.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
 
 JACCARD = r"""
@@ -159,10 +161,48 @@ SELECT pair_id, n::BIGINT AS n_prompt_turns, {_rendered("p")} AS prompt, {_rende
 FROM parts
 """
 
+
+def _orders(names: str) -> str:
+    """(filter_order, step, its filter's bit, the bits of the filters before it) of all orders."""
+    rows = []
+    for order in permutations(range(len(names))):
+        text, before = "".join(names[k] for k in order), 0
+        for step, k in enumerate(order, 1):
+            rows.append(f"('{text}', {step}, {1 << k}, {before})")
+            before |= 1 << k
+    return ", ".join(rows)
+
+
+# Every order is walked: Shapley is the plain sum of what the filter removes in all 120.
+FILTER_AUDIT = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flags AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+judged AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS failed
+  FROM split),
+counts AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM judged LEFT JOIN flags ON judged.doc_id = flags.doc_id GROUP BY 1, 2),
+orders(filter_order, step, bit, before) AS (VALUES {_orders("ABCDE")}),
+steps AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (failed & (bit | before) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (failed & bit > 0 AND failed & before = 0), 0) AS removed, coalesce(sum(n) FILTER (failed & bit > 0 AND failed & before > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (failed & bit > 0 AND failed & before = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (failed & bit > 0 AND failed & before = 0), 0) AS toxic_lost
+  FROM counts, orders GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM steps
+"""
+
 ORACLE = {
     "op1_jaccard_forest": JACCARD,
     "op6_preference_format": PREFERENCE,
     "op7_decontamination": DECONTAMINATION,
     "op8_warc": ARCHIVE,
     "op9_quality_rules": QUALITY,
+    "op11_filter_audit": FILTER_AUDIT,
 }

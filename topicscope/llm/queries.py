@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from topicscope.llm import oracle
 from topicscope.llm.byte_bpe import round_trip_report
 from topicscope.llm.decontamination import benchmark_matches
+from topicscope.llm.filter_audit import filter_audit
 from topicscope.llm.jaccard_forest import jaccard_classes
 from topicscope.llm.language_fusion import fused_languages
 from topicscope.llm.preference import preference_format, reply_pairs
@@ -65,6 +66,10 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +80,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_jaccard_forest, op2_token_counts, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_preference_format,
-        op7_decontamination, op8_warc, op9_quality_rules, op10_language_fusion, pipeline,
+        op7_decontamination, op8_warc, op9_quality_rules, op10_language_fusion,
+        op11_filter_audit, pipeline,
     )
 }
 ORACLE = dict(oracle.ORACLE)
