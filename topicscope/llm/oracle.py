@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import permutations
 
 from topicscope.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
+from topicscope.llm.url_templates import CRITICAL, MIN_BRANCH, MIN_SHARE, MOST_IMPURE, PRIOR, RULES, SINGLE
 
 JACCARD = r"""
 WITH RECURSIVE split AS (
@@ -198,6 +199,95 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
 FROM steps
 """
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+# crc32 by its bit-wise rule, a byte a step; near words by their shapes with one code point left out.
+SPELLING = rf"""
+WITH RECURSIVE bits AS (
+  SELECT range AS i, 0 AS k, range AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT i, c FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), {_AZ}) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY 1, 2),
+walk AS (
+  SELECT named, hex(named) AS bytes, 0 AS k, 4294967295 AS c FROM (SELECT DISTINCT named FROM runs)
+  UNION ALL SELECT named, bytes, k + 1, xor(w.c >> 8, t.c) FROM walk w JOIN tab t ON t.i = xor(w.c, ('0x' || substr(bytes, 2 * k + 1, 2))::BIGINT) & 255
+  WHERE 2 * k < length(bytes)),
+hashed AS (SELECT named, xor(c, 4294967295) AS h FROM walk WHERE 2 * k = length(bytes)),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+  FROM runs JOIN hashed USING (named)),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+shapes AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS x FROM shapes a JOIN shapes b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM shapes a JOIN words w ON a.s = w.word
+  UNION SELECT w.word, a.word FROM shapes a JOIN words w ON a.s = w.word),
+best AS (
+  SELECT near.word, count(*)::BIGINT AS n_near, arg_min(x, (-words.n, x)) AS x, max(words.n) AS x_n FROM near JOIN words ON near.x = words.word GROUP BY 1),
+named AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN x_n >= 10 * w.n THEN x END AS form, CASE WHEN x_n >= 10 * w.n THEN x_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, word AS root FROM named UNION ALL SELECT c.word, f.form FROM chain c JOIN named f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT n.word, n.form, c.root, n.n, n.n_near, n.form_n FROM named n JOIN chain c ON n.word = c.word
+JOIN named last ON c.root = last.word AND last.form IS NULL
+"""
+
+
+def _g(a: str, b: str, c: str, d: str) -> str:
+    part = lambda x: f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
+    return f"2 * ({part(a)} + {part(b)} + {part(c)} + {part(d)} - {part(f'{a} + {b}')} - {part(f'{c} + {d}')} - {part(f'{a} + {c}')} - {part(f'{b} + {d}')} + {part(f'{a} + {b} + {c} + {d}')})"
+
+
+def _rule(what: int) -> str:
+    """The longest fitting rule (0: its verdict, 1: its name) of a host and path."""
+    order = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(v, h + p)[what]}'" for v, h, p in order)
+    return f"CASE {cases} END"
+
+
+def url_templates_sql(levels: int = SINGLE + 8) -> str:
+    """The levels written out one after the other: paths of up to SINGLE * 2**8 segments."""
+    labels, shape = _g("good", "bad", "(p_good - good)", "(p_bad - bad)"), _g("ends", "(n - ends)", "(p_ends - ends)", "(p_n - n - p_ends + ends)")
+    steps = []
+    for k in range(levels):
+        steps.append(f"""
+b{k} AS (
+  SELECT *, CASE WHEN n >= {MIN_BRANCH} AND bad > good THEN 1 ELSE 0 END AS side FROM (
+    SELECT host, t, steps[{k + 1}] AS seg, sum(n) AS n, sum(good) AS good, sum(bad) AS bad, sum(CASE WHEN len(steps) = {k + 1} THEN n ELSE 0 END) AS ends FROM s{k} WHERE len(steps) > {k} GROUP BY 1, 2, 3)),
+k{k} AS (
+  SELECT host, t, seg, CASE WHEN n >= {MIN_SHARE} * o_n AND (n = p_n OR {labels} > {CRITICAL} OR {shape} > {CRITICAL}) THEN seg WHEN side = 1 THEN '*!' ELSE '*' END AS token
+  FROM (SELECT *, sum(n) OVER node AS o_n, sum(n) OVER pool AS p_n, sum(good) OVER pool AS p_good, sum(bad) OVER pool AS p_bad, sum(ends) OVER pool AS p_ends
+    FROM b{k} WINDOW node AS (PARTITION BY host, t), pool AS (PARTITION BY host, t, side)) WHERE n >= {MIN_BRANCH}),
+s{k + 1} AS (
+  SELECT s.host, path, n, good, bad, steps, CASE WHEN len(steps) > {k} THEN s.t || '/' || coalesce(b.token, '*') ELSE s.t END AS t
+  FROM s{k} s LEFT JOIN k{k} b ON s.host = b.host AND s.t = b.t AND s.steps[{k + 1}] = b.seg),""")
+    cuts = list(range(SINGLE)) + [SINGLE << k for k in range(levels - SINGLE)]
+    blocks = ", ".join(f"[{c + 1}, {c + 1 if c < SINGLE else 2 * c}]" for c in cuts)
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
+parts AS (SELECT page_id, translate(h, {_AZ}) AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+rows AS (SELECT page_id, host, path, {_rule(0)} AS ruled, {_rule(1)} AS rule FROM parts),
+known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS label FROM labels GROUP BY 1),
+marked AS (SELECT rows.*, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 ELSE label END AS label FROM rows LEFT JOIN known ON rows.page_id = known.page_id),
+paths AS (SELECT host, path, count(*) AS n, count(*) FILTER (label = 0) AS good, count(*) FILTER (label = 1) AS bad FROM marked GROUP BY 1, 2),
+s0 AS (
+  SELECT *, '' AS t, CASE WHEN path = '' THEN [] ELSE list_transform(list_filter([{blocks}], lambda c: c[1] <= len(segs)), lambda c: array_to_string(segs[c[1]:c[2]], '/')) END AS steps
+  FROM (SELECT *, string_split(substr(path, 2), '/') AS segs FROM paths)),{"".join(steps)}
+templates AS (SELECT host, t, sum(good) AS good, sum(bad) AS bad FROM s{levels} GROUP BY 1, 2),
+every AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(good) + sum(bad) + 2) AS p FROM templates),
+host_share AS (SELECT host, (sum(bad) + {PRIOR} * any_value(p)) / (sum(good) + sum(bad) + {PRIOR}) AS p FROM templates, every GROUP BY 1),
+judged AS (SELECT t.host, t.t, round((bad + {PRIOR} * p) / (good + bad + {PRIOR}), 6) AS impurity FROM templates t JOIN host_share USING (host))
+SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN impurity > {MOST_IMPURE} THEN 'block' ELSE 'allow' END) AS verdict, s.t AS template, impurity
+FROM rows r JOIN s{levels} s ON r.host = s.host AND r.path = s.path JOIN judged j ON s.host = j.host AND s.t = j.t
+"""
+
+
+URL_TEMPLATES = url_templates_sql()
+
 ORACLE = {
     "op1_jaccard_forest": JACCARD,
     "op6_preference_format": PREFERENCE,
@@ -205,4 +295,6 @@ ORACLE = {
     "op8_warc": ARCHIVE,
     "op9_quality_rules": QUALITY,
     "op11_filter_audit": FILTER_AUDIT,
+    "op12_spelling_variants": SPELLING,
+    "op13_url_templates": URL_TEMPLATES,
 }

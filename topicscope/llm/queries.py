@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from topicscope.llm import oracle
 from topicscope.llm.byte_bpe import round_trip_report
@@ -14,7 +15,9 @@ from topicscope.llm.language_fusion import fused_languages
 from topicscope.llm.preference import preference_format, reply_pairs
 from topicscope.llm.quality_rules import quality_rules
 from topicscope.llm.secret_scan import secret_report
+from topicscope.llm.spelling_variants import spelling_variants
 from topicscope.llm.token_files import token_file_report
+from topicscope.llm.url_templates import judge_urls
 from topicscope.llm.warc import archive_report
 from topicscope.llm.word_transducer import token_counts
 
@@ -70,6 +73,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without a rule take their label from ``labels`` by doc_id = page_id: bad if of low quality or toxic."""
+    labels = _table(spark, sf_dir, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return judge_urls(_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +95,7 @@ QUERIES = {
     for f in (
         op1_jaccard_forest, op2_token_counts, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_preference_format,
         op7_decontamination, op8_warc, op9_quality_rules, op10_language_fusion,
-        op11_filter_audit, pipeline,
+        op11_filter_audit, op12_spelling_variants, op13_url_templates, pipeline,
     )
 }
 ORACLE = dict(oracle.ORACLE)
