@@ -11,6 +11,8 @@ state.  A state that arrives at the end of another word with one edit is a neigh
   no state ever visits the crowded nodes near the root with an edit to spare.
 * A node below which a single word is left has no edges; the edge to it carries the whole rest of that word
   and ends there.  Nearly all states end so, a few levels after their start.
+* An edge knows the first code points of the edges below it (64 bits), so a state whose edit is spent goes
+  on only where its next code point can.
 * An edge is one code point down to depth ``SINGLE`` and doubles the depth from there on, so the number of
   levels grows with the logarithm of the longest word; words of any length are compared whole.
 
@@ -127,20 +129,28 @@ def trie_edges(directed: DataFrame) -> DataFrame:
                         F.when(last, F.col("one.s")).alias("near"), F.when(last, F.col("one.n")).alias("near_n"))
 
 
+def _first_bit(text):
+    """The bit of the first code point of a text (of an empty one: the first bit) among 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(F.substr(text, F.lit(1), F.lit(1))).bitwiseAND(F.lit(63)))
+
+
 def _steps():
-    """What a state of (s, at, edits) becomes along the edge (label, child, near): an array of
-    (at, edits, found), whose members can be null."""
+    """What a state of (s, at, edits) becomes along the edge (label, child, onward, near): an array of
+    (at, edits, found), whose members can be null.  With its edit spent, a state goes on only if
+    ``onward``, the first code points of the child's edges, can have the word's next one."""
     rest = F.substr("s", F.col("at") + 1, F.length("s"))
     size = F.length("label")
     fresh = F.col("edits") == 0
     head = lambda k: F.substr("s", F.col("at") + 1, size + k)
     left = F.length("s") - F.col("at") - size
     state = lambda test, at, edits, found=False: F.when(test, F.struct(at.cast("int").alias("at"), F.lit(edits).alias("edits"), F.lit(found).alias("found")))
+    at = lambda k: F.col("at") + size + k
+    lives = lambda k: F.col("onward").bitwiseAND(_first_bit(F.substr("s", at(k) + 1, F.lit(1)))) != 0
     same = (left >= 0) & (head(0) == F.col("label"))
-    near = lambda k: fresh & (left >= k) & (F.levenshtein(head(k), F.col("label"), 1) == 1)
+    single = {-1: F.lit(True), 0: head(0) != F.col("label"), 1: F.contains(head(1), F.col("label"))}  # for one code point
+    near = lambda k: fresh & (left >= k) & F.when(size == 1, single[k]).otherwise(F.levenshtein(head(k), F.col("label"), 1) == 1)
     ends = F.when(fresh, F.levenshtein(rest, F.col("label"), 1) == 1).otherwise(rest == F.col("label"))
-    at = lambda k: F.col("at") + size + k
-    goes = F.array(state(same & fresh, at(0), 0), state((same & ~fresh) | near(0), at(0), 1), state(near(-1), at(-1), 1), state(near(1), at(1), 1))
+    goes = F.array(state(same & fresh, at(0), 0), state(((same & ~fresh) | near(0)) & lives(0), at(0), 1), *[state(near(k) & lives(k), at(k), 1) for k in (-1, 1)])
     return F.when(F.col("child").isNull(), F.array(state(ends, F.col("at"), 1, True))).otherwise(goes)
 
 
@@ -157,8 +167,10 @@ def near_words(words: DataFrame, folder: str) -> DataFrame:
 
     directed = _directed(words)
     every = stored(trie_edges(directed), "all-edges")
-    shared = every.groupBy("depth", "node").agg(F.sum("words").alias("words")).where("words > 1").select("depth", "node")
-    edges = stored(every.join(stored(shared, "nodes"), ["depth", "node"], "semi").drop("words"), "edges", "depth", "node")
+    shared = every.groupBy("depth", "node").agg(F.sum("words").alias("words"), F.bit_or(_first_bit(F.col("label"))).alias("onward")).where("words > 1")
+    shared = stored(shared.select("depth", "node", "onward"), "nodes")
+    edges = every.drop("words").join(shared.select("depth", "node").hint("shuffle_hash"), ["depth", "node"], "semi")
+    edges = stored(edges.join(shared.select(F.col("node").alias("child"), "onward").hint("shuffle_hash"), "child", "left"), "edges", "depth", "node")
     begin = directed.select("side", "s", _last_cut(F.floor(F.length("s") / 2)).alias("depth"))
     begin = stored(begin.withColumn("node", _node(F.col("depth"))), "begin", "depth", "node")
     reached = spark.createDataFrame([], _FRONTIER)
@@ -166,7 +178,7 @@ def near_words(words: DataFrame, folder: str) -> DataFrame:
     for (depth,) in sorted(edges.select("depth").distinct().collect()):  # at most len(_CUTS) numbers
         starts = begin.where(F.col("depth") == depth).select("side", "s", F.col("depth").alias("at"), "node", F.lit(0).alias("edits"))
         states = reached.where("near is null").select(*starts.columns).unionByName(starts)
-        joined = states.join(edges.where(F.col("depth") == depth), "node").withColumn("step", F.explode_outer(_steps())).where("step is not null")
+        joined = states.join(edges.where(F.col("depth") == depth).hint("shuffle_hash"), "node").withColumn("step", F.explode_outer(_steps())).where("step is not null")
         reached = stored(joined.select(
             "side", "s", "step.at", F.col("child").alias("node"), "step.edits", F.when(F.col("step.found"), F.col("near")).alias("near"), "near_n"), f"level-{depth}")
         found.append(reached)
