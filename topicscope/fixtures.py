@@ -113,9 +113,19 @@ SAMPLE_LEXICON = [
     ("good", 1.9), ("great", 3.1), ("love", 3.2), ("happy", 2.7), ("excellent", 2.7),
     ("bad", -2.5), ("hate", -2.7), ("sad", -2.1), ("terrible", -2.1), ("wrong", -2.1),
 ]
+# Phrases over the same words, some of which overlap or hold each other.
+SAMPLE_PHRASES = [
+    ("the of", 1.1, "valence"), ("of the", -0.8, "valence"), ("the of the", 2.2, "valence"), ("and the", None, "up"),
+    ("on the", None, "down"), ("by the", None, "none"), ("la de", -1.5, "valence"), ("und die", 0.9, "valence"),
+    ("de la", None, "up"), ("the and of", -2.4, "valence"), ("kind of", None, "down"), ("at least", None, "none"),
+]
 # --- end of fixed values ------------------------------------------------------
 
 
+def sample_phrases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SAMPLE_PHRASES, "phrase STRING, valence DOUBLE, effect STRING")
+
+
 def sample_lexicon(spark: SparkSession) -> DataFrame:
     from .operators.sentiment import lexicon_from_rows
     return lexicon_from_rows(spark, SAMPLE_LEXICON)
@@ -166,8 +176,9 @@ def raw_hackernews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pe.select(F.col("doc_id").alias("seq"), value.alias("value"))
 
 
-def raw_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings of up to 100 children: one per (source, block of 2,000 doc ids)."""
+def raw_reddit(spark: SparkSession, sf_dir: str, seq: bool = False) -> DataFrame:
+    """Listings of up to 100 children: one per (source, block of 2,000 doc ids); ``seq``: with
+    their arrival order."""
     pe = post_events(spark, sf_dir)
     et = F.col("event_type")
     child = F.struct(F.struct(
@@ -178,8 +189,8 @@ def raw_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et != "purchase", F.col("score")).alias("score"),
         (F.round(F.col("micros") / 1000) / 1000.0).alias("created_utc")).alias("data"))
     listings = (pe.groupBy("source", F.floor(F.col("doc_id") / 2000).alias("block"))
-                  .agg(F.collect_list(child).alias("children")))
-    return listings.select(F.to_json(F.struct(F.struct("children").alias("data"))).alias("value"))
+                  .agg(F.collect_list(child).alias("children"), F.min("doc_id").alias("seq")))
+    return listings.select(*["seq"] * seq, F.to_json(F.struct(F.struct("children").alias("data"))).alias("value"))
 
 
 def raw_hackernews_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +238,7 @@ def broker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                     encode_posts(d).cast("binary").alias("value"))
 
 
-def raw_bluesky(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_bluesky(spark: SparkSession, sf_dir: str, seq: bool = False) -> DataFrame:
     from .functions.scalar import ts_to_iso
     pe = post_events(spark, sf_dir)
     et = F.col("event_type")
@@ -244,7 +255,22 @@ def raw_bluesky(spark: SparkSession, sf_dir: str) -> DataFrame:
         record.alias("record"))
     ev = F.struct(F.when(et == "error", F.lit("identity")).otherwise(F.lit("commit")).alias("kind"),
                   did.alias("did"), commit.alias("commit"))
-    return pe.select(F.to_json(ev).alias("value"))
+    return pe.select(*[F.col("doc_id").alias("seq")] * seq, F.to_json(ev).alias("value"))
+
+
+def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all three feeds in one table: ``(feed, seq, value)``."""
+    feeds = {"hackernews": raw_hackernews(spark, sf_dir), "reddit": raw_reddit(spark, sf_dir, seq=True),
+             "bluesky": raw_bluesky(spark, sf_dir, seq=True)}
+    out = None
+    for name, raw in feeds.items():
+        rows = raw.select(F.lit(name).alias("feed"), "seq", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: What users typed into the search of the index: common, rare, absent, literal and short texts.
+SEARCH_TEXTS = ["OrAnTiOn", "inoran", "the of", "#src3 ", "http://", "zzzzqq", "100%", "_", "ê", "ux", "é"]
 
 
 def reject_values(spark: SparkSession, sf_dir: str) -> DataFrame:

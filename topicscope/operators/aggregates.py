@@ -52,10 +52,10 @@ def sentiment_sum_units(col: str = "sentiment") -> Column:
 
 def avg_from_units(total_units: Column, n: Column) -> Column:
     """Average of 1e-4 units rounded half-up (away from zero) to 3 decimals,
-    with integer arithmetic only; returned as a double."""
+    with integer arithmetic only (so never a negative zero); returned as a double."""
     a = F.abs(total_units)
     q = F.floor((a * 2 + n * 10) / (n * 20))
-    return (F.signum(total_units) * q / F.lit(1000.0)).cast("double")
+    return (F.signum(total_units).cast("bigint") * q / F.lit(1000.0)).cast("double")
 
 
 def avg_sentiment_agg(col: str = "sentiment") -> list[Column]:

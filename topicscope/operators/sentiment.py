@@ -4,14 +4,14 @@ The reference calls an external per-row analyser (lexicon + rules, after
 Hutto & Gilbert 2014) inside a row-at-a-time Python UDF.  Here the same kind
 of scoring is a plan of builtin operators:
 
-1. per post, in one narrow projection: tokens (regex), the mixed-case flag,
-   the position of the first "but" and the number of exclamation marks;
-2. per token, still inside the row: a narrow struct of the token, the three
-   tokens before it and its side of the "but" contrast.  Only these structs
-   are exploded and probe the lexicon table, so the bytes that move grow with
-   the number of tokens whichever join Spark picks (broadcast by its size
-   limit, else a shuffle join with AQE's skew handling); negation, boosters,
-   capitals and contrast are worked out for the matched tokens;
+1. per post, in one narrow projection: tokens (regex), what each token says
+   about the ones after it (negation, booster), the mixed-case flag, the
+   position of the first "but" and the number of exclamation marks;
+2. per token, still inside the row: the lower-cased token and one small number
+   with its negation, boosters, capitals and side of the "but" contrast.  Only
+   these pairs are exploded and probe the lexicon table, so the bytes that move
+   grow with the number of tokens whichever join Spark picks (broadcast by its
+   size limit, else a shuffle join with AQE's skew handling);
 3. sum the adjusted valences per post key; the posts were hash-partitioned
    by the key once, so this aggregate needs no further shuffle;
 4. left-join the sums back to the posts on the key with a shuffled hash join
@@ -19,8 +19,8 @@ of scoring is a plan of builtin operators:
    score 0 -- and squash with ``s / sqrt(s^2 + alpha)``.
 
 Net cost: one scan and one exchange of the posts, no sort, no Python per row.
-When the posts are already partitioned by the key (for instance the upsert's
-output) even that exchange is skipped (``prepartitioned=True``).
+Phrases (idioms, "kind of", "at least") are an option: a table of any size, found
+by an n-gram join and merged to one token before the rules run.
 
 Scores follow the published method but are not numerically those of the
 reference's analyser unless the same lexicon and full rule set are supplied
@@ -46,6 +46,8 @@ BOOSTER_STEP = Decimal("0.293")
 CAPS_STEP = Decimal("0.733")
 BANG_STEP = Decimal("0.292")
 BANG_MAX = 4
+QUESTION_STEP = Decimal("0.18")  # two or three question marks, each
+QUESTION_MANY = Decimal("0.96")  # more than three
 BUT_BEFORE = Decimal("0.5")
 BUT_AFTER = Decimal("1.5")
 DAMPING = (Decimal("1.00"), Decimal("0.95"), Decimal("0.90"))   # distance 1, 2, 3
@@ -95,15 +97,80 @@ def _boost_of(x: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
-def _post_flags(df: DataFrame, text_col: str) -> DataFrame:
-    """Per-post inputs of the rules: tokens, mixed case, first "but", bangs."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = df.withColumn("__toks", F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0))
-    is_caps = (lambda t: (t == F.upper(t)) & (t != F.lower(t)))
-    staged = staged.withColumn(
-        "__mixed", F.exists("__toks", is_caps) & F.exists("__toks", lambda t: ~is_caps(t)))
+def _tokens(text_col: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN_PATTERN), 0)
+
+
+def prepare_phrases(phrases: DataFrame) -> DataFrame:
+    """``(phrase, words, valence, step, h)`` of ``phrases(phrase, valence, effect)``.
+
+    ``effect``: ``valence`` (counts with its valence), ``up`` / ``down`` (a booster for what follows) or
+    ``none`` (its words mean nothing alone).  Phrases are lower-cased tokens separated by single spaces;
+    those of one token are no phrases.  A phrase given twice keeps its largest valence and step.
+    """
+    words = F.transform(F.regexp_extract_all("phrase", F.lit(TOKEN_PATTERN), 0), lambda t: F.lower(t))
+    step = F.when(F.col("effect") == "up", 1).when(F.col("effect") == "down", -1).otherwise(0)
+    valence = F.when(F.col("effect") == "valence", F.col("valence").cast("decimal(6,3)"))
+    p = phrases.select(words.alias("words"), valence.alias("valence"), step.alias("step")).filter(F.size("words") > 1)
+    p = p.groupBy("words").agg(F.max("valence").alias("valence"), F.max("step").alias("step"))
+    return p.select(F.array_join("words", " ").alias("phrase"), "words", "valence", "step", F.xxhash64("words").alias("h"))
+
+
+def merge_phrases(df: DataFrame, phrases: DataFrame, key: list[str], text_col: str) -> DataFrame:
+    """``key``, ``text_col``, ``__toks`` and ``__steps``: the tokens of each row of ``df`` with every phrase
+    merged to one token (leftmost first, then longest), and the booster steps of the row's phrases.
+
+    Each n-gram of a row becomes two numbers and a hash, which are all that is exploded and joined with the
+    phrases; the spans found (a row's own, few) are joined back and compared with the tokens themselves.
+    """
+    lengths = sorted(r.n for r in phrases.select(F.size("words").alias("n")).distinct().collect())   # a few numbers
+    base = df.select(*key, text_col).withColumn("__toks", _tokens(text_col))
+    low = base.withColumn("__low", F.transform("__toks", lambda t: F.lower(t)))
+    if not lengths:
+        return base.withColumn("__steps", F.create_map().cast("map<string,int>"))
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("__low") - (n - 1))
+        gram = lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("__low", i, n)).alias("h"))
+        return F.when(F.size("__low") >= n, F.transform(starts, gram))
+
+    found = low.select(*key, F.explode_outer(F.flatten(F.array_compact(F.array(*map(grams, lengths))))).alias("x")).select(*key, "x.*")
+    found = found.filter(F.col("h").isNotNull()).join(phrases.select("h", "phrase", "step"), "h")
+    spans = found.groupBy(*key).agg(F.collect_list(F.struct("pos", (-F.col("len")).alias("less"), "phrase", "step")).alias("__spans"))
+    rows = low.join(spans.hint("shuffle_hash"), key, "left")
+    same = lambda x: F.array_join(F.slice("__low", x["pos"], -x["less"]), " ") == x["phrase"]
+    kind = "array<struct<pos:int,less:int,phrase:string,step:int>>"
+    ordered = F.array_sort(F.filter(F.coalesce("__spans", F.array().cast(kind)), same))
+    begin = F.struct(F.lit(1).alias("free"), F.array().cast(kind).alias("taken"))
+    take = lambda acc, x: F.when(x["pos"] >= acc["free"], F.struct((x["pos"] - x["less"]).alias("free"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc)
+    rows = rows.withColumn("__taken", F.aggregate(ordered, begin, take, lambda acc: acc["taken"]))
+    free = lambda k: F.coalesce(F.get("__taken", k)["pos"] - F.get("__taken", k)["less"], F.lit(1))
+    gap = lambda lo, hi: F.slice("__toks", lo, F.greatest(hi - lo, F.lit(0)))
+    parts = F.transform("__taken", lambda x, k: F.concat(gap(free(k - 1), x["pos"]), F.array(F.array_join(F.slice("__toks", x["pos"], -x["less"]), " "))))
+    merged = F.concat(F.flatten(parts), gap(free(F.size("__taken") - 1), F.size("__toks") + 1))
+    steps = F.map_from_entries(F.array_distinct(F.transform("__taken", lambda x: F.struct(x["phrase"], x["step"]))))
+    return rows.select(*key, text_col, merged.alias("__toks"), steps.alias("__steps"))
+
+
+def _staged_tokens(df: DataFrame, text_col: str) -> DataFrame:
+    """Per-post inputs of the rules: tokens, their lower-case form, what each says about the
+    tokens after it (negation, booster step), mixed case and the place of the first "but"."""
+    staged = df if "__toks" in df.columns else df.withColumn("__toks", _tokens(text_col))
     staged = staged.withColumn("__low", F.transform("__toks", lambda t: F.lower(t)))
-    return staged.withColumn("__but", F.array_position("__low", CONTRAST_WORD))
+    boost, negates = _boost_of, _is_negation
+    if "__steps" in df.columns:                     # phrases: their own booster step, never a negation
+        is_phrase = lambda t: t.contains(" ")
+        boost = lambda t: F.when(is_phrase(t), F.coalesce(F.try_element_at("__steps", t), F.lit(0))).otherwise(_boost_of(t))
+        negates = lambda t: ~is_phrase(t) & _is_negation(t)
+    # one number per token: a booster step -1, 0, 1 as 0, 1, 2 and 4 more for a negation
+    says = F.transform("__low", lambda t: (boost(t) + 1 + F.when(negates(t), 4).otherwise(0)).cast("tinyint"))
+    mixed = F.exists("__toks", _is_caps) & F.exists("__toks", lambda t: ~_is_caps(t))
+    return (staged.withColumn("__says", says).withColumn("__mixed", mixed)
+                  .withColumn("__but", F.array_position("__low", CONTRAST_WORD)))
+
+
+def _is_caps(t: Column) -> Column:
+    return (t == F.upper(t)) & (t != F.lower(t))
 
 
 def _bangs(text_col: str) -> Column:
@@ -111,48 +178,61 @@ def _bangs(text_col: str) -> Column:
     return F.least(F.length(text) - F.length(F.regexp_replace(text, "!", "")), F.lit(BANG_MAX))
 
 
-def _token_context(toks: Column, low: Column, but: Column) -> Column:
-    """Array of ``(raw, p1, p2, p3, side)``: each token with the three lower-cased tokens
-    before it and its side of the contrast word (-1 before, 1 after, 0 neither)."""
-    def context(t: Column, i: Column) -> Column:
-        side = F.when(but > 0, F.signum((i + 1 - but).cast("double"))).otherwise(F.lit(0.0)).cast("tinyint")
-        return F.struct(t.alias("raw"), F.get(low, i - 1).alias("p1"), F.get(low, i - 2).alias("p2"),
-                        F.get(low, i - 3).alias("p3"), side.alias("side"))
+# Flags of a token, worked out in the row: 1 negated by one of the three tokens before it, 2 capitals in a
+# text of mixed case, 4 before and 8 after the contrast word, 16 * (three booster steps in base 3).
+def _token_flags(t: Column, i: Column) -> Column:
+    before = [F.coalesce(F.get(F.col("__says"), i - k), F.lit(1)).cast("int") for k in (1, 2, 3)]
+    negated = reduce(lambda a, b: a | b, [x >= 4 for x in before])
+    steps = sum(((x % 4) * 3 ** k for k, x in enumerate(before)), F.lit(0))
+    but = F.col("__but")
+    side = F.when((but > 0) & (i + 1 < but), 4).when((but > 0) & (i + 1 > but), 8).otherwise(0)
+    caps = F.when(F.col("__mixed") & _is_caps(t), 2).otherwise(0)
+    return (F.when(negated, 1).otherwise(0) + caps + side + steps * 16).cast("smallint")
 
-    return F.transform(toks, context)
 
+def token_items() -> Column:
+    """Array of ``(token, flags)`` of the rows that ``_staged_tokens`` has prepared."""
+    return F.transform("__toks", lambda t, i: F.struct(F.get(F.col("__low"), i).alias("token"), _token_flags(t, i).alias("flags")))
 
-def _matched_contributions(flags: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
-    """One row per token found in the lexicon with its rule-adjusted valence; the
-    rules are evaluated for the matched tokens only."""
+
+def contribution(valence: Column, flags: Column) -> Column:
+    """The valence of a matched token after negation, boosters, capitals and contrast."""
+    flags = flags.cast("int")
+    steps = F.floor(flags / 16).cast("int")
+    boost = F.lit(Decimal("0.00"))
+    for k, damp in enumerate(DAMPING):
+        step = F.floor(steps / 3 ** k).cast("int") % 3 - 1
+        boost = boost + step.cast("decimal(1,0)") * _dec(damp)
+    has = lambda bit: flags.bitwiseAND(F.lit(bit)) > 0
+    butm = F.when(has(4), _dec(BUT_BEFORE)).when(has(8), _dec(BUT_AFTER)).otherwise(_dec(Decimal("1.0")))
+    sv = F.signum(valence).cast("decimal(1,0)")
+    v1 = (valence + F.when(has(2), sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
+          + sv * _dec(BOOSTER_STEP) * boost)
+    v2 = F.when(has(1), v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
+    return (v2 * butm).cast(SENT_DECIMAL)
+
+
+def _matched_contributions(staged: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
+    """One row per token found in the lexicon with its rule-adjusted valence."""
     # explode_outer + not-null filter: a plain explode makes Catalyst infer
     # size(tokens) > 0 below the exchange (regex evaluated twice, and the
     # exchange could no longer be shared with the join-back branch)
-    context = _token_context(F.col("__toks"), F.col("__low"), F.col("__but"))
-    ex = (flags.select(*key, "__mixed", F.explode_outer(context).alias("x"))
-               .select(*key, "__mixed", "x.raw", "x.p1", "x.p2", "x.p3", "x.side")
-               .filter(F.col("raw").isNotNull()))
-    j = ex.join(lex, F.lower(F.col("raw")) == lex["token"], "inner")
-    prev = [F.col(p) for p in ("p1", "p2", "p3")]
-    neg = _is_negation(prev[0]) | _is_negation(prev[1]) | _is_negation(prev[2])
-    boost = F.lit(Decimal("0.00"))
-    for p, damp in zip(prev, DAMPING):
-        boost = boost + F.coalesce(_boost_of(p), F.lit(0)).cast("decimal(1,0)") * _dec(damp)
-    butm = (F.when(F.col("side") < 0, _dec(BUT_BEFORE)).when(F.col("side") > 0, _dec(BUT_AFTER))
-            .otherwise(_dec(Decimal("1.0"))))
-    t = F.col("raw")
-    caps = (t == F.upper(t)) & (t != F.lower(t)) & F.col("__mixed")
-    v = F.col("valence")
-    sv = F.signum(v).cast("decimal(1,0)")
-    v1 = (v + F.when(caps, sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
-          + sv * _dec(BOOSTER_STEP) * boost)
-    v2 = F.when(neg, v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
-    return j.select(*key, (v2 * butm).cast(SENT_DECIMAL).alias("__c"))
+    ex = (staged.select(*key, F.explode_outer(token_items()).alias("x"))
+                .select(*key, "x.token", "x.flags").filter(F.col("token").isNotNull()))
+    return ex.join(lex, "token").select(*key, contribution(F.col("valence"), F.col("flags")).alias("__c"))
+
 
+def _question_emphasis(text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n = F.length(text) - F.length(F.regexp_replace(text, "[?]", ""))
+    return (F.when(n > 3, _dec(QUESTION_MANY)).when(n > 1, n.cast("decimal(1,0)") * _dec(QUESTION_STEP))
+            .otherwise(_dec(Decimal("0"))))
 
-def compound(total: Column, bang: Column, alpha: float = ALPHA) -> Column:
-    """Exclamation emphasis + squash to (-1, 1), rounded to 4 decimals."""
+
+def compound(total: Column, bang: Column, alpha: float = ALPHA, more: Column | None = None) -> Column:
+    """Exclamation (and ``more``) emphasis + squash to (-1, 1), rounded to 4 decimals."""
     ep = (bang.cast("decimal(2,0)") * _dec(BANG_STEP))
+    ep = ep if more is None else ep + more
     s = (F.when(total > 0, total + ep).when(total < 0, total - ep).otherwise(total)).cast("double")
     c = s / F.sqrt(s * s + F.lit(float(alpha)))
     c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
@@ -161,14 +241,17 @@ def compound(total: Column, bang: Column, alpha: float = ALPHA) -> Column:
 
 def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_id"),
                     text_col: str = "title", out: str = "sentiment",
-                    alpha: float = ALPHA, prepartitioned: bool = False) -> DataFrame:
+                    alpha: float = ALPHA, phrases: DataFrame | None = None,
+                    questions: bool = False) -> DataFrame:
     """O-45: add ``out`` (double in [-1, 1]) to every row of ``df``.
 
-    Plan: hash-partition the posts by the key once (skipped with
-    ``prepartitioned=True`` when ``df`` already is, e.g. the upsert output);
-    both branches below read that one exchange (Spark reuses it):
+    ``phrases(phrase, valence, effect)``: phrases that count as one token, see
+    ``prepare_phrases``; ``questions``: two or more question marks emphasise.
+
+    Plan: hash-partition the posts by the key once; both branches below read
+    that one exchange (Spark reuses it):
 
-    * tokens with their context -> explode -> join with the lexicon -> adjusted
+    * tokens with their flags -> explode -> join with the lexicon -> adjusted
       valences of matched tokens -> sum per key, without a further shuffle if
       the lexicon was broadcast, because the rows are already partitioned;
     * the posts themselves, joined to the sums on the key with a shuffled
@@ -187,14 +270,19 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, key=("source", "external_
     key = list(key)
     lex = prepare_lexicon(lexicon)
     df = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
-    if not prepartitioned:
-        df = df.repartition(*key)
-    flags = _post_flags(df.select(*key, text_col), text_col)
-    sums = (_matched_contributions(flags, key, lex)
+    df = df.repartition(*key)
+    if phrases is None:
+        rows = df.select(*key, text_col)
+    else:
+        phrases = prepare_phrases(phrases)
+        rows = merge_phrases(df, phrases, key, text_col)
+        lex = lex.unionByName(phrases.filter(F.col("valence").isNotNull()).select(F.col("phrase").alias("token"), "valence"))
+    sums = (_matched_contributions(_staged_tokens(rows, text_col), key, lex)
             .groupBy(*key).agg(F.sum("__c").alias("__s")))
     joined = df.join(sums.hint("shuffle_hash"), key, "left")
     total = F.coalesce(F.col("__s"), F.lit(Decimal("0")).cast(SENT_DECIMAL))
-    return joined.select(*cols, compound(total, _bangs(text_col), alpha).alias(out))
+    more = _question_emphasis(text_col) if questions else None
+    return joined.select(*cols, compound(total, _bangs(text_col), alpha, more).alias(out))
 
 
 def sentiment_label(c, cut: float = 0.05) -> Column:

@@ -110,24 +110,47 @@ def _sql_words(words) -> str:
     return ", ".join(_q(w) for w in words)
 
 
+def _merged_phrases_sql(toks: str, phrases: list[str]) -> str:
+    """The token list with phrases (leftmost, then longest) as one token: tokens are set apart by two blanks,
+    phrases marked by one regular expression, and the pieces cut up again."""
+    longest = sorted(phrases, key=lambda p: -len(p.split()))
+    pattern = "(?i) (" + "|".join(p.replace(" ", "  ") for p in longest) + ") "
+    line = f"array_to_string(list_transform({toks}, lambda t: ' ' || t || ' '), '')"
+    cut = lambda x: f"CASE WHEN {x} = '' THEN [] ELSE string_split(substr({x}, 2, length({x}) - 2), '  ') END"
+    head, tail = "replace(split_part(p, chr(3), 1), '  ', ' ')", "split_part(p, chr(3), 2)"
+    piece = f"CASE WHEN contains(p, chr(3)) THEN list_concat([{head}], {cut(tail)}) ELSE {cut('p')} END"
+    marked = f"regexp_replace({line}, {_q(pattern)}, chr(2) || '\\1' || chr(3), 'g')"
+    return f"flatten(list_transform(string_split({marked}, chr(2)), lambda p: {piece}))"
+
+
 def sentiment_ctes(src: str = "posts", text_col: str = "title", keys: str = "source, external_id",
-                   carry: str = "title", name: str = "scored") -> str:
-    """CTEs ending in ``name``: every row of ``src`` with ``sentiment``."""
-    from .fixtures import lexicon_values_sql
+                   carry: str = "title", name: str = "scored", phrases: bool = False) -> str:
+    """CTEs ending in ``name``: every row of ``src`` with ``sentiment``; ``phrases``: with the sample
+    phrases and question marks."""
+    from .fixtures import SAMPLE_PHRASES, lexicon_values_sql
     from .operators import sentiment as S
     neg = (f"coalesce(({{x}}) IN ({_sql_words(S.NEGATIONS)}) OR "
            + " OR ".join(f"suffix({{x}}, {_q(s)})" for s in S.NEGATION_SUFFIXES) + ", false)")
     boost = (f"CASE WHEN ({{x}}) IN ({_sql_words(S.BOOSTERS_UP)}) THEN 1 "
              f"WHEN ({{x}}) IN ({_sql_words(S.BOOSTERS_DOWN)}) THEN -1 ELSE 0 END")
+    toks = f"regexp_extract_all(coalesce({text_col}, ''), {_q(S.TOKEN_PATTERN)}, 0)"
+    more, lexicon = "0", lexicon_values_sql()
+    if phrases:
+        toks = _merged_phrases_sql(toks, [p for p, _, _ in SAMPLE_PHRASES])
+        up, down = ([p for p, _, e in SAMPLE_PHRASES if e == kind] for kind in ("up", "down"))
+        boost = boost.replace("WHEN", f"WHEN ({{x}}) IN ({_sql_words(up)}) THEN 1 WHEN ({{x}}) IN ({_sql_words(down)}) THEN -1 WHEN", 1)
+        n = f"(length(coalesce({text_col}, '')) - length(replace(coalesce({text_col}, ''), '?', '')))"
+        more = f"CASE WHEN {n} > 3 THEN {S.QUESTION_MANY} WHEN {n} > 1 THEN {n} * {S.QUESTION_STEP} ELSE 0 END"
+        lexicon = lexicon[:-1] + "".join(f", ('{p}', CAST({v} AS DECIMAL(6,3)))" for p, v, e in SAMPLE_PHRASES if e == "valence") + ")"
     prev = {j: f"CASE WHEN i > {j} THEN low[i - {j}] END" for j in (1, 2, 3)}
     kc = ", ".join(k.strip() for k in keys.split(","))
     carry_sel = f"{carry}, " if carry else ""
     caps = "(t = upper(t) AND t <> lower(t))"
     return f"""
-{lexicon_values_sql()},
+{lexicon},
 {name}_t AS (
   SELECT {kc}, {carry_sel}
-         regexp_extract_all(coalesce({text_col}, ''), {_q(S.TOKEN_PATTERN)}, 0) AS toks,
+         {toks} AS toks, CAST({more} AS DECIMAL(6,2)) AS more,
          least(length(coalesce({text_col}, '')) - length(replace(coalesce({text_col}, ''), '!', '')), {S.BANG_MAX}) AS bang
   FROM {src}
 ),
@@ -161,8 +184,8 @@ def sentiment_ctes(src: str = "posts", text_col: str = "title", keys: str = "sou
   GROUP BY {kc}
 ),
 {name}_s AS (
-  SELECT t.*, CAST(CASE WHEN coalesce(c.total, 0) > 0 THEN c.total + t.bang * {S.BANG_STEP}
-                        WHEN coalesce(c.total, 0) < 0 THEN c.total - t.bang * {S.BANG_STEP}
+  SELECT t.*, CAST(CASE WHEN coalesce(c.total, 0) > 0 THEN c.total + t.bang * {S.BANG_STEP} + t.more
+                        WHEN coalesce(c.total, 0) < 0 THEN c.total - t.bang * {S.BANG_STEP} - t.more
                         ELSE 0 END AS DOUBLE) AS s
   FROM {name}_t t LEFT JOIN {name}_c c USING ({kc})
 ),
@@ -178,6 +201,12 @@ register("post_sentiment", with_posts(
     sentiment_ctes("posts")))
 
 
+register("post_sentiment_phrases", with_posts(
+    "SELECT source, external_id, title, sentiment FROM pscored",
+    """asking AS (SELECT source, external_id, title || repeat('?', score % 6) AS title FROM posts WHERE title IS NOT NULL),
+""" + sentiment_ctes("asking", name="pscored", phrases=True).strip()))
+
+
 def avg_units_sql(u: str, n: str) -> str:
     """Exact half-up 3-decimal average from integer 1e-4 units."""
     return f"CAST(sign({u}) * ((abs({u}) * 2 + {n} * 10) // ({n} * 20)) AS DOUBLE) / 1000.0"
@@ -534,3 +563,87 @@ register("hashtags_after_urls", with_posts(
     regexp_replace(title || ' https://x.example/a#' || source, {_q(URL_PATTERN)}, ' ', 'g'), {_q(HASHTAG_PATTERN)}, 1),
     lambda h: '#' || lower(h))) AS term
   FROM posts) GROUP BY term"""))
+
+
+# --- keyed state, sliding windows, threshold top-k, indexes -------------------------------
+register("stream_upsert_state", "WITH " + DELIVERY_SQL.strip() + """
+SELECT source, external_id, arg_min(title, seq) AS title, arg_min(text, seq) AS text,
+       arg_min(url, seq) AS url, arg_min(author, seq) AS author, arg_max(score, seq) AS score,
+       arg_min(created_at, seq) AS created_at,
+       count(*) + count(*) FILTER (WHERE seq % 2 = 1 AND seq % 3 = 0) AS deliveries
+FROM deliveries GROUP BY source, external_id""")
+
+
+def _windows(partials: str) -> str:
+    """Every window of 24 hours that ends with a pane, each pane copied into the windows that hold it."""
+    return f"""wins AS (
+  SELECT unnest(generate_series((SELECT min(bucket) FROM {partials}) + INTERVAL 30 MINUTES,
+                                (SELECT max(bucket) FROM {partials}) + INTERVAL 24 HOURS, INTERVAL 30 MINUTES)) AS window_end),
+sliding AS (
+  SELECT window_end, term, CAST(sum(count) AS BIGINT) AS count, CAST(sum(units) AS BIGINT) AS units
+  FROM wins JOIN {partials} p ON p.bucket >= window_end - INTERVAL 24 HOURS AND p.bucket < window_end GROUP BY 1, 2)"""
+
+
+register("sliding_topics_24h", with_posts(
+    f"SELECT window_end, term, count, CAST(count * {weight_sql()} AS BIGINT) AS weight FROM sliding WHERE count >= 5",
+    topics_cte("posts", "api", name="stp", key_cols="created_at").strip() + """,
+panes AS (
+  SELECT time_bucket(INTERVAL 30 MINUTES, created_at) AS bucket, term, count(*) AS count, 0 AS units
+  FROM (SELECT created_at, unnest(topics) AS term FROM stp) GROUP BY 1, 2),
+""" + _windows("panes")))
+register("sliding_trending_24h", with_posts(
+    f"""SELECT window_end, term, count, CAST(weight AS BIGINT) AS weight, {avg_units_sql('units', 'count')} AS avg_sentiment, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY window_end ORDER BY weight DESC, count DESC, term ASC) AS rank
+      FROM (SELECT *, count * {weight_sql()} AS weight FROM sliding)) WHERE rank <= 20""",
+    sentiment_ctes("posts", name="vscored", carry="title, created_at").strip() + ",\n"
+    + topics_cte("vscored", "api", name="vtp", key_cols="created_at, sentiment").strip() + f""",
+panes AS (
+  SELECT time_bucket(INTERVAL 30 MINUTES, created_at) AS bucket, term, count(*) AS count, sum({units_sql()}) AS units
+  FROM (SELECT created_at, sentiment, unnest(topics) AS term FROM vtp) GROUP BY 1, 2),
+""" + _windows("panes")))
+register("trending_threshold", trending_sql(None, 20))
+register("term_sentiment_threshold", ORACLE["term_sentiment_top40"])
+
+
+def _search_index_sql() -> str:
+    from .fixtures import SEARCH_TEXTS
+    texts = ", ".join(f"({_q(t)})" for t in SEARCH_TEXTS)
+    return with_posts("""SELECT q, CAST(rank AS INTEGER) AS rank, source, title, url FROM (
+  SELECT q, source, title, url, row_number() OVER (PARTITION BY q ORDER BY created_at DESC, source ASC, external_id ASC) AS rank
+  FROM posts JOIN texts ON contains(upper(title), upper(q))) WHERE rank <= 8""", f"texts(q) AS (VALUES {texts})")
+
+
+register("search_posts_index", _search_index_sql())
+register("deliveries_page_1000", "WITH " + DELIVERY_SQL.strip() + """
+SELECT source, external_id, title, score, created_at, seq FROM deliveries ORDER BY created_at DESC, seq DESC LIMIT 5 OFFSET 4995""")
+register("first_items_each", "WITH " + PE_SQL + """,
+listings AS (
+  SELECT source, doc_id // 2000 AS block FROM pe GROUP BY 1, 2 ORDER BY min(doc_id) LIMIT 100),
+rpe AS (SELECT pe.* FROM pe JOIN listings l ON pe.source = l.source AND pe.doc_id // 2000 = l.block),
+first AS (SELECT * FROM pe ORDER BY doc_id LIMIT 100)
+""" + _hn_expected().replace("FROM pe", "FROM first") + "\nUNION ALL " + _reddit_expected().replace("FROM pe", "FROM rpe").replace("pe.source", "rpe.source")
+         + "\nUNION ALL " + _bluesky_expected().replace("FROM pe", "FROM first"))
+register("stream_topic_sentiment", ORACLE["event_buckets_30m"])
+register("stream_late_fold", with_posts(
+    """SELECT time_bucket(INTERVAL 30 MINUTES, created_at) AS bucket, term, count(*) AS count, count(*) FILTER (WHERE late) AS late
+FROM (SELECT created_at, late, unnest(topics) AS term FROM ltp) GROUP BY 1, 2""",
+    """mark AS (
+  SELECT date_trunc('millisecond', max(created_at)) - INTERVAL 1 HOUR AS t FROM posts WHERE external_id::BIGINT % 7 <> 3),
+timed AS (SELECT title, created_at, external_id::BIGINT % 7 = 3 AND created_at <= (SELECT t FROM mark) AS late FROM posts),
+""" + topics_cte("timed", "api", name="ltp", key_cols="created_at, late").strip()))
+
+
+def _sql_functions_sql() -> str:
+    head, final = trending_sql(24, 20)[len("WITH "):].rsplit("\nSELECT term, count, CAST(weight", 1)
+    return ("WITH " + head + ",\ntrend20 AS (SELECT term, count, CAST(weight" + final + "),\n" + topic_sentiment_ctes() + ",\n"
+            + sentiment_list_cte("topic_sent", 12) + ",\n" + topics_cte("posts", "api", name="ftp", key_cols="source").strip() + f"""
+SELECT 'trending' AS tool, term AS name, weight AS n, rank FROM trend20
+UNION ALL SELECT 'search', source || ' ' || coalesce(url, ''), length(title)::BIGINT, CAST(rank AS INTEGER) FROM (
+  SELECT *, row_number() OVER ({_LATEST}) AS rank FROM posts WHERE contains(upper(title), upper('OrAnTiOn'))) WHERE rank <= 8
+UNION ALL SELECT 'sentiment', term, CAST(round(avg_sentiment * 1000) AS BIGINT), rank FROM slist
+UNION ALL SELECT 'sources', source, n, CAST(rank AS INTEGER) FROM (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source ASC) AS rank FROM posts GROUP BY source) WHERE rank <= 5
+UNION ALL SELECT 'topics', source, sum(len(topics))::BIGINT, 0 FROM ftp GROUP BY source""")
+
+
+register("sql_functions", _sql_functions_sql())

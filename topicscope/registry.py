@@ -48,6 +48,23 @@ def q_post_sentiment(spark, sf_dir):
     return _scored_posts(spark, sf_dir)
 
 
+@query("post_sentiment_phrases")
+def q_post_sentiment_phrases(spark, sf_dir):
+    """O-45 with phrases and question marks."""
+    from .fixtures import sample_lexicon, sample_phrases
+    from .operators.filters import has_title
+    from .operators.sentiment import score_sentiment
+    title = _asking_title()
+    posts = has_title(posts_view(spark, sf_dir)).select("source", "external_id", title.alias("title"))
+    return score_sentiment(posts, sample_lexicon(spark), phrases=sample_phrases(spark), questions=True)
+
+
+def _asking_title():
+    """Titles of which some end in question marks (the page address has at most one)."""
+    from pyspark.sql import functions as F
+    return F.concat("title", F.repeat(F.lit("?"), F.col("score") % 6))
+
+
 def _topic_sentiment(spark, sf_dir):
     from .fixtures import sample_lexicon
     from .plans.sentiment_trends import topic_sentiment
@@ -508,3 +525,182 @@ def q_latest_posts_keyset(spark, sf_dir):
     last = posts.orderBy(*latest_order()).limit(50).collect()[-1]             # 50 rows
     rows = keyset_page(posts, last.created_at, (last.source, last.external_id), page_size=50)
     return project_posts(rows)
+
+
+# --- keyed state, sliding windows, threshold top-k, indexes -------------------------------
+def _scratch(spark, name):
+    import uuid
+
+    from .session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@query("stream_upsert_state")
+def q_stream_upsert_state(spark, sf_dir):
+    """O-41 in the state store: the deliveries of odd ``seq`` first; after a restart the even ones,
+    and every third of the odd ones again."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import FEED_NOW
+    from .operators.upsert import FIRST_WINS
+    from .streaming.ingest import read_envelopes
+    from .streaming.keyed_state import read_state_table, stream_upsert_state, use_rocksdb
+    base = _scratch(spark, "q_stream_state")
+    _delivery_envelopes(spark, sf_dir).write.parquet(f"{base}/all")
+    every = spark.read.schema("seq BIGINT, value STRING").parquet(f"{base}/all")
+    odd = F.col("seq") % 2 == 1
+    use_rocksdb(spark)
+    try:
+        for part in (every.filter(odd), every.filter(~odd).unionByName(every.filter(odd & (F.col("seq") % 3 == 0)))):
+            part.repartitionByRange(4, "seq").write.mode("append").parquet(f"{base}/in")
+            stream = read_envelopes(spark, f"{base}/in", files_per_trigger=2)
+            stream_upsert_state(stream, f"{base}/posts", now=F.lit(FEED_NOW).cast("timestamp_ntz")).awaitTermination()
+    finally:
+        use_rocksdb(spark, False)
+    return read_state_table(spark, f"{base}/posts").select("source", "external_id", *FIRST_WINS, "score", "deliveries")
+
+
+@query("sliding_topics_24h")
+def q_sliding_topics_24h(spark, sf_dir):
+    """O-69 for every window: one row per (window end, term) with at least 5 posts (O-26)."""
+    from .operators.panes import sliding_topics
+    from .streaming.trends import bucket_partials
+    return sliding_topics(bucket_partials(posts_view(spark, sf_dir)), hours=24, min_count=5).drop("avg_sentiment")
+
+
+@query("sliding_trending_24h")
+def q_sliding_trending_24h(spark, sf_dir):
+    """C-1 at the end of every pane, with the average sentiment of each topic (O-70)."""
+    from .fixtures import sample_lexicon
+    from .operators.panes import sliding_trending
+    from .streaming.trends import bucket_partials
+    return sliding_trending(bucket_partials(posts_view(spark, sf_dir), lexicon=sample_lexicon(spark)), hours=24, limit=20)
+
+
+@query("trending_threshold")
+def q_trending_threshold(spark, sf_dir):
+    """O-40a over all posts, without shuffling every topic."""
+    from pyspark.sql import functions as F
+
+    from .functions.text import PHRASE_OR_HASHTAG_WEIGHT, WORD_WEIGHT, with_topics
+    from .operators.threshold_topk import local_lists, threshold_top_k
+    rows = with_topics(posts_view(spark, sf_dir).select("title")).select(F.col("topics").alias("terms"), F.lit(0).cast("bigint").alias("units"))
+    lists = local_lists(rows, _scratch(spark, "q_threshold"), {"phrase": PHRASE_OR_HASHTAG_WEIGHT, "word": WORD_WEIGHT})
+    return threshold_top_k(lists, 20).select("term", "count", F.col("value").alias("weight"), "rank")
+
+
+@query("term_sentiment_threshold")
+def q_term_sentiment_threshold(spark, sf_dir):
+    """C-2 (O-40c) by the threshold algorithm."""
+    from pyspark.sql import functions as F
+
+    from .functions.stopwords import stopwords
+    from .functions.text import TERM_MIN_LEN, keep_tokens, split_terms
+    from .operators.aggregates import avg_from_units, sentiment_sum_units
+    from .operators.threshold_topk import local_lists, threshold_top_k
+    scored = _scored_posts(spark, sf_dir).select(split_terms("title").alias("all"), sentiment_sum_units().alias("units"))
+    rows = scored.select(keep_tokens("all", stopwords("spark"), TERM_MIN_LEN).alias("terms"), "units")
+    top = threshold_top_k(local_lists(rows, _scratch(spark, "q_threshold")), 40)
+    return top.select("term", "count", avg_from_units(F.col("units"), F.col("count")).alias("avg_sentiment"))
+
+
+@query("search_posts_index")
+def q_search_posts_index(spark, sf_dir):
+    """C-7 for several texts by trigram posting lists."""
+    from .fixtures import SEARCH_TEXTS
+    from .operators.search_index import build_search_index, search_by_index
+    base = _scratch(spark, "q_search")
+    posts_view(spark, sf_dir).write.parquet(f"{base}/posts")
+    posts = spark.read.parquet(f"{base}/posts")
+    build_search_index(posts, f"{base}/index")
+    return search_by_index(posts, f"{base}/index", SEARCH_TEXTS, limit=8)
+
+
+@query("deliveries_page_1000")
+def q_deliveries_page_1000(spark, sf_dir):
+    """O-39: page 1,000 (of 5 rows) of the deliveries, newest first, by the time index."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import delivery_log
+    from .operators.page_index import build_page_index, direct_page
+    base = _scratch(spark, "q_page")
+    delivery_log(spark, sf_dir).repartitionByRange("created_at").sortWithinPartitions("created_at").write.parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
+    build_page_index(rows).write.parquet(f"{base}/index")
+    page = direct_page(rows, spark.read.parquet(f"{base}/index"), [F.col("created_at").desc(), F.col("seq").desc()], 1000, 5)
+    return page.select("source", "external_id", "title", "score", "created_at", "seq")
+
+
+@query("first_items_each")
+def q_first_items_each(spark, sf_dir):
+    """O-13, O-14: the first 100 records of every feed in one query."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import FEED_NOW, raw_items
+    from .sources.feeds import normalize_each
+    return normalize_each(raw_items(spark, sf_dir), _scratch(spark, "q_first_each"), 100,
+                          bluesky={"now": F.lit(FEED_NOW).cast("timestamp_ntz")})
+
+
+@query("stream_topic_sentiment")
+def q_stream_topic_sentiment(spark, sf_dir):
+    """O-70 in append mode; after a restart a record of a later time closes the last panes."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import sample_lexicon
+    from .streaming.sentiment_windows import stream_topic_sentiment
+    base = _scratch(spark, "q_stream_sentiment")
+    posts_view(spark, sf_dir).select("source", "external_id", "title", "created_at").write.parquet(f"{base}/in")
+    posts = spark.read.parquet(f"{base}/in")
+
+    def drain():
+        stream = spark.readStream.schema(posts.schema).parquet(f"{base}/in")
+        stream_topic_sentiment(stream, sample_lexicon(spark), f"{base}/panes", delay="1 hour").awaitTermination()
+
+    drain()
+    clock = posts.agg(F.lit("clock").alias("source"), F.lit("0").alias("external_id"), F.lit("").alias("title"),
+                      (F.max("created_at") + F.expr("INTERVAL 2 DAYS")).alias("created_at"))
+    clock.write.mode("append").parquet(f"{base}/in")
+    drain()
+    return spark.read.parquet(f"{base}/panes").select("bucket", "term", "count", "units")
+
+
+@query("stream_late_fold")
+def q_stream_late_fold(spark, sf_dir):
+    """O-42, O-69: a seventh of the posts arrives after all others, with a fifth of the others again; what the
+    watermark drops is folded in.  Panes of all posts, with the late ones counted."""
+    from pyspark.sql import functions as F
+
+    from .functions.text import with_topics
+    from .operators.aggregates import explode_terms
+    from .streaming.late import complete_posts, fold_late, read_accepted, stream_accepted
+    from .streaming.trends import bucket_start
+    base, delay = _scratch(spark, "q_stream_late"), "1 hour"
+    posts_view(spark, sf_dir).select("source", "external_id", "title", "created_at").write.parquet(f"{base}/all")
+    posts = spark.read.parquet(f"{base}/all")
+    number = F.col("external_id").cast("bigint")
+    held = number % 7 == 3
+    for part in (posts.filter(~held), posts.filter(held | (number % 5 == 1))):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(posts.schema).parquet(f"{base}/in")
+        stream_accepted(stream, f"{base}/posts", delay=delay).awaitTermination()
+    landed = spark.read.schema(posts.schema).parquet(f"{base}/in")
+    for _ in range(2):                                                            # the second finds nothing new
+        fold_late(landed, read_accepted(spark, f"{base}/posts"), f"{base}/late", delay)
+    done = with_topics(complete_posts(spark, f"{base}/posts", f"{base}/late"))
+    rows = done.select(bucket_start(F.col("created_at")).alias("bucket"), "topics", F.col("late").cast("int").alias("late"))
+    return (explode_terms(rows, "topics", keep=("bucket", "late")).groupBy("bucket", "term")
+            .agg(F.count(F.lit(1)).alias("count"), F.sum("late").alias("late")))
+
+
+@query("sql_functions")
+def q_sql_functions(spark, sf_dir):
+    """O-72, O-73 as SQL: the query itself is text only."""
+    from .functions.sql import register_sql_functions
+    register_sql_functions(spark, posts_view(spark, sf_dir), _stored_topic_sentiment(spark, sf_dir), as_of="latest")
+    return spark.sql("""
+        SELECT 'trending' AS tool, term AS name, weight AS n, rank FROM trending(24, 20)
+        UNION ALL SELECT 'search', concat(source, ' ', coalesce(url, '')), length(title), rank FROM search_posts('OrAnTiOn', 8)
+        UNION ALL SELECT 'sentiment', term, CAST(round(avg_sentiment * 1000) AS BIGINT), rank FROM sentiment_topics(12)
+        UNION ALL SELECT 'sources', source, count, rank FROM sources(5)
+        UNION ALL SELECT 'topics', source, sum(size(topics(title))), 0 FROM posts GROUP BY source""")

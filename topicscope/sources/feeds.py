@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (BLUESKY_POST_URL, HN_ITEM_URL, REDDIT_HOST, epoch_to_ts, iso_to_ts,
                                 micros_to_ts, strip_unicode, truncate_cp)
 from ..schemas import BLUESKY_EVENT, HN_ITEM, REDDIT_LISTING
 
+POST_SCHEMA = ("source STRING, external_id STRING, title STRING, text STRING, url STRING, author STRING, "
+               "score INT, created_at TIMESTAMP_NTZ")
 POST_COLUMNS = ("source", "external_id", "title", "text", "url", "author", "score", "created_at")
 
 
@@ -44,6 +46,19 @@ def limit_first(df: DataFrame, n: int | None, order_col: str | None) -> DataFram
     return df.orderBy(F.col(order_col).asc()).limit(n)
 
 
+def first_of_each(records: DataFrame, n: int, group: str = "feed", order_col: str = "seq") -> DataFrame:
+    """O-13 for all feeds at once: the first ``n`` records of every ``group`` by ``order_col``.
+
+    The rank filter reaches below the shuffle (Spark's window group limit): each task hands on at
+    most ``n`` records of a feed, so a feed with most of the records is no larger than the others.
+    """
+    if n < 0:
+        raise ValueError("limit must be non-negative")
+    order = Window.partitionBy(group).orderBy(F.col(order_col).asc())
+    ranked = records.withColumn("__rank", F.row_number().over(order))
+    return ranked.filter(F.col("__rank") <= n).drop("__rank")
+
+
 #: What a tagged feed row carries besides the post: its arrival order (feed
 #: order, position inside the record), why it was rejected (null: good) and,
 #: for rejects, the raw record.
@@ -259,6 +274,23 @@ def normalize(name: str, raw: DataFrame, **kw) -> DataFrame:
     return SOURCES[name](raw, **kw)
 
 
+def normalize_each(records: DataFrame, staging: str, n: int, **kw) -> DataFrame:
+    """Posts of the first ``n`` records of each feed of ``records(feed, seq, value)`` (O-13, O-14).
+
+    The limited records (``n`` a feed at most) are written to ``staging`` once and read by each
+    feed's normaliser; ``kw[feed]`` are its options.  Feeds that are not registered are an error.
+    """
+    spark = records.sparkSession
+    first_of_each(records, n).write.parquet(staging)
+    staged = spark.read.schema("feed STRING, seq BIGINT, value STRING").parquet(staging)
+    names = [r.feed for r in staged.select("feed").distinct().collect()]        # one row a feed
+    posts = None
+    for name in sorted(names):
+        rows = normalize(name, staged.filter(F.col("feed") == name), **kw.get(name, {}))
+        posts = rows if posts is None else posts.unionByName(rows)
+    return staged.sparkSession.createDataFrame([], POST_SCHEMA) if posts is None else posts
+
+
 def tag(name: str, raw: DataFrame, **kw) -> DataFrame:
     """Posts and rejects of a feed: ``POST_COLUMNS`` and ``TAG_COLUMNS``.
 
