@@ -14,7 +14,6 @@ def test_cli_ingest_trending_and_sentiment_job(spark, scratch, tmp_path, capsys)
     table = f"{scratch}/posts"
     cli.main(["ingest", "--table", table, "--staging", f"{scratch}/stage",
               "--feed", f"hackernews={feed}"])
-    cli.main(["compact", "--table", table])
     cli.main(["trending", "--posts", table, "--as-of", "2024-01-01T12:00:00", "--limit", "3"])
     out = capsys.readouterr().out
     assert '"term": "spark streaming", "count": 5' in out

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from topicscope.plans.ingest import ingest, read_posts
 from topicscope.plans.jobs import sentiment_job
 from topicscope.operators.sentiment import lexicon_from_rows
-from topicscope.sources.connectors import read_table
+from topicscope.schemas import POST_SENTIMENT, SENTIMENT_TABLE
+from topicscope.sources.connectors import read_or_empty
 
 
 def test_ingest_isolates_failing_feed(spark, scratch):
@@ -78,9 +79,9 @@ def test_sentiment_job_writes_tables_and_summary(spark, scratch):
     lex = lexicon_from_rows(spark, [("good", 1.9), ("bad", -2.5)])
     s = sentiment_job(spark, posts, lex, scratch).first()
     assert s.posts_scored == 3
-    terms = {r.term: r for r in read_table(spark, f"{scratch}/term_sentiment").collect()}
+    terms = {r.term: r for r in read_or_empty(spark, f"{scratch}/term_sentiment", SENTIMENT_TABLE).collect()}
     assert terms["spark"]["count"] == 4 and s.term_rows == len(terms)
-    assert read_table(spark, f"{scratch}/post_sentiment").count() == 3
+    assert read_or_empty(spark, f"{scratch}/post_sentiment", POST_SENTIMENT).count() == 3
 
 
 def test_posts_from_broker_records(spark):

@@ -81,48 +81,21 @@ def test_stream_trends_lateness_bound(spark, scratch):
     assert "late" not in terms          # beyond the lateness bound: the batch operator has it
 
 
-def test_compaction_keeps_trends_exact(spark, scratch):
-    from topicscope.streaming.trends import compact_buckets
-    schema = "source string, external_id string, title string, created_at timestamp_ntz"
-    base = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([("s", str(i), f"alpha beta topic{i % 4}", base + dt.timedelta(minutes=7 * i))
-                                for i in range(60)], schema)
-    df.repartition(6).write.parquet(f"{scratch}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{scratch}/in")
-    q = stream_trends(stream, f"{scratch}/store", checkpoint=f"{scratch}/ckpt", delay="3650 days")
-    q.awaitTermination()
-    before = {r.term: r["count"] for r in
-              bucket_trending(read_buckets(spark, f"{scratch}/store"), hours=None, limit=100).collect()}
-    upto = compact_buckets(spark, f"{scratch}/store")
-    assert upto >= 0
-    after = {r.term: r["count"] for r in
-             bucket_trending(read_buckets(spark, f"{scratch}/store"), hours=None, limit=100).collect()}
-    assert after == before
-    assert compact_buckets(spark, f"{scratch}/store") == upto      # nothing new: no-op
-
-
-def test_restart_compaction_and_new_posts(spark, scratch):
+def test_restart_and_new_posts(spark, scratch):
     """The default checkpoint belongs to the store: batch ids go on, nothing is dropped or counted twice."""
-    import os
-    from topicscope.streaming.trends import compact_buckets
     schema = "source string, external_id string, title string, created_at timestamp_ntz"
     base = dt.datetime(2024, 1, 1)
+    assert read_buckets(spark, f"{scratch}/store").count() == 0
     for k, title in enumerate(("alpha story", "beta story", "gamma story")):
         spark.createDataFrame([("s", str(k), title, base + dt.timedelta(days=k))], schema).coalesce(1) \
              .write.mode("append").parquet(f"{scratch}/in")
         stream = spark.readStream.schema(schema).parquet(f"{scratch}/in")
         stream_trends(stream, f"{scratch}/store").awaitTermination()
-        if k < 2:
-            compact_buckets(spark, f"{scratch}/store")
-            assert not [n for n in os.listdir(f"{scratch}/store/batches") if n.startswith("batch_id=")]
         got = {r.term: r["count"] for r in bucket_trending(read_buckets(spark, f"{scratch}/store"), hours=None, limit=50).collect()}
         assert got["story"] == k + 1 and got[title.split()[0]] == 1
-    compact_buckets(spark, f"{scratch}/store")
-    compact_buckets(spark, f"{scratch}/store")
-    versions = [n for n in os.listdir(f"{scratch}/store/compacted") if n.startswith("v-")]
-    assert len(versions) <= 2
     recent = read_buckets(spark, f"{scratch}/store", since=base + dt.timedelta(days=2))
     assert {r.term for r in recent.collect()} == {"gamma", "story", "gamma story"}
+    assert "PartitionFilters: [isnotnull(day" in recent._jdf.queryExecution().executedPlan().toString()
 
 
 def test_native_windowed_stream_matches_batch_for_closed_buckets(spark, scratch):

@@ -85,57 +85,57 @@ def stored(spark, path):
     return as_dict(read_posts(spark, path))
 
 
-def test_merge_appends_and_compaction_publishes(spark, scratch):
-    import os
-    from topicscope.operators.upsert import compact_posts, merge_into_table
-    from topicscope.sources.connectors import current_version_path
+def test_merges_replays_and_untouched_days(spark, scratch):
+    import glob
+    from topicscope.operators.upsert import merge_into_table
     path = f"{scratch}/posts"
-    first = batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(40)] + [("b", "1", "x", 1, 1)])
+    first = batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(40)] + [("b", "1", "x", 1, 3 * 1440)])
     rep = {r.source: (r.statements, r["keys"]) for r in merge_into_table(spark, path, first, now=now()).collect()}
     assert rep == {"a": (40, 40), "b": (1, 1)}
-    upd = batch(spark, [("a", "3", "changed", 99, 100), ("a", "3", "again", 98, 99)])
+    other_day = glob.glob(f"{path}/day=2024-01-04/*.parquet")
+    upd = batch(spark, [("a", "3", "changed", 99, 9 * 1440), ("a", "3", "again", 98, 99)])
     rep = merge_into_table(spark, path, upd, now=now()).first()
     assert (rep.statements, rep["keys"]) == (2, 1)
     t = stored(spark, path)
-    assert len(t) == 41 and t[("a", "3")] == ("t3", 99)
-    merge_into_table(spark, path, upd, now=now())                     # replay: no change
-    assert stored(spark, path) == t
-    for _ in range(3):
-        compact_posts(spark, path)
-        assert stored(spark, path) == t
-        merge_into_table(spark, path, upd, now=now())
+    assert len(t) == 41 and t[("a", "3")] == ("t3", 99)                  # a key keeps its day
+    for again in (upd, first, upd):                                      # replays: no change
+        merge_into_table(spark, path, again, now=now())
         assert stored(spark, path) == t
-    versions = [n for n in os.listdir(path) if n.startswith("v-")]
-    assert len(versions) == 2 and current_version_path(spark, path).endswith(tuple(versions))
+    assert not glob.glob(f"{path}/day=2024-01-10")
+    merge_into_table(spark, path, upd, now=now())
+    assert other_day and len(glob.glob(f"{path}/day=2024-01-04/*.parquet")) == 1
+    import os
+    assert all(n.startswith(("day=", "_", ".")) for n in os.listdir(path))   # parquet by day, nothing else
+
 
+def test_an_earlier_delivery_that_comes_late_keeps_one_row(spark, scratch):
+    from topicscope.operators.upsert import merge_into_table
+    path = f"{scratch}/posts"
+    merge_into_table(spark, path, batch(spark, [("a", "1", "later", 5, 2 * 1440), ("a", "2", "x", 1, 10)]), now=now())
+    merge_into_table(spark, path, batch(spark, [("a", "1", "FIRST", 1, 7), ("a", "3", "y", 2, 8)]), now=now())
+    assert stored(spark, path) == {("a", "1"): ("FIRST", 5), ("a", "2"): ("x", 1), ("a", "3"): ("y", 2)}
+    assert spark.read.parquet(path).count() == 3
 
-def test_a_crash_between_writing_and_publishing_loses_nothing(spark, scratch, monkeypatch):
+
+def test_a_failed_merge_changes_nothing(spark, scratch, monkeypatch):
     import pytest
     from topicscope.operators import upsert
     from topicscope.sources import connectors
     path = f"{scratch}/posts"
     upsert.merge_into_table(spark, path, batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(10)]), now=now())
-    upsert.compact_posts(spark, path)
-    upsert.merge_into_table(spark, path, batch(spark, [("a", "1", "new", 50, 60), ("a", "77", "t77", 7, 61)]), now=now())
     t = stored(spark, path)
+    more = batch(spark, [("a", "1", "new", 50, 60), ("a", "77", "t77", 7, 61)])
 
     def lost(*_):
         raise RuntimeError("driver lost")
 
     with monkeypatch.context() as m:
-        m.setattr(connectors, "_publish_pointer", lost)
-        with pytest.raises(RuntimeError):
-            upsert.compact_posts(spark, path)
-    assert stored(spark, path) == t
-    with monkeypatch.context() as m:
-        m.setattr(connectors, "remove_path", lost)                     # after the switch, before the clean-up
+        m.setattr(connectors, "overwrite_partitions", lost)
         with pytest.raises(RuntimeError):
-            upsert.compact_posts(spark, path)
-            upsert.compact_posts(spark, path)
-            upsert.compact_posts(spark, path)
-    assert stored(spark, path) == t
-    upsert.compact_posts(spark, path)
+            upsert.merge_into_table(spark, path, more, now=now())
     assert stored(spark, path) == t
+    upsert.merge_into_table(spark, path, more, now=now())
+    assert stored(spark, path) == {**t, ("a", "1"): ("t1", 50), ("a", "77"): ("t77", 7)}
 
 
 def test_positions_decide_inside_one_run(spark, scratch):
@@ -157,15 +157,14 @@ def test_equal_orders_do_not_depend_on_the_cut(spark):
     assert len(results) == 1
 
 
-def test_compacted_days_and_pushed_window(spark, scratch):
+def test_days_and_pushed_window(spark, scratch):
     import datetime as _dt
-    from topicscope.operators.upsert import compact_posts, merge_into_table
+    from topicscope.operators.upsert import merge_into_table
     from topicscope.plans.ingest import read_posts
     path = f"{scratch}/posts"
     b = batch(spark, [("a", str(i), f"t{i}", i, i) for i in range(120)])
     b = b.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR") * (F.col("seq") * 7 % 120))
     merge_into_table(spark, path, b.repartition(5), now=now())
-    compact_posts(spark, path)
     t = read_posts(spark, path).filter(F.col("created_at") >= F.lit("2024-01-03 01:00:00").cast("timestamp_ntz"))
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in plan and "Aggregate" not in plan
@@ -174,12 +173,11 @@ def test_compacted_days_and_pushed_window(spark, scratch):
 
 
 def test_merge_with_an_empty_batch_changes_nothing(spark, scratch):
-    from topicscope.operators.upsert import compact_posts, merge_into_table
+    from topicscope.operators.upsert import merge_into_table
     path = f"{scratch}/posts"
     assert stored(spark, path) == {}
     empty = batch(spark, [("a", "1", "t", 1, 1)]).limit(0)
     assert merge_into_table(spark, path, empty, now=now()).count() == 0
-    compact_posts(spark, path)
     assert stored(spark, path) == {}
     merge_into_table(spark, path, batch(spark, [("a", "1", "t", 1, 1)]), now=now())
     merge_into_table(spark, path, empty, now=now())

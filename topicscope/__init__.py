@@ -18,7 +18,7 @@ from .plans.trending import all_topics, keyword_counts, trending
 from .sources.decode import decode_posts, encode_posts, validate_posts
 from .sources.feeds import normalize_bluesky, normalize_hackernews, normalize_reddit
 from .streaming.ingest import stream_upsert
-from .streaming.trends import bucket_trending, compact_buckets, stream_trends
+from .streaming.trends import bucket_trending, stream_trends
 
 __all__ = [
     "stopwords", "bigrams", "hashtags", "keywords", "split_terms", "strip_urls", "topics",
@@ -28,5 +28,5 @@ __all__ = [
     "term_sentiment", "topic_sentiment", "all_topics", "keyword_counts", "trending",
     "decode_posts", "encode_posts", "validate_posts", "normalize_bluesky",
     "normalize_hackernews", "normalize_reddit", "stream_upsert", "bucket_trending",
-    "compact_buckets", "stream_trends",
+    "stream_trends",
 ]

@@ -4,7 +4,6 @@
   python -m topicscope.cli sentiment-job --posts PATH --lexicon TSV --out PATH
   python -m topicscope.cli topic-sentiment-job --posts PATH --lexicon TSV --out PATH
   python -m topicscope.cli stream-ingest --envelopes PATH --table PATH --dead PATH --events PATH
-  python -m topicscope.cli compact --table PATH
   python -m topicscope.cli trending --posts PATH [--hours 24 --limit 20 --as-of ISO]
   python -m topicscope.cli scheduled-run --table PATH --staging PATH --feed ... --lexicon TSV --out PATH --events PATH
 
@@ -41,11 +40,9 @@ def _raw(spark: SparkSession, path: str):
 
 def _posts(spark: SparkSession, path: str):
     """A posts table written by ``ingest`` / ``stream-ingest``, or a plain parquet folder of posts."""
-    from .plans.ingest import read_posts
-    from .sources.connectors import current_version_path, path_has_files
-    if current_version_path(spark, path) or path_has_files(spark, f"{path}/log"):
-        return read_posts(spark, path)
-    return spark.read.parquet(path)
+    from .operators.upsert import FIRST_ORDER, stored_view
+    posts = spark.read.parquet(path)
+    return stored_view(posts) if FIRST_ORDER in posts.columns else posts
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -78,8 +75,6 @@ def main(argv: list[str] | None = None) -> None:
     sr.add_argument("--lexicon", required=True)
     sr.add_argument("--out", required=True)
     sr.add_argument("--events", required=True)
-    c = sub.add_parser("compact", help="fold the posts table's log into a new version")
-    c.add_argument("--table", required=True)
     g = sub.add_parser("trending")
     g.add_argument("--posts", required=True)
     g.add_argument("--hours", type=int, default=24)
@@ -120,7 +115,7 @@ def main(argv: list[str] | None = None) -> None:
         q.awaitTermination()
     elif args.cmd == "scheduled-run":
         # the scheduled direct job: every feed isolated, then the topic-sentiment
-        # table is replaced atomically from the merged posts
+        # table is replaced from the merged posts
         from .operators.sentiment import read_lexicon
         from .plans.ingest import ingest, read_posts
         from .plans.jobs import topic_sentiment_job
@@ -132,9 +127,6 @@ def main(argv: list[str] | None = None) -> None:
                events_path=args.events).show(truncate=False)
         print(topic_sentiment_job(spark, read_posts(spark, args.table),
                                   read_lexicon(spark, args.lexicon), args.out, as_of="now"))
-    elif args.cmd == "compact":
-        from .operators.upsert import compact_posts
-        print(compact_posts(spark, args.table))
     elif args.cmd == "trending":
         from .plans.trending import trending
         posts = _posts(spark, args.posts)

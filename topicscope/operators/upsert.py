@@ -134,76 +134,53 @@ def dedup_posts_stream(df: DataFrame, event_time: str = "created_at",
 
 
 # --- stored posts table -------------------------------------------------------------
-# <path>/v-*            folded posts, partitioned by day, one version is current (O-17 pointer)
-# <path>/log/<version>/ batches appended since that version, each collapsed per key
-#
-# Nothing is ever replaced in place: a merge only adds files, and a
-# compaction publishes a whole new version in one step.  Reading folds the
-# current version and its log by key, so a batch that is merged twice, or
-# again after a crash, changes nothing.
+# Plain parquet, one row per key, partitioned by ``day``: the day of the post as it first arrived.  A key
+# keeps its day for good, so a merge rewrites the days of the batch's keys and nothing else, and reading
+# is a plain scan that look-back filters reach.
 STORED = ("source STRING, external_id STRING, title STRING, text STRING, url STRING, author STRING, "
           "score INT, created_at TIMESTAMP_NTZ, ingested_at TIMESTAMP_NTZ, "
           f"{FIRST_ORDER} {ORDER_TYPE.upper()}, {LAST_ORDER} {ORDER_TYPE.upper()}")
-NO_VERSION = "start"
-
-
-def _log_folder(spark, path: str) -> str:
-    from ..sources.connectors import current_version_name
-    return f"{path.rstrip('/')}/log/{current_version_name(spark, path) or NO_VERSION}"
+DAY = "day"
 
 
 def merge_into_table(spark, path: str, batch: DataFrame, seq_col: str = "seq",
                      now: Column | None = None) -> DataFrame:
-    """O-11 on a stored table: add ``batch`` to the posts table at ``path``.
+    """O-11 on a stored table: merge ``batch`` into the posts table at ``path``.
+
+    1. The batch is collapsed per key (map-side partials, one shuffle of the batch) and written aside;
+    2. its keys are looked up in the key and day columns of the table, which gives each known key its day;
+    3. the touched days are folded with the batch by key, and take the old days' places in one dynamic
+       partition overwrite.
 
-    The batch is collapsed per key (map-side partials, one shuffle of the
-    batch) and appended to the table's log; the cost depends on the batch
-    alone, however large the table is.  ``compact_posts`` folds the log into
-    the table.  On table formats with ``MERGE INTO`` both become one merge.
-    One writer at a time.
+    Merging is by delivery order, so a batch that is merged twice, or again after a crash, changes nothing.
+    On table formats with ``MERGE INTO``, that replaces steps 2 and 3; for a stream of deliveries see
+    ``streaming/keyed_state.py``, which never reads the table.  One writer at a time.
 
     Returns ``(source, statements, keys)``: batch rows and distinct keys.
     """
     import uuid
-    delta = upsert_posts(None, batch, seq_col, now=now, with_flags=True).drop("inserted")
-    folder = f"{_log_folder(spark, path)}/batch-{uuid.uuid4().hex}"
-    delta.write.parquet(folder)
-    written = spark.read.schema(STORED + ", deliveries BIGINT").parquet(folder)
-    rows = (written.groupBy("source").agg(F.sum("deliveries").alias("statements"),
-                                          F.count(F.lit(1)).alias("keys"))
-                   .collect())                                        # one row per source
-    return spark.createDataFrame(rows, "source STRING, statements BIGINT, keys BIGINT")
-
-
-def read_posts_table(spark, path: str) -> DataFrame:
-    """The posts table with its bookkeeping columns: the current version and the
-    batches after it, folded by key.  Right after a compaction the log is empty
-    and the version is read as it is, so look-back filters reach its scan."""
-    from ..sources.connectors import current_version_path, path_has_files
-    version, log = current_version_path(spark, path), _log_folder(spark, path)
-    base = None if version is None else spark.read.schema(STORED + ", day DATE").parquet(version).drop("day")
-    if not path_has_files(spark, log):
-        return spark.createDataFrame([], STORED) if base is None else base
-    later = spark.read.schema(STORED).option("recursiveFileLookup", "true").parquet(log)
-    rows = later if base is None else base.unionByName(later)
-    return _fold(rows, []).select(*_unfolded())
-
-
-def compact_posts(spark, path: str) -> str:
-    """Fold the log into a new version of the table, publish it in one step and
-    remove the logs of older versions.  Returns the version's path.
-
-    The version is partitioned by day and sorted by time inside, so look-back
-    scans read the days they need.
-    """
-    from ..sources.connectors import (current_version_name, list_names, remove_path, replace_table)
-    base = path.rstrip("/")
-    before = current_version_name(spark, base) or NO_VERSION
-    folded = read_posts_table(spark, base).withColumn("day", F.to_date("created_at"))
-    folded = folded.repartitionByRange("created_at").sortWithinPartitions("day", "created_at")
-    out = replace_table(folded, base, partition_by=["day"])
-    keep = {before, out.rsplit("/", 1)[1]}          # readers may still use the version before
-    for name in list_names(spark, f"{base}/log"):
-        if name not in keep:
-            remove_path(spark, f"{base}/log/{name}")
-    return out
+
+    from ..session import scratch_path
+    from ..sources.connectors import overwrite_partitions
+    aside = scratch_path(spark, f"merge-{uuid.uuid4().hex}")
+    upsert_posts(None, batch, seq_col, now=now, with_flags=True).drop("inserted").write.parquet(f"{aside}/batch")
+    delta = spark.read.schema(STORED + ", deliveries BIGINT").parquet(f"{aside}/batch")
+    table = read_posts_table(spark, path, days=True)
+    keys = table.select(*POST_KEY, DAY).join(delta.select(*POST_KEY), list(POST_KEY), "semi")
+    placed = delta.join(keys.hint("shuffle_hash"), list(POST_KEY), "left")
+    placed = placed.withColumn(DAY, F.coalesce(DAY, F.to_date("created_at")))
+    days = [r.day for r in placed.select(DAY).distinct().collect()]              # days of the batch
+    rows = table.filter(F.col(DAY).isin(days)).unionByName(placed.drop("deliveries"))
+    folded = _fold(rows, [F.min(DAY).alias(DAY)]).select(*_unfolded(), DAY)
+    folded.repartitionByRange(DAY, "created_at").sortWithinPartitions(DAY, "created_at").write.parquet(f"{aside}/days")
+    overwrite_partitions(spark.read.schema(STORED + f", {DAY} DATE").parquet(f"{aside}/days"), path, DAY)
+    done = (delta.groupBy("source").agg(F.sum("deliveries").alias("statements"), F.count(F.lit(1)).alias("keys"))
+                 .collect())                                                      # one row per source
+    return spark.createDataFrame(done, "source STRING, statements BIGINT, keys BIGINT")
+
+
+def read_posts_table(spark, path: str, days: bool = False) -> DataFrame:
+    """The posts table with its bookkeeping columns (and its ``day`` partitions); empty before the first merge."""
+    from ..sources.connectors import read_if_there
+    table = read_if_there(spark, path, STORED + f", {DAY} DATE")
+    return table if days else table.drop(DAY)

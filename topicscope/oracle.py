@@ -647,3 +647,4 @@ UNION ALL SELECT 'topics', source, sum(len(topics))::BIGINT, 0 FROM ftp GROUP BY
 
 
 register("sql_functions", _sql_functions_sql())
+register("feed_source_posts", _pe(_hn_expected() + "\nUNION ALL " + _bluesky_expected()))

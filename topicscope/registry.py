@@ -356,13 +356,13 @@ def q_stream_rejects(spark, sf_dir):
 @query("merge_two_batches")
 def q_merge_two_batches(spark, sf_dir):
     """O-11 on a stored table: two overlapping batches, a small file that was delivered first and a
-    large one, a replayed batch, and a compaction between them."""
+    large one, and a replayed batch."""
     import uuid
 
     from pyspark.sql import functions as F
 
     from .fixtures import delivery_log
-    from .operators.upsert import FIRST_WINS, compact_posts, merge_into_table
+    from .operators.upsert import FIRST_WINS, merge_into_table
     from .plans.ingest import read_posts
     from .session import scratch_path
     base = scratch_path(spark, f"q_merge-{uuid.uuid4().hex[:8]}")
@@ -372,7 +372,6 @@ def q_merge_two_batches(spark, sf_dir):
         part.coalesce(1).write.mode("append").parquet(f"{base}/first")
     first = spark.read.parquet(f"{base}/first")
     merge_into_table(spark, f"{base}/posts", d.filter(~early | (F.col("seq") % 2 == 0)), "run")
-    compact_posts(spark, f"{base}/posts")
     merge_into_table(spark, f"{base}/posts", first, "run")
     merge_into_table(spark, f"{base}/posts", first, "run")
     return read_posts(spark, f"{base}/posts").select("source", "external_id", *FIRST_WINS, "score")
@@ -463,7 +462,7 @@ def q_hashtags_after_urls(spark, sf_dir):
 
 @query("stream_trends")
 def q_stream_trends(spark, sf_dir):
-    """O-69, O-70 with a restart and a compaction between two drains."""
+    """O-69, O-70 with a restart between two drains."""
     import uuid
 
     from pyspark.sql import functions as F
@@ -471,7 +470,7 @@ def q_stream_trends(spark, sf_dir):
     from .fixtures import sample_lexicon
     from .operators.filters import ts_literal
     from .session import scratch_path
-    from .streaming.trends import bucket_trending, compact_buckets, read_buckets, stream_trends
+    from .streaming.trends import bucket_trending, read_buckets, stream_trends
     base = scratch_path(spark, f"q_stream_trends-{uuid.uuid4().hex[:8]}")
     posts_view(spark, sf_dir).write.parquet(f"{base}/all")
     posts = spark.read.parquet(f"{base}/all")
@@ -483,7 +482,6 @@ def q_stream_trends(spark, sf_dir):
         stream = spark.readStream.schema(posts.schema).parquet(f"{base}/in")
         stream_trends(stream, f"{base}/store", delay="1 day", lexicon=sample_lexicon(spark),
                       trigger={"availableNow": True}).awaitTermination()      # the second is a restart
-        compact_buckets(spark, f"{base}/store")
     return bucket_trending(read_buckets(spark, f"{base}/store"), as_of=as_of, hours=24, limit=20)
 
 
@@ -704,3 +702,22 @@ def q_sql_functions(spark, sf_dir):
         UNION ALL SELECT 'sentiment', term, CAST(round(avg_sentiment * 1000) AS BIGINT), rank FROM sentiment_topics(12)
         UNION ALL SELECT 'sources', source, count, rank FROM sources(5)
         UNION ALL SELECT 'topics', source, sum(size(topics(title))), 0 FROM posts GROUP BY source""")
+
+
+@query("feed_source_posts")
+def q_feed_source_posts(spark, sf_dir):
+    """O-14 as a Spark source: one feed read as a batch, another drained as a stream in two runs."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import FEED_NOW, raw_bluesky, raw_hackernews
+    from .sources.feed_source import read_feed, stream_feed
+    from .sources.feeds import POST_SCHEMA
+    base = _scratch(spark, "q_feed_source")
+    raw_hackernews(spark, sf_dir).select("value").write.text(f"{base}/hackernews")
+    firehose = raw_bluesky(spark, sf_dir, seq=True)
+    for part in (F.col("seq") % 3 > 0, F.col("seq") % 3 == 0):
+        firehose.filter(part).select("value").write.mode("append").text(f"{base}/bluesky")
+        posts = stream_feed(spark, "bluesky", f"{base}/bluesky", now=F.lit(FEED_NOW).cast("timestamp_ntz"))
+        (posts.writeStream.format("parquet").option("path", f"{base}/posts").option("checkpointLocation", f"{base}/posts/_checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return read_feed(spark, "hackernews", f"{base}/hackernews").unionByName(spark.read.schema(POST_SCHEMA).parquet(f"{base}/posts"))

@@ -8,9 +8,9 @@ missing.  The option builder and the codecs work without it.
 from __future__ import annotations
 
 import os
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -127,132 +127,48 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite",
         .mode(mode).save()
 
 
-# --- O-09 / O-17: result tables on a path ---------------------------------------------------
-# A result table is a folder of immutable versions plus pointer files
-# ``_CURRENT.<sequence>`` naming the live version.  A new pointer is created
-# under a fresh name by rename (never overwritten), and readers take the
-# pointer with the largest sequence, so a switch is atomic on any Hadoop file
-# system and readers never see a missing or half-written pointer.
-POINTER_PREFIX = "_CURRENT."
-KEEP_POINTERS = 2
+# --- O-09 / O-17: tables on a path, by Spark's writers ---------------------------------------
+#: The partition that holds a result table's rows.
+PART = "part"
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def path_has_files(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists and is not empty (any Hadoop file system)."""
-    fs, p = _hadoop_fs(spark, path)
-    return fs.exists(p) and len(fs.listStatus(p)) > 0
-
-
-def list_names(spark: SparkSession, path: str) -> list[str]:
-    """Names inside a folder (none if it does not exist)."""
-    fs, p = _hadoop_fs(spark, path)
-    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
-
+def read_if_there(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The parquet table at ``path``, or an empty one with ``schema`` where nothing was written yet.
+    Other errors are raised (Q12)."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder this package created (staging data) on any Hadoop FS."""
-    fs, p = _hadoop_fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
 
+def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Replace the partitions of ``df`` in the table at ``path``; others stay (dynamic overwrite).
 
-def _pointers(spark: SparkSession, base: str) -> list[str]:
-    fs, p = _hadoop_fs(spark, base)
-    if not fs.exists(p):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(p)]
-    return sorted(n for n in names if n.startswith(POINTER_PREFIX) and ".tmp-" not in n)
+    The new files are written aside and take the partitions' places when the job commits, so ``df`` may
+    read the table itself, and a job that fails before its commit changes nothing.  Plain parquet has no
+    transactions: the commit itself is a rename for each partition.  On a table format use its own
+    ``MERGE INTO`` or ``INSERT OVERWRITE``.
+    """
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
-def _read_text_file(spark: SparkSession, path: str) -> str | None:
-    fs, p = _hadoop_fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream))
-        return reader.readLine()
-    finally:
-        stream.close()
-
-
-def _publish_pointer(spark: SparkSession, base: str, version: str) -> None:
-    """Create the next pointer file (temp file + rename to a new name)."""
-    base = base.rstrip("/")
-    existing = _pointers(spark, base)
-    seq = int(existing[-1][len(POINTER_PREFIX):]) + 1 if existing else 1
-    target = f"{base}/{POINTER_PREFIX}{seq:012d}"
-    fs, p = _hadoop_fs(spark, target)
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{target}.tmp-{uuid.uuid4().hex}")
-    out = fs.create(tmp, False)
-    try:
-        out.write(bytearray(version.encode("utf-8")))
-    finally:
-        out.close()
-    if not fs.rename(tmp, p):
-        fs.delete(tmp, False)
-        raise RuntimeError(f"concurrent replace of {base}: pointer {target} already exists")
-    for old in existing[:-KEEP_POINTERS + 1] if KEEP_POINTERS > 1 else existing:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{old}"), False)
-
-
-def current_version_name(spark: SparkSession, base: str) -> str | None:
-    pointers = _pointers(spark, base)
-    if not pointers:
-        return None
-    name = _read_text_file(spark, f"{base.rstrip('/')}/{pointers[-1]}")
-    return name.strip() if name else None
-
-
-def current_version_path(spark: SparkSession, base: str) -> str | None:
-    pointers = _pointers(spark, base)
-    if not pointers:
-        return None
-    name = _read_text_file(spark, f"{base.rstrip('/')}/{pointers[-1]}")
-    return f"{base.rstrip('/')}/{name.strip()}" if name else None
-
-
-def replace_table(df: DataFrame, base: str, partition_by: list[str] | None = None,
-                  version_tag: str | None = None) -> str:
-    """O-17: atomic replace.  The new contents go to a fresh version folder;
-    only after the write committed is a new pointer published, so a reader
-    sees either the old or the new table, never a gap.  The version before
-    stays for its readers, older ones are removed.  ``version_tag`` is embedded
-    in the version name (readers get it from ``current_version_name``)."""
-    spark = df.sparkSession
-    before = current_version_name(spark, base)
-    version = "v-" + (f"{version_tag}-" if version_tag else "") + uuid.uuid4().hex[:16]
-    path = f"{base.rstrip('/')}/{version}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    _publish_pointer(spark, base, version)
-    for name in list_names(spark, base):
-        if name.startswith("v-") and name not in (before, version):
-            remove_path(spark, f"{base.rstrip('/')}/{name}")
+def replace_table(df: DataFrame, path: str) -> str:
+    """O-17: the table at ``path`` holds the rows of ``df`` from now on; readers see the old rows while the new
+    ones are computed and written.  Returns ``path``."""
+    obs = Observation()
+    overwrite_partitions(df.observe(obs, F.count(F.lit(1)).alias("n")).withColumn(PART, F.lit("all")), path, PART)
+    if not obs.get["n"]:                            # no partition to put in the old one's place
+        df.limit(0).withColumn(PART, F.lit("all")).write.mode("overwrite").partitionBy(PART).parquet(path)
     return path
 
 
-def read_or_empty(spark: SparkSession, base: str, schema: StructType | str) -> DataFrame:
-    """O-09: the current version of a result table, or an empty table with
-    ``schema`` when it does not exist yet.  Other errors are raised (Q12)."""
-    path = current_version_path(spark, base)
-    if path is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
-def read_table(spark: SparkSession, base: str) -> DataFrame | None:
-    path = current_version_path(spark, base)
-    return None if path is None else spark.read.parquet(path)
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """O-09: a result table written by ``replace_table``, or an empty table with ``schema`` when it
+    does not exist yet."""
+    return read_if_there(spark, path, schema).drop(PART)
 
 
 __all__ = ["kafka_options", "read_kafka", "kafka_records", "write_kafka", "read_jdbc", "write_jdbc",
-           "replace_table", "read_or_empty", "read_table", "current_version_path", "POST_KEY"]
+           "replace_table", "read_or_empty", "read_if_there", "overwrite_partitions", "POST_KEY"]

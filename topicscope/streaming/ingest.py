@@ -6,16 +6,16 @@ Each micro-batch is handled in ``foreachBatch`` as a static DataFrame:
 1. decode + contract check tag every record once (persisted for the batch),
 2. rejected records are written to the dead-letter table, partition
    ``batch_id`` (overwritten on replay, so a retried batch adds nothing twice),
-3. good records are merged into the posts table (``merge_into_table``: append
-   to its log, idempotent and order-independent); no stored row is rewritten,
+3. good records are merged into the posts table (``merge_into_table``: the days
+   of the batch's keys are rewritten; idempotent and order-independent),
 4. the batch event row ``(batch_id, 'new_posts', count, sources)`` is
    written to partition ``batch_id`` of the events table.
 
 Offsets live in the query checkpoint.  By default it is part of the table
 (``<table>/_checkpoint``), so a restarted query goes on where it stopped and
 batch ids never start anew; together with the idempotent steps above a
-replayed batch converges to the same tables.  Per-batch cost is that of the
-batch; ``compact_posts`` folds the log into the table from time to time.
+replayed batch converges to the same tables.  A stream of small batches over a
+large table is better off with ``keyed_state.stream_upsert_state``.
 """
 
 from __future__ import annotations
