@@ -1,6 +1,9 @@
 import hashlib
+import html as html_module
 import io
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -217,7 +220,7 @@ def test_fusion_of_empty_tables(spark):
     assert by_id(L.fused_languages(one, docs.limit(0)), "page_id")[0][0] == 1
 
 
-def test_a_fifth_language(spark, monkeypatch):
+def test_a_fifth_language(spark):
     rng = random.Random(4)
     italian = "il fiume e pietra del ponte con campo verde che era sotto acqua allora".split()
     docs = sample_docs(spark, rng).union(spark.createDataFrame([(" ".join(rng.choices(italian, k=60)), "it") for _ in range(40)], "text string, lang string"))
@@ -228,6 +231,37 @@ def test_a_fifth_language(spark, monkeypatch):
     truth = {k: url.split(".")[-1].strip("/") for k, url, _ in pages}
     assert {r.page_id: r.declared for r in rows} == truth
     assert all(np.mean([r.lang == x for r in rows if truth[r.page_id] == x]) > 0.95 for x in words)
-    monkeypatch.setattr(L, "MOST_LANGUAGES", 4)
-    with pytest.raises(ValueError, match="more than 4 languages"):
-        L.training_languages(docs)
+
+
+def test_seventy_languages_and_dropped_labels(spark):
+    rng = random.Random(6)
+    own = {f"x{k:02d}": ["".join(rng.choice("abcdefghij" if k % 2 else "klmnopqrst") for _ in range(5)) for _ in range(12)] for k in range(70)}
+    docs = spark.createDataFrame([(" ".join(rng.choices(w, k=60)), lang) for lang, w in own.items() for _ in range(3)] + [("few", "tiny")], "text string, lang string")
+    assert len(L.training_languages(docs)) == 70 and [tuple(r) for r in L.dropped_labels(docs).collect()] == [("tiny", 3)]
+    pages = [(k, f"http://h{k % 9}.org/", " ".join(rng.choices(w, k=20))) for k, w in enumerate(own.values())]
+    got = {r.page_id: r.lang for r in L.fused_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert np.mean([got[k] == x for k, x in enumerate(own)]) > 0.9
+
+
+@pytest.mark.parametrize("part", ["<", "<!--", "<!-->", "<script ", "<html ", "<html lang ", "<meta content-language' ", "</script ", "<style></style", "<a>", "&amp;"])
+def test_odd_markup_takes_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    begin = time.process_time()
+    L.visible_text(page)
+    L.declared_language(page)
+    assert time.process_time() - begin < 1
+
+
+def test_markup_equals_the_plain_patterns():
+    """The plain patterns say what is meant; on short pages their cost does not matter."""
+    hidden = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>")
+    lang = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b""")
+    meta = re.compile(r"""(?is)<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b""")
+    rng = random.Random(3)
+    parts = ["<!--", "-->", "<script>", "<SCRIPT x", "</script >", "<style", "</style>", "<", ">", "a", " lang=de", "lang = 'fr'", "<html", "<html ", "<meta ",
+             "content-language' ", "content=es", "content = xyzw", " ", "</noscript>", "<noscript>", "&lt;"]
+    for _ in range(3000):
+        page = "".join(rng.choices(parts, k=rng.randrange(14)))
+        assert L.visible_text(page) == html_module.unescape(re.sub(r"(?s)<[^>]*>", " ", hidden.sub(" ", page))), page
+        m = lang.search(page) or meta.search(page)
+        assert L.declared_language(page, ("de", "fr", "es")) == ("none" if not m else m[1].lower() if m[1].lower() in ("de", "fr", "es") else "other"), page

@@ -21,8 +21,11 @@ to narrow rows, a skewed join that adaptive execution splits.
 
 The languages are the labels of the training documents as written, those of ``LANGUAGES`` first and the
 others in order.  A label beside those needs ``MIN_TRAINING`` characters of training text, below which no
-trigram counts mean anything; more than ``MOST_LANGUAGES`` labels are refused with an error, never cut.  A declaration
-counts for the language whose label is its small-letter code.
+trigram counts mean anything (``dropped_labels`` lists the others).  There is no limit on their number; the model
+holds ``BINS`` numbers for each.  A declaration counts for the language whose label is its small-letter code.
+
+Markup is read by forward searches, each of which starts where the one before ended or is not made again once
+it has found nothing, so the work is linear in the page, whatever stands in it.
 
 Defined results: a null or empty page has no text evidence; no declaration is evidence of its own; a page
 without a host shares the host ''; documents without a language (null or '') or letters are not counted;
@@ -47,27 +50,75 @@ from topicscope.session import scratch_path
 
 #: The languages that come first, and those without any training text.
 LANGUAGES = ("en", "de", "fr", "es")
-#: Bounds the model and the arrays of a row.
-MOST_LANGUAGES = 64
 MIN_TRAINING = 100
 BINS = 1 << 14
 SMOOTH, MOST_EVIDENCE, LEAN, UNIT = 0.5, 40, 10, 1_000_000
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b""")
-_META = re.compile(r"""(?is)<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b""")
+_HIDING = re.compile(r"(?i)<!--|<(script|style|template|noscript)\b")
+_CLOSING = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "template", "noscript")}
+_HTML, _META = re.compile(r"(?i)<html\b"), re.compile(r"(?i)<meta\b")
+_CODE = r"""\s*=\s*["']?([A-Za-z]{2,3})\b"""
+_LANG, _CONTENT = re.compile(r"(?i)\blang" + _CODE), re.compile(r"(?i)content" + _CODE)
+_NAMES = re.compile(r"""(?i)content-language["']""")
+
+
+def _without_hidden(page: str) -> str:
+    """The page with a blank for each comment and each element that shows no text; what is never closed stays."""
+    parts, at, place, closed = [], 0, 0, {}
+    while m := _HIDING.search(page, place):
+        kind = (m[1] or "").lower()
+        place = m.end()
+        if closed.get(kind, place) < 0:
+            continue  # no such end after this point
+        if kind:
+            end = _CLOSING[kind].search(page, place)
+            end = end.end() if end else -1
+        else:
+            end = page.find("-->", place) + 3 if page.find("-->", place) >= 0 else -1
+        closed[kind] = end
+        if end >= 0:
+            parts += [page[at : m.start()], " "]
+            at = place = end
+    return "".join(parts) + page[at:]
+
+
+def _without_tags(page: str) -> str:
+    parts, at = [], 0
+    while (begin := page.find("<", at)) >= 0 and (end := page.find(">", begin)) >= 0:
+        parts += [page[at:begin], " "]
+        at = end + 1
+    return "".join(parts) + page[at:]
 
 
 def visible_text(page: str) -> str:
     """The page without markup, scripts and comments."""
-    return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    return markup.unescape(_without_tags(_without_hidden(page)))
+
+
+def _tags(page: str, opening: re.Pattern):
+    """The attributes of the tags that begin so.  A tag inside another one (never closed) is part of it: what
+    is not found in the whole is not found in its end."""
+    at = 0
+    while m := opening.search(page, at):
+        at = page.find(">", m.end())
+        at = len(page) if at < 0 else at
+        yield page[m.end() : at]
+
+
+def _declared_code(page: str) -> str | None:
+    for tag in _tags(page, _HTML):
+        if m := _LANG.search(tag):
+            return m[1].lower()
+    for tag in _tags(page, _META):
+        if (m := _NAMES.search(tag)) and (m := _CONTENT.search(tag, m.end())):
+            return m[1].lower()
+    return None
 
 
 def declared_language(page: str, languages: tuple[str, ...] = LANGUAGES) -> str:
     """The language that the markup declares: one of ``languages``, 'other' or 'none'."""
-    m = _LANG.search(page) or _META.search(page)
-    return "none" if not m else m[1].lower() if m[1].lower() in languages else "other"
+    code = _declared_code(page)
+    return "none" if code is None else code if code in languages else "other"
 
 
 def address_parts(url: str) -> tuple[str, str, str]:
@@ -98,12 +149,19 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.where((F.col("lang") != "") & F.col("text").rlike(r"\p{L}")).select("text", "lang")
 
 
+def _label_sizes(docs: DataFrame) -> DataFrame:
+    sizes = _training(docs).groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
+    return sizes.withColumn("used", F.col("lang").isin(*LANGUAGES) | (F.col("n") >= MIN_TRAINING))
+
+
+def dropped_labels(docs: DataFrame) -> DataFrame:
+    """lang, n: labels of docs(text, lang) with too few characters of training text to be languages."""
+    return _label_sizes(docs).where("not used").select("lang", "n")
+
+
 def training_languages(docs: DataFrame) -> tuple[str, ...]:
     """The labels of docs(text, lang) that have training text, ``LANGUAGES`` first; these if there are none."""
-    sizes = _training(docs).groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
-    found = {r["lang"] for r in sizes.where(F.col("lang").isin(*LANGUAGES) | (F.col("n") >= MIN_TRAINING)).take(MOST_LANGUAGES + 1)}
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in the training documents")
+    found = {r["lang"] for r in _label_sizes(docs).where("used").select("lang").collect()}
     return tuple([x for x in LANGUAGES if x in found] + sorted(found - set(LANGUAGES))) or LANGUAGES
 
 
@@ -192,13 +250,13 @@ def fused_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = stored(rows.mapInArrow(_featurer(trigram_model(docs, languages), languages), _PAGE), "pages")
 
-    # reliability of declarations: at most MOST_LANGUAGES + 2 rows
+    # reliability of declarations: a row for each language and two more
     said = {r["declared"]: np.array(r["sums"], float) for r in _sums(rows, "declared", "sums", n).collect()}
     kinds = [*languages, "other", "none"]
     table = np.array([said.get(k, np.zeros(n)) for k in kinds]) / UNIT + 1
     share = np.log(table / table.sum(axis=0, keepdims=True))
     world = (table.sum(axis=0) / table.sum()).tolist()
-    says = F.create_map(*[x for k, row in zip(kinds, share.tolist()) for x in (F.lit(k), F.array(*map(F.lit, row)))])
+    says = spark.createDataFrame(list(zip(kinds, share.tolist())), "declared string, says array<double>")
 
     hosts = _sums(rows, "host", "host_sums", n)
     places = rows.groupBy("host").agg(F.first("domain").alias("domain"), F.first("suffix").alias("suffix"))
@@ -209,12 +267,13 @@ def fused_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     def others(name: str) -> Column:
         return F.transform(F.arrays_zip(F.col(name).alias("a"), F.col("post").alias("b")), lambda z: z["a"] - z["b"])
 
+    rows = rows.join(says, "declared", "left")
     for name in ("host_sums", "domain_sums", "suffix_sums"):
         rows = rows.withColumn(name, others(name))
     rows = rows.withColumn("prior", _lean(F.col("suffix_sums"), F.array(*map(F.lit, world))))
     for name in ("domain_sums", "host_sums"):
         rows = rows.withColumn("prior", _lean(F.col(name), F.col("prior")))
-    rows = rows.withColumn("score", F.transform(F.arrays_zip(F.col("evidence").alias("e"), F.col("prior").alias("p"), F.element_at(says, F.col("declared")).alias("d")), lambda z: z["e"] + F.log(z["p"]) + z["d"]))
+    rows = rows.withColumn("score", F.transform(F.arrays_zip(F.col("evidence").alias("e"), F.col("prior").alias("p"), F.col("says").alias("d")), lambda z: z["e"] + F.log(z["p"]) + z["d"]))
     rows = rows.withColumn("score", F.expr("transform(score, x -> exp(x - array_max(score)))"))
     first = lambda values: F.element_at(F.array(*map(F.lit, languages)), F.array_position(values, F.array_max(values)).cast("int"))
     return rows.select(

@@ -81,17 +81,15 @@ rows AS (
     CASE WHEN len(v) > 0 THEN list_append(c, greatest(len(v) - list_sum(c), 0)) END AS common FROM hist),
 refs AS (
   SELECT ref, [{", ".join(f"sum(classes[{k}])" for k in range(1, 7))}] AS rc, [{", ".join(f"sum(common[{k}])" for k in range(1, 14))}] AS rw FROM rows GROUP BY 1),
-every AS (SELECT [{", ".join(f"sum(classes[{k}])" for k in range(1, 7))}] AS rc FROM rows),
 compared AS (
   SELECT *, {_js("classes", "ref_classes")} AS class_distance, {_js("common", "ref_words")} AS word_distance
-  FROM (SELECT r.*, CASE WHEN r.ref <> '' THEN f.rc ELSE e.rc END AS ref_classes, f.rw AS ref_words
-    FROM rows r LEFT JOIN refs f ON r.ref = f.ref CROSS JOIN every e))
+  FROM (SELECT r.*, CASE WHEN r.ref <> '' THEN f.rc END AS ref_classes, f.rw AS ref_words FROM rows r LEFT JOIN refs f ON r.ref = f.ref))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
   NOT base_failed AND coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept
 FROM compared
 """
 
-# Items of fewer than five words take shingles of all their words.
+# Items of fewer than five words take shingles of all their words; a shorter document is one window.
 DECONTAMINATION = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (
@@ -107,7 +105,7 @@ item AS (SELECT item_id, sum(copies * c) AS weight FROM bs GROUP BY 1),
 starts AS (
   SELECT DISTINCT doc_id, item_id, n, k, a FROM (
     SELECT ds.doc_id, item_id, n, ds.k, unnest(range(i - (n - ds.k), i + 1)) AS a FROM ds JOIN bs ON ds.s = bs.s AND ds.k = bs.k) t
-  JOIN (SELECT doc_id, len(w) AS words FROM d) USING (doc_id) WHERE a >= 1 AND a + n - 1 <= words),
+  JOIN (SELECT doc_id, len(w) AS words FROM d) USING (doc_id) WHERE a >= 1 AND (a + n - 1 <= words OR a = 1 AND words < n)),
 win AS (
   SELECT t.doc_id, t.item_id, t.n, t.k, t.a, ds.s, ds.c, count(*) AS copies FROM starts t
   JOIN ds ON ds.doc_id = t.doc_id AND ds.k = t.k AND ds.i BETWEEN t.a AND t.a + t.n - t.k GROUP BY 1, 2, 3, 4, 5, 6, 7),
