@@ -19,7 +19,7 @@ Tokens come from the tokenizers library.  Each distinct word of a batch is given
 ids do not depend on its neighbours, since the tokenizer cuts words before it merges.
 
 Defined results: a null text is empty and gets the end id alone; rows without an id come first; repeated
-ids are ordered by their texts; an empty table gives no rows; other columns are not read.
+ids are ordered by a hash of their texts, then by the texts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -334,7 +334,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1)
     id order; returns (and writes to folder/files) part, path, n_docs, n_ids, start of each file."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # ranges by id, text and row, so that no id (and no repeated row) has to fit into one task
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.asc_nulls_first("doc_id"), F.col("hash")]
+    rows = rows.repartitionByRange(*order, F.col("row")).sortWithinPartitions(*order, "text").select("doc_id", "text")
     rows.mapInArrow(_writer(f"{folder}/data", path, end_id), _FILE).write.parquet(f"{folder}/files")
     files = spark.read.schema(_FILE).parquet(f"{folder}/files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
