@@ -648,3 +648,6 @@ UNION ALL SELECT 'topics', source, sum(len(topics))::BIGINT, 0 FROM ftp GROUP BY
 
 register("sql_functions", _sql_functions_sql())
 register("feed_source_posts", _pe(_hn_expected() + "\nUNION ALL " + _bluesky_expected()))
+register("stream_micro_batches", "WITH " + DELIVERY_SQL.strip() + """
+SELECT source, external_id, arg_min(title, seq) AS title, arg_max(score, seq) AS score, count(*) AS deliveries
+FROM deliveries GROUP BY source, external_id""")

@@ -21,6 +21,10 @@ REPORT_SCHEMA = ("source STRING, status STRING, fetched BIGINT, written BIGINT,
                  "error STRING")
 
 
+#: Seconds of lag that are ranked together first.
+LAG_SPAN = 4096
+
+
 def land_source(name: str, raw: DataFrame, staging: str, **kw) -> tuple[str, dict]:
     """Normalise and check one feed and write its good and rejected rows in one
     pass, partitioned by status.  Returns the landed path and its counts."""
@@ -103,21 +107,26 @@ def ingest_metrics(posts: DataFrame) -> DataFrame:
     """M-1, M-2 per source: posts, posts per second of ingest time (null for one instant), and the
     lag from creation to ingest in whole seconds at the 50th and 99th percentile (nearest rank).
 
-    Lags are counted by (source, second) first, so the ranking runs over distinct seconds, not posts.
+    Lags are counted by (source, second) first, and those by spans of ``LAG_SPAN`` seconds.  The running sums
+    over a source's spans say in which span a rank lies; only the seconds of that span are ranked one by one, so
+    a source with most of the posts, or with lags of all lengths, is no work of one task.
     """
     lag = F.timestamp_diff("SECOND", F.col("created_at"), F.col("ingested_at"))
     second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ingested_at"))
     by_lag = (posts.select("source", lag.alias("lag"), second.alias("second")).groupBy("source", "lag")
-              .agg(F.count(F.lit(1)).alias("n"), F.min("second").alias("lo"), F.max("second").alias("hi")))
+              .agg(F.count(F.lit(1)).alias("n"), F.min("second").alias("lo"), F.max("second").alias("hi"))
+              .withColumn("span", F.floor(F.col("lag") / LAG_SPAN)))
     own = Window.partitionBy("source")
-    ranked = (by_lag.withColumn("upto", F.sum("n").over(own.orderBy("lag")))
-                    .withColumn("all", F.sum("n").over(own)))
-
-    def at(share: float):
-        return F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * share), F.col("lag")))
-
-    out = ranked.groupBy("source").agg(F.sum("n").alias("posts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                                       at(0.5).alias("lag_p50"), at(0.99).alias("lag_p99"))
+    spans = by_lag.groupBy("source", "span").agg(F.sum("n").alias("n"))
+    spans = (spans.withColumn("upto", F.sum("n").over(own.orderBy("span"))).withColumn("all", F.sum("n").over(own))
+                  .withColumn("share", F.explode(F.array(F.lit(0.5), F.lit(0.99)))))
+    rank, before = F.ceil(F.col("all") * F.col("share")), F.col("upto") - F.col("n")
+    wanted = spans.filter((rank > before) & (rank <= F.col("upto"))).select("source", "span", "share", (rank - before).alias("rank"))
+    inside = by_lag.join(wanted, ["source", "span"]).withColumn(
+        "upto", F.sum("n").over(Window.partitionBy("source", "share").orderBy("lag")))
+    at = lambda share: F.min(F.when((F.col("share") == share) & (F.col("upto") >= F.col("rank")), F.col("lag")))
+    lags = inside.groupBy("source").agg(at(0.5).alias("lag_p50"), at(0.99).alias("lag_p99"))
+    out = by_lag.groupBy("source").agg(F.sum("n").alias("posts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(lags, "source", "left")
     rate = F.when(F.col("hi") > F.col("lo"), F.round(F.col("posts") / (F.col("hi") - F.col("lo")), 6))
     return out.select("source", "posts", rate.alias("per_second"), "lag_p50", "lag_p99")
 

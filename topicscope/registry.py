@@ -721,3 +721,22 @@ def q_feed_source_posts(spark, sf_dir):
         (posts.writeStream.format("parquet").option("path", f"{base}/posts").option("checkpointLocation", f"{base}/posts/_checkpoint")
          .trigger(availableNow=True).start().awaitTermination())
     return read_feed(spark, "hackernews", f"{base}/hackernews").unionByName(spark.read.schema(POST_SCHEMA).parquet(f"{base}/posts"))
+
+
+@query("stream_micro_batches")
+def q_stream_micro_batches(spark, sf_dir):
+    """O-67: the long-running form, a small batch at each interval, until all that has landed is taken."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import FEED_NOW
+    from .streaming.ingest import read_envelopes, trigger_options
+    from .streaming.keyed_state import read_state_table, stream_upsert_state
+    base = _scratch(spark, "q_stream_micro")
+    _delivery_envelopes(spark, sf_dir).repartitionByRange(6, "seq").write.parquet(f"{base}/in")
+    q = stream_upsert_state(read_envelopes(spark, f"{base}/in", files_per_trigger=2), f"{base}/posts",
+                            trigger=trigger_options("micro", "200 milliseconds"), now=F.lit(FEED_NOW).cast("timestamp_ntz"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return read_state_table(spark, f"{base}/posts").select("source", "external_id", "title", "score", "deliveries")
