@@ -178,16 +178,14 @@ def _bangs(text_col: str) -> Column:
     return F.least(F.length(text) - F.length(F.regexp_replace(text, "!", "")), F.lit(BANG_MAX))
 
 
-# Flags of a token, worked out in the row: 1 negated by one of the three tokens before it, 2 capitals in a
-# text of mixed case, 4 before and 8 after the contrast word, 16 * (three booster steps in base 3).
+# Flags of a token, worked out in the row: what the three tokens before it say (base 7), 343 for capitals in a
+# text of mixed case, 686 before and 1372 after the contrast word.  They are read for matched tokens only.
 def _token_flags(t: Column, i: Column) -> Column:
-    before = [F.coalesce(F.get(F.col("__says"), i - k), F.lit(1)).cast("int") for k in (1, 2, 3)]
-    negated = reduce(lambda a, b: a | b, [x >= 4 for x in before])
-    steps = sum(((x % 4) * 3 ** k for k, x in enumerate(before)), F.lit(0))
+    before = [F.coalesce(F.get(F.col("__says"), i - k).cast("int"), F.lit(1)) for k in (1, 2, 3)]
     but = F.col("__but")
-    side = F.when((but > 0) & (i + 1 < but), 4).when((but > 0) & (i + 1 > but), 8).otherwise(0)
-    caps = F.when(F.col("__mixed") & _is_caps(t), 2).otherwise(0)
-    return (F.when(negated, 1).otherwise(0) + caps + side + steps * 16).cast("smallint")
+    side = F.when(but == 0, 0).when(i + 1 < but, 686).when(i + 1 > but, 1372).otherwise(0)
+    caps = F.when(F.col("__mixed") & _is_caps(t), 343).otherwise(0)
+    return (before[0] + before[1] * 7 + before[2] * 49 + caps + side).cast("smallint")
 
 
 def token_items() -> Column:
@@ -198,17 +196,17 @@ def token_items() -> Column:
 def contribution(valence: Column, flags: Column) -> Column:
     """The valence of a matched token after negation, boosters, capitals and contrast."""
     flags = flags.cast("int")
-    steps = F.floor(flags / 16).cast("int")
-    boost = F.lit(Decimal("0.00"))
+    boost, negated = F.lit(Decimal("0.00")), F.lit(False)
     for k, damp in enumerate(DAMPING):
-        step = F.floor(steps / 3 ** k).cast("int") % 3 - 1
-        boost = boost + step.cast("decimal(1,0)") * _dec(damp)
-    has = lambda bit: flags.bitwiseAND(F.lit(bit)) > 0
-    butm = F.when(has(4), _dec(BUT_BEFORE)).when(has(8), _dec(BUT_AFTER)).otherwise(_dec(Decimal("1.0")))
+        says = F.floor(flags % 343 / 7 ** k).cast("int") % 7
+        boost = boost + (says % 4 - 1).cast("decimal(1,0)") * _dec(damp)
+        negated = negated | (says >= 4)
+    side, caps = F.floor(flags / 686), F.floor(flags / 343).cast("int") % 2 == 1
+    butm = F.when(side == 1, _dec(BUT_BEFORE)).when(side == 2, _dec(BUT_AFTER)).otherwise(_dec(Decimal("1.0")))
     sv = F.signum(valence).cast("decimal(1,0)")
-    v1 = (valence + F.when(has(2), sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
+    v1 = (valence + F.when(caps, sv * _dec(CAPS_STEP)).otherwise(_dec(Decimal("0")))
           + sv * _dec(BOOSTER_STEP) * boost)
-    v2 = F.when(has(1), v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
+    v2 = F.when(negated, v1 * _dec(NEGATION_FACTOR)).otherwise(v1)
     return (v2 * butm).cast(SENT_DECIMAL)
 
 
