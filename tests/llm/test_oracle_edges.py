@@ -1,4 +1,4 @@
-"""The SQL of 7 and 9 on planted rows that the driver's tables do not hold."""
+"""The SQL of 6, 7 and 9 on planted rows that the driver's tables do not hold."""
 
 import random
 
@@ -6,6 +6,7 @@ import duckdb
 
 from topicscope.llm import oracle
 from topicscope.llm.decontamination import benchmark_matches
+from topicscope.llm.preference import preference_format, reply_pairs
 from topicscope.llm.quality_rules import quality_rules
 
 from .helpers import EDGE_TEXTS, docs_table
@@ -42,3 +43,12 @@ def test_quality_of_null_and_unlisted_languages(spark):
     table = docs_table(spark, rows + [(100 + 100 * i + k, t, lang) for k, t in enumerate(EDGE_TEXTS) for i, lang in enumerate(("en", None))])
     got = both(quality_rules(table), oracle.QUALITY, documents=table.select("doc_id", "text", "lang"))
     assert len(got) == 42 + 2 * len(EDGE_TEXTS)
+
+
+def test_preference_of_gaps_and_turns_without_conversation(spark):
+    rng = random.Random(3)
+    ids = [None, -5, 0, 1, 4, 70_000, 1 << 40]
+    rows = [(rng.choice(ids), rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", "b <|im_end|>"])) for _ in range(80)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = both(preference_format(reply_pairs(turns)), oracle.PREFERENCE, conversations=turns)
+    assert len(got) == sum(r[0] is None for r in rows) + len({r[0] for r in rows} - {None})

@@ -8,6 +8,7 @@ import time
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from tests.llm.helpers import by_id
 
 from topicscope.llm import language_fusion as L
@@ -143,6 +144,24 @@ def test_reply_pairs_and_edge_cases(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_turns_without_conversation_and_gaps_in_the_ids(spark):
+    ids = [-(1 << 63), -70_000, -1, 0, 3, 65_535, 65_536, 1 << 33, (1 << 33) + 5, (1 << 62) + 1, (1 << 63) - 1]
+    got = {r.id: r.next_id for r in P.next_ids(spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)).collect()}
+    assert got == dict(zip(ids, ids[1:] + [None]))
+    assert P.next_ids(spark.createDataFrame([], "id long")).count() == 0
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "first"), (7, 0, "assistant", "second"), (9, 0, "user", "x"), (1 << 40, 0, "assistant", "far")]
+    turns += [(None, k % 3, "assistant" if k % 2 else "user", f"t{k}") for k in range(40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("reply", F.lit(1)).withColumn("at", F.lit("x"))
+    pairs = P.reply_pairs(df)
+    rows = [(r.pair_id, [tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in pairs.collect()]
+    known = {k: r for k, _, r in rows if k is not None}
+    assert known == {1: [("user", "hi"), ("assistant", "second")], 7: [("assistant", "")], 9: [("user", "x")], 1 << 40: [("assistant", "")]}
+    alone = sorted((c, r) for k, c, r in rows if k is None)
+    assert alone == sorted(([(role, t)], [(role, t)] if role == "user" else [(role, "")]) for i, _, role, t in turns if i is None)
+    plan = P.preference_format(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
 # ---- languages -------------------------------------------------------------------------------------
 
 WORDS = {

@@ -103,7 +103,9 @@ def test_battery_tells_random_from_regular():
     assert np.mean(np.array(even) < S.MIN_EVEN) < 0.02
     for regular in ("abcabcabc123abcabcabc123abcabcabc", "aaaaaaaaaaaaaaaaaaaa1aaaaaaaaaaa", "version2ofthedocumentnameandmore2"):
         assert S.evenness(*S.infer_alphabet(regular)) < 0.01
-    assert S.infer_alphabet("0a1b2c")[1] == 16 and S.infer_alphabet("ABCDEFGH234567")[1] == 32 and S.infer_alphabet("zz19")[1] == 36 and S.infer_alphabet("aA1")[1] == 64
+    assert S.infer_alphabet("0a1b2c")[1] == 16 and S.infer_alphabet("ABCDEFGH234567")[1] == 32 and S.infer_alphabet("zz19")[1] == 36 and S.infer_alphabet("aA1")[1] == 62
+    assert S.infer_alphabet("aA")[1] == 52 and S.infer_alphabet("ab-cz")[1] == 26 and S.infer_alphabet("aA-1")[1] == 64
+    assert S.infer_alphabet("0a1b-2c3d")[1] == 16 and len(S.infer_alphabet("0a1b-2c3d")[0]) == 8
 
 
 def test_discovery_control():
@@ -132,6 +134,105 @@ def test_secret_report_and_masking(spark):
     assert S.secret_report(docs_table(spark, [])).count() == 0
 
 
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+TEXT_WORDS = "the river stone and bridge under water with green fields that were never seen before internationalization of things route66 state art and more words path page index get element by class name tag com".split()
+
+
+def planted(rng):
+    """(text before, secret, text behind): the secret stands between characters of the same kind."""
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    hexes = "0123456789abcdef"
+    return [
+        ("id ", "-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12)), " end"),
+        ("key " + "0123456789abcdef", "-" + draw(B62 + "-_", 32), " end"),
+        ("https://host.example/path/to/page/", draw(B62, 40), "/more"),
+        ("sk_live_", draw(B62, 36), " end"),
+        ("see ", draw(B62[:52], 40), "."),
+        ("see ", draw(B62[26:52], 44), "."),
+        ("see ", draw(B62[:26] + "234567", 40), "."),
+        ("blob ", draw(B62 + "+/", 64), "=="),
+    ]
+
+
+def brute_random_spans(texts, least_share=0.01):
+    """The kind ``random`` of all texts by plain loops: candidates cut and split character by character,
+    expectations counted pair by pair, the step-up rule over the sorted bins."""
+    token_chars = B62 + "+/-_"
+    cases = []
+    for d, text in enumerate(texts):
+        covered = {i for s, _, e in brute_spans(text) for i in range(s, e)}
+        runs, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in token_chars and end not in covered:
+                end += 1
+            whole = end
+            runs.append((at, whole))
+            at = max(end, at + 1)
+        spans = set()
+        for s, e in runs:
+            for marks in ("", "/", "/_+-"):
+                begin = s
+                for i in range(s, e + 1):
+                    if i == e or text[i] in marks:
+                        spans.add((begin, i))
+                        begin = i + 1
+        for s, e in spans:
+            token = text[s:e]
+            if any(c.isalpha() for c in token) and len(token) >= 20 and len(S.tested_places(token)) >= 20:
+                cases.append((d, s, e, token))
+    single, pairs = np.zeros(64), np.zeros((64, 64))
+    number = {c: min(k, 62) if c in "+-" else 63 if c in "/_" else k for k, c in enumerate(S._ORDER)}
+    for text in texts:
+        for c in text:
+            if c in number:
+                single[number[c]] += 1
+        for a, b in zip(text, text[1:]):
+            if a in number and b in number:
+                pairs[number[a], number[b]] += 1
+    model = S.TextModel(single, pairs)
+    bins = [S.candidate_bin(t, model) for *_, t in cases]
+    order, least = sorted((b for b, _ in bins), reverse=True), S.BINS + 1
+    for k, b in enumerate(order):
+        if (k + 1 == len(order) or order[k + 1] != b) and 10 ** (-b * S.BIN) <= least_share * (k + 1) / len(order):
+            least = b
+    found = {d: [] for d in range(len(texts))}
+    for (d, s, e, _), (b, even) in sorted(zip(cases, bins), key=lambda x: (-x[1][0], x[0][1] - x[0][2], x[0][1])):
+        if even and b >= least and all(e <= x or s >= y for x, y in found[d]):
+            found[d].append((s, e))
+    return {d: sorted(x) for d, x in found.items()}
+
+
+def test_planted_secrets_are_found_and_clean_text_stays(spark):
+    rng = random.Random(5)
+    prose = lambda: " ".join(rng.choices(TEXT_WORDS, k=80))
+    clean = [prose() for _ in range(30)] + [
+        "state-of-the-art-and-more-words " + prose(), "com/path/to/page/index_of_things " + prose(), "getElementsByClassNameAndTag " + prose(),
+        "2024-01-15T10-20-30Z " + prose(), "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz " + prose(), "abcdefghijklmnopqrstuvwxyz " + prose(), "-" * 50 + "/" * 50,
+    ]
+    forms = [planted(rng) for _ in range(12)]
+    texts = clean + [f"{prose()} {before}{secret}{behind} {prose()}" for case in forms for before, secret, behind in case]
+    docs = docs_table(spark, list(enumerate(texts)))
+    spans = {r.doc_id: [(s, e) for k, s, e in zip(r.kinds, r.starts, r.ends) if k == 3] for r in S.secret_spans(docs).collect()}
+    assert spans == brute_random_spans(texts)
+    masked = {r.doc_id: r.text for r in S.without_secrets(docs).collect()}
+    assert [masked[k] for k in range(len(clean))] == clean
+    secrets = [secret.lstrip("-") for case in forms for _, secret, _ in case]
+    kept = [k for k, secret in enumerate(secrets) if secret in masked[len(clean) + k]]
+    assert len(kept) <= 2, [secrets[k] for k in kept]
+    # a span is the secret alone, but for words beside it that by chance make its p smaller
+    exact = [f"{before}{S.MASK}{behind}" in masked[len(clean) + k] for k, (before, _, behind) in enumerate(x for case in forms for x in case) if before.startswith(("https", "sk_", "see"))]
+    assert np.mean(exact) > 0.8
+
+
+def test_overlapping_discoveries_and_long_runs():
+    assert S.discoveries([(0, 60, 100, True), (0, 25, 120, True), (26, 60, 90, True), (70, 95, 50, True), (100, 130, 99, False)], 60) == [(0, 25), (26, 60)]
+    assert S.discoveries([(0, 60, 100, True), (0, 25, 100, True)], 60) == [(0, 60)]
+    text = "ab/" * 400_000 + "_" * 400_000  # long runs of short parts
+    assert [len(t) for t, _ in S.candidates(text, [])] == [1_600_000]
+    assert S.candidates("0123456789abcdef0123" * 3, S.base_spans("0123456789abcdef0123" * 3)) == []
+
+
 # ---- decontamination -------------------------------------------------------------------------------
 
 

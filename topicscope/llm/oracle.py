@@ -141,7 +141,9 @@ def _masked(turns: str) -> str:
 PREFERENCE = f"""
 WITH convs AS (
   SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
-  FROM conversations GROUP BY 1),
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+  UNION ALL SELECT NULL, [{{'role': coalesce(role, ''), 'text': coalesce(text, '')}}] FROM conversations WHERE conv_id IS NULL),
+follows AS (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS next_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
 replies AS (
   SELECT conv_id, coalesce(text, '') AS reply FROM conversations WHERE role = 'assistant'
   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) = 1),
@@ -150,7 +152,7 @@ lasts AS (
 pairs AS (
   SELECT l.conv_id AS pair_id, t AS chosen,
     CASE WHEN place IS NULL THEN t ELSE list_append(t[1:place - 1], {{'role': 'assistant', 'text': coalesce(reply, '')}}) END AS rejected
-  FROM lasts l LEFT JOIN replies r ON r.conv_id = l.conv_id + 1),
+  FROM lasts l LEFT JOIN follows f ON f.conv_id = l.conv_id LEFT JOIN replies r ON r.conv_id = f.next_id),
 counted AS (
   SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(chosen), len(rejected)) + 1), lambda i: chosen[i] IS DISTINCT FROM rejected[i])) - 1, len(chosen)) AS n
   FROM pairs),

@@ -7,27 +7,48 @@ a line end.  A mask goes with each completion, as run lengths ``characters:loss`
 end of an assistant turn count for the loss (1), everything else does not (0).
 
 A conversation is one training example, so its turns make up one row (``collect_list`` with partial
-aggregation); nothing is ever gathered over conversations.  A hot first turn is therefore no hot key.
+aggregation); nothing is ever gathered over conversations.  A hot first turn is therefore no hot key, and a
+turn without conv_id belongs to no conversation: it is one of its own, so that any number of them never
+meets.  The conversation that follows another is found over the narrow distinct ids, ``STEP_BITS`` bits at a
+time: within the ids that share all but their last bits by a window (at most ``2 ** STEP_BITS`` rows), and
+for the last of those by the first id of the next such range, found in the same way.
 
 Defined results: null roles and texts are empty; a control string inside a text gets a blank behind its
 ``<|``, so that it cannot open or end a turn; turns are ordered by number, then role, then text (null
 numbers first); repeated rows are turns of their own; a side that ends with the common prefix has an
-empty completion and mask; extra columns are not read.
+empty completion and mask; a turn without conv_id is a pair without pair_id, its reply replaced by nothing
+if it is an assistant's; ids need not be dense, and may be negative; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The control strings of the chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
+#: Ids are split into ranges by so many bits at a time, which bounds the rows of a window.
+STEP_BITS = 16
+
 
 def conversation_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turns (array of struct turn, role, text in order) of turns(conv_id, turn, role, text)."""
     row = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    known = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    return known.unionByName(turns.where("conv_id is null").select("conv_id", F.array(row).alias("turns")))
+
+
+def next_ids(ids: DataFrame, bits: int = 64) -> DataFrame:
+    """id, next_id (the smallest larger id, null for the largest) of distinct ids(id), longs without nulls."""
+    if bits <= STEP_BITS:
+        return ids.select("id", F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id")).alias("next_id"))
+    ranged = ids.select("id", F.shiftright("id", STEP_BITS).alias("range"))
+    inside = ranged.select("id", "range", F.lead("id").over(Window.partitionBy("range").orderBy("id")).alias("within"))
+    firsts = ranged.groupBy("range").agg(F.min("id").alias("first"))
+    later = next_ids(firsts.select(F.col("range").alias("id")), bits - STEP_BITS)
+    beyond = later.join(firsts, F.col("next_id") == F.col("range")).select(F.col("id").alias("range"), "first")
+    return inside.join(beyond, "range", "left").select("id", F.coalesce("within", "first").alias("next_id"))
 
 
 def _body(text: Column) -> Column:
@@ -76,16 +97,19 @@ def reply_pairs(turns: DataFrame) -> DataFrame:
     """Preference pairs out of plain conversations: pair_id, chosen, rejected.
 
     Chosen is the conversation itself.  Rejected has the same turns up to its last assistant turn, and
-    there the last assistant reply of the conversation with the next id (empty if there is none).  A
-    conversation without an assistant turn is paired with itself.
+    there the last assistant reply of the conversation with the next id that exists (empty if that has no
+    reply, or there is none).  A conversation without an assistant turn is paired with itself.
     """
+    turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     convs = conversation_turns(turns)
-    last = F.expr("element_at(filter(turns, t -> t.role = 'assistant'), -1)")
     convs = convs.withColumn("at", F.expr("int(array_max(filter(transform(turns, (t, i) -> IF(t.role = 'assistant', i, NULL)), i -> i IS NOT NULL)))"))
-    replies = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"].alias("reply"))
-    replies = replies.select((F.col("conv_id") - 1).alias("conv_id"), "reply")
+    replies = turns.where("role = 'assistant' and conv_id is not null").groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"].alias("reply"))
+    follows = next_ids(turns.where("conv_id is not null").select(F.col("conv_id").alias("id")).distinct())
+    replies = follows.join(replies, F.col("next_id") == F.col("conv_id")).select(F.col("id").alias("conv_id"), "reply")
     reply = F.array(F.struct(F.lit(None).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("reply", F.lit("")).alias("text")))
     plain = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     changed = F.concat(plain(F.slice("turns", F.lit(1), F.col("at"))), plain(reply))
-    rows = convs.join(replies, "conv_id", "left")
+    # rows without an id join nothing: they keep out of the shuffle, where they would meet
+    rows = convs.where("conv_id is not null").join(replies, "conv_id", "left")
+    rows = rows.unionByName(convs.where("conv_id is null").withColumn("reply", F.lit(None).cast("string")))
     return rows.select(F.col("conv_id").alias("pair_id"), plain(F.col("turns")).alias("chosen"), F.when(F.col("at").isNull(), plain(F.col("turns"))).otherwise(changed).alias("rejected"))
