@@ -17,7 +17,7 @@ over): ``assign`` (a named credential that is assigned a value of 12 characters
   combined by Fisher's method; a token with a combined p below ``MIN_EVEN`` is not random.
 * False discoveries, for the hypothesis that the token is text, in which case is no evidence (so that
   joined words with inner capitals count as text): coincidences of equal characters, changes between
-  letters and others, and the log likelihood of each letter behind the one before within words (a word
+  letters and digits, and the log likelihood of each letter behind the one before within words (a word
   ends before a capital behind a small letter), each against its expectation at the token's length.
   Expectations come from the characters and pairs of neighbours of all documents; changes are expected
   at least at the rate ``LEAST_CHANGES``, that of names with numbers in them.  The changes are combined
@@ -78,7 +78,7 @@ _SMALL = np.where(_CLASS == 2, np.arange(64) - 26, np.arange(64))
 _LETTER = (_CLASS == 1) | (_CLASS == 2)
 #: Pairs of letters within a word: all but a small letter with a capital behind it.
 _WITHIN = _LETTER[:, None] & _LETTER[None, :] & ~((_CLASS == 1)[:, None] & (_CLASS == 2)[None, :])
-_CHANGE = _LETTER[:, None] != _LETTER[None, :]
+_CHANGE = (_LETTER[:, None] & (_CLASS == 0)[None, :]) | ((_CLASS == 0)[:, None] & _LETTER[None, :])
 LEAST_CHANGES = 0.1
 #: The share of the plain letter frequencies in the likelihoods, which bounds what one odd pair can weigh.
 PLAIN = 0.2
