@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -30,7 +31,11 @@ from .filters import check_limit
 from .topk import top_k
 
 #: Terms that a list holds at most (a task's rows may become several lists).
-LIST_TERMS = 1_000_000
+LIST_TERMS = 250_000
+#: Rows that a task is handed at a time.
+BATCH_ROWS = 500
+#: Terms of a batch that are taken at a time.
+PORTION = 250_000
 LISTS = "list STRING, term STRING, count BIGINT, units BIGINT, value BIGINT, place INT"
 
 
@@ -52,9 +57,19 @@ def _local_lists(factors: dict[str, int] | None, most: int):
         sums = pa.concat_tables(parts).group_by("term").aggregate([("count", "sum"), ("units", "sum")])
         return sums.select(["term", "count_sum", "units_sum"]).rename_columns(["term", "count", "units"])
 
+    def portions(batches):
+        """Batches cut so that each holds ``PORTION`` terms, or one row: a batch may hold long texts' terms."""
+        for batch in batches:
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(batch.column("terms")), 0).cast(pa.int64())).to_numpy()
+            at, done = 0, 0
+            while at < batch.num_rows:
+                upto = max(int(np.searchsorted(ends, done + min(PORTION, most), side="right")), at + 1)
+                yield batch.slice(at, upto - at)
+                at, done = upto, int(ends[upto - 1])
+
     def run(batches):
         held, waiting, part, number = [], 0, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in portions(batches):
             terms = batch.column("terms")
             rows = pc.list_parent_indices(terms)
             held.append(pa.table({"term": pc.list_flatten(terms), "count": pa.repeat(pa.scalar(1, pa.int64()), len(rows)), "units": pc.take(batch.column("units"), rows)}))
@@ -72,9 +87,15 @@ def _local_lists(factors: dict[str, int] | None, most: int):
 
 def local_lists(rows: DataFrame, folder: str, factors: dict[str, int] | None = None, most: int = LIST_TERMS) -> DataFrame:
     """The written lists (see ``LISTS``) of ``rows(terms array<string>, units bigint)``."""
-    path = f"{folder.rstrip('/')}/lists-{uuid.uuid4().hex[:8]}"
-    rows.select("terms", "units").mapInArrow(_local_lists(factors, most), LISTS).write.parquet(path)
-    return rows.sparkSession.read.schema(LISTS).parquet(path)
+    path, spark = f"{folder.rstrip('/')}/lists-{uuid.uuid4().hex[:8]}", rows.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        rows.select("terms", "units").mapInArrow(_local_lists(factors, most), LISTS).write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(LISTS).parquet(path)
 
 
 def _kth(sums: DataFrame, k: int) -> int:
