@@ -13,6 +13,7 @@ only joined with that query's candidates.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +25,24 @@ POSTINGS = "trigram STRING, source STRING, external_id STRING"
 FREQUENCIES = "trigram STRING, posts BIGINT"
 
 
+#: Texts whose trigrams are held as Python strings at a time.
+PORTION = 64
+
+
+def _distinct_trigrams(texts: pa.Array) -> pa.Array:
+    """The distinct trigrams (code points) of each text."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([list({t[i:i + N] for i in range(len(t) - N + 1)}) for t in texts.slice(at, PORTION).to_pylist()], kind)
+             for at in range(0, len(texts), PORTION)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def with_trigrams(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with one row for each distinct trigram (code points) of the upper-cased ``text_col``;
-    rows without one fall away.  The text is cut into characters once, so the work is linear."""
-    upper = F.upper(F.coalesce(F.col(text_col), F.lit("")))
-    staged = df.withColumn("__chars", F.regexp_extract_all(upper, F.lit("(?s)."), 0))
-    after = lambda i: F.get(F.col("__chars"), i)
-    grams = F.transform(F.slice("__chars", 1, F.greatest(F.size("__chars") - (N - 1), F.lit(0))), lambda c, i: F.concat(c, after(i + 1), after(i + 2)))
-    return staged.select(*df.columns, F.explode_outer(F.array_distinct(grams)).alias(out)).filter(F.col(out).isNotNull())
+    rows without one fall away.  A text's trigrams leave its row only when they are distinct."""
+    grams = F.arrow_udf(_distinct_trigrams, "array<string>")(F.upper(F.coalesce(F.col(text_col), F.lit(""))))
+    staged = df.withColumn("__grams", grams)
+    return staged.select(*df.columns, F.explode_outer("__grams").alias(out)).filter(F.col(out).isNotNull())
 
 
 def build_search_index(posts: DataFrame, path: str) -> None:
@@ -53,9 +64,10 @@ def _candidates(spark: SparkSession, base: str, queries: DataFrame) -> DataFrame
     ranked = (wanted.withColumn("place", F.row_number().over(every.orderBy(F.coalesce("posts", F.lit(0)), "trigram")))
               .withColumn("n", F.count(F.lit(1)).over(every)).withColumn("missing", F.max(F.col("posts").isNull()).over(every))
               .filter(~F.col("missing")))
-    first = ranked.filter(F.col("place") == 1).join(postings, "trigram").select("q", "n", *POST_KEY)
+    first = postings.join(F.broadcast(ranked.filter(F.col("place") == 1)), "trigram").select("q", "n", *POST_KEY)
     others = ranked.filter(F.col("place") > 1).select("q", "trigram")
-    more = first.join(others, "q").join(postings, ["trigram", *POST_KEY]).groupBy("q", *POST_KEY).agg(F.count(F.lit(1)).alias("found"))
+    lists = postings.join(F.broadcast(others.select("trigram").distinct()), "trigram", "semi")   # no other list moves
+    more = first.join(F.broadcast(others), "q").join(lists, ["trigram", *POST_KEY]).groupBy("q", *POST_KEY).agg(F.count(F.lit(1)).alias("found"))
     both = first.join(more, ["q", *POST_KEY], "left")
     return both.filter(F.coalesce("found", F.lit(0)) == F.col("n") - 1).select("q", *POST_KEY)
 
