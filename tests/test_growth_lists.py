@@ -18,8 +18,9 @@ def test_a_batch_of_long_texts_is_taken_in_portions(spark, scratch, monkeypatch)
 def test_trigrams_equal_a_plain_cut(spark):
     texts = ["", None, "ab", "abc", "abcabcabc", "straße", "a😀b😀c", "x\ny\tz"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = search_index.with_trigrams(df, "t", "g")
+    got = search_index.index_trigrams(df, "t", "g")
     assert got.columns == ["id", "t", "g"] and "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
     want = {(i, u[k:k + 3]) for i, t in enumerate(texts) for u in [(t or "").upper()] for k in range(len(u) - 2)}
     rows = [(r.id, r.g) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {(r.id, r.g) for r in search_index.with_trigrams(df, "t", "g").collect()} == want

@@ -37,18 +37,28 @@ def _distinct_trigrams(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
-def with_trigrams(df: DataFrame, text_col: str, out: str) -> DataFrame:
+def index_trigrams(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with one row for each distinct trigram (code points) of the upper-cased ``text_col``;
-    rows without one fall away.  A text's trigrams leave its row only when they are distinct."""
+    rows without one fall away.  Whole posts take this form of ``with_trigrams``, cut in Arrow batches."""
     grams = F.arrow_udf(_distinct_trigrams, "array<string>")(F.upper(F.coalesce(F.col(text_col), F.lit(""))))
     staged = df.withColumn("__grams", grams)
     return staged.select(*df.columns, F.explode_outer("__grams").alias(out)).filter(F.col(out).isNotNull())
 
 
+def with_trigrams(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with one row for each distinct trigram (code points) of the upper-cased ``text_col``;
+    rows without one fall away.  The text is cut into characters once, so the work is linear."""
+    upper = F.upper(F.coalesce(F.col(text_col), F.lit("")))
+    staged = df.withColumn("__chars", F.regexp_extract_all(upper, F.lit("(?s)."), 0))
+    after = lambda i: F.get(F.col("__chars"), i)
+    grams = F.transform(F.slice("__chars", 1, F.greatest(F.size("__chars") - (N - 1), F.lit(0))), lambda c, i: F.concat(c, after(i + 1), after(i + 2)))
+    return staged.select(*df.columns, F.explode_outer(F.array_distinct(grams)).alias(out)).filter(F.col(out).isNotNull())
+
+
 def build_search_index(posts: DataFrame, path: str) -> None:
     """Write the index of ``posts(source, external_id, title)`` to ``path`` (both tables are replaced)."""
     base, spark = path.rstrip("/"), posts.sparkSession
-    grams = with_trigrams(posts.select(*POST_KEY, "title"), "title", "trigram").select("trigram", *POST_KEY)
+    grams = index_trigrams(posts.select(*POST_KEY, "title"), "title", "trigram").select("trigram", *POST_KEY)
     (grams.repartitionByRange("trigram", *POST_KEY).sortWithinPartitions("trigram")
      .write.mode("overwrite").parquet(f"{base}/postings"))
     counts = spark.read.schema(POSTINGS).parquet(f"{base}/postings").groupBy("trigram").agg(F.count(F.lit(1)).alias("posts"))
