@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.filters import check_limit, resolve_as_of
 from .stopwords import stopwords
 from .text import (HASHTAG_PATTERN, KEYWORD_MIN_LEN, KEYWORD_PATTERN, PHRASE_OR_HASHTAG_WEIGHT, URL_PATTERN,
-                   WORD_WEIGHT)
+                   URL_SIGN, WORD_WEIGHT)
 
 #: Rows that a table function returns at most, unless registered otherwise.
 MOST_ROWS = 1000
@@ -40,7 +40,9 @@ def topics_sql(title: str, stop: str = "api") -> str:
     listed = ", ".join(_text(w) for w in stopwords(stop))
     text = f"coalesce({title}, '')"
     tags = f"transform(regexp_extract_all({text}, {_raw(HASHTAG_PATTERN)}, 1), h -> concat('#', lower(h)))"
-    found = f"regexp_extract_all(regexp_replace(lower({text}), {_raw(URL_PATTERN)}, ' '), {_raw(KEYWORD_PATTERN)}, 0)"
+    low = f"lower({text})"
+    plain = f"CASE WHEN rlike({low}, {_raw(URL_SIGN)}) THEN regexp_replace({low}, {_raw(URL_PATTERN)}, ' ') ELSE {low} END"
+    found = f"regexp_extract_all({plain}, {_raw(KEYWORD_PATTERN)}, 0)"
     words = f"filter({found}, w -> length(w) >= {KEYWORD_MIN_LEN} AND w NOT IN ({listed}))"
     pairs = "zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> concat_ws(' ', a, b))"
     return f"array_distinct(element_at(transform(array({words}), w -> concat({tags}, {pairs}, w)), 1))"
