@@ -50,3 +50,21 @@ def test_every_url_has_the_sign(spark):
         T.strip_urls("t").alias("a"), F.regexp_replace("t", T.URL_PATTERN, " ").alias("b")).collect()
     assert all(r.a == r.b for r in rows) and sum(r.a != t for r, t in zip(rows, texts)) > 100
     assert not re.search(T.URL_SIGN, "a text of words. and more")
+
+
+def test_likely_ngrams_are_those_of_the_phrases(spark):
+    rng = random.Random(7)
+    words = ["a", "b", "c", "d"]
+    phrases = S.prepare_phrases(spark.createDataFrame([(p, 1.0, "valence") for p in ("a b", "b", "a b c", "d d", "c a b d a")], "phrase string, valence double, effect string"))
+    texts = ["", "a", "b a", "A B", "x a b"] + [" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(200)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "external_id string, title string")
+    rows = S.merge_phrases(df, phrases, ["external_id"], "title").collect()
+    assert len(rows) == len(texts)
+    longest = sorted(["a b", "a b c", "d d", "c a b d a"], key=len, reverse=True)
+    for r in rows:
+        tokens, want, i = texts[int(r.external_id)].split(), [], 0
+        while i < len(tokens):
+            hit = next((p for p in longest if [t.lower() for t in tokens[i:i + len(p.split())]] == p.split()), tokens[i])
+            want.append(" ".join(tokens[i:i + len(hit.split())]))
+            i += len(hit.split())
+        assert r["__toks"] == want, r
