@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.upsert import merge_into_table, read_posts_table, stored_view
 from ..schemas import LANDED
+from ..session import shuffles_removed
 from ..sources.decode import tag_posts
 from ..sources.feeds import POST_COLUMNS, tag
 
@@ -33,8 +34,9 @@ def land_source(name: str, raw: DataFrame, staging: str, **kw) -> tuple[str, dic
     tagged = tagged.observe(obs, F.count_if(F.col("reason").isNull()).alias("fetched"),
                             F.count_if(F.col("reason").isNotNull()).alias("rejected"))
     path = f"{staging.rstrip('/')}/feed={name}"
-    (tagged.withColumn("ok", F.col("reason").isNull())
-           .write.mode("overwrite").partitionBy("ok").parquet(path))
+    with shuffles_removed(raw.sparkSession):                # the next feed does not add to what this one has moved
+        (tagged.withColumn("ok", F.col("reason").isNull())
+               .write.mode("overwrite").option("compression", "zstd").partitionBy("ok").parquet(path))
     return path, obs.get
 
 
